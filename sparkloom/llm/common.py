@@ -34,7 +34,11 @@ def record_id(doc_id: str, text: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), -F.abs(F.shiftrightunsigned(F.xxhash64(F.col(text), F.lit("null id")), 1)) - 1)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """``ids``, a few columns of longs, marked for broadcast if a count shows that it has at most BROADCAST_IDS rows; else as it is, to be shuffled."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (one column of the same name); broadcast only behind a count of the ids."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    """Rows of ``df`` whose key is in ``ids``, which has one column of the same name."""
+    return df.join(small(ids), key, "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import materialize, record_id, semi_by_id
+from .common import materialize, record_id, semi_by_id, small
 from .similarity import cluster
 
 #: One document in SAMPLE_ONE_IN, up to about SAMPLE_ROWS documents, is counted to learn which shingles are frequent; HOT_KEYS of them
@@ -91,6 +91,25 @@ def _sets_of(docs: DataFrame, width: int):
     return sets_of
 
 
+def _sieve(prefixes: DataFrame, percent: int):
+    """Drops pairs whose prefixes share too little. ``prefixes``: (node, n, tokens).
+
+    A link shares at least need = ceil(percent (n1 + n2) / (100 + percent)) items. Of the two, take the one whose prefix ends first in the common
+    order: those of its prefix that the other's prefix lacks, the other lacks altogether, so prefix - shared <= n - need. As it isn't
+    known which ends first, the weaker of the two conditions is asked for.
+    """
+
+    def sieve(pairs: DataFrame) -> DataFrame:
+        wanted = materialize(semi_by_id(prefixes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+        x = wanted.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("x"))
+        y = wanted.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("y"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "n1", "n2", F.size("x").alias("p1"), F.size("y").alias("p2"), F.size(F.array_intersect("x", "y")).alias("k"))
+        need = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-9)
+        return both.where((F.col("k") >= F.col("p1") - F.col("n1") + need) | (F.col("k") >= F.col("p2") - F.col("n2") + need)).select("a", "b")
+
+    return sieve
+
+
 def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
@@ -107,9 +126,11 @@ def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: st
     texts = rows.select("id", "text")
     base = materialize(_prefixes(rows, width, percent))
     classes = base.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    named = base.where("n > 0").join(classes, ["k1", "k2"])
-    posts = named.where("id = node").select(F.explode("tokens").alias("key"), "node", "n", "ell")
-    found = cluster(posts, _sets_of(texts, width), percent)
+    named = base.where("n > 0").select("id", "own", "n", "k1", "k2").join(classes, ["k1", "k2"])
+    copies = materialize(named.where("id <> node").select("id", "k1", "k2").distinct())
+    prefixes = base.where("n > 0").join(small(copies), ["id", "k1", "k2"], "left_anti").select(F.col("id").alias("node"), "n", "ell", "tokens")
+    posts = prefixes.select(F.explode("tokens").alias("key"), "node", "n", "ell")
+    found = cluster(posts, _sets_of(texts, width), percent, _sieve(prefixes.select("node", "n", "tokens"), percent))
     ids = named.select("own", "n", "node").join(found, "node", "left").select("own", "n", F.coalesce("component", "node").alias("component_id"))
     empty = base.where("n = 0").select("own", "n", F.col("id").alias("component_id"))
     return ids.unionByName(empty).select(F.col("own").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")

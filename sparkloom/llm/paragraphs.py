@@ -123,7 +123,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5,
     found = materialize(_scan(rows, min_words, shingle))
     classes = materialize(found.groupBy("k1", "k2").agg(F.min(F.struct("id", "para")).alias("home"), F.min("n").alias("n"), F.min("bands").alias("bands")).select(F.col("k1").alias("node"), "k2", "n", "home.id", "home.para", "bands"))
     posts = classes.select(F.explode("bands").alias("key"), "node", "n", F.lit(1).alias("ell"))
-    linked = cluster(posts, _sets_of(rows, classes.select("node", "id", "para"), shingle), percent, matches=False)
+    linked = cluster(posts, _sets_of(rows, classes.select("node", "id", "para"), shingle), percent)
     members = found.select("id", "para", F.col("k1").alias("node")).join(linked, "node", "left").select("id", "para", F.coalesce("component", "node").alias("component"))
     firsts = members.groupBy("component").agg(F.min(F.struct("id", "para")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("component", "first")
     return members.join(firsts, "component").where((F.col("id") != F.col("first.id")) | (F.col("para") != F.col("first.para"))).select("id", "para", "component", F.col("first.id").alias("first_id"), F.col("first.para").alias("first_para"))

@@ -1,21 +1,25 @@
 """Clusters of sets by Jaccard similarity, from postings of candidate keys.
 
-Two rounds find the components of the graph of links without all pairs of a group:
- 1. every key's posting list is linked to its hub (a star, as long as the list) and verified;
- 2. only keys whose members still lie in different components are compared member by member across components.
-A link inside a component found in round 1 changes no component, so nothing is lost.
+The components of the graph of links are found without all pairs of a group:
+ 1. star rounds: each key's posting list is compared with one hub, as many pairs as the list is long, and links are verified; the first hub is
+    the node whose keys are shared most, later ones are drawn by hash;
+ 2. once few pairs of different components are left in the lists, or rounds stop helping, those pairs are compared one by one.
+A link inside a component that is already known changes nothing, so the result is that of all candidate pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .graph import components
 
+#: Star rounds at most; they end before when the pairs left are at most PAIRS_PER_POSTING times the postings, or fell by less than a fifth.
+ROUNDS, PAIRS_PER_POSTING = 12, 0.25
+
 
 def near(n1: str, n2: str, percent: int) -> str:
     return f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})"
@@ -31,27 +35,43 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     return out.where(f"100 * i >= {percent} * (s - i)").select("a", "b")
 
 
-def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, matches: bool = True) -> DataFrame:
+def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """``postings``: (key, node, n, ell), one row for each key of a node; n is the set's size and ell how many keys a link must share.
 
-    Returns (node, component) for the nodes that have a link; ``matches=False`` asks for one shared key only.
+    ``sieve`` takes pairs (a, b) and may drop those that can't link, at less cost than comparing them. Returns (node, component) for the nodes
+    that have a link.
     """
-    hubs = postings.groupBy("key").agg(F.count("*").alias("df"), F.min(F.struct("node", "n")).alias("hub")).where("df > 1")
-    shared = materialize(postings.join(hubs.select("key", "hub"), "key"))
-    stars = materialize(shared.where("node <> hub.node").where(near("n", "hub.n", percent)).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = materialize(verified(stars, sets_of, percent))
-    found = materialize(components(links))
-    named = shared.select("key", "node", "n", "ell").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    left = materialize(named.join(open_keys, "key"))
-    x, y = left.alias("x"), left.alias("y")
+    often = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    listed = materialize(postings.join(often, "key"))
+    fame = listed.groupBy("node").agg(F.sum("df").alias("fame"))
+    shared = materialize(listed.join(fame, "node").select("key", "node", "n", "ell", "fame"))
+    size = shared.count()
+    links = tested = found = None
+    left_before = float("inf")
+    for r in range(ROUNDS):
+        named = shared if found is None else shared.join(found, "node", "left")
+        named = named.withColumn("component", F.col("node") if found is None else F.coalesce("component", "node"))
+        counts = named.groupBy("key", "component").agg(F.count("*").cast("double").alias("c"))
+        open_keys = counts.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("parts")).where("parts > 1")
+        named = materialize(named.join(open_keys.select("key", ((F.col("m") * F.col("m") - F.col("q")) / 2 / F.col("m")).alias("share")), "key"))  # the key's pairs, by posting
+        left = named.agg(F.sum("share")).first()[0] or 0.0
+        if r and (left <= PAIRS_PER_POSTING * size or left > 0.8 * left_before):
+            break
+        left_before = left
+        order: Column = F.col("fame") if r == 0 else F.xxhash64("node", F.lit(r))
+        hubs = named.groupBy("key").agg(F.max(F.struct(order.alias("o"), "node", "n", "component")).alias("hub"))
+        stars = named.join(hubs, "key").where("component <> hub.component").where(near("n", "hub.n", percent))
+        stars = stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        stars = materialize(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
+        new = materialize(verified(materialize(sieve(stars)), sets_of, percent))
+        links = new if links is None else links.unionByName(new)
+        tested = stars if tested is None else tested.unionByName(stars)
+        found = materialize(components(links))
+    x, y = named.alias("x"), named.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & F.expr(near("x.n", "y.n", percent)))
-    cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.ell", "y.ell")).alias("ell"))
-    cross = cross.where("k >= ell") if matches else cross
-    cross = materialize(cross.select("a", "b").join(stars, ["a", "b"], "left_anti"))
+    cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.ell", "y.ell")).alias("ell")).where("k >= ell")
+    cross = materialize(sieve(cross.select("a", "b").join(tested, ["a", "b"], "left_anti")))
     if cross.isEmpty():
         return found
     more = materialize(verified(cross, sets_of, percent))
-    if more.isEmpty():
-        return found
-    return components(links.unionByName(more))
+    return found if more.isEmpty() else components(links.unionByName(more))

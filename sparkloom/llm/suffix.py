@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import BROADCAST_IDS, materialize, record_id
+from .common import BROADCAST_IDS, materialize, record_id, small
 
 GRAM = 64
 #: Larger buckets are not built: their suffixes are counted by partial aggregates over their identities instead, which any size allows.
@@ -202,7 +202,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
         spans = _buckets(around, length)
     else:
         around = materialize(around)
-        spans = _buckets(around.where("not hot"), length).unionByName(_counted(around.where("hot"), length))
+        spans = materialize(_buckets(around.where("not hot"), length)).unionByName(materialize(_counted(around.where("hot"), length)))
     return spans.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -258,7 +258,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", tex
     no_spans = F.lit(None).cast("array<struct<lo: long, hi: long>>").alias("spans")
     keys = spans.select("id", "th")
     if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # rows without spans need no shuffle then
-        keys = F.broadcast(keys)
+        keys = small(keys)
         without = rows.join(keys, ["id", "th"], "left_anti").select("own", "text", no_spans).mapInArrow(run, out)
         having = rows.join(keys, ["id", "th"], "left_semi").join(spans, ["id", "th"]).select("own", "text", "spans").mapInArrow(run, out)
         return having.unionByName(without)
