@@ -20,7 +20,7 @@ SAMPLE_ONE_IN, SAMPLE_ROWS, HOT_KEYS = 16, 1_000_000, 200_000
 COSTS = (64, 1024)
 
 
-def _hot(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of frequent shingles and their estimated document counts; at most HOT_KEYS."""
     rows = docs.count()
     one_in = max(SAMPLE_ONE_IN, -(-rows // SAMPLE_ROWS))
@@ -38,9 +38,21 @@ def _hot(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return top["h"].to_numpy(np.int64), top["count"].to_numpy(np.int64) * one_in
 
 
+def rare_first(s: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set's hashes as longs, by estimated count and then value, and the counts in that order."""
+    h = vec.signed(s)
+    df = np.zeros(len(h), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+        is_hot = hot[at] == h
+        df[is_hot] = counts[at[is_hot]]
+    order = np.lexsort((h, df)) if df.any() else np.argsort(h, kind="stable")
+    return h[order], df[order]
+
+
 def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, n, k1, k2, ell, tokens): set size, 128-bit key of the set, matches asked for, and the prefix tokens, rarest first."""
-    hot, counts = _hot(docs, width)
+    hot, counts = frequent(docs, width)
     shared = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,15 +63,9 @@ def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 n, k1, k2, ell, tokens = [], [], [], [], []
                 for s in vec.sets(vec.Words(data, offsets[lo : hi + 1], vec.NOT_SPACE), width):
                     key = vec.set_key(s)
-                    h = vec.signed(s)
-                    df = np.zeros(len(h), np.int64)
-                    if len(hot):
-                        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                        is_hot = hot[at] == h
-                        df[is_hot] = counts[at[is_hot]]
-                    order = np.lexsort((h, df)) if df.any() else np.argsort(h, kind="stable")
+                    h, df = rare_first(s, hot, counts)
                     need = -(-percent * len(h) // 100)  # any partner shares so many
-                    cost = np.cumsum(df[order])
+                    cost = np.cumsum(df)
                     want = 1
                     while want <= len(COSTS) and len(h) - need + want < len(h) and want < need and cost[len(h) - need + want - 1] > COSTS[want - 1]:
                         want += 1
@@ -67,7 +73,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     k1.append(key[0])
                     k2.append(key[1])
                     ell.append(want)
-                    tokens.append(h[order[: len(h) - need + want]] if len(h) else h)
+                    tokens.append(h[: len(h) - need + want])
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id").slice(lo, hi - lo), b.column("own").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ell, pa.int32()), vec.long_lists(tokens)],
                     ["id", "own", "n", "k1", "k2", "ell", "tokens"],
@@ -129,7 +135,7 @@ def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: st
     named = base.where("n > 0").select("id", "own", "n", "k1", "k2").join(classes, ["k1", "k2"])
     copies = materialize(named.where("id <> node").select("id", "k1", "k2").distinct())
     prefixes = base.where("n > 0").join(small(copies), ["id", "k1", "k2"], "left_anti").select(F.col("id").alias("node"), "n", "ell", "tokens")
-    posts = prefixes.select(F.explode("tokens").alias("key"), "node", "n", "ell")
+    posts = prefixes.select(F.posexplode("tokens").alias("pos", "key"), "node", "n", "ell")
     found = cluster(posts, _sets_of(texts, width), percent, _sieve(prefixes.select("node", "n", "tokens"), percent))
     ids = named.select("own", "n", "node").join(found, "node", "left").select("own", "n", F.coalesce("component", "node").alias("component_id"))
     empty = base.where("n = 0").select("own", "n", F.col("id").alias("component_id"))

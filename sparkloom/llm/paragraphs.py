@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import materialize, record_id
+from .common import materialize, record_id, small
+from .ngram_join import frequent, rare_first
 from .similarity import cluster
 
 #: 12 bands of 4 rows find a pair of similarity s with probability 1 - (1 - s^4)^12: 0.998 at 0.8, 0.9999 at 0.9; equal sets always.
@@ -49,8 +50,9 @@ def _bands(words: vec.Words, shingle: int) -> list[np.ndarray]:
     return list(np.stack(keys, 1))
 
 
-def _scan(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
-    """(id, own, para, n, k1, k2, bands) for every paragraph of at least ``min_words`` words."""
+def _scan(docs: DataFrame, min_words: int, shingle: int, percent: int) -> DataFrame:
+    """(id, para, n, k1, k2, bands, tokens) for every paragraph of at least ``min_words`` words; tokens is its prefix, rarest shingles first."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,6 +74,7 @@ def _scan(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
                 sub.hash, sub.first = words.hash[at], np.concatenate([[0], np.cumsum(sizes)])
                 distinct = list(vec.sets(sub, shingle))
                 keys = [vec.set_key(s) for s in distinct]
+                prefixes = [rare_first(s, *shared.value)[0][: len(s) - -(-percent * len(s) // 100) + 1] for s in distinct]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[lo + row[keep]], pa.int64()),
@@ -80,11 +83,12 @@ def _scan(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         vec.long_lists(_bands(sub, shingle)),
+                        vec.long_lists(prefixes),
                     ],
-                    ["id", "para", "n", "k1", "k2", "bands"],
+                    ["id", "para", "n", "k1", "k2", "bands", "tokens"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, para int, n long, k1 long, k2 long, bands array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, para int, n long, k1 long, k2 long, bands array<long>, tokens array<long>")
 
 
 def _sets_of(docs: DataFrame, homes: DataFrame, shingle: int):
@@ -120,13 +124,16 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5,
     ``id`` is as record_id makes it. Classes of equal shingle sets are named by 64 bits of their key.
     """
     rows = docs.select(record_id(doc_id, text).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = materialize(_scan(rows, min_words, shingle))
-    classes = materialize(found.groupBy("k1", "k2").agg(F.min(F.struct("id", "para")).alias("home"), F.min("n").alias("n"), F.min("bands").alias("bands")).select(F.col("k1").alias("node"), "k2", "n", "home.id", "home.para", "bands"))
-    posts = classes.select(F.explode("bands").alias("key"), "node", "n", F.lit(1).alias("ell"))
-    linked = cluster(posts, _sets_of(rows, classes.select("node", "id", "para"), shingle), percent)
+    found = materialize(_scan(rows, min_words, shingle, percent))
+    homes = materialize(found.groupBy("k1", "k2").agg(F.min(F.struct("id", "para")).alias("home"), F.count("*").alias("copies")).select("k1", "k2", "home.id", "home.para", "copies"))
+    # a copy that isn't its class's first brings nothing; most classes have one paragraph, so the others are told by an anti join
+    extra = materialize(found.select("id", "para", "k1", "k2").join(homes.where("copies > 1").select("k1", "k2", F.col("id").alias("i"), F.col("para").alias("p")), ["k1", "k2"]).where("id <> i or para <> p").select("id", "para").distinct())
+    firsts = found.join(small(extra), ["id", "para"], "left_anti").withColumnRenamed("k1", "node")
+    posts = firsts.select(F.explode("bands").alias("key"), "node", "n", F.lit(1).alias("ell"), F.lit(0).alias("pos"))
+    linked = cluster(posts, _sets_of(rows, homes.select(F.col("k1").alias("node"), "id", "para"), shingle), percent, tokens=firsts.select("node", "tokens"))
     members = found.select("id", "para", F.col("k1").alias("node")).join(linked, "node", "left").select("id", "para", F.coalesce("component", "node").alias("component"))
-    firsts = members.groupBy("component").agg(F.min(F.struct("id", "para")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("component", "first")
-    return members.join(firsts, "component").where((F.col("id") != F.col("first.id")) | (F.col("para") != F.col("first.para"))).select("id", "para", "component", F.col("first.id").alias("first_id"), F.col("first.para").alias("first_para"))
+    stay = members.groupBy("component").agg(F.min(F.struct("id", "para")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("component", "first")
+    return members.join(stay, "component").where((F.col("id") != F.col("first.id")) | (F.col("para") != F.col("first.para"))).select("id", "para", "component", F.col("first.id").alias("first_id"), F.col("first.para").alias("first_para"))
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 25, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,6 +19,8 @@ from .graph import components
 
 #: Star rounds at most; they end before when the pairs left are at most PAIRS_PER_POSTING times the postings, or fell by less than a fifth.
 ROUNDS, PAIRS_PER_POSTING = 12, 0.25
+#: Posting lists longer than this are split by prefix tokens, where the caller gives them.
+LONG = 32
 
 
 def near(n1: str, n2: str, percent: int) -> str:
@@ -35,16 +37,39 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     return out.where(f"100 * i >= {percent} * (s - i)").select("a", "b")
 
 
-def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
-    """``postings``: (key, node, n, ell), one row for each key of a node; n is the set's size and ell how many keys a link must share.
+def need(n1: str, n2: str, percent: int) -> str:
+    """Items that sets of these sizes share at least if they link."""
+    return f"({percent} * ({n1} + {n2}) + {99 + percent}) div {100 + percent}"
 
-    ``sieve`` takes pairs (a, b) and may drop those that can't link, at less cost than comparing them. Returns (node, component) for the nodes
-    that have a link.
+
+def placed(x: str, y: str, percent: int) -> str:
+    """Whether a key that stands at places x.pos and y.pos of two sets' items, in one common order, can be among the first ell that a link shares."""
+    ell = f"least({x}.ell, {y}.ell)"
+    return " AND ".join(f"{s}.pos < {s}.n - {need(f'{x}.n', f'{y}.n', percent)} + {ell}" for s in (x, y))
+
+
+def _refined(listed: DataFrame, tokens: DataFrame | None) -> DataFrame:
+    """The postings of keys with more than one node; lists longer than LONG are split by the nodes' prefix tokens, of which a link shares one."""
+    if tokens is None:
+        return listed
+    long = listed.where(F.col("df") > LONG)
+    split = long.join(tokens, "node").select("key", "node", "n", "ell", F.posexplode("tokens").alias("pos", "token")).select(F.xxhash64("key", "token").alias("key"), "node", "n", "ell", "pos")
+    split = materialize(split)
+    often = split.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    return listed.where(F.col("df") <= LONG).unionByName(split.join(often, "key").select(*listed.columns))
+
+
+def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, tokens: DataFrame | None = None) -> DataFrame:
+    """``postings``: (key, node, n, ell, pos), one row for each key of a node; n is the set's size, ell how many keys a link must share.
+
+    Where the keys are the items in one common order, ``pos`` is the key's place; else it is 0. ``sieve`` takes pairs (a, b) and may drop
+    those that can't link, at less cost than comparing them. ``tokens`` (node, tokens) has prefixes in a common order, to split long lists by
+    where the keys aren't items. Returns (node, component) for the nodes that have a link.
     """
     often = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    listed = materialize(postings.join(often, "key"))
+    listed = materialize(_refined(materialize(postings.join(often, "key").select("key", "node", "n", "ell", "pos", "df")), tokens))
     fame = listed.groupBy("node").agg(F.sum("df").alias("fame"))
-    shared = materialize(listed.join(fame, "node").select("key", "node", "n", "ell", "fame"))
+    shared = materialize(listed.join(fame, "node").select("key", "node", "n", "ell", "pos", "fame"))
     size = shared.count()
     links = tested = found = None
     left_before = float("inf")
@@ -59,16 +84,16 @@ def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
             break
         left_before = left
         order: Column = F.col("fame") if r == 0 else F.xxhash64("node", F.lit(r))
-        hubs = named.groupBy("key").agg(F.max(F.struct(order.alias("o"), "node", "n", "component")).alias("hub"))
-        stars = named.join(hubs, "key").where("component <> hub.component").where(near("n", "hub.n", percent))
-        stars = stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        hubs = named.groupBy("key").agg(F.max(F.struct(order.alias("o"), "node", "n", "ell", "pos", "component")).alias("hub"))
+        stars = named.alias("x").join(hubs, "key").where("x.component <> hub.component").where(near("x.n", "hub.n", percent)).where(placed("x", "hub", percent))
+        stars = stars.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
         stars = materialize(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
         new = materialize(verified(materialize(sieve(stars)), sets_of, percent))
         links = new if links is None else links.unionByName(new)
         tested = stars if tested is None else tested.unionByName(stars)
         found = materialize(components(links))
     x, y = named.alias("x"), named.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & F.expr(near("x.n", "y.n", percent)))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & F.expr(near("x.n", "y.n", percent)) & F.expr(placed("x", "y", percent)))
     cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.ell", "y.ell")).alias("ell")).where("k >= ell")
     cross = materialize(sieve(cross.select("a", "b").join(tested, ["a", "b"], "left_anti")))
     if cross.isEmpty():
