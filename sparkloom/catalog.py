@@ -1,11 +1,19 @@
-"""All queries by key, with their oracle SQL."""
+"""All queries by key, with their oracle SQL. Importing a module of ``plans`` registers its queries."""
 
 from __future__ import annotations
 
+import importlib
+
+from .plans.registry import ORACLES, QUERIES
+
+MODULES = ("scalars", "logs", "search", "documents", "pipes")
+for _name in MODULES:
+    importlib.import_module(f".plans.{_name}", __package__)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
