@@ -12,8 +12,13 @@ K1, B = 1.2, 0.75
 
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, term, tf, dl): one row for each term of a document, and the document's token count."""
-    counted = docs.select(key, tokens.alias("_t"))
-    return counted.select(key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    counted = _counted(docs.select(key, tokens.alias("_t")))
+    return counted.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """``df`` with ``dl``, the size of ``_t``: made before the tokens are exploded, so that it isn't made again for each of them."""
+    return df.withColumn("dl", F.size("_t").cast("long"))
 
 
 def corpus_size(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -30,7 +35,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     tokens = T.bm25_tokens(F.col(text))
     terms = spark.createDataFrame([(query,)], "q string").select(F.explode(T.bm25_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("qn"))
     wanted = [r.term for r in terms.collect()]  # of the query, not of the corpus
-    mine = docs.select(key, F.size(tokens).alias("dl"), F.explode(F.filter(tokens, lambda t: t.isin(wanted or [""]))).alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    hits = F.filter("_t", lambda t: t.isin(wanted or [""]))
+    mine = _counted(docs.select(key, tokens.alias("_t"))).select(key, "dl", hits.alias("_h")).select(key, "dl", F.explode("_h").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_size(docs, tokens)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -41,7 +47,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
 
 def tfidf(segments: DataFrame, doc: str, seg: str, tokens: Column) -> DataFrame:
     """(doc, seg, term, tf, idf, tfidf): term frequency by segment, document frequency among the segments of a doc."""
-    counted = segments.select(doc, seg, F.size(tokens).alias("len"), F.explode(tokens).alias("term")).groupBy(doc, seg, "len", "term").agg(F.count("*").alias("c"))
+    sized = _counted(segments.select(doc, seg, tokens.alias("_t")))
+    counted = sized.select(doc, seg, F.col("dl").alias("len"), F.explode("_t").alias("term")).groupBy(doc, seg, "len", "term").agg(F.count("*").alias("c"))
     n = segments.groupBy(doc).agg(F.count("*").alias("n"))
     df = counted.groupBy(doc, "term").agg(F.count("*").alias("df"))
     out = counted.join(df, [doc, "term"]).join(n, doc)
