@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+#: Rows in an Arrow batch, where the session has Spark's own 10000: documents are long, and a Python worker holds a batch or two.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to every executor as a zip file, once for each application."""
+    """Send the package to every executor as a zip file, once for each application, and bound Arrow batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
