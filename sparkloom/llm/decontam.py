@@ -15,7 +15,7 @@ from . import vec
 from .fmindex import FMIndex
 
 #: Bytes of training text in a shard, and windows of the benchmark searched in one pass over the documents.
-SHARD_BYTES, BLOCK_WINDOWS = 8_000_000, 200_000
+SHARD_BYTES, BLOCK_WINDOWS = 4_000_000, 200_000
 
 
 class Windows:

@@ -17,7 +17,7 @@ SAMPLE_PER_LANGUAGE = 800
 NGRAM, SLOTS, LEAST = 5, 1 << 20, 3
 #: Languages in a filter: the bits of a mask.
 BITS = 64
-_SLICE = 1_000_000
+_SLICE = 400_000
 _LETTER = vec.table(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _SPACED = np.where(vec.ALNUM & ~vec.table(b"0123456789"), vec.LOWER, 32).astype(np.uint8)
 
@@ -109,7 +109,7 @@ def learn(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
         mine = sample.filter(pa.array([x == name for x in sample.column("lang").to_pylist()]))
         data, offsets = vec.buffers(mine.column("text"))
         found = []
-        for lo, hi in vec.slices(offsets, 20 * _SLICE):
+        for lo, hi in vec.slices(offsets, 50 * _SLICE):
             g = Grams(data, offsets[lo : hi + 1])
             found.append(g.value[g.valid])
         values, n = np.unique(np.concatenate(found), return_counts=True)

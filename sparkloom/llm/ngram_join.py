@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import materialize, record_id, semi_by_id, small
+from .common import discard, materialize, record_id, semi_by_id, small
 from .similarity import cluster
 
 #: One document in SAMPLE_ONE_IN, up to about SAMPLE_ROWS documents, is counted to learn which shingles are frequent; HOT_KEYS of them
@@ -111,7 +111,9 @@ def _sieve(prefixes: DataFrame, percent: int):
         y = wanted.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("y"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "n1", "n2", F.size("x").alias("p1"), F.size("y").alias("p2"), F.size(F.array_intersect("x", "y")).alias("k"))
         need = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-9)
-        return both.where((F.col("k") >= F.col("p1") - F.col("n1") + need) | (F.col("k") >= F.col("p2") - F.col("n2") + need)).select("a", "b")
+        out = materialize(both.where((F.col("k") >= F.col("p1") - F.col("n1") + need) | (F.col("k") >= F.col("p2") - F.col("n2") + need)).select("a", "b"))
+        discard(wanted)
+        return out
 
     return sieve
 
@@ -131,12 +133,14 @@ def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: st
     rows = docs.select(record_id(doc_id, text).alias("id"), F.col(doc_id).cast("long").alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = rows.select("id", "text")
     base = materialize(_prefixes(rows, width, percent))
-    classes = base.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    named = base.where("n > 0").select("id", "own", "n", "k1", "k2").join(classes, ["k1", "k2"])
+    slim = materialize(base.select("id", "own", "n", "k1", "k2"))
+    classes = slim.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
+    named = slim.where("n > 0").join(classes, ["k1", "k2"])
     copies = materialize(named.where("id <> node").select("id", "k1", "k2").distinct())
     prefixes = base.where("n > 0").join(small(copies), ["id", "k1", "k2"], "left_anti").select(F.col("id").alias("node"), "n", "ell", "tokens")
     posts = prefixes.select(F.posexplode("tokens").alias("pos", "key"), "node", "n", "ell")
     found = cluster(posts, _sets_of(texts, width), percent, _sieve(prefixes.select("node", "n", "tokens"), percent))
+    discard(base)
     ids = named.select("own", "n", "node").join(found, "node", "left").select("own", "n", F.coalesce("component", "node").alias("component_id"))
-    empty = base.where("n = 0").select("own", "n", F.col("id").alias("component_id"))
+    empty = slim.where("n = 0").select("own", "n", F.col("id").alias("component_id"))
     return ids.unionByName(empty).select(F.col("own").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")

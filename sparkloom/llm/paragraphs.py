@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import materialize, record_id, small
+from .common import discard, materialize, record_id, small
 from .ngram_join import frequent, rare_first
 from .similarity import cluster
 
@@ -131,7 +131,9 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5,
     firsts = found.join(small(extra), ["id", "para"], "left_anti").withColumnRenamed("k1", "node")
     posts = firsts.select(F.explode("bands").alias("key"), "node", "n", F.lit(1).alias("ell"), F.lit(0).alias("pos"))
     linked = cluster(posts, _sets_of(rows, homes.select(F.col("k1").alias("node"), "id", "para"), shingle), percent, tokens=firsts.select("node", "tokens"))
-    members = found.select("id", "para", F.col("k1").alias("node")).join(linked, "node", "left").select("id", "para", F.coalesce("component", "node").alias("component"))
+    slim = materialize(found.select("id", "para", F.col("k1").alias("node")))
+    discard(found)
+    members = slim.join(linked, "node", "left").select("id", "para", F.coalesce("component", "node").alias("component"))
     stay = members.groupBy("component").agg(F.min(F.struct("id", "para")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("component", "first")
     return members.join(stay, "component").where((F.col("id") != F.col("first.id")) | (F.col("para") != F.col("first.para"))).select("id", "para", "component", F.col("first.id").alias("first_id"), F.col("first.para").alias("first_para"))
 

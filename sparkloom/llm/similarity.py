@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .graph import components
 
 #: Star rounds at most; they end before when the pairs left are at most PAIRS_PER_POSTING times the postings, or fell by less than a fifth.
@@ -28,13 +28,15 @@ def near(n1: str, n2: str, percent: int) -> str:
 
 
 def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets, from ``sets_of(nodes)`` as (node, items), have the asked for similarity."""
+    """The pairs (a, b) whose sets, from ``sets_of(nodes)`` as (node, items), have the asked for similarity; materialised."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     items = materialize(sets_of(nodes))
     both = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     out = both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
-    return out.where(f"100 * i >= {percent} * (s - i)").select("a", "b")
+    out = materialize(out.where(f"100 * i >= {percent} * (s - i)").select("a", "b"))
+    discard(items)
+    return out
 
 
 def need(n1: str, n2: str, percent: int) -> str:
@@ -49,29 +51,31 @@ def placed(x: str, y: str, percent: int) -> str:
 
 
 def _refined(listed: DataFrame, tokens: DataFrame | None) -> DataFrame:
-    """The postings of keys with more than one node; lists longer than LONG are split by the nodes' prefix tokens, of which a link shares one."""
+    """``listed`` with lists longer than LONG split by the nodes' prefix tokens, of which a link shares one; both materialised."""
     if tokens is None:
         return listed
     long = listed.where(F.col("df") > LONG)
-    split = long.join(tokens, "node").select("key", "node", "n", "ell", F.posexplode("tokens").alias("pos", "token")).select(F.xxhash64("key", "token").alias("key"), "node", "n", "ell", "pos")
-    split = materialize(split)
+    split = materialize(long.join(tokens, "node").select("key", "node", "n", "ell", F.posexplode("tokens").alias("pos", "token")).select(F.xxhash64("key", "token").alias("key"), "node", "n", "ell", "pos"))
     often = split.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    return listed.where(F.col("df") <= LONG).unionByName(split.join(often, "key").select(*listed.columns))
+    out = materialize(listed.where(F.col("df") <= LONG).unionByName(split.join(often, "key").select(*listed.columns)))
+    discard(split, listed)
+    return out
 
 
 def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, tokens: DataFrame | None = None) -> DataFrame:
     """``postings``: (key, node, n, ell, pos), one row for each key of a node; n is the set's size, ell how many keys a link must share.
 
-    Where the keys are the items in one common order, ``pos`` is the key's place; else it is 0. ``sieve`` takes pairs (a, b) and may drop
+    Where the keys are the items in one common order, ``pos`` is the key's place; else it is 0. ``sieve`` takes materialised pairs (a, b) and may drop
     those that can't link, at less cost than comparing them. ``tokens`` (node, tokens) has prefixes in a common order, to split long lists by
     where the keys aren't items. Returns (node, component) for the nodes that have a link.
     """
     often = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    listed = materialize(_refined(materialize(postings.join(often, "key").select("key", "node", "n", "ell", "pos", "df")), tokens))
+    listed = _refined(materialize(postings.join(often, "key").select("key", "node", "n", "ell", "pos", "df")), tokens)
     fame = listed.groupBy("node").agg(F.sum("df").alias("fame"))
     shared = materialize(listed.join(fame, "node").select("key", "node", "n", "ell", "pos", "fame"))
+    discard(listed)
     size = shared.count()
-    links = tested = found = None
+    links = tested = found = before = None
     left_before = float("inf")
     for r in range(ROUNDS):
         named = shared if found is None else shared.join(found, "node", "left")
@@ -79,6 +83,9 @@ def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
         counts = named.groupBy("key", "component").agg(F.count("*").cast("double").alias("c"))
         open_keys = counts.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("parts")).where("parts > 1")
         named = materialize(named.join(open_keys.select("key", ((F.col("m") * F.col("m") - F.col("q")) / 2 / F.col("m")).alias("share")), "key"))  # the key's pairs, by posting
+        if before is not None:
+            discard(before)
+        before = named
         left = named.agg(F.sum("share")).first()[0] or 0.0
         if r and (left <= PAIRS_PER_POSTING * size or left > 0.8 * left_before):
             break
@@ -88,15 +95,17 @@ def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
         stars = named.alias("x").join(hubs, "key").where("x.component <> hub.component").where(near("x.n", "hub.n", percent)).where(placed("x", "hub", percent))
         stars = stars.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
         stars = materialize(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
-        new = materialize(verified(materialize(sieve(stars)), sets_of, percent))
+        new = verified(sieve(stars), sets_of, percent)
         links = new if links is None else links.unionByName(new)
         tested = stars if tested is None else tested.unionByName(stars)
         found = materialize(components(links))
     x, y = named.alias("x"), named.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & F.expr(near("x.n", "y.n", percent)) & F.expr(placed("x", "y", percent)))
     cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.ell", "y.ell")).alias("ell")).where("k >= ell")
-    cross = materialize(sieve(cross.select("a", "b").join(tested, ["a", "b"], "left_anti")))
+    cross = materialize(cross.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    discard(named, shared)
+    cross = sieve(cross)
     if cross.isEmpty():
         return found
-    more = materialize(verified(cross, sets_of, percent))
+    more = verified(cross, sets_of, percent)
     return found if more.isEmpty() else components(links.unionByName(more))

@@ -5,6 +5,7 @@ Texts stay UTF-8 bytes in one buffer; nothing here makes a Python string for eac
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,12 +13,21 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time, so that the arrays stay near the caches; a longer document is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _U = np.uint64
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on from stage to stage, and what one has kept another operator lacks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
+    trim()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
