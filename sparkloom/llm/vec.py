@@ -17,8 +17,22 @@ SLICE_BYTES = 1_000_000
 _U = np.uint64
 
 
+def _own_memory() -> None:
+    """Workers live on from stage to stage, so let large arrays be mapped, and thus go back to the system when they are freed."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, which then stays as it is
+        libc.mallopt(-8, 2)  # M_ARENA_MAX
+    except AttributeError:  # not glibc
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_own_memory()
+
+
 def trim() -> None:
-    """Give freed memory back to the system: workers live on from stage to stage, and what one has kept another operator lacks."""
+    """Give freed memory back to the system."""
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # not glibc
