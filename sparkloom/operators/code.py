@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "path string, bucket string, name string, parent string, start_line int, end_line int, exported boolean"
 
-# Line scanners: bucket and a pattern whose group 1 tells an exported element (None: by capital letter, empty: always) and group "name" its name.
+# Line scanners: bucket and a pattern whose group 1 holds the mark of an exported element, if the language has one, and group "name" its name.
 SCANNERS = {
     "typescript": [
         ("functions", r"^\s*(export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)"),
@@ -112,7 +112,12 @@ def scanned_elements(content: str, language: str) -> Iterator[tuple]:
             if m := rx.match(line):
                 end = block_end(lines, k) if bucket not in ("imports", "variables", "types") else k + 1
                 name = m["name"]
-                exported = name[:1].isupper() if language == "go" else bool(m[1]) if m[1] is not None and m.re.pattern.find("()") < 0 else m[1] is not None
+                if language == "go":
+                    exported = name[:1].isupper()
+                elif language == "php":
+                    exported = not re.search(r"\b(private|protected)\b", line)
+                else:
+                    exported = bool(m[1])
                 yield bucket, name, around[-1][0] if around else None, k + 1, end, exported
                 if bucket in ("classes", "interfaces"):
                     around.append((name, end))

@@ -13,7 +13,7 @@ def one(spark, text, f):
 
 
 def test_normalisers(spark):
-    assert one(spark, "src/a.ts(12,5): error at /x/y.py line 7", T.normalize_error) == "src/a.ts(<LINE>): error at <FILE> line <LINE>"
+    assert one(spark, "src/a.ts(12,5): error at /x/y.py line 7", T.normalize_error) == "src<FILE>(<LINE>): error at <FILE> line <LINE>"
     assert one(spark, "took 12.5ms at /a/b 'x'", T.normalize_log_grouping) == "took <n>ms at <path> '<str>'"
     assert one(spark, "GET /users/12", T.log_template) == "GET <PATH>"
     assert one(spark, "npm run test --watch src/a.ts", T.normalize_command) == "npm run test"
@@ -56,3 +56,60 @@ def test_pipeline_is_immutable_and_recovers(spark):
     assert p.map(x=F.col("missing")).recover(lambda e: p.build().limit(1)).build().count() == 1
     with pytest.raises(EmptyPipelineError):
         Pipeline().build()
+
+
+def test_edit_similarity():
+    from sparkloom.operators.clustering import edit_similarity
+
+    assert edit_similarity("", "", 0.7) == 1.0
+    assert edit_similarity("kitten", "sitting", 0.5) == pytest.approx(1 - 3 / 7)
+    assert edit_similarity("abc", "xyz", 0.7) == 0.0
+
+
+def test_leaders_follow_input_order(spark):
+    from sparkloom.operators.clustering import leaders
+    from sparkloom.ship import ship
+
+    ship(spark)
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(["request one", "request two", "disk full", "request one", "request onx"])], "d long, p int, t string")
+    got = {r.t: (r.leader, r.n) for r in leaders(df, "d", "p", "t", 0.7).collect()}
+    assert got == {"request one": ("request one", 2), "request two": ("request one", 1), "disk full": ("disk full", 1), "request onx": ("request one", 1)}
+
+
+def test_code_elements():
+    from sparkloom.operators.code import elements
+
+    py = "import os\nfrom a.b import c\nX = 1\nclass A:\n    def f(self):\n        def g(): pass\ndef _h(): pass\n"
+    assert [(e[0], e[1], e[2]) for e in elements(py, "python")] == [("imports", "os", None), ("imports", "a.b", None), ("variables", "X", None), ("classes", "A", None), ("functions", "f", "A"), ("functions", "g", "A"), ("functions", "_h", None)]
+    assert elements("def broken(", "python") == [] and elements("x", "cobol") == []
+    ts = "import {a} from './a';\nexport class B {\n}\nexport const f = (x) => x;\nfunction g() {\n  return 1;\n}\n"
+    assert [(e[0], e[1], e[5]) for e in elements(ts, "typescript")] == [("imports", "./a", False), ("classes", "B", True), ("functions", "f", True), ("functions", "g", False)]
+    go = 'import "fmt"\ntype T struct {\n}\nfunc (t *T) Run() {\n}\nfunc help() {\n}\n'
+    assert [(e[0], e[1], e[5]) for e in elements(go, "go")] == [("imports", "fmt", False), ("classes", "T", True), ("functions", "Run", True), ("functions", "help", False)]
+    rust = "use std::io;\npub fn f() {\n}\nstruct S {\n}\npub trait Q {\n}\n"
+    assert [(e[0], e[1], e[5]) for e in elements(rust, "rust")] == [("imports", "std::io", False), ("functions", "f", True), ("classes", "S", False), ("interfaces", "Q", True)]
+
+
+def test_cache_replay(spark):
+    from sparkloom.operators.cache import replay
+    from sparkloom.ship import ship
+
+    ship(spark)
+    ops = [(1, 0, 0.0, "set", "a"), (1, 1, 1.0, "get", "a"), (1, 2, 2.0, "set", "b"), (1, 3, 3.0, "set", "c"), (1, 4, 4.0, "get", "a"), (1, 5, 99.0, "get", "c")]
+    r = replay(spark.createDataFrame(ops, "cache long, seq long, at double, op string, key string"), capacity=2, ttl=10).first()
+    assert (r.hits, r.misses, r.expired, r.evicted, r.entries) == (1, 2, 1, 1, 1)
+
+
+def test_files(spark, tmp_path):
+    from sparkloom.sources.files import parse_numstat, parse_status, read_files, scan_files
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = 1")
+    (tmp_path / "node_modules" / "b.py").write_text("y")
+    assert [r.path for r in scan_files(spark, str(tmp_path), "**/*.py").collect()] == ["src/a.py"]
+    assert [(r.path, r.content, r.error) for r in read_files(spark, str(tmp_path), ["src/*.py", "**/a.py"]).collect()] == [("src/a.py", "x = 1", None)]
+    lines = spark.createDataFrame([("3\t-\tsrc/a.py",), ("bad",)], "line string")
+    assert [tuple(r) for r in parse_numstat(lines).collect()] == [(3, 0, "src/a.py")]
+    status = spark.createDataFrame([("M  a",), (" M b",), ("?? c",)], "line string")
+    assert [tuple(r) for r in parse_status(status).collect()] == [("a", True, False, False), ("b", False, True, False), ("c", False, False, True)]
