@@ -18,10 +18,14 @@ _U = np.uint64
 
 
 def _own_memory() -> None:
-    """Workers live on from stage to stage, so let large arrays be mapped, and thus go back to the system when they are freed."""
+    """Workers live on from stage to stage, so let arrays beyond 4 MB be mapped, and thus go back to the system when they are freed.
+
+    Smaller ones are made and freed over and over; mapping each would cost more than the work on it.
+    """
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, which then stays as it is
+        libc.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD, which then stays as it is
+        libc.mallopt(-1, 1 << 26)  # M_TRIM_THRESHOLD
         libc.mallopt(-8, 2)  # M_ARENA_MAX
     except AttributeError:  # not glibc
         return
