@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import bpe, decontam, langid, ngram_join, paragraphs, shards, suffix, syncmers, token_counts, urls
+from .oracles import ORACLE_SQL as ORACLE_SQL  # the others are tested against brute force
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -86,6 +87,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_syncmer_fingerprints, op4_ngram_jaccard_join, op5_virtual_slot_shards, op6_fm_decontamination, op7_suffix_dedup, op8_language_id, op9_url_filter, op10_token_counts, pipeline)}
-
-#: Where SQL can express an operator on whole tables at a bearable cost; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
