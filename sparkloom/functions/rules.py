@@ -154,3 +154,100 @@ EXTENSIONS = {
 OUTPUT_RATIOS = {"code": (0.3, 1.5, 0.8), "logs": (0.1, 0.3, 0.2), "stacktrace": (0.1, 0.4, 0.25), "config": (0.2, 0.5, 0.3), "generic": (0.3, 1.0, 0.5), "question": (0.5, 2.0, 1.0), "instruction": (0.3, 1.5, 0.6)}
 PRICES = {"opus": (15.0, 75.0), "sonnet": (3.0, 15.0), "haiku": (0.8, 4.0)}
 CONTEXT_WINDOW = 200_000
+
+# Content types of whole texts.
+LOG_START = [
+    r"^\[\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}",
+    r"^\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}",
+    r"(?i)^\[\w+\]\s+(INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)[\s:]",
+    r"(?i)^(INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)[\s:\[]",
+    r"(?i)^\d{2}:\d{2}:\d{2}[.,]\d{3}\s+(INFO|WARN|ERROR|DEBUG)",
+    r'^time="[^"]+"\s+level=',
+    r'^\{"(level|time|timestamp|msg)":',
+    r"^\[[A-Z]+\]\s*\d{4}-\d{2}-\d{2}",
+    r"^\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}",
+    r"^<\d+>\w{3}\s+\d{1,2}",
+    r"^<\d+>\d",
+    r"(?i)\|\s*(INFO|WARN|ERROR|DEBUG|TRACE)\s*\|",
+    r"(?i)\s(INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL):\s",
+    r"^\S+\s+\S+\[\d+\]:",
+]
+BUILD_ERROR = [
+    r"(?i)error TS\d+:",
+    r"(?i)error\[E\d+\]:",
+    r"(?i):\d+:\d+:\s*error:",
+    r"(?i)\(\d+,\d+\):\s*error",
+    r"(?i)npm ERR!",
+    r"(?i)ENOENT:|EACCES:|EPERM:",
+    r"(?i)Module not found.*Can't resolve",
+    r"(?i)SyntaxError:.*unexpected token",
+    r"(?i)ModuleNotFoundError: No module named",
+    r"(?i)error: aborting due to",
+    r"(?i)FAILURE: Build failed",
+    r"(?i)BUILD FAILED",
+    r"(?i)error CS\d+:",
+]
+DIFF_MARK = [r"(?m)^diff --git", r"(?m)^@@\s*-\d+,?\d*\s*\+\d+,?\d*\s*@@", r"(?m)^---\s+a/", r"(?m)^\+\+\+\s+b/"]
+CONTENT_FLAGS = {
+    "has_code": [r"```|\bfunction\b|\bclass\b|\bconst\b|\blet\b|\bvar\b|\bimport\b|\bexport\b|def\s+\w+|func\s+\w+|fn\s+\w+"],
+    "has_logs": [r"\[(INFO|DEBUG|WARN|ERROR|FATAL|TRACE)\]|\b(INFO|DEBUG|WARN|ERROR|FATAL)\b:|\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"],
+    "has_errors": [r"(?i)\b(error|exception|failed|failure|stack\s*trace|traceback|panic)\b", r"at\s+\w+\s*\("],
+}
+SERVER_LINE = [r"(?i)\b(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(/\S*)\s+(\d{3})"]
+TEST_TEXT = [r"\b(PASS|FAIL|SKIP)\b", r"\b(describe|it|test)\s*\(", "✓|✕|○", r"\bTest(?:s|Suites?):", r"(?i)\bpytest\b", r"(?i)\b(jest|vitest|mocha)\b"]
+BUILD_TEXT = [
+    r"(?i)\b(webpack|vite|esbuild|rollup|parcel|tsc)\b",
+    r"(?i)\b(Compiling|Bundling|Building)\b",
+    r"\berror\s+TS\d+\b",
+    r"(?i)\bModule not found\b",
+    r"(?i)\bBuilt?\s+in\b",
+    r"(?i)\.(js|ts|tsx|jsx)\s+\d+(\.\d+)?\s*(KB|MB|B)",
+]
+
+# What code given for execution may not hold, and what it is warned of.
+BLOCKED_CODE = [
+    (r"\beval\s*\(", "eval() is not allowed"),
+    (r"\bFunction\s*\(", "Function constructor is not allowed"),
+    (r"new\s+Function\s*\(", "new Function() is not allowed"),
+    (r"\brequire\s*\(", "require() is not allowed"),
+    (r"\bimport\s*\(", "dynamic import() is not allowed"),
+    (r"import\.meta", "import.meta is not allowed"),
+    (r"\bprocess\b", "process is not allowed"),
+    (r"\bglobal\b", "global is not allowed"),
+    (r"\bglobalThis\b", "globalThis is not allowed"),
+    (r"\b__dirname\b", "__dirname is not allowed"),
+    (r"\b__filename\b", "__filename is not allowed"),
+    (r"\bBuffer\b", "Buffer is not allowed"),
+    (r"__proto__", "__proto__ is not allowed"),
+    (r"\.constructor\s*\[", "constructor access is not allowed"),
+    (r"\.prototype\s*\[", "prototype access is not allowed"),
+    (r"\bReflect\b", "Reflect is not allowed"),
+    (r"\bProxy\b", "Proxy is not allowed"),
+    (r"\bsetTimeout\s*\(", "setTimeout is not allowed (use await)"),
+    (r"\bsetInterval\s*\(", "setInterval is not allowed"),
+    (r"\bsetImmediate\s*\(", "setImmediate is not allowed"),
+    (r"file://", "file:// URLs are not allowed"),
+    (r"\.\./\.\./", "path traversal is not allowed"),
+]
+CODE_WARNINGS = [(r"while\s*\(\s*true\s*\)", "infinite loop detected"), (r"for\s*\(\s*;\s*;\s*\)", "infinite loop detected"), (r"\.repeat\s*\(\s*\d{6,}\s*\)", "large string repeat")]
+
+# Compiler and bundler output.
+WEBPACK_HEAD = r"^ERROR in (.+?)(?::(\d+):(\d+))?$"
+WEBPACK_DETAIL = r"Module (?:build )?failed.+?:\s*(.+)"
+RUST_HEAD = r"^error\[E(\d+)\]: (.+)"
+RUST_PLACE = r"^\s+--> (.+?):(\d+):(\d+)"
+GO_ERROR = r"^(.+?):(\d+):(\d+):\s*(.+)"
+ANY_ERROR = r"(?i)^(?:error)(?:\[([^\]]+)\])?[:\s]+(.+)"
+ANY_WARNING = r"(?i)^(?:warning)(?:\[([^\]]+)\])?[:\s]+(.+)"
+ANY_PLACE = r"^(?:\s*(?:at|in|-->)\s+)?(.+?):(\d+)(?::(\d+))?"
+
+# Conversations.
+ACTION_START = [r"(?i)^(I |I'll |I've |Let me |I'm going to |I will )", r"(?i)^(Created|Updated|Fixed|Implemented|Added|Removed)"]
+FILE_NAME = r"[a-zA-Z0-9_\-./]+\.(?:ts|js|tsx|jsx|py|go|rs|json|yaml|md)\b"
+FILE_REFERENCE = r"[a-zA-Z0-9_\-./]+\.(?:ts|js|tsx|jsx|py|go|rs|json|yaml|yml|md|css|scss|html)\b"
+FILE_ACTIONS = [
+    ("created", r"\b(created?|add(?:ed|ing)?|writ(?:e|ing|ten))\b"),
+    ("modified", r"\b(modif(?:y|ied|ying)|updat(?:e|ed|ing)|chang(?:e|ed|ing)|edit(?:ed|ing)?)\b"),
+    ("deleted", r"\b(delet(?:e|ed|ing)|remov(?:e|ed|ing))\b"),
+]
+NOT_CALLS = ["if", "for", "while", "switch", "catch", "function", "return", "throw", "new", "typeof", "instanceof"]
