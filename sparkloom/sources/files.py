@@ -41,3 +41,49 @@ def parse_status(lines: DataFrame, text: str = "line") -> DataFrame:
     """(file, staged, modified, untracked) of ``git status --porcelain``."""
     x, y = F.substring(text, 1, 1), F.substring(text, 2, 1)
     return lines.select(*[c for c in lines.columns if c != text], F.expr(f"substring({text}, 4)").alias("file"), (~x.isin(" ", "?")).alias("staged"), (~y.isin(" ", "?")).alias("modified"), (x == "?").alias("untracked"))
+
+
+def parse_log(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, k, hash, short_hash, author, date, message) of captured ``git log`` output, commits set apart by a line ``---COMMIT---``."""
+    entries = texts.select(key, F.posexplode(F.filter(F.split(text, r"\n---COMMIT---\n"), lambda x: x != "")).alias("k", "entry"))
+    x = entries.withColumn("ls", F.split("entry", "\n")).where(F.size("ls") >= 4)
+    fields = [F.col("ls")[i].alias(n) for i, n in enumerate(("hash", "short_hash", "author", "date"))]
+    return x.select(key, F.col("k").cast("long").alias("k"), *fields, F.trim(F.array_join(F.slice("ls", 5, 1_000_000_000), "\n")).alias("message"))
+
+
+def parse_blame(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, hash, author, at, line, content) of captured ``git blame --porcelain`` output: a part for each line that begins with a commit's hash."""
+    parts = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"(?sm)^([a-f0-9]{40} .*?)(?=^[a-f0-9]{40} |\z)"), 1)).alias("p"))
+    got = lambda rx: F.nullif(F.regexp_extract("p", rx, 1), F.lit(""))
+    return parts.select(
+        key,
+        F.substring("p", 1, 7).alias("hash"),
+        F.coalesce(got(r"(?m)^author (.+)$"), F.lit("Unknown")).alias("author"),
+        F.timestamp_seconds(got(r"(?m)^author-time (\d+)$").cast("long")).alias("at"),
+        got(r"^[a-f0-9]{40} \d+ (\d+)").cast("int").alias("line"),
+        F.regexp_extract("p", r"(?m)^\t(.*)$", 1).alias("content"),
+    )
+
+
+def git_output(spark: SparkSession, root: str, *args: str, seconds: float = 5.0) -> DataFrame:
+    """One row (root, output, error): what ``git args`` prints in ``root``; an error instead of output if it fails or takes longer than ``seconds``."""
+    import subprocess
+
+    try:
+        done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=seconds, check=True)
+        row = (root, done.stdout, None)
+    except (OSError, subprocess.SubprocessError) as e:
+        row = (root, None, str(e))
+    return spark.createDataFrame([row], "root string, output string, error string")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir; one of our own only where the setting is missing, as in tests."""
+    import tempfile
+    import uuid
+
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="sparkloom-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
