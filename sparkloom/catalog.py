@@ -6,7 +6,7 @@ import importlib
 
 from .plans.registry import ORACLES, QUERIES
 
-MODULES = ("scalars", "logs", "search", "documents", "pipes", "more", "detect", "captured", "structure")
+MODULES = ("scalars", "logs", "search", "documents", "pipes", "more", "detect", "captured", "structure", "talk", "summaries")
 for _name in MODULES:
     importlib.import_module(f".plans.{_name}", __package__)
 

@@ -48,7 +48,7 @@ def parse_log(texts: DataFrame, key: str, text: str) -> DataFrame:
     entries = texts.select(key, F.posexplode(F.filter(F.split(text, r"\n---COMMIT---\n"), lambda x: x != "")).alias("k", "entry"))
     x = entries.withColumn("ls", F.split("entry", "\n")).where(F.size("ls") >= 4)
     fields = [F.col("ls")[i].alias(n) for i, n in enumerate(("hash", "short_hash", "author", "date"))]
-    return x.select(key, F.col("k").cast("long").alias("k"), *fields, F.trim(F.array_join(F.slice("ls", 5, 1_000_000_000), "\n")).alias("message"))
+    return x.select(key, F.col("k").cast("long").alias("k"), *fields, F.regexp_replace(F.array_join(F.slice("ls", 5, 1_000_000_000), "\n"), r"^\s+|\s+\z", "").alias("message"))
 
 
 def parse_blame(texts: DataFrame, key: str, text: str) -> DataFrame:
