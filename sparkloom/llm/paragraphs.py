@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs by MinHash banding, verified by exact Jaccard, removed by connected components."""
+"""Substring dedup: paragraphs by MinHash banding, verified by exact Jaccard, removed by connected components; then verbatim passages, whatever the lines."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from .similarity import cluster
 
 #: 12 bands of 4 rows find a pair of similarity s with probability 1 - (1 - s^4)^12: 0.998 at 0.8, 0.9999 at 0.9; equal sets always.
 BANDS, ROWS = 12, 4
+#: One of any WINDOW consecutive places is an anchor, so a run that two texts share holds one if it has min_words + WINDOW - 1 words: 30.
+WINDOW = 6
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -138,22 +140,128 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, shingle: int = 5,
     return members.join(stay, "component").where((F.col("id") != F.col("first.id")) | (F.col("para") != F.col("first.para"))).select("id", "para", "component", F.col("first.id").alias("first_id"), F.col("first.para").alias("first_para"))
 
 
+def _anchors(words: vec.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys): the words where a passage of ``length`` words starts whose hash is the least of WINDOW consecutive ones in its row.
+
+    Whether a place is chosen depends on the words around it only, not on lines nor on where the text begins.
+    """
+    h, _ = words.shingles(length)
+    n = len(h) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), h[:0]
+    _, inside = vec.shingles(words.hash, words.first, length + WINDOW - 1)
+    least = np.minimum.reduce([h[k : k + n] for k in range(WINDOW)])
+    chosen = np.zeros(len(h), bool)
+    for k in range(WINDOW):
+        chosen[k : k + n] |= (h[k : k + n] == least) & inside[:n]
+    at = np.flatnonzero(chosen)
+    return at, h[at]
+
+
+def _passages(rows: DataFrame, length: int) -> DataFrame:
+    """(key, id, pos, again) for each anchor of ``rows`` (id, text); ``again``: the same passage stands before it in the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = vec.buffers(b.column("text"))
+            ids = b.column("id").to_numpy(zero_copy_only=False)
+            for lo, hi in vec.slices(offsets):
+                words = vec.Words(data, offsets[lo : hi + 1], vec.NOT_SPACE)
+                at, key = _anchors(words, length)
+                row = np.searchsorted(words.first, at, "right") - 1
+                order = np.lexsort((at, key, row))
+                again = np.zeros(len(at), bool)
+                again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(vec.signed(key), pa.int64()), pa.array(ids[lo + row], pa.int64()), pa.array((at - words.first[row]).astype(np.int32)), pa.array(again)], ["key", "id", "pos", "again"])
+
+    return rows.select("id", "text").mapInArrow(run, "key long, id long, pos int, again boolean")
+
+
+def repeated_passages(rows: DataFrame, length: int) -> DataFrame:
+    """(id, cuts) of ``rows`` (id, text): places, array<struct<pos, key>>, of the passages that stand in a row of a smaller id or before in their own."""
+    found = _passages(rows, length)
+    shared = materialize(found.where("not again").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"))
+    later = found.where("not again").join(small(shared), "key").where("id <> first").select("id", "pos", "key")
+    return later.unionByName(found.where("again").select("id", "pos", "key")).groupBy("id").agg(F.collect_set(F.struct("pos", "key")).alias("cuts"))
+
+
+def _without(text: str, cuts: list[dict], length: int) -> tuple[str, list[int]]:
+    """(text without the passages at ``cuts``, numbers of the lines they touch). A line goes with its line feed if all of its words do."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    whole = vec.Words(data, np.array([0, len(raw)]), vec.NOT_SPACE)
+    h, valid = whole.shingles(length)
+    depth = np.zeros(len(h) + 1, np.int64)
+    for c in cuts:  # of rows that share an id, only the one that holds the passage is cut
+        if c["pos"] < len(h) and valid[c["pos"]] and int(h[c["pos"]].astype(np.int64)) == c["key"]:
+            depth[c["pos"]] += 1
+            depth[c["pos"] + length] -= 1
+    gone = np.cumsum(depth[:-1]) > 0
+    ends = np.append(np.flatnonzero(data == 10), len(raw))
+    first = np.concatenate([[0], np.searchsorted(whole.start, ends)])
+    kept, touched, at = [], [], 0
+    for k, end in enumerate(ends.tolist()):
+        a, z = int(first[k]), int(first[k + 1])
+        if not gone[a:z].any():
+            kept.append(raw[at:end])
+        else:
+            touched.append(k)
+            if not gone[a:z].all():
+                parts, begin = [], at  # a kept word brings the space before it, the first of a line the line's indent
+                for w in range(a, z):
+                    if not gone[w]:
+                        parts.append(raw[begin : whole.end[w]])
+                    begin = int(whole.end[w])
+                kept.append(b"".join(parts) + raw[begin:end])
+        at = end + 1
+    return b"\n".join(kept).decode(), touched
+
+
 def substring_dedup(docs: DataFrame, min_words: int = 25, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated paragraphs cut out of ``text``, and two columns more: _n_paragraphs and _removed (sorted numbers).
+    """``docs`` with the repeated paragraphs and passages cut out of ``text``, and two columns more: _n_paragraphs and _removed (sorted numbers).
 
     A paragraph is a line. Those of at least ``min_words`` words (runs of anything but white space, A-Z lower-cased) are compared by the
     Jaccard similarity of their distinct ``shingle``-word sets; at ``percent`` or more they are linked, and of each component the first
     paragraph by (id, place) stays. The line feed that ended a removed paragraph goes with it. Null text stays null with 0 paragraphs, empty
     text has one empty paragraph. Rows that share a doc_id are one record: a paragraph at the same place in both is judged once.
-    Columns of other names pass unread.
+
+    In what is left, a passage is ``min_words`` words in a row, wherever lines end. Of the passages at anchors (see WINDOW) the first by (id, place)
+    stays and the others are cut out, which finds every run of min_words + WINDOW - 1 words that stands twice, but for up to WINDOW - 1 words at
+    either end of it. Passages are equal word for word: of a similar one, its equal runs go. Rows that share a doc_id take none from each other.
+    ``_removed`` has the paragraphs that are removed or lose words. Columns of other names pass unread.
     """
     gone = repeated_paragraphs(docs, min_words, shingle, percent, doc_id, text).groupBy("id").agg(F.sort_array(F.collect_set("para")).alias("_removed"))
-    out = docs.withColumn("_rid", record_id(doc_id, text)).join(gone.withColumnRenamed("id", "_rid"), "_rid", "left").drop("_rid")
+    out = docs.withColumn("_rid", record_id(doc_id, text)).join(gone.withColumnRenamed("id", "_rid"), "_rid", "left")
     none = F.array().cast("array<int>")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    return out.select(
+    once = out.select(
         *[F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_paragraphs"),
         F.coalesce("_removed", none).alias("_removed"),
+        "_rid",
     )
+    once = materialize(once)
+    length = max(1, min_words)
+    cuts = repeated_passages(once.select(F.col("_rid").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), length)
+    rows = once.join(cuts.withColumnRenamed("id", "_rid"), "_rid", "left").select(*docs.columns, "_n_paragraphs", "_removed", F.col("cuts").alias("_cuts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.schema.names
+            t, r, c, n = (names.index(x) for x in (text, "_removed", "_cuts", "_n_paragraphs"))
+            columns = list(b.columns)
+            hit = np.flatnonzero(columns[c].is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                texts, removed = columns[t].to_pylist(), columns[r].to_pylist()
+                for k in hit.tolist():
+                    if texts[k]:
+                        before = set(removed[k])
+                        left = [x for x in range(columns[n][k].as_py()) if x not in before]
+                        texts[k], touched = _without(texts[k], columns[c][k].as_py(), length)
+                        removed[k] = sorted(before | {left[x] for x in touched})
+                columns[t], columns[r] = pa.array(texts, columns[t].type), pa.array(removed, columns[r].type)
+            del columns[c]
+            yield pa.RecordBatch.from_arrays(columns, [x for x in names if x != "_cuts"])
+
+    return rows.mapInArrow(run, rows.drop("_cuts").schema)

@@ -102,6 +102,28 @@ def test_paragraphs(docs, empty, rows):
     assert paragraphs.substring_dedup(empty).count() == 0
 
 
+def test_passages_whatever_the_lines(spark):
+    ship(spark)
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, broken = words(60), words(60)
+    edited = [*passage[:30], "edited", *passage[31:]]
+    lines = lambda w: "\n".join(" ".join(w[k : k + 12]) for k in range(0, len(w), 12))
+    own = {k: (words(70), words(80)) for k in range(7)}
+    texts = [" ".join(own[k][0] + passage + own[k][1]) for k in (0, 1)]  # inside a longer line
+    texts += [" ".join(own[k][0]) + "\n" + lines(broken) + "\n" + " ".join(own[k][1]) for k in (2, 3)]  # over lines of 12 words
+    texts.append(" ".join(own[4][0] + broken + own[4][1]))  # one of each kind
+    texts.append(" ".join(own[5][0] + edited + own[5][1]))  # one word of 60 differs: 0.84 of the shingles
+    texts.append(" ".join(own[6][0] + own[6][1]))
+    got = {r.doc_id: r for r in paragraphs.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].text for k in (0, 2, 6)] == [texts[k] for k in (0, 2, 6)] and [got[k]._removed for k in (0, 2, 6)] == [[], [], []]
+    for k in (1, 3, 4, 5):
+        left = got[k].text.split()
+        assert sum(w in {*passage, *broken} for w in left) <= (10 if k != 5 else 35), (k, left)
+        assert [w for w in left if w in {*own[k][0], *own[k][1]}] == own[k][0] + own[k][1] and got[k]._removed
+    assert got[3]._n_paragraphs == 7 and set(got[3]._removed) <= set(range(1, 6)) and len(got[3]._removed) >= 5
+
+
 @pytest.mark.parametrize("leaf", [5, 64, 4096])
 def test_bpe_tree(rows, leaf):
     import tiktoken
