@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import vec
 from .fmindex import FMIndex
 
-#: Bytes of training text in a shard, and windows of the benchmark searched in one pass over the documents.
+#: Bytes of training text in a shard, and windows of the benchmark in a block.
 SHARD_BYTES, BLOCK_WINDOWS = 4_000_000, 200_000
 
 
@@ -113,18 +113,23 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, width: int) -> Iterato
 SPANS = "id long, n_words long, spans array<struct<first: int, last: int, from: int, until: int>>, items array<string>"
 
 
-def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
-    """For each row (id, n_words, spans, items): removal spans in word numbers and byte places, items sorted."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+def _scan(docs: DataFrame, windows: Iterator[Windows]) -> DataFrame:
+    """For each row (id, n_words, spans, items): removal spans in word numbers and byte places, items sorted. All blocks are searched in the row's task."""
+    shared = [docs.sparkSession.sparkContext.broadcast(w) for w in windows]
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("from", pa.int32()), ("until", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
         for b in batches:
             data, offsets = vec.buffers(b.column("text"))
             for lo, hi in vec.slices(offsets, SHARD_BYTES):
                 words = vec.Words(data, offsets[lo : hi + 1], vec.ALNUM)
-                mask, pairs = windows.hits(words)
+                mask = np.zeros(len(words.hash), bool)
+                items: list[set[str]] = [set() for _ in range(hi - lo)]
+                for w in shared:
+                    covered, pairs = w.value.hits(words)
+                    mask |= covered
+                    for r, i in pairs:
+                        items[r].add(w.value.names[i])
                 row = np.repeat(np.arange(hi - lo), np.diff(words.first))
                 spans: list[list[dict]] = [[] for _ in range(hi - lo)]
                 on = np.flatnonzero(mask)
@@ -134,9 +139,6 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
                         r = row[a]
                         base = words.rows[r]
                         spans[r].append({"first": int(a - words.first[r]), "last": int(z - words.first[r]), "from": int(words.start[a] - base), "until": int(words.end[z] - base)})
-                items: list[set[str]] = [set() for _ in range(hi - lo)]
-                for r, i in pairs:
-                    items[r].add(windows.names[i])
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id").slice(lo, hi - lo), pa.array(np.diff(words.first), pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                     ["id", "n_words", "spans", "items"],
@@ -151,36 +153,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased. A window is ``width`` consecutive words of an item,
     or all of them if there are fewer. ``spans``: maximal runs of words inside an occurrence of a window, with the byte places where they begin
     and end; ``items``: ids, as strings and sorted, of the items with an occurring window. Null text has no words; null or wordless items match
-    nothing; an empty benchmark gives no spans. Words are compared by 64-bit hashes. With more than one block of the benchmark, rows that
-    share an id are merged.
+    nothing; an empty benchmark gives no spans. Words are compared by 64-bit hashes. Whatever the number of blocks
+    of the benchmark, each row of ``docs`` gives one row.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = [_scan(rows, w) for w in blocks(benchmark, item_id, item_text, width)] or [_scan(rows, Windows([], width))]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.groupBy("id", "n_words").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = F.aggregate(
-        "spans",
-        F.slice("spans", 1, 0),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] + 1 >= x["first"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        F.try_element_at(acc, F.lit(-1))["first"].alias("first"),
-                        F.greatest(F.try_element_at(acc, F.lit(-1))["last"], x["last"]).alias("last"),
-                        F.try_element_at(acc, F.lit(-1))["from"].alias("from"),
-                        F.greatest(F.try_element_at(acc, F.lit(-1))["until"], x["until"]).alias("until"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return out.withColumn("spans", merged)
+    return _scan(rows, blocks(benchmark, item_id, item_text, width))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

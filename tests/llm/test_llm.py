@@ -265,6 +265,17 @@ def test_contamination(spark, docs, empty, rows, block, monkeypatch):
     assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_contamination_has_a_row_for_each_row(spark, block, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", block)
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta"), (3, "gamma delta")], "item_id long, text string")
+    rows = [(None, "x alpha beta gamma y"), (None, "x delta epsilon zeta y"), (None, "one two three four five"), (7, "alpha beta gamma delta"), (7, "one two three four"), (8, "gamma delta"), (8, "gamma delta")]
+    got = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    found = sorted((r.id or 0, r.n_words, [(s["first"], s["last"]) for s in r.spans], r["items"]) for r in got)
+    assert found == sorted([(0, 5, [(1, 3)], ["1"]), (0, 5, [(1, 3)], ["2"]), (0, 5, [], []), (7, 4, [(0, 3)], ["1", "3"]), (7, 4, [], []), (8, 2, [(0, 1)], ["3"]), (8, 2, [(0, 1)], ["3"])])
+
+
 @pytest.mark.parametrize("big", [20_000, 2])
 @pytest.mark.parametrize("length", [200, 70])
 def test_suffix_dedup(docs, empty, rows, big, length, monkeypatch):
