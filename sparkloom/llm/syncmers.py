@@ -27,8 +27,8 @@ def word_hashes(text: Column) -> Column:
 def anchors(text: Column) -> Column:
     """array<struct<pos, hash>> in order: the k-mers of words whose smallest inner s-mer is their first or last.
 
-    Whether a k-mer is chosen depends on its own words only, so an edit disturbs no anchor but those whose words it touches. A text of fewer words than K
-    has one anchor, its whole sequence; without words it has none.
+    Whether a k-mer is chosen depends on its own words only, so an edit disturbs no anchor but those whose words it touches. A text with words
+    of which no k-mer is chosen, as any of fewer words than K, has one anchor, its whole sequence; without words it has none.
     """
     last = K - S  # the last inner s-mer
 
@@ -41,7 +41,8 @@ def anchors(text: Column) -> Column:
         inner = F.zip_with(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1), lambda a, b: F.xxhash64(a, b))
         many = _let(inner, lambda m: F.transform(F.filter(F.sequence(F.lit(0), n - K), lambda i: chosen(m, i)), lambda i: F.struct(i.alias("pos"), F.shiftright(F.xxhash64(*[F.get(h, i + j) for j in range(K)]), 32).cast("int").alias("hash"))))
         one = F.array(F.struct(F.lit(0).alias("pos"), F.shiftright(F.xxhash64(h), 32).cast("int").alias("hash")))
-        return F.when(n >= K, many).when(n > 0, one).otherwise(F.slice(one, 1, 0))
+        none = F.slice(one, 1, 0)
+        return _let(F.when(n >= K, many).otherwise(none), lambda found: F.when(F.size(found) > 0, found).when(n > 0, one).otherwise(none))
 
     return _let(word_hashes(text), of)
 

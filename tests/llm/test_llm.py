@@ -173,6 +173,16 @@ def test_syncmers_are_context_free(spark):
     assert pairs and all(p.pos_b == p.pos_a + 6 for p in pairs)
 
 
+def test_short_texts_have_fingerprints(spark):
+    texts = [" ".join(f"w{n}x{k}x{j}" for j in range(n)) for n in range(1, 9) for k in range(40)] + ["", " \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", syncmers.hashes(syncmers.anchors(F.col("t"))).alias("h"))
+    got = {r.t: tuple(r.h) for r in df.collect()}
+    assert got[""] == got[" \n"] == () and all(got[t] for t in texts if t.split())
+    assert len({got[t] for t in texts if t.split()}) == 320  # no two of these texts share a word
+    a, b = df.select("h"), df.select(F.col("h").alias("g"), "t")
+    assert a.crossJoin(b.where("t like 'w5x0x%'")).where(syncmers.likeness(F.col("h"), F.col("g")) == 1.0).count() == 1
+
+
 @pytest.mark.parametrize("width,percent", [(4, 85), (5, 80), (2, 50)])
 def test_ngram_jaccard(docs, empty, rows, width, percent):
     got = ngram_join.ngram_jaccard(docs, width, percent).collect()
