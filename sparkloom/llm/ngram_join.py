@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .common import discard, materialize, record_id, semi_by_id, small
-from .similarity import cluster
+from .graph import components
+from .similarity import cluster, links
 
 #: One document in SAMPLE_ONE_IN, up to about SAMPLE_ROWS documents, is counted to learn which shingles are frequent; HOT_KEYS of them
 #: are kept. They only order the prefixes: any order gives the same links, a good one fewer candidates.
@@ -118,8 +119,8 @@ def _sieve(prefixes: DataFrame, percent: int):
     return sieve
 
 
-def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``.
+def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``, and n_links if ``count_links``.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of ``width`` words, the whole
     sequence if there are fewer. Two documents link when 100 * intersection >= percent * union; component_id is the smallest id
@@ -129,6 +130,9 @@ def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: st
 
     Equal sets are one class from the start, so copies cost one row each. A class posts its prefix: the n - ceil(percent n / 100) + ell
     rarest shingles; two linked sets share at least the smaller ell of them, ell rising with the candidates that the prefix would bring.
+
+    n_links is the number of classes, that is of different sets, that the document's own links with; for it all candidate pairs are compared,
+    while component_id alone leaves out those inside a component already known.
     """
     rows = docs.select(record_id(doc_id, text).alias("id"), F.col(doc_id).cast("long").alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = rows.select("id", "text")
@@ -139,8 +143,15 @@ def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: st
     copies = materialize(named.where("id <> node").select("id", "k1", "k2").distinct())
     prefixes = base.where("n > 0").join(small(copies), ["id", "k1", "k2"], "left_anti").select(F.col("id").alias("node"), "n", "ell", "tokens")
     posts = prefixes.select(F.posexplode("tokens").alias("pos", "key"), "node", "n", "ell")
-    found = cluster(posts, _sets_of(texts, width), percent, _sieve(prefixes.select("node", "n", "tokens"), percent))
+    sets_of, sieve = _sets_of(texts, width), _sieve(prefixes.select("node", "n", "tokens"), percent)
+    if count_links:
+        pairs = links(posts, sets_of, percent, sieve)
+        degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        found = components(pairs).join(degree, "node")
+    else:
+        found = cluster(posts, sets_of, percent, sieve).withColumn("n_links", F.lit(0).cast("long"))
     discard(base)
-    ids = named.select("own", "n", "node").join(found, "node", "left").select("own", "n", F.coalesce("component", "node").alias("component_id"))
-    empty = slim.where("n = 0").select("own", "n", F.col("id").alias("component_id"))
-    return ids.unionByName(empty).select(F.col("own").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
+    ids = named.select("own", "n", "node").join(found, "node", "left").select("own", "n", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    empty = slim.where("n = 0").select("own", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    out = ids.unionByName(empty).select(F.col("own").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return out if count_links else out.drop("n_links")

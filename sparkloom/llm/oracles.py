@@ -20,6 +20,12 @@ least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, CASE WHEN d.n = 0 THEN d.doc_id ELSE l.c END AS component_id
 FROM keyed d LEFT JOIN classes c ON c.k = d.k AND d.n > 0 LEFT JOIN least l ON l.a = c.node"""
 
+#: The same with the number of links of each document's class.
+NGRAM_JACCARD_LINKS = (
+    NGRAM_JACCARD.replace("least AS (", "degrees AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a),\nleast AS (").replace(" AS component_id\n", " AS component_id, coalesce(g.n, 0) AS n_links\n")
+    + " LEFT JOIN degrees g ON g.a = c.node"
+)
+
 #: Every run of words of a document, of each length that a window has, is looked up among the windows.
 DECONTAMINATION = rf"""
 WITH words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -52,4 +58,4 @@ counted AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM spans
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
 FROM sized LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": NGRAM_JACCARD, "op6_fm_decontamination": DECONTAMINATION, "op7_suffix_dedup": SUFFIX_DEDUP}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": NGRAM_JACCARD, "op4_ngram_jaccard_links": NGRAM_JACCARD_LINKS, "op6_fm_decontamination": DECONTAMINATION, "op7_suffix_dedup": SUFFIX_DEDUP}

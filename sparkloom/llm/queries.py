@@ -36,6 +36,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard(load(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op4_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_ngram_jaccard_join with n_links: every link between different texts is compared and counted."""
+    return ngram_join.ngram_jaccard(load(spark, sf_dir, "documents"), width=4, percent=85, count_links=True)
+
+
 def op5_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.shard(load(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
@@ -86,4 +91,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_syncmer_fingerprints, op4_ngram_jaccard_join, op5_virtual_slot_shards, op6_fm_decontamination, op7_suffix_dedup, op8_language_id, op9_url_filter, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_syncmer_fingerprints, op4_ngram_jaccard_join, op4_ngram_jaccard_links, op5_virtual_slot_shards, op6_fm_decontamination, op7_suffix_dedup, op8_language_id, op9_url_filter, op10_token_counts, pipeline)}

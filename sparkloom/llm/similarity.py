@@ -5,6 +5,8 @@ The components of the graph of links are found without all pairs of a group:
     the node whose keys are shared most, later ones are drawn by hash;
  2. once few pairs of different components are left in the lists, or rounds stop helping, those pairs are compared one by one.
 A link inside a component that is already known changes nothing, so the result is that of all candidate pairs.
+
+``links`` is for callers that want the links themselves: it compares all candidate pairs.
 """
 
 from __future__ import annotations
@@ -62,6 +64,18 @@ def _refined(listed: DataFrame, tokens: DataFrame | None) -> DataFrame:
     return out
 
 
+def links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """(a, b), a < b: every link, from postings as ``cluster`` takes them; materialised. Work grows with the pairs that share keys, links or not."""
+    often = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
+    shared = materialize(postings.join(often, "key").select("key", "node", "n", "ell", "pos"))
+    x, y = shared.alias("x"), shared.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & F.expr(near("x.n", "y.n", percent)) & F.expr(placed("x", "y", percent)))
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.ell", "y.ell")).alias("ell")).where("k >= ell")
+    pairs = materialize(pairs.select("a", "b"))
+    discard(shared)
+    return verified(sieve(pairs), sets_of, percent)
+
+
 def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, tokens: DataFrame | None = None) -> DataFrame:
     """``postings``: (key, node, n, ell, pos), one row for each key of a node; n is the set's size, ell how many keys a link must share.
 

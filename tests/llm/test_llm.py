@@ -196,6 +196,16 @@ def test_ngram_jaccard(docs, empty, rows, width, percent):
     assert ngram_join.ngram_jaccard(empty).count() == 0
 
 
+def test_ngram_links(docs, rows):
+    got = ngram_join.ngram_jaccard(docs.where("doc_id is not null"), 2, 50, count_links=True).collect()
+    sets = {i: frozenset(shingles(t, 2)) for i, t in rows if i is not None}
+    different = set(sets.values())
+    n_links = {s: sum(bool(s and o and s != o and 100 * len(s & o) >= 50 * len(s | o)) for o in different) for s in different}
+    assert {r.doc_id: r.n_links for r in got} == {i: n_links[s] for i, s in sets.items()} and max(n_links.values()) > 2
+    plain = ngram_join.ngram_jaccard(docs.where("doc_id is not null"), 2, 50).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(map(tuple, plain))
+
+
 def test_shards(docs, empty, rows):
     got = shards.shard(docs, shards=4, slots=64).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
