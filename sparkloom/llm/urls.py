@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, small
+
 #: Labelled rows that the trees are trained on, at most about this many, chosen by a hash of the URL.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.3, 32, 20
@@ -69,12 +71,24 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def suffix_features(host: Column, path: Column, rates: dict[str, float], base: float) -> dict[str, Column]:
-    """The share of blocked URLs in training by host suffix and by first path part; ``base`` for one not seen."""
-    table = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]) if rates else F.create_map().cast("map<string,double>")
-    suffix = F.concat(F.lit("."), F.element_at(F.split(host, r"\."), -1))
-    part = F.concat(F.lit("/"), F.split_part(path, F.lit("/"), F.lit(2)))
-    return {"suffix_rate": F.coalesce(F.try_element_at(table, suffix), F.lit(base)), "part_rate": F.coalesce(F.try_element_at(table, part), F.lit(base))}
+def suffix_part(host: Column, path: Column) -> tuple[Column, Column]:
+    """The keys of the rates: host suffix and first path part."""
+    return F.concat(F.lit("."), F.element_at(F.split(host, r"\."), -1)), F.concat(F.lit("/"), F.split_part(path, F.lit("/"), F.lit(2)))
+
+
+def with_rates(urls: DataFrame, host: str, path: str, rates: DataFrame | None, prior: float) -> DataFrame:
+    """``urls`` with _suffix_rate and _part_rate, the shares of blocked URLs in training by host suffix and by first path part; ``prior`` for one not seen."""
+    for name, key in zip(("_suffix_rate", "_part_rate"), suffix_part(F.col(host), F.col(path)), strict=True):
+        if rates is None:
+            urls = urls.withColumn(name, F.lit(prior))
+        else:
+            found = small(rates.select(F.col("k").alias("_k"), F.col("rate").alias(name)))
+            urls = urls.withColumn("_k", key).join(found, "_k", "left").drop("_k").withColumn(name, F.coalesce(name, F.lit(prior)))
+    return urls
+
+
+def rate_features() -> dict[str, Column]:
+    return {"suffix_rate": F.col("_suffix_rate"), "part_rate": F.col("_part_rate")}
 
 
 @dataclass
@@ -135,9 +149,9 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[Node]]:
 
 @dataclass
 class UrlModel:
-    """Trees and the rates they were trained with."""
+    """Trees and the rates they were trained with: a table (k, rate) of all host suffixes and first path parts, None without training rows."""
 
-    rates: dict[str, float]
+    rates: DataFrame | None
     prior: float
     base: float
     trees: list[Node]
@@ -157,15 +171,12 @@ def train(labelled: DataFrame, url: str = "url", label: str = "blocked", rows: i
     urls = urls.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     count, prior = urls.agg(F.count("*"), F.avg("y")).first()
     if not count:
-        return UrlModel({}, 0.5, 0.0, [])
-    suffix = F.concat(F.lit("."), F.element_at(F.split("host", r"\."), -1))
-    part = F.concat(F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2)))
-    stats = urls.select(F.explode(F.array(suffix, part)).alias("k"), "y").groupBy("k").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-    top = stats.orderBy(F.desc("n"), "k").limit(64).collect()  # the most frequent suffixes and parts
-    rates = {r.k: (r.s + 5 * prior) / (r.n + 5) for r in sorted(top, key=lambda r: r.k)}
+        return UrlModel(None, 0.5, 0.0, [])
+    stats = urls.select(F.explode(F.array(*suffix_part(F.col("host"), F.col("path")))).alias("k"), "y").groupBy("k").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    rates = materialize(stats.select("k", ((F.col("s") + F.lit(5 * prior)) / (F.col("n") + 5)).alias("rate")))
     chosen = urls.where(F.pmod(F.xxhash64("url", F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / count)))
-    columns = features(F.col("url"), F.col("host"), F.col("path")) | suffix_features(F.col("host"), F.col("path"), rates, prior)
-    data = chosen.select("y", "url", *[c.alias(k) for k, c in columns.items()]).toPandas().sort_values(["url", "y"])
+    columns = features(F.col("url"), F.col("host"), F.col("path")) | rate_features()
+    data = with_rates(chosen, "host", "path", rates, prior).select("y", "url", *[c.alias(k) for k, c in columns.items()]).toPandas().sort_values(["url", "y"])
     base, trees = boost(data[list(columns)].to_numpy(float), data["y"].to_numpy(float))
     return UrlModel(rates, float(prior), base, trees)
 
@@ -176,11 +187,12 @@ def judge(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]], url:
     Null URLs and those without ``://`` have empty host and path, fit no rule, and are judged by the trees as the empty URL.
     """
     out = pages.withColumn("_host", host(F.col(url))).withColumn("_path", path(F.col(url)))
-    x = features(F.col(url), F.col("_host"), F.col("_path")) | suffix_features(F.col("_host"), F.col("_path"), model.rates, model.prior)
+    out = with_rates(out, "_host", "_path", model.rates, model.prior)
+    x = features(F.col(url), F.col("_host"), F.col("_path")) | rate_features()
     out = out.withColumn("_x", F.explode(F.array(F.struct(*[c.alias(k) for k, c in x.items()]))))  # the features are computed once
     out = out.withColumn("_score", model.score({k: F.col(f"_x.{k}") for k in x})).withColumn("_hit", matching_rule(F.col("_host"), F.col("_path"), rules))
     out = out.withColumn("_rule", F.col("_hit.rule")).withColumn("_verdict", F.coalesce("_hit.verdict", F.when(F.col("_score") >= 0.5, "block").otherwise("allow")))
-    return out.drop("_x", "_hit")
+    return out.drop("_x", "_hit", "_suffix_rate", "_part_rate")
 
 
 def labelled_by_rules(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:

@@ -341,6 +341,14 @@ def test_url_rules(spark):
     assert got[5] == got[6] == ("", "", None) and got[7][0] == "h:" and got[8][2] == "com/en/" and got[9][:2] == ("q.com", "")
 
 
+def test_url_rates_of_all_suffixes(spark):
+    rows = [(f"http://h{k}.s{k}/p{k}/{n}", k % 2) for k in range(100) for n in range(3)]
+    model = urls.train(spark.createDataFrame(rows, "url string, blocked int"))
+    rates = {r.k: r.rate for r in model.rates.collect()}
+    assert rates == {f"{c}{k}": pytest.approx((3 * (k % 2) + 2.5) / 8) for k in range(100) for c in (".s", "/p")}
+    assert set(urls.judge(spark.createDataFrame([(u,) for u, _ in rows], "url string"), model, urls.RULES).columns) == {"url", "_host", "_path", "_rule", "_verdict", "_score"}
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
