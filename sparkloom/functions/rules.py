@@ -154,6 +154,8 @@ EXTENSIONS = {
 OUTPUT_RATIOS = {"code": (0.3, 1.5, 0.8), "logs": (0.1, 0.3, 0.2), "stacktrace": (0.1, 0.4, 0.25), "config": (0.2, 0.5, 0.3), "generic": (0.3, 1.0, 0.5), "question": (0.5, 2.0, 1.0), "instruction": (0.3, 1.5, 0.6)}
 PRICES = {"opus": (15.0, 75.0), "sonnet": (3.0, 15.0), "haiku": (0.8, 4.0)}
 CONTEXT_WINDOW = 200_000
+# Weights of a segment's importance.
+IMPORTANCE = {"tfidf": 0.4, "position": 0.3, "keyword": 0.3}
 
 # Content types of whole texts.
 LOG_START = [
@@ -251,3 +253,32 @@ FILE_ACTIONS = [
     ("deleted", r"\b(delet(?:e|ed|ing)|remov(?:e|ed|ing))\b"),
 ]
 NOT_CALLS = ["if", "for", "while", "switch", "catch", "function", "return", "throw", "new", "typeof", "instanceof"]
+
+# Skeletons of brace languages. The body of a signature is told by SKELETON_BODY, the value of an arrow function by SKELETON_ARROW.
+SKELETON_FUNCTION = [r"^(export\s+)?(async\s+)?function\s+\w+", r"^(export\s+)?const\s+\w+\s*=\s*(async\s+)?\([^)]*\)\s*(=>|:)"]
+SKELETON_CLASS = [r"^(export\s+)?(abstract\s+)?class\s+\w+"]
+SKELETON_KEPT = r"^(import|from|export|type|interface)\s"
+SKELETON_BODY = " { ... }"
+SKELETON_ARROW = "=> ..."
+
+# What a message that stands for older ones begins with.
+CONTEXT_HEADS = {
+    "summary": "[Previous conversation summary]\n",
+    "points": "[Key points from conversation]\n",
+    "fallback": "[Previous conversation context]\n",
+    "hybrid": "[Conversation context]\n",
+    "hybrid_points": "\n\nKey points:\n",
+}
+
+# Levels looked for in a line, in this order, and lines that tell errors and warnings.
+LINE_LEVELS = ["TRACE", "DEBUG", "INFO", "WARN", "WARNING", "ERROR", "FATAL"]
+ERROR_LINE = r"\b(error|Error|ERROR|fail|Fail|FAIL|fatal|Fatal|FATAL)\b"
+WARNING_LINE = r"\b(warn|Warn|WARN|warning|Warning|WARNING)\b"
+# Tests of a text's type, in this order: stack traces (an error's head with frames, or a panic), logs by their lines, configuration, code.
+TRACE_HEAD = r"(?m)^(\w*Error|Exception|[Pp]anic):"
+TRACE_FRAME = r"(?m)^\s+at\s+"
+TRACE_OTHER = r"(?m)^Traceback \(most recent call last\):|^thread '.*' panicked at|^panic:"
+LOG_MARK = [r"(?i)\[\s*(INFO|DEBUG|WARN|WARNING|ERROR|TRACE|FATAL)\s*\]", r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}"]
+YAML_LINE = r"^\s*[\w-]+:\s*.+$|^\s*-\s+"
+# What is shown of a build's output, logs and errors.
+BUILD_HINT = [r"error TS|warning TS|error\[E|error:|npm ERR|ERROR in", r"(?i)\d+:\d+.*error"]

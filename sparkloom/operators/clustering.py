@@ -2,48 +2,41 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def edit_similarity(a: str, b: str, least: float) -> float:
-    """1 - distance / longer length; 0 as soon as it is known to be under ``least``."""
-    n, m = len(a), len(b)
-    longest = max(n, m)
-    if longest == 0:
-        return 1.0
-    most = int((1 - least) * longest + 1e-9)
-    if abs(n - m) > most:
-        return 0.0
-    row = list(range(m + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-        if min(row) > most:
-            return 0.0
-    return 1 - row[m] / longest
+def alike(a: Column, b: Column, threshold: float) -> Column:
+    """Whether 1 - edit distance / longer length is at least ``threshold``. Lengths that differ too much are told apart without comparing."""
+    longest = F.greatest(F.length(a), F.length(b))
+    most = F.floor((1 - threshold) * longest + 1e-9).cast("int")
+    return F.when(F.abs(F.length(a) - F.length(b)) > most, False).otherwise(F.call_function("levenshtein", a, b, most) >= 0)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """1 - edit distance / longer length; 1 for two empty texts."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def heads(texts: Column, threshold: float) -> Column:
+    """The texts of an array that no earlier head is like, in order."""
+    none = F.array().cast("array<string>")
+    return F.aggregate(texts, none, lambda acc, t: F.when(F.exists(acc, lambda h: alike(h, t, threshold)), acc).otherwise(F.array_append(acc, t)))
+
+
+def first_alike(candidates: Column, text: Column, threshold: float) -> Column:
+    return F.try_element_at(F.filter(candidates, lambda h: alike(h, text, threshold)), F.lit(1))
 
 
 def leaders(df: DataFrame, doc: str, pos: str, text: str, threshold: float = 0.7) -> DataFrame:
     """(doc, text, first, n, leader): distinct texts of a document, where each stands first, how often, and the text that leads its cluster.
 
     A text joins the first earlier leader that is similar enough, else it leads. Equal texts share a leader, so only distinct ones are
-    compared; a document's distinct texts are one task's work, since each choice depends on those before it.
+    compared, each with the leaders so far; a document's distinct texts are one row's work, since each choice depends on those before it.
+    Null texts have no row.
     """
-    distinct = df.groupBy(doc, text).agg(F.min(pos).alias("first"), F.count("*").alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[str] = []
-        chosen = []
-        pdf = pdf.sort_values("first")
-        for t in pdf[text]:
-            head = next((h for h in heads if edit_similarity(t, h, threshold) >= threshold), None)
-            if head is None:
-                heads.append(head := t)
-            chosen.append(head)
-        return pdf.assign(leader=chosen)
-
-    kind = f"{doc} {distinct.schema[doc].dataType.simpleString()}, {text} string, first long, n long, leader string"
-    return distinct.select(doc, text, F.col("first").cast("long").alias("first"), "n").groupBy(doc).applyInPandas(run, kind)
+    distinct = df.where(F.col(text).isNotNull()).groupBy(doc, text).agg(F.min(pos).cast("long").alias("first"), F.count("*").alias("n"))
+    g = distinct.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("first", F.col(text).alias("t"), "n"))).alias("items"))
+    g = g.withColumn("heads", heads(F.transform("items", lambda x: x["t"]), threshold))
+    x = g.select(doc, "heads", F.explode("items").alias("i"))
+    return x.select(doc, F.col("i.t").alias(text), "i.first", "i.n", first_alike(F.col("heads"), F.col("i.t"), threshold).alias("leader"))

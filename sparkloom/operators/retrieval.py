@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import spread
 
 K1, B = 1.2, 0.75
 
@@ -21,38 +22,46 @@ def _counted(df: DataFrame) -> DataFrame:
     return df.withColumn("dl", F.size("_t").cast("long"))
 
 
-def corpus_size(docs: DataFrame, tokens: Column) -> DataFrame:
-    """One row: n documents and their average length."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
-
-
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """(key, score, matched_terms) of documents that share a term with ``query``; a term repeated there counts again.
 
-    Only postings of query terms are made, so what is shuffled follows the hits and not the corpus.
+    One pass counts documents, lengths and the documents that hold each query term, into one row; a second one scores each document in its own
+    row, after a plain test whether it holds a query term at all. Nothing is shuffled but partial sums.
     """
     spark = docs.sparkSession
-    tokens = T.bm25_tokens(F.col(text))
-    terms = spark.createDataFrame([(query,)], "q string").select(F.explode(T.bm25_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("qn"))
-    wanted = [r.term for r in terms.collect()]  # of the query, not of the corpus
-    hits = F.filter("_t", lambda t: t.isin(wanted or [""]))
-    mine = _counted(docs.select(key, tokens.alias("_t"))).select(key, "dl", hits.alias("_h")).select(key, "dl", F.explode("_h").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_size(docs, tokens)
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("qn") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = mine.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(stats))  # one row of totals
-    return scored.groupBy(key).agg(F.round(F.sum(weight), 6).alias("score"), F.array_join(F.sort_array(F.collect_set("term")), ",").alias("matched_terms")).where("score > 0")
-
-
-def tfidf(segments: DataFrame, doc: str, seg: str, tokens: Column) -> DataFrame:
-    """(doc, seg, term, tf, idf, tfidf): term frequency by segment, document frequency among the segments of a doc."""
-    sized = _counted(segments.select(doc, seg, tokens.alias("_t")))
-    counted = sized.select(doc, seg, F.col("dl").alias("len"), F.explode("_t").alias("term")).groupBy(doc, seg, "len", "term").agg(F.count("*").alias("c"))
-    n = segments.groupBy(doc).agg(F.count("*").alias("n"))
-    df = counted.groupBy(doc, "term").agg(F.count("*").alias("df"))
-    out = counted.join(df, [doc, "term"]).join(n, doc)
-    return out.select(doc, seg, "term", (F.col("c") / F.col("len")).alias("tf"), F.log(F.col("n") / F.col("df")).alias("idf")).withColumn("tfidf", F.col("tf") * F.col("idf"))
+    words = spark.createDataFrame([(query,)], "q string").select(F.explode(T.bm25_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("qn")).orderBy("term").collect()
+    asked = {r.term: r.qn for r in words}  # of the query, not of the corpus
+    docs = spread(docs.select(key, F.col(text).alias("_text")))
+    if not asked:
+        return docs.select(key, F.lit(0.0).alias("score"), F.lit("").alias("matched_terms")).limit(0)
+    sized = docs.select(T.bm25_tokens(F.col("_text")).alias("_t"))
+    held = [F.count_if(F.array_contains("_t", t)).alias(f"df{i}") for i, t in enumerate(asked)]
+    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"), *held)
+    some = F.lit(False)
+    for t in asked:
+        some = some | F.contains(F.lower("_text"), F.lit(t))
+    counts = [(F.size("_t") - F.size(F.array_remove("_t", t))).alias(f"tf{i}") for i, t in enumerate(asked)]
+    found = docs.where(some).select(key, F.explode(F.array(T.bm25_tokens(F.col("_text")))).alias("_t")).select(key, F.size("_t").alias("dl"), *counts)
+    score, matched = F.lit(0.0), []
+    for i, (t, qn) in enumerate(asked.items()):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
+        score = score + qn * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        matched.append(F.when(tf > 0, F.lit(t)))
+    scored = found.crossJoin(F.broadcast(stats))  # one row of totals
+    return scored.select(key, F.round(score, 6).alias("score"), F.concat_ws(",", *matched).alias("matched_terms")).where("score > 0")
+
+
+def tfidf(segments: DataFrame, doc: str | list[str], seg: str, tokens: Column) -> DataFrame:
+    """(doc, seg, term, tf, idf, tfidf): term frequency by segment, document frequency among the segments of a doc, which one or several columns name.
+
+    A segment's terms and its document's number of segments are carried through one shuffle by (doc, term): how many segments hold a term is a window over it.
+    """
+    keys = [doc] if isinstance(doc, str) else doc
+    sized = _counted(segments.select(*keys, seg, F.count("*").over(Window.partitionBy(*keys)).alias("n"), tokens.alias("_t")))
+    counted = sized.select(*keys, seg, "n", F.col("dl").alias("len"), F.explode("_t").alias("term")).groupBy(*keys, "term", seg, "n", "len").agg(F.count("*").alias("c"))
+    out = counted.withColumn("df", F.count("*").over(Window.partitionBy(*keys, "term")))
+    return out.select(*keys, seg, "term", (F.col("c") / F.col("len")).alias("tf"), F.log(F.col("n") / F.col("df")).alias("idf")).withColumn("tfidf", F.col("tf") * F.col("idf"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -14,30 +14,33 @@ from .registry import query
 def written(spark, sf_dir):
     """The code files as text files in the shared folder, 16 folders of them."""
     root = files.work_dir(spark, "files")
-    I.code_files(spark, sf_dir).select(F.col("content").alias("value"), (F.col("p_partkey") % 16).alias("part")).repartition(16, "part").write.partitionBy("part").text(root)
+    I.code_files(spark, sf_dir).select(F.col("content").alias("value"), (F.col("p_partkey") % 16).alias("part"), F.col("p_partkey").alias("key")).repartition(16, "part").sortWithinPartitions("part", "key").drop("key").write.partitionBy("part").text(root)
     return root
 
 
-@query("scan_files")
+_WRITTEN = f"{D.CODE_FILES}, written AS (SELECT CAST(p_partkey % 16 AS VARCHAR) AS part, string_agg(content || chr(10), '' ORDER BY p_partkey) AS value FROM code_files GROUP BY 1)"
+
+
+@query("scan_files", f"WITH {_WRITTEN} SELECT part, strlen(value) AS length FROM written")
 def scan_files(spark, sf_dir):
     listed = files.scan_files(spark, written(spark, sf_dir), "**/*.txt")
     return listed.select(F.regexp_extract("path", r"part=(\d+)", 1).alias("part"), "length")
 
 
-@query("read_text")
+@query("read_text", f"WITH {_WRITTEN} SELECT part, len(string_split(value, chr(10))) AS lines, md5(value) AS hash FROM written")
 def read_text(spark, sf_dir):
     """Each file as one text: its folder, lines and hash."""
     x = spark.read.text(written(spark, sf_dir), wholetext=True, recursiveFileLookup=True)
     return x.select(F.regexp_extract(F.input_file_name(), r"part=(\d+)", 1).alias("part"), F.size(F.split("value", "\n")).alias("lines"), F.md5("value").alias("hash"))
 
 
-@query("pipe_read")
+@query("pipe_read", f"WITH {_WRITTEN} SELECT part, length(value) AS chars, CAST(NULL AS VARCHAR) AS error FROM written")
 def pipe_read(spark, sf_dir):
     """Files with their content, or an error for those that are too large."""
     return files.read_files(spark, written(spark, sf_dir), ["**/*.txt"]).select(F.regexp_extract("path", r"part=(\d+)", 1).alias("part"), F.length("content").alias("chars"), "error")
 
 
-@query("load_multi")
+@query("load_multi", f"WITH {_WRITTEN} SELECT part, md5(value) AS hash FROM written WHERE regexp_matches(part, '^(1.*|2|3)$')")
 def load_multi(spark, sf_dir):
     """Several globs; a file that fits more than one comes once."""
     return files.read_files(spark, written(spark, sf_dir), ["part=1*/*.txt", "part={1,2,3}/**"]).select(F.regexp_extract("path", r"part=(\d+)", 1).alias("part"), F.md5("content").alias("hash"))

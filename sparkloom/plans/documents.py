@@ -169,18 +169,19 @@ def file_exists(spark, sf_dir):
     return wanted.join(listed, "path", "left").select("path", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-_EDGES = "edges AS (SELECT DISTINCT l_partkey % 40 AS src, l_suppkey % 40 AS dst FROM lineitem WHERE l_partkey % 40 <> l_suppkey % 40 AND l_orderkey % 50 = 0)"
+_EDGES = "lined AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS dst FROM lineitem), edges AS (SELECT DISTINCT src, dst FROM lined WHERE src <> dst)"
 
 
 def edges(spark, sf_dir):
-    e = I.table(spark, sf_dir, "lineitem").where("l_partkey % 40 <> l_suppkey % 40 and l_orderkey % 50 = 0")
-    return e.select((F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 40).alias("dst")).distinct()
+    """Distinct edges from each part to the one on the next line of an order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
+    return I.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).where("src <> dst").distinct()
 
 
-@query("dep_closure", f"WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst, 1 AS depth FROM edges WHERE src = 0 UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.dst WHERE r.depth < 3) SELECT dst, min(depth) AS depth FROM r GROUP BY 1")
+@query("dep_closure", f"WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst, 1 AS depth FROM edges WHERE src = 1 UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.dst WHERE r.depth < 3) SELECT dst, min(depth) AS depth FROM r GROUP BY 1")
 def dep_closure(spark, sf_dir):
     e = edges(spark, sf_dir)
-    reached = front = e.where("src = 0").select("dst", F.lit(1).alias("depth"))
+    reached = front = e.where("src = 1").select("dst", F.lit(1).alias("depth"))
     for depth in (2, 3):
         front = front.select(F.col("dst").alias("src")).join(e, "src").select("dst", F.lit(depth).alias("depth")).distinct()
         reached = reached.unionByName(front)
@@ -192,43 +193,6 @@ def call_graph_inverse(spark, sf_dir):
     return edges(spark, sf_dir).groupBy(F.col("dst").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("src")), lambda x: x.cast("string")), ",").alias("called_by"))
 
 
-_CL = f"{D.CONVO}, cl AS (SELECT conv_id, turn, role, generate_subscripts(string_split(text, chr(10)), 1) AS k, trim(unnest(string_split(text, chr(10)))) AS t FROM convo)"
-
-
-def convo_lines(spark, sf_dir):
-    x = I.convo(spark, sf_dir).select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("k", "t"))
-    return x.withColumn("t", F.trim("t"))
-
-
-@query("key_points", f"WITH {_CL}, p AS (SELECT conv_id, turn, k, regexp_replace(regexp_replace(regexp_replace(t, '^\\s*[-*]\\s*', ''), '^\\d+\\.\\s*', ''), '\\*\\*', '', 'g') AS point FROM cl WHERE length(t) BETWEEN 10 AND 300 AND {D.any_of('t', R.KEY_POINT)}), f AS (SELECT conv_id, point, min(turn * 100000 + k) AS place FROM p WHERE length(point) > 10 AND length(point) < 200 GROUP BY 1, 2) SELECT conv_id, point FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place) <= 15")
-def key_points(spark, sf_dir):
-    t = F.col("t")
-    x = convo_lines(spark, sf_dir).where((F.length(t) >= 10) & (F.length(t) <= 300) & T.any_of(t, R.KEY_POINT))
-    point = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^\s*[-*]\s*", ""), r"^\d+\.\s*", ""), r"\*\*", "")
-    x = x.select("conv_id", "turn", "k", point.alias("point")).where("length(point) > 10 and length(point) < 200")
-    first = x.groupBy("conv_id", "point").agg(F.min(F.struct("turn", "k")).alias("at"))
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))).where("r <= 15").select("conv_id", "point")
-
-
-_DEC = " UNION ALL ".join(f"SELECT conv_id, turn, k, {i} AS o, trim(regexp_extract(t, {D.q(p)}, 1)) AS decision FROM cl WHERE role <> 'system' AND length(t) BETWEEN 15 AND 300 AND regexp_matches(t, {D.q(p)})" for i, p in enumerate(R.DECISION))
-
-
-@query("decisions", f"WITH {_CL}, d AS ({_DEC}), f AS (SELECT conv_id, decision, min(turn * 1000000 + k * 10 + o) AS place FROM d GROUP BY 1, 2) SELECT conv_id, decision FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) <= 20")
-def decisions(spark, sf_dir):
-    t = F.col("t")
-    x = convo_lines(spark, sf_dir).where((F.col("role") != "system") & (F.length(t) >= 15) & (F.length(t) <= 300))
-    found = F.array(*[F.struct(F.lit(i).alias("o"), F.when(t.rlike(T.java(p)), F.trim(F.regexp_extract(t, T.java(p), 1))).alias("decision")) for i, p in enumerate(R.DECISION)])
-    x = x.select("conv_id", "turn", "k", F.explode(found).alias("f")).where("f.decision is not null").select("conv_id", "turn", "k", "f.o", "f.decision")
-    first = x.groupBy("conv_id", "decision").agg(F.min(F.struct("turn", "k", "o")).alias("at"))
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("at")))).where("r <= 20").select("conv_id", "decision")
-
-
-@query("compress_conversation", "SELECT conv_id, turn, role, text FROM conversations QUALIFY role = 'system' OR row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
-def compress_conversation(spark, sf_dir):
-    x = I.table(spark, sf_dir, "conversations").withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
-    return x.where("role = 'system' or r <= 2").select("conv_id", "turn", "role", "text")
-
-
 @query("analyze_context", "SELECT conv_id, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens, count(*) AS messages, max(role = 'system' AND length(text) > 2000) AS long_system FROM conversations GROUP BY 1")
 def analyze_context(spark, sf_dir):
     c = I.table(spark, sf_dir, "conversations")

@@ -56,3 +56,16 @@ def level(c: str) -> str:
 
 def timestamp(c: str) -> str:
     return "coalesce(" + ", ".join(f"nullif(regexp_extract({c}, {q(p)}, {g}), '')" for p, g in R.TIMESTAMPS) + ")"
+
+
+def keyword_boost(c: str) -> str:
+    return "least(1.0, " + " + ".join(f"CASE WHEN regexp_matches({c}, {q(p)}) THEN {w} ELSE 0 END" for w, p in R.KEYWORD_BOOST) + ")"
+
+
+def greedy(items: str, budget: str) -> str:
+    """Places p of a list of {p, c}, taken in its order while the costs c fit ``budget``; one that doesn't fit is skipped."""
+    return f"list_reduce(list_transform({items}, lambda x: {{'used': CAST(x.c AS BIGINT), 'kept': [CAST(x.p AS BIGINT)]}}), lambda a, x: CASE WHEN a.used + x.used <= {budget} THEN {{'used': a.used + x.used, 'kept': list_concat(a.kept, x.kept)}} ELSE a END, {{'used': CAST(0 AS BIGINT), 'kept': []::BIGINT[]}}).kept"
+
+
+def tokens(c: str) -> str:
+    return f"CAST(ceil(length({c}) / 4.0) AS BIGINT)"

@@ -70,9 +70,9 @@ def events_per_minute(spark, sf_dir):
     return I.log_lines(spark, sf_dir).groupBy(F.substring("ts_text", 1, 16).alias("minute")).agg(F.count("*").alias("n"))
 
 
-@query("activity_spike", f"WITH {D.LOG_LINES}, m AS (SELECT substr(ts_text, 1, 13) AS hour, count(*) AS n FROM log_lines GROUP BY 1) SELECT max(n) AS peak, round(max(n) / avg(n), 6) AS ratio, max(n) > 3 * avg(n) AS spike FROM m")
+@query("activity_spike", f"WITH {D.LOG_LINES}, m AS (SELECT substr(ts_text, 1, 16) AS minute, count(*) AS n FROM log_lines GROUP BY 1) SELECT max(n) AS peak, round(max(n) / avg(n), 6) AS ratio, max(n) > 3 * avg(n) AS spike FROM m")
 def activity_spike(spark, sf_dir):
-    m = I.log_lines(spark, sf_dir).groupBy(F.substring("ts_text", 1, 13)).agg(F.count("*").alias("n"))
+    m = I.log_lines(spark, sf_dir).groupBy(F.substring("ts_text", 1, 16)).agg(F.count("*").alias("n"))
     return m.agg(F.max("n").alias("peak"), F.round(F.max("n") / F.avg("n"), 6).alias("ratio"), (F.max("n") > 3 * F.avg("n")).alias("spike"))
 
 
@@ -133,26 +133,36 @@ def match_pattern(spark, sf_dir):
     return x.join(known, "template", "left").select("event_id", F.coalesce("known", F.lit(False)).alias("matched"))
 
 
-_SCORES = f"""{D.LOG_LINES},
-  tok AS (SELECT doc_id, pos, lvl, message, {D.TF_TOKENS.format(c='message')} AS ts, trim({D.rewrite('lower(message)', R.LOG_PATTERN)}) AS pat FROM log_lines),
-  tt AS (SELECT doc_id, pos, len(ts) AS l, unnest(ts) AS term FROM tok), tf AS (SELECT doc_id, pos, term, count(*) / CAST(any_value(l) AS DOUBLE) AS tf FROM tt GROUP BY 1, 2, 3),
-  df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY 1, 2), nn AS (SELECT doc_id, count(*) AS n FROM log_lines GROUP BY 1),
-  seg AS (SELECT tf.doc_id, tf.pos, least(avg(tf.tf * ln(nn.n / CAST(df.df AS DOUBLE))) / 2, 1) AS s FROM tf JOIN df USING (doc_id, term) JOIN nn USING (doc_id) GROUP BY 1, 2),
-  f AS (SELECT doc_id, pat, count(*) AS c FROM tok GROUP BY 1, 2), mx AS (SELECT doc_id, max(c) AS m FROM f GROUP BY 1),
-  log_scores AS (SELECT tok.doc_id, tok.pos, tok.lvl, round(greatest(0, least(1, CASE lvl WHEN 'error' THEN 1.0 WHEN 'warning' THEN 0.7 WHEN 'info' THEN 0.3 ELSE 0.1 END * 0.3 + coalesce(seg.s, 0) * 0.3
-    + CASE WHEN n <= 1 THEN 1.0 WHEN tok.pos - 1 < 5 THEN 1 - (tok.pos - 1) / 5.0 * 0.3 WHEN n - tok.pos < 5 THEN 0.7 + (1 - (n - tok.pos) / 5.0) * 0.3 ELSE 0.3 + 0.8 * abs((tok.pos - 6) / CAST(n - 10 AS DOUBLE) - 0.5) END * 0.2
-    + (1 - c / CAST(m AS DOUBLE)) * 0.2))::DOUBLE, 6) AS score FROM tok LEFT JOIN seg USING (doc_id, pos) JOIN nn USING (doc_id) JOIN f USING (doc_id, pat) JOIN mx USING (doc_id))"""
+def scores_sql(source: str, keys: str, out: str) -> str:
+    """CTEs up to ``out`` (keys, pos, lvl, score) of the entries of ``source`` (keys, pos, lvl, message), scored among those with the same keys."""
+    order, terms = f"PARTITION BY {keys} ORDER BY pos", D.TF_TOKENS.format(c="message")
+    return f"""{out}_tok AS (SELECT {keys}, pos, lvl, {terms} AS ts, trim({D.rewrite('lower(message)', R.LOG_PATTERN)}) AS pat, row_number() OVER ({order}) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
+  {out}_tt AS (SELECT {keys}, pos, len(ts) AS l, unnest(ts) AS term FROM {out}_tok), {out}_tf AS (SELECT {keys}, pos, term, count(*) / CAST(any_value(l) AS DOUBLE) AS tf FROM {out}_tt GROUP BY {keys}, pos, term),
+  {out}_df AS (SELECT {keys}, term, count(*) AS df FROM {out}_tf GROUP BY {keys}, term), {out}_nn AS (SELECT {keys}, count(*) AS nn FROM {source} GROUP BY {keys}),
+  {out}_seg AS (SELECT {keys}, pos, least(avg(tf * ln(nn / CAST(df AS DOUBLE))) / 2, 1) AS s FROM {out}_tf JOIN {out}_df USING ({keys}, term) JOIN {out}_nn USING ({keys}) GROUP BY {keys}, pos),
+  {out}_f AS (SELECT {keys}, pat, count(*) AS c FROM {out}_tok GROUP BY {keys}, pat), {out}_mx AS (SELECT {keys}, max(c) AS m FROM {out}_f GROUP BY {keys}),
+  {out} AS (SELECT {keys}, pos, lvl, round(greatest(0, least(1, CASE lvl WHEN 'error' THEN 1.0 WHEN 'warning' THEN 0.7 WHEN 'info' THEN 0.3 ELSE 0.1 END * 0.3 + coalesce(s, 0) * 0.3
+    + CASE WHEN n <= 1 THEN 1.0 WHEN i < 5 THEN 1 - i / 5.0 * 0.3 WHEN n - 1 - i < 5 THEN 0.7 + (1 - (n - 1 - i) / 5.0) * 0.3 ELSE 0.3 + 0.8 * abs((i - 5) / CAST(n - 10 AS DOUBLE) - 0.5) END * 0.2
+    + (1 - c / CAST(m AS DOUBLE)) * 0.2))::DOUBLE, 6) AS score FROM {out}_tok LEFT JOIN {out}_seg USING ({keys}, pos) JOIN {out}_f USING ({keys}, pat) JOIN {out}_mx USING ({keys}))"""
+
+
+_SCORES = f"{D.LOG_LINES}, {scores_sql('log_lines', 'doc_id', 'log_scores')}"
+
+
+def scores(x, keys: list[str]):
+    """``x`` (keys, pos, lvl, message ...) with ``score``, from 0 to 1 among the entries with the same keys: level, rare terms, place and rarity of the message's shape."""
+    terms = retrieval.tfidf(x, keys, "pos", T.tfidf_tokens(F.col("message")))
+    seg = terms.groupBy(*keys, "pos").agg(F.least(F.avg("tfidf") / 2, F.lit(1.0)).alias("_s"))
+    group = Window.partitionBy(*keys)
+    y = x.withColumn("_i", F.row_number().over(group.orderBy("pos")) - 1).withColumn("_n", F.count("*").over(group))
+    y = y.withColumn("_c", F.count("*").over(Window.partitionBy(*keys, T.normalize_log_pattern(F.col("message")))))
+    y = y.withColumn("_m", F.max("_c").over(group)).join(seg, [*keys, "pos"], "left")
+    score = T.level_score(F.col("lvl")) * 0.3 + F.coalesce("_s", F.lit(0.0)) * 0.3 + T.position_score(F.col("_i"), F.col("_n")) * 0.2 + (1 - F.col("_c") / F.col("_m")) * 0.2
+    return y.select(*x.columns, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("score"))
 
 
 def scored(spark, sf_dir):
-    x = I.log_lines(spark, sf_dir).select("doc_id", "pos", "lvl", "message")
-    terms = retrieval.tfidf(x, "doc_id", "pos", T.tfidf_tokens(F.col("message")))
-    seg = terms.groupBy("doc_id", "pos").agg(F.least(F.avg("tfidf") / 2, F.lit(1.0)).alias("s"))
-    doc = Window.partitionBy("doc_id")
-    x = x.withColumn("n", F.count("*").over(doc)).withColumn("c", F.count("*").over(Window.partitionBy("doc_id", T.normalize_log_pattern(F.col("message")))))
-    x = x.withColumn("m", F.max("c").over(doc)).join(seg, ["doc_id", "pos"], "left")
-    score = T.level_score(F.col("lvl")) * 0.3 + F.coalesce("s", F.lit(0.0)) * 0.3 + T.position_score(F.col("pos") - 1, F.col("n")) * 0.2 + (1 - F.col("c") / F.col("m")) * 0.2
-    return x.select("doc_id", "pos", "lvl", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("score"))
+    return scores(I.log_lines(spark, sf_dir).select("doc_id", "pos", "lvl", "message"), ["doc_id"]).drop("message")
 
 
 @query("log_scores", f"WITH {_SCORES} SELECT * FROM log_scores")
@@ -369,12 +379,3 @@ def diff_minimal(spark, sf_dir):
 def joined(df, doc: str, pos: str, text: str, name: str):
     """Lines of a document joined in order."""
     return df.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))), lambda x: x[text]), "\n").alias(name))
-
-
-@query("compress_logs", f"WITH {D.LOG_LINES}, g AS (SELECT doc_id, {_LINE} AS norm, arg_min(raw, pos) AS sample, count(*) AS n, min(pos) AS p, max(lvl = 'error') AS e, max(lvl = 'warning') AS w FROM log_lines GROUP BY 1, 2) SELECT doc_id, string_agg(CASE WHEN n > 1 THEN '[x' || n || '] ' || sample ELSE sample END, chr(10) ORDER BY e DESC, w DESC, n DESC, p) AS compressed, count(*) AS lines FROM g GROUP BY 1")
-def compress_logs(spark, sf_dir):
-    x = I.log_lines(spark, sf_dir).withColumn("norm", T.normalize_log_line(F.col("raw")))
-    g = x.groupBy("doc_id", "norm").agg(first_by("raw", "pos").alias("sample"), F.count("*").alias("n"), F.min("pos").alias("p"), F.bool_or(F.col("lvl") == "error").alias("e"), F.bool_or(F.col("lvl") == "warning").alias("w"))
-    line = F.when(F.col("n") > 1, F.concat(F.lit("[x"), "n", F.lit("] "), "sample")).otherwise(F.col("sample"))
-    order = F.struct((~F.col("e")).alias("a"), (~F.col("w")).alias("b"), (-F.col("n")).alias("c"), "p", line.alias("t"))
-    return g.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["t"]), "\n").alias("compressed"), F.count("*").alias("lines"))

@@ -1,54 +1,19 @@
-"""Queries of clustering, test and build output, content types, captured git output, code structure, caches and streams."""
+"""Queries of test and build output, content types, captured git output, code structure, caches and streams."""
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import cache, clustering, code, ordered
+from ..operators import cache, code, ordered
 from ..ship import ship
 from ..sources import files
 from . import duck as D
 from . import inputs as I
 from .registry import query
-
-
-def _leaders(spark, sf_dir):
-    ship(spark)
-    x = I.log_lines(spark, sf_dir).withColumn("norm", T.normalize_log_cluster(F.col("message")))
-    return clustering.leaders(x, "doc_id", "pos", "norm")
-
-
-@query("cluster_logs")
-def cluster_logs(spark, sf_dir):
-    return _leaders(spark, sf_dir)
-
-
-@query("cluster_summary")
-def cluster_summary(spark, sf_dir):
-    sizes = _leaders(spark, sf_dir).groupBy("doc_id", "leader").agg(F.sum("n").alias("size"))
-    return sizes.groupBy("doc_id").agg(F.count("*").alias("clusters"), F.max("size").alias("largest"), F.count_if(F.col("size") == 1).alias("singletons"))
-
-
-@query("cluster_reps")
-def cluster_reps(spark, sf_dir):
-    r = F.row_number().over(Window.partitionBy("doc_id", "leader").orderBy(F.desc("n"), "first"))
-    return _leaders(spark, sf_dir).withColumn("r", r).where("r <= 2").drop("r")
-
-
-@query("log_outliers")
-def log_outliers(spark, sf_dir):
-    """Normalised messages that are half like no other document's leader."""
-    ship(spark)
-    x = _leaders(spark, sf_dir)
-    heads = x.select("doc_id", F.col("leader").alias("head")).distinct()
-    sim = 1 - F.levenshtein("norm", "head") / F.greatest(F.length("norm"), F.length("head"), F.lit(1))
-    return x.join(heads, "doc_id").where(F.col("norm") != F.col("head")).groupBy("doc_id", "norm").agg(F.max(sim).alias("best")).where("best < 0.5")
+from .structure import elements_sql
 
 
 _TESTS = """tests AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'SKIPPED' ELSE 'PASSED' END || ' test_' || (event_id % 30) || '.py::case_' || event_id AS raw FROM events)"""
@@ -114,28 +79,6 @@ def build_duration(spark, sf_dir):
     return x.select("event_id", (F.regexp_extract("raw", _TOOK, 1).cast("double") * F.when(F.lower(F.regexp_extract("raw", _TOOK, 2)) == "s", 1000).otherwise(1)).alias("ms"))
 
 
-_LOGGY = [r"(?i)\[\s*(INFO|DEBUG|WARN|WARNING|ERROR|TRACE|FATAL)\s*\]", r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}"]
-
-
-@query("detect_content_type", f"WITH {D.LOG_LINES}, {D.CODE_FILES}, t AS (SELECT 'log' || doc_id AS id, string_agg(raw, chr(10) ORDER BY pos) AS c FROM log_lines GROUP BY 1 UNION ALL SELECT path, content FROM code_files), n AS (SELECT *, len(list_filter(string_split(c, chr(10)), lambda x: {D.any_of('x', _LOGGY)})) / CAST(len(string_split(c, chr(10))) AS DOUBLE) AS share FROM t) SELECT id, CASE WHEN share >= 0.3 THEN 'logs' WHEN {D.any_of('c', R.CODE)} THEN 'code' ELSE 'generic' END AS content_type FROM n")
-def detect_content_type(spark, sf_dir):
-    from .logs import joined
-
-    logs = joined(I.log_lines(spark, sf_dir), "doc_id", "pos", "raw", "c").select(F.concat(F.lit("log"), "doc_id").alias("id"), "c")
-    both = logs.unionByName(I.code_files(spark, sf_dir).select(F.col("path").alias("id"), F.col("content").alias("c")))
-    return both.select("id", content_type(F.col("c")).alias("content_type"))
-
-
-def content_type(c):
-    """stacktrace, logs, config, code or generic, in this order of tests."""
-    lines = F.split(c, "\n")
-    share = F.size(F.filter(lines, lambda x: T.any_of(x, _LOGGY))) / F.size(lines)
-    trace = (c.rlike(r"(?m)^(\w*Error|Exception|[Pp]anic):") & c.rlike(r"(?m)^\s+at\s+")) | c.rlike(r"(?m)^Traceback \(most recent call last\):|^thread '.*' panicked at|^panic:")
-    yaml = F.size(F.filter(F.slice(lines, 1, 10), lambda x: x.rlike(r"^\s*[\w-]+:\s*.+$|^\s*-\s+"))) >= 3
-    json = c.rlike(r"^\s*[\[{]") & F.try_parse_json(c).isNotNull()
-    return F.when(F.length(F.trim(c)) < 10, "generic").when(trace, "stacktrace").when(share >= 0.3, "logs").when(json | yaml, "config").when(T.any_of(c, R.CODE), "code").otherwise("generic")
-
-
 _NUMSTAT = "numstat AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN '-' ELSE CAST(l_suppkey AS VARCHAR) END AS a, l_linenumber AS d, 'src/f' || l_partkey || '.ts' AS f FROM lineitem)"
 
 
@@ -160,13 +103,6 @@ def git_status_join(spark, sf_dir):
     return I.table(spark, sf_dir, "part").select("p_partkey").join(flags, "p_partkey", "left").select("p_partkey", status.alias("status"))
 
 
-@query("collapse_frames", f"WITH {D.RICH}, c AS (SELECT doc_id, pos, regexp_matches(raw, 'click|view') AS v FROM rich), a AS (SELECT *, CASE WHEN v IS NOT DISTINCT FROM lag(v) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS f FROM c), b AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM a) SELECT doc_id, min(pos) AS start, count(*) AS length FROM b WHERE v GROUP BY doc_id, run")
-def collapse_frames(spark, sf_dir):
-    """Runs of lines that count as internal frames."""
-    internal = F.col("raw").rlike("click|view")
-    return ordered.runs(I.rich_lines(spark, sf_dir), "doc_id", "pos", internal).where("value").select("doc_id", "start", "length")
-
-
 @query("retry_loop", f"WITH {D.COMMANDS}, g AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim({D.rewrite('cmd', R.COMMAND)}) AS norm FROM commands) GROUP BY doc_id, norm) SELECT doc_id, max(n) AS most, max(n) >= 3 AS looping FROM g GROUP BY 1")
 def retry_loop(spark, sf_dir):
     g = I.commands(spark, sf_dir).groupBy("doc_id", T.normalize_command(F.col("cmd")).alias("norm")).agg(F.count("*").alias("n"))
@@ -185,54 +121,91 @@ def pattern_stats(spark, sf_dir):
     return p.agg(F.count("*").alias("patterns"), F.sum("n").alias("entries"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"))
 
 
-@query("compress_generic", f"WITH {D.LOG_LINES}, g AS (SELECT doc_id, trim({D.rewrite('raw', R.GENERIC_LINE)}) AS norm, arg_min(raw, pos) AS sample, count(*) AS n, min(pos) AS p FROM log_lines GROUP BY 1, 2) SELECT doc_id, string_agg(sample || CASE WHEN n > 1 THEN ' (x' || n || ')' ELSE '' END, chr(10) ORDER BY p) AS compressed FROM g GROUP BY 1")
-def compress_generic(spark, sf_dir):
-    from .logs import joined
+_PYTHON = [("imports", "os", None, 1, 1, False, "os", ""), ("functions", "f_{k}", None, 3, 4, True, "def f_{k}(x)", "")]
+_PARSED_SQL = elements_sql(_PYTHON, "code_files", "path", "p_partkey") + " UNION ALL " + elements_sql([("classes", "C_{k}", None, 5, 6, True, "class C_{k}", "")], "sized", "path", "p_size") + " UNION ALL " + elements_sql([("imports", "x", None, 2, 2, False, "mod{k}", "")], "modules", "path", "m")
+_PARSED_SQL = f"{D.CODE_FILES}, sized AS (SELECT path, p_size FROM code_files JOIN part USING (p_partkey)), modules AS (SELECT path, p_partkey % 9 AS m FROM code_files), parsed AS ({_PARSED_SQL})"
 
-    g = I.log_lines(spark, sf_dir).groupBy("doc_id", T.normalize_generic(F.col("raw"))).agg(F.min_by("raw", "pos").alias("sample"), F.count("*").alias("n"), F.min("pos").alias("p"))
-    line = F.concat("sample", F.when(F.col("n") > 1, F.concat(F.lit(" (x"), "n", F.lit(")"))).otherwise(""))
-    return joined(g.select("doc_id", "p", line.alias("line")), "doc_id", "p", "line", "compressed")
 
-
-@query("parse_code")
+@query("parse_code", f"WITH {_PARSED_SQL} SELECT * FROM parsed")
 def parse_code(spark, sf_dir):
     ship(spark)
     return code.parse_code(I.code_files(spark, sf_dir), "python")
 
 
-@query("all_signatures")
+@query("all_signatures", f"WITH {_PARSED_SQL} SELECT path, name, start_line, detail AS signature FROM parsed WHERE bucket = 'functions' AND exported")
 def all_signatures(spark, sf_dir):
-    return parse_code(spark, sf_dir).where("bucket = 'functions' and exported")
+    """The signatures of exported functions."""
+    return parse_code(spark, sf_dir).where("bucket = 'functions' and exported").select("path", "name", "start_line", F.col("detail").alias("signature"))
 
 
-@query("search_symbols")
+@query("search_symbols", f"WITH {_PARSED_SQL} SELECT * FROM parsed WHERE contains(lower(name), 'f_1')")
 def search_symbols(spark, sf_dir):
     return parse_code(spark, sf_dir).where(F.lower("name").contains("f_1"))
 
 
-@query("dir_structure")
+@query("dir_structure", f"WITH {_PARSED_SQL} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, bucket, count(*) AS n, count(DISTINCT path) AS files FROM parsed GROUP BY 1, 2")
 def dir_structure(spark, sf_dir):
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     return parse_code(spark, sf_dir).groupBy(folder.alias("folder"), "bucket").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
 
 
-@query("cache_replay")
+def _cache_sql(ops: str, capacity: int, ttl: float, most_bytes: int) -> str:
+    """Statistics of each cache as a fold over its operations; the state's entries ``e`` come least recently used first."""
+    counts = ("hits", "not_found", "expired", "file_changed", "evicted", "invalidated", "tokens_saved")
+    zero = ", ".join(f"'{c}': CAST(0 AS BIGINT)" for c in counts)
+    state = lambda e, **new: "{'op': a.op, 'e': " + e + ", " + ", ".join(f"'{c}': " + new.get(c, f"a.{c}") for c in counts) + "}"
+    key, others, mine = "x.e[1].k", "list_filter(a.e, lambda v: v.k <> x.e[1].k)", "list_filter(a.e, lambda v: v.k = x.e[1].k)"
+    first = f"list_filter(range(0, len(a.e) + 1), lambda j: (len(a.e) - j < {capacity} AND coalesce(list_sum(list_transform(a.e[j + 1:], lambda v: v.s)), 0) + x.e[1].s <= {most_bytes}) OR j = len(a.e))[1]"
+    fold = f"""CASE x.op WHEN 'set' THEN {state(f"list_concat(list_filter(a.e[{first} + 1:], lambda v: v.k <> {key}), x.e)", evicted=f"a.evicted + {first}")}
+      WHEN 'invalidate' THEN {state(others, invalidated=f"a.invalidated + len({mine})")}
+      WHEN 'invalidate_path' THEN {state("list_filter(a.e, lambda v: v.p IS NULL OR v.p <> x.e[1].p)", invalidated="a.invalidated + len(list_filter(a.e, lambda v: v.p = x.e[1].p))")}
+      WHEN 'clear' THEN {state("list_filter(a.e, lambda v: false)")}
+      ELSE CASE WHEN len({mine}) = 0 THEN {state("a.e", not_found="a.not_found + 1")} WHEN x.e[1].t - {mine}[1].t > {ttl} THEN {state(others, expired="a.expired + 1")}
+        WHEN {mine}[1].p IS NOT NULL AND {mine}[1].h <> x.e[1].h THEN {state(others, file_changed="a.file_changed + 1")}
+        ELSE {state(f"list_concat({others}, {mine})", hits="a.hits + 1", tokens_saved=f"a.tokens_saved + {mine}[1].n")} END END"""
+    item = "{'k': key, 't': CAST(secs AS DOUBLE), 'p': CAST(path AS VARCHAR), 'h': CAST(hash AS VARCHAR), 's': CAST(size AS BIGINT), 'n': CAST(tokens AS BIGINT)}"
+    return f"""g AS (SELECT cache, list({{'op': op, 'e': [{item}], {zero}}} ORDER BY seq) AS xs FROM {ops} GROUP BY 1),
+  f AS (SELECT cache, list_reduce(list_concat([{{'op': '', 'e': list_filter(xs[1].e, lambda v: false), {zero}}}], xs), lambda a, x: {fold}) AS s FROM g)
+  SELECT cache, {", ".join(f"s.{c} AS {c}" for c in counts)}, len(s.e) AS entries, CAST(coalesce(list_sum(list_transform(s.e, lambda v: v.s)), 0) AS BIGINT) AS bytes, array_to_string(list_transform(s.e, lambda v: v.k), ',') AS keys FROM f"""
+
+
+_OPS = "ops AS (SELECT user_id % 16 AS cache, event_id AS seq, epoch(ts) AS secs, CASE WHEN event_type IN ('purchase', 'signup') THEN 'set' ELSE 'get' END AS op, CAST(user_id % 400 AS VARCHAR) AS key, NULL AS path, NULL AS hash, 0 AS size, 0 AS tokens FROM events)"
+
+
+@query("cache_replay", f"WITH {_OPS}, {_cache_sql('ops', 10, 36_000.0, cache.BYTES)}")
 def cache_replay(spark, sf_dir):
-    ship(spark)
+    """16 caches of ten entries that live ten hours: purchases and signups store, other events look up."""
     op = F.when(F.col("event_type").isin("purchase", "signup"), "set").otherwise("get")
     ops = I.table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("cache"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").cast("double").alias("at"), op.alias("op"), (F.col("user_id") % 400).cast("string").alias("key"))
     return cache.replay(ops, capacity=10, ttl=36_000.0)
 
 
-@query("stream_chunk_by_time")
+_ACTIONS = """ops AS (SELECT user_id % 16 AS cache, event_id AS seq, epoch(ts) AS secs, CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_id % 29 = 0 THEN 'invalidate_path' WHEN event_id % 23 = 0 THEN 'invalidate' WHEN event_id % 2 = 0 THEN 'set' ELSE 'get' END AS op,
+  'k' || (user_id % 40) AS key, '/f' || (user_id % 5) AS path, 'h' || (event_id // 400) AS hash, 100 + event_id % 900 AS size, event_id % 50 AS tokens FROM events)"""
+
+
+@query("smart_cache", f"WITH {_ACTIONS}, {_cache_sql('ops', 8, 864_000.0, 4_000)}")
+def smart_cache(spark, sf_dir):
+    """All actions on caches bounded by entries, bytes, time and the hashes of files."""
+    n, u = F.col("event_id"), F.col("user_id")
+    op = F.when(n % 97 == 0, "clear").when(n % 29 == 0, "invalidate_path").when(n % 23 == 0, "invalidate").when(n % 2 == 0, "set").otherwise("get")
+    key, path, sha = F.concat(F.lit("k"), u % 40), F.concat(F.lit("/f"), u % 5), F.concat(F.lit("h"), F.floor(n / 400))
+    ops = I.table(spark, sf_dir, "events").select((u % 16).alias("cache"), n.alias("seq"), F.col("ts").cast("timestamp").cast("double").alias("at"), op.alias("op"), key.alias("key"), path.alias("path"), sha.alias("hash"), (100 + n % 900).alias("size"), (n % 50).alias("tokens"))
+    return cache.replay(ops, capacity=8, ttl=864_000.0, most_bytes=4_000)
+
+
+@query("stream_chunk_by_time", """WITH RECURSIVE x AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos, epoch_us(ts) AS s FROM events),
+  r AS (SELECT doc_id, pos, s, s AS anchor, CAST(0 AS BIGINT) AS chunk FROM x WHERE pos = 1
+    UNION ALL SELECT x.doc_id, x.pos, x.s, CASE WHEN x.s - r.anchor >= 259200000000 THEN x.s ELSE r.anchor END, CASE WHEN x.s - r.anchor >= 259200000000 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN x ON x.doc_id = r.doc_id AND x.pos = r.pos + 1),
+  c AS (SELECT doc_id, chunk, min(s) AS start_us, count(*) AS n FROM r GROUP BY 1, 2) SELECT * FROM c QUALIFY chunk < max(chunk) OVER (PARTITION BY doc_id)""")
 def stream_chunk_by_time(spark, sf_dir):
-    """The event table read as a stream, with an empty starting state; the closed chunks."""
+    """The event table read as a stream, with an empty starting state: the chunks that later events have closed, written by the stream to a table."""
     from ..streaming.chunks import chunk_stream
 
     ship(spark)
-    name = "chunks_" + Path(tempfile.mktemp()).name.replace("-", "_")
     source = spark.readStream.schema(I.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     lines = source.select(F.col("user_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
-    q = chunk_stream(lines, 3 * 24 * 3600).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out = files.work_dir(spark, "chunks")
+    chunks = chunk_stream(lines, 3 * 24 * 3600)
+    chunks.writeStream.format("parquet").option("path", out).option("checkpointLocation", files.work_dir(spark, "chunks-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(chunks.schema).parquet(out).select("doc_id", "chunk", F.unix_micros("start").alias("start_us"), "n")

@@ -84,10 +84,11 @@ def pipe_from_data(spark, sf_dir):
     return Pipeline.from_data(spark, [(1, "a"), (2, "b")], "pos long, name string").build()
 
 
-@query("pipe_recover")
+@query("pipe_recover", f"SELECT *, 'recovered' AS note FROM ({_P})")
 def pipe_recover(spark, sf_dir):
+    """A step that fails gives way to what comes right after it."""
     p = parts(spark, sf_dir)
-    return p.map(bad=F.col("no_such_column")).recover(lambda e: p.build().limit(0)).build()
+    return p.map(note=F.col("no_such_column")).recover(lambda e: p.map(note=F.lit("recovered")).build()).build()
 
 
 @query("split_ok_err", "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value, CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events")

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..operators import ordered, retrieval
+from ..sources.tables import spread
 from . import duck as D
 from . import inputs as I
 from .registry import query
 
 QUERY = "the and with license"
 
-_BM25 = f"""tok AS (SELECT doc_id, unnest({D.TOKENS.format(c='text')}) AS term FROM documents),
-  dl AS (SELECT doc_id, len({D.TOKENS.format(c='text')}) AS dl FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-  q AS (SELECT term, count(*) AS qn FROM (SELECT unnest(string_split('{QUERY}', ' ')) AS term) GROUP BY 1),
-  tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-  bm AS (SELECT doc_id, round(sum(qn * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, string_agg(term, ',' ORDER BY term) AS matched_terms FROM tf JOIN df USING (term) JOIN q USING (term) JOIN dl USING (doc_id), st GROUP BY 1)"""
+
+def bm25_sql(source: str, key: str, query: str) -> str:
+    """CTEs up to bm (key, score, matched_terms) of the texts of ``source``."""
+    return f"""tok AS (SELECT {key}, unnest({D.TOKENS.format(c='text')}) AS term FROM {source}),
+  dl AS (SELECT {key}, len({D.TOKENS.format(c='text')}) AS dl FROM {source}), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+  q AS (SELECT term, count(*) AS qn FROM (SELECT unnest(string_split('{query}', ' ')) AS term) GROUP BY 1),
+  tf AS (SELECT {key}, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  bm AS (SELECT {key}, round(sum(qn * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, string_agg(term, ',' ORDER BY term) AS matched_terms FROM tf JOIN df USING (term) JOIN q USING (term) JOIN dl USING ({key}), st GROUP BY 1)"""
+
+
+_BM25 = bm25_sql("documents", "doc_id", QUERY)
 
 
 @query("bm25_search", f"WITH {_BM25} SELECT doc_id, score, matched_terms FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
@@ -28,7 +36,7 @@ def bm25_search(spark, sf_dir):
 
 @query("bm25_stats", f"SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl, (SELECT count(DISTINCT w) FROM (SELECT unnest({D.TOKENS.format(c='text')}) AS w FROM documents)) AS vocabulary FROM (SELECT {D.TOKENS.format(c='text')} AS t FROM documents)")
 def bm25_stats(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select(T.bm25_tokens(F.col("text")).alias("t"))
+    docs = spread(I.table(spark, sf_dir, "documents").select("text")).select(T.bm25_tokens(F.col("text")).alias("t"))
     words = docs.select(F.explode("t").alias("w")).agg(F.count_distinct("w").alias("vocabulary"))
     return docs.agg(F.count("*").alias("n"), F.round(F.avg(F.size("t")), 6).alias("avgdl")).crossJoin(words)
 
@@ -37,7 +45,7 @@ _SEG = "seg AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, gene
 
 
 def segments(spark, sf_dir):
-    return I.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seg", "line"))
+    return spread(I.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seg", "line"))
 
 
 _TF = f"""{_SEG}, t AS (SELECT doc_id, seg, len({D.TF_TOKENS.format(c='line')}) AS l, unnest({D.TF_TOKENS.format(c='line')}) AS term FROM seg),
@@ -67,15 +75,18 @@ def top_terms(spark, sf_dir):
 
 
 _IMP = f"""{_TF}, sc AS (SELECT doc_id, seg, least(avg(tf * idf) / 2, 1) AS s FROM x GROUP BY 1, 2),
-  imp AS (SELECT seg.doc_id, seg.seg, line, CAST(ceil(length(line) / 4.0) AS BIGINT) AS tokens, round((0.4 * coalesce(s, 0) + 0.3 * CASE WHEN p <= 0.1 OR p >= 0.9 THEN 1.0 WHEN p <= 0.2 OR p >= 0.8 THEN 0.85 WHEN p <= 0.3 OR p >= 0.7 THEN 0.7 ELSE 0.6 END)::DOUBLE, 6) AS importance
+  imp AS (SELECT seg.doc_id, seg.seg, line, CAST(ceil(length(line) / 4.0) AS BIGINT) AS tokens, round((0.4 * coalesce(s, 0) + 0.3 * CASE WHEN p <= 0.1 OR p >= 0.9 THEN 1.0 WHEN p <= 0.2 OR p >= 0.8 THEN 0.85 WHEN p <= 0.3 OR p >= 0.7 THEN 0.7 ELSE 0.6 END + 0.3 * {D.keyword_boost('line')})::DOUBLE, 6) AS importance
     FROM (SELECT *, seg / CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE) AS p FROM seg) seg LEFT JOIN sc USING (doc_id, seg))"""
 
 
 def importance(spark, sf_dir):
-    score = terms(spark, sf_dir).groupBy("doc_id", "seg").agg(F.least(F.avg("tfidf") / 2, F.lit(1.0)).alias("s"))
-    x = segments(spark, sf_dir).withColumn("p", F.col("seg") / F.count("*").over(Window.partitionBy("doc_id")))
-    value = 0.4 * F.coalesce("s", F.lit(0.0)) + 0.3 * T.position_weight(F.col("p"))
-    return x.join(score, ["doc_id", "seg"], "left").select("doc_id", "seg", "line", T.token_count(F.col("line")).alias("tokens"), F.round(value, 6).alias("importance"))
+    """(doc_id, seg, line, tokens, importance): rare terms, place and keywords of each line, by the weights in rules."""
+    x = segments(spark, sf_dir)
+    score = retrieval.tfidf(x, "doc_id", "seg", T.tfidf_tokens(F.col("line"))).groupBy("doc_id", "seg").agg(F.least(F.avg("tfidf") / 2, F.lit(1.0)).alias("s"))
+    x = x.withColumn("p", F.col("seg") / F.count("*").over(Window.partitionBy("doc_id"))).join(score, ["doc_id", "seg"], "left")
+    parts = {"tfidf": F.coalesce("s", F.lit(0.0)), "position": T.position_weight(F.col("p")), "keyword": T.keyword_boost(F.col("line"))}
+    value = sum((w * parts[k] for k, w in R.IMPORTANCE.items()), F.lit(0.0))
+    return x.select("doc_id", "seg", "line", T.token_count(F.col("line")).alias("tokens"), F.round(value, 6).alias("importance"))
 
 
 @query("segment_importance", f"WITH {_IMP} SELECT doc_id, CAST(seg AS BIGINT) AS seg, tokens, importance FROM imp")
@@ -83,17 +94,34 @@ def segment_importance(spark, sf_dir):
     return importance(spark, sf_dir).select("doc_id", F.col("seg").cast("long").alias("seg"), "tokens", "importance")
 
 
-@query("budget_select")
+_KEPT = f"{_IMP}, g AS (SELECT doc_id, list({{'p': seg, 'c': tokens}} ORDER BY importance DESC, seg) AS xs, CAST(floor(sum(tokens) * 0.5) AS BIGINT) AS budget FROM imp GROUP BY 1), kept AS (SELECT doc_id, list_sort({D.greedy('xs', 'budget')}) AS kept FROM g)"
+
+
+@query("budget_select", f"WITH {_KEPT} SELECT * FROM kept")
 def budget_select(spark, sf_dir):
-    x = importance(spark, sf_dir).withColumn("budget", F.floor(F.sum("tokens").over(Window.partitionBy("doc_id")) * 0.5))
+    return budgeted(spark, sf_dir, 0.5)
+
+
+def budgeted(spark, sf_dir, ratio: float):
+    x = importance(spark, sf_dir).withColumn("budget", F.floor(F.sum("tokens").over(Window.partitionBy("doc_id")) * ratio))
     return ordered.greedy_budget(x, "doc_id", "seg", F.col("importance"), F.col("tokens"), F.col("budget"))
 
 
-@query("compress_semantic")
+def _semantic_sql(ratio: str) -> str:
+    return f"""WITH {_IMP}, g AS (SELECT doc_id, list({{'p': seg, 'c': tokens}} ORDER BY importance DESC, seg) AS xs, CAST(floor(sum(tokens) * {ratio}) AS BIGINT) AS budget FROM imp GROUP BY 1), kept AS (SELECT doc_id, list_sort({D.greedy('xs', 'budget')}) AS kept FROM g),
+  made AS (SELECT doc_id, text, array_to_string(list_transform(kept, lambda k: string_split(text, chr(10))[k + 1]), chr(10)) AS c FROM documents JOIN kept USING (doc_id))
+  SELECT doc_id, CASE WHEN {D.tokens('text')} < 50 OR NOT contains(text, chr(10)) THEN text ELSE c END AS compressed, {D.tokens('text')} AS original_tokens FROM made"""
+
+
+@query("compress_semantic", _semantic_sql("0.5"))
 def compress_semantic(spark, sf_dir):
     """Each document cut to half its tokens: its most important lines that fit, in order; short or one-line documents stay."""
+    return semantic(spark, sf_dir, 0.5)
+
+
+def semantic(spark, sf_dir, ratio: float):
     docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = docs.join(budget_select(spark, sf_dir), "doc_id")
+    out = docs.join(budgeted(spark, sf_dir, ratio), "doc_id")
     lines = F.split("text", "\n")
     kept = F.array_join(F.transform("kept", lambda k: F.element_at(lines, (k + 1).cast("int"))), "\n")
     same = (T.token_count(F.col("text")) < 50) | (F.size(lines) <= 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -13,7 +14,14 @@ from . import duck as D
 from . import inputs as I
 from .registry import query
 
-_TS = """ts_files AS (SELECT p_partkey AS k, 'src/m' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.js' END AS path, 'src/m' || (p_partkey * 7 % 101) AS absolute, './m' || (p_partkey * 5 % 211) AS relative FROM part)"""
+_TS = """ts_files AS (SELECT p_partkey AS k, 'src/m' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.js' END AS path, 'src/m' || (p_partkey * 7 % 101) AS absolute, './m' || (p_partkey * 5 % 211) AS relative, p_size FROM part)"""
+
+
+_CONTENT = "'import { a } from ''' || absolute || '''' || chr(10) || 'import { b } from ''' || relative || '''' || chr(10) || 'export type T = string' || chr(10) || 'export function f_' || k || '(x: number) {' || chr(10) || '  if (x) { return g_' || (k % 13) || '(x); }' || chr(10) || '  return h(b)' || chr(10) || '}' || chr(10) || 'function g_' || (k % 13) || '(x) {' || chr(10) || '  return h(x)' || chr(10) || '}' || chr(10) || 'export class C_' || p_size || ' {' || chr(10) || '  run() {}' || chr(10) || '}' || chr(10)"
+
+
+def _tokens(c: str) -> str:
+    return f"CAST(ceil(length({c}) / 4.0) AS BIGINT)"
 
 
 def ts_files(spark, sf_dir):
@@ -83,28 +91,86 @@ def related_imports(spark, sf_dir):
     return named.join(used, ["path", "name"], "left_semi").distinct()
 
 
+# Sources of each language and their elements, read off the source by hand: bucket, name, parent, first and last line, exported, detail, doc.
 _PARSED = {
-    "parse_ts": ("typescript", "import { a } from './m'\nexport function f{k}(x: number) {\n  return x\n}\nexport class C{k} {\n}\nexport interface I{k} {\n}\nexport enum E{k} { A }\nexport const v{k} = 1\n"),
-    "parse_python": ("python", "import os\n\nclass C{k}:\n    def run(self):\n        return 1\n\n\ndef f{k}(x):\n    return x\n\n\nLIMIT = {k}\n"),
-    "parse_go_code": ("go", 'package m\nimport "fmt"\ntype S{k} struct {\n\ta int\n}\nfunc (s *S{k}) Run() {\n}\nfunc f{k}(x int) int {\n\treturn x\n}\nconst Limit = 1\n'),
-    "parse_rust_code": ("rust", "use std::fmt;\npub struct S{k} {\n}\nimpl fmt::Debug for S{k} {\n}\npub fn f{k}(x: i32) -> i32 {\n    x\n}\npub trait T{k} {\n}\nconst LIMIT: i32 = 1;\n"),
-    "parse_php": ("php", "<?php\nuse App\\M;\nfinal class C{k} {\n    public function run() {\n    }\n    private function no() {\n    }\n    const LIMIT = 1;\n}\ninterface I{k} {\n}\n"),
-    "parse_swift": ("swift", "import Foundation\npublic struct S{k} {\n    let a = 1\n    func run() {\n    }\n}\npublic protocol P{k} {\n}\npublic func f{k}() {\n}\n"),
-}
-
-
-def _parser(key: str, language: str, template: str):
+    "parse_ts": (
+        "typescript",
+        "import D, { a, type b as c } from './m'\nimport 'side'\n/** Adds.\n * twice */\nexport function f{k}(x: number): string {\n  if (x) { return `}` }\n  return g(x)\n}\nexport abstract class C{k} extends B {\n  private n = 1\n  static async run(a: number): Promise<void> {\n    call()\n  }\n}\nexport interface I{k} {\n  a: string\n}\nexport type T<X> = A | B;\nexport enum E{k} { A }\nexport const v = 1\nconst h = async (x) => {\n  return 1\n}\nexport { a, v }\n",
+        [
+            ("imports", "D", None, 1, 1, False, "./m", ""), ("imports", "a", None, 1, 1, False, "./m", ""), ("imports", "c", None, 1, 1, False, "./m", ""), ("imports", "side", None, 2, 2, False, "side", ""),
+            ("functions", "f{k}", None, 5, 8, True, "export function f{k}(x: number): string", "Adds.\ntwice"), ("classes", "C{k}", None, 9, 14, True, "export abstract class C{k} extends B", ""),
+            ("functions", "run", "C{k}", 11, 13, False, "static async run(a: number): Promise<void>", ""), ("interfaces", "I{k}", None, 15, 17, True, "export interface I{k}", ""), ("types", "T", None, 18, 18, True, "A | B", ""),
+            ("enums", "E{k}", None, 19, 19, True, "export enum E{k}", ""), ("variables", "v", None, 20, 20, True, "1", ""), ("functions", "h", None, 21, 23, False, "const h = async (x) =>", ""),
+            ("exports", "a", None, 24, 24, True, "a", ""), ("exports", "v", None, 24, 24, True, "v", ""),
+        ],
+    ),
+    "parse_python": (
+        "python",
+        "import os\nfrom a.b import c as d\nLIMIT = {k}\n\n\nclass C{k}(Base):\n    \"\"\"Doc.\"\"\"\n\n    def run(self, x: int) -> int:\n        return 1\n\n\nasync def f{k}(x):\n    return x\n\n\ndef _hidden():\n    pass\n",
+        [
+            ("imports", "os", None, 1, 1, False, "os", ""), ("imports", "d", None, 2, 2, False, "a.b", ""), ("variables", "LIMIT", None, 3, 3, True, "{k}", ""), ("classes", "C{k}", None, 6, 10, True, "class C{k}(Base)", "Doc."),
+            ("functions", "run", "C{k}", 9, 10, True, "def run(self, x: int) -> int", ""), ("functions", "f{k}", None, 13, 14, True, "async def f{k}(x)", ""), ("functions", "_hidden", None, 17, 18, False, "def _hidden()", ""),
+        ],
+    ),
+    "parse_go_code": (
+        "go",
+        'package m\nimport (\n\t"fmt"\n\tx "a/b"\n)\n// S is.\ntype S{k} struct {\n\ta int\n}\ntype N interface {\n\t~int | ~string\n}\ntype R{k} interface {\n\tRun()\n}\nfunc (s *S{k}) Run() {\n}\nfunc f{k}(x int) (int, error) {\n\treturn x, nil\n}\nconst Limit = 1\nvar (\n\tA = 2\n\tb = 3\n)\n',
+        [
+            ("imports", "fmt", None, 3, 3, False, "fmt", ""), ("imports", "x", None, 4, 4, False, "a/b", ""), ("classes", "S{k}", None, 7, 9, True, "type S{k} struct", "S is."), ("types", "N", None, 10, 12, True, "type N interface { ~int | ~string }", ""),
+            ("interfaces", "R{k}", None, 13, 15, True, "type R{k} interface", ""), ("functions", "Run", "S{k}", 16, 17, True, "func (s *S{k}) Run()", ""), ("functions", "f{k}", None, 18, 20, False, "func f{k}(x int) (int, error)", ""),
+            ("variables", "Limit", None, 21, 21, True, "1", ""), ("variables", "A", None, 23, 23, True, "2", ""), ("variables", "b", None, 24, 24, False, "3", ""),
+        ],
+    ),
+    "parse_rust_code": (
+        "rust",
+        "use std::fmt;\nuse a::{b, c as d};\n/// Doc.\npub struct S{k} {\n  a: i32,\n}\nimpl fmt::Debug for S{k} {\n  fn fmt(&self) -> i32 {\n    1\n  }\n}\nimpl S{k} {\n  pub fn new() -> S{k} { S{k} { a: 1 } }\n}\npub fn f{k}<'a>(x: &'a i32) -> i32 {\n  let c = '{';\n  *x\n}\npub trait T{k} {\n  type Out;\n}\nconst LIMIT: i32 = 1;\n#[macro_export]\nmacro_rules! mm {\n  () => {}\n}\nmod inner;\n",
+        [
+            ("imports", "fmt", None, 1, 1, False, "std::fmt", ""), ("imports", "b", None, 2, 2, False, "a::b", ""), ("imports", "d", None, 2, 2, False, "a::c as d", ""), ("classes", "S{k}", None, 4, 6, True, "pub struct S{k}", "Doc."),
+            ("interfaces", "impl fmt::Debug for S{k}", None, 7, 11, False, "impl fmt::Debug for S{k}", ""), ("functions", "fmt", "S{k}", 8, 10, False, "fn fmt(&self) -> i32", ""), ("functions", "new", "S{k}", 13, 13, True, "pub fn new() -> S{k}", ""),
+            ("functions", "f{k}", None, 15, 18, True, "pub fn f{k}<'a>(x: &'a i32) -> i32", ""), ("interfaces", "T{k}", None, 19, 21, True, "pub trait T{k}", ""), ("types", "Out", "T{k}", 20, 20, False, "type Out", ""), ("variables", "LIMIT", None, 22, 22, False, "1", ""),
+            ("functions", "mm", None, 24, 26, True, "macro_rules! mm", ""), ("classes", "inner", None, 27, 27, False, "mod inner", ""),
+        ],
+    ),
+    "parse_php": (
+        "php",
+        "<?php\nuse App\\M;\nfinal class C{k} {\n    private ?int $n = 1;\n    /** Runs. */\n    public function run($x) {\n    }\n    private function no() {\n    }\n    const LIMIT = 1;\n}\ninterface I{k} {\n    function q();\n}\nenum S: string {\n    case A = 'a';\n}\n",
+        [
+            ("imports", "M", None, 2, 2, False, "App\\M", ""), ("classes", "C{k}", None, 3, 11, True, "final class C{k}", ""), ("variables", "n", "C{k}", 4, 4, False, "1", ""), ("functions", "run", "C{k}", 6, 7, True, "public function run($x)", "Runs."),
+            ("functions", "no", "C{k}", 8, 9, False, "private function no()", ""), ("variables", "LIMIT", "C{k}", 10, 10, True, "1", ""), ("interfaces", "I{k}", None, 12, 14, True, "interface I{k}", ""), ("functions", "q", "I{k}", 13, 13, True, "function q()", ""),
+            ("types", "S", None, 15, 17, True, "enum S: string", ""), ("variables", "A", "S", 16, 16, True, "'a'", ""),
+        ],
+    ),
+    "parse_swift": (
+        "swift",
+        "import Foundation\npublic struct S{k} {\n    let a = 1\n    init() {\n    }\n    public func run(_ x: Int) -> Int {\n        return x\n    }\n}\npublic protocol P{k} {\n    associatedtype X\n}\nextension S{k} {\n}\npublic func f{k}() {\n}\n",
+        [
+            ("imports", "Foundation", None, 1, 1, False, "Foundation", ""), ("classes", "S{k}", None, 2, 9, True, "public struct S{k}", ""), ("variables", "a", "S{k}", 3, 3, False, "1", ""), ("functions", "init", "S{k}", 4, 5, False, "init()", ""),
+            ("functions", "run", "S{k}", 6, 8, True, "public func run(_ x: Int) -> Int", ""), ("interfaces", "P{k}", None, 10, 12, True, "public protocol P{k}", ""), ("types", "X", "P{k}", 11, 11, False, "associatedtype X", ""),
+            ("types", "S{k}", None, 13, 14, False, "extension S{k}", ""), ("functions", "f{k}", None, 15, 16, True, "public func f{k}()", ""),
+        ],
+    ),
+}
+
+
+def elements_sql(rows: list[tuple], source: str, path: str, key: str) -> str:
+    """Elements ``rows`` for each row of ``source``; ``{k}`` stands for the key."""
+    text = lambda v: "CAST(NULL AS VARCHAR)" if v is None else f"replace({D.q(v)}, '{{k}}', CAST({key} AS VARCHAR))"
+    one = "SELECT {p} AS path, {0} AS bucket, {1} AS name, {2} AS parent, {3} AS start_line, {4} AS end_line, {5} AS exported, {6} AS detail, {7} AS doc FROM {s}"
+    return " UNION ALL ".join(one.format(D.q(r[0]), text(r[1]), text(r[2]), r[3], r[4], r[5], text(r[6]), text(r[7]), p=path, s=source) for r in rows)
+
+
+def _parser(key: str, language: str, template: str, rows: list[tuple]):
     def run(spark, sf_dir):
         ship(spark)
         content = F.replace(F.lit(template), F.lit("{k}"), F.col("p_partkey").cast("string"))
         return code.parse_code(I.table(spark, sf_dir, "part").select(F.concat(F.lit("src/"), "p_partkey").alias("path"), content.alias("content")), language)
 
     run.__name__ = key
-    query(key)(run)
+    query(key, elements_sql(rows, "part", "'src/' || p_partkey", "p_partkey"))(run)
 
 
-for _key, (_language, _template) in _PARSED.items():
-    _parser(_key, _language, _template)
+for _key, (_language, _template, _rows) in _PARSED.items():
+    _parser(_key, _language, _template, _rows)
 
 
 def parsed_ts(spark, sf_dir):
@@ -112,19 +178,19 @@ def parsed_ts(spark, sf_dir):
     return code.parse_code(ts_files(spark, sf_dir), "typescript")
 
 
-@query("pipe_parse")
+@query("pipe_parse", f"WITH {_TS} SELECT path, 2 AS imports, 3 AS functions, 1 AS classes, 1 AS types, 3 AS exports FROM ts_files")
 def pipe_parse(spark, sf_dir):
     """The structure of each file as one row of counts."""
     g = parsed_ts(spark, sf_dir).groupBy("path")
     return g.agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in ("imports", "functions", "classes", "types")], F.count_if("exported").alias("exports"))
 
 
-@query("search_elements")
+@query("search_elements", f"WITH {_TS} SELECT path, 'functions' AS bucket, 'f_' || k AS name, 4 AS start_line, 7 AS end_line FROM ts_files WHERE contains('f_' || k, 'f_1')")
 def search_elements(spark, sf_dir):
     return parsed_ts(spark, sf_dir).where(F.lower("name").contains("f_1")).select("path", "bucket", "name", "start_line", "end_line")
 
 
-@query("extract_element")
+@query("extract_element", f"WITH {_TS} SELECT path, 'f_' || k AS name, 4 AS start_line, 7 AS end_line, array_to_string(string_split({_CONTENT}, chr(10))[4:7], chr(10)) AS body FROM ts_files")
 def extract_element(spark, sf_dir):
     """The lines of each file's exported functions."""
     x = parsed_ts(spark, sf_dir).where("bucket = 'functions' and exported").join(ts_files(spark, sf_dir).select("path", "content"), "path")
@@ -138,7 +204,7 @@ def calls(bodies):
     return bodies.select("path", "name", found.alias("called")).where(~F.col("called").isin(R.NOT_CALLS) & (F.col("called") != F.col("name")))
 
 
-@query("call_graph")
+@query("call_graph", f"WITH {_TS} SELECT path, 'f_' || k AS root, 'f_' || k AS name, 0 AS depth FROM ts_files UNION ALL SELECT path, 'f_' || k, 'g_' || (k % 13), 1 FROM ts_files UNION ALL SELECT path, 'f_' || k, 'h', 1 FROM ts_files")
 def call_graph(spark, sf_dir):
     """(path, root, name, depth): functions of the same file reached by calls from each exported function, to a depth of 3."""
     x = parsed_ts(spark, sf_dir).where("bucket = 'functions'").join(ts_files(spark, sf_dir).select("path", "content"), "path")
@@ -151,7 +217,7 @@ def call_graph(spark, sf_dir):
     return reached.groupBy("path", "root", "name").agg(F.min("depth").alias("depth"))
 
 
-@query("file_dependencies")
+@query("file_dependencies", f"WITH {_TS}, c AS (SELECT a.path, a.relative AS source, v.i, regexp_replace(a.path, '/[^/]*$', '') || substring(a.relative, 2) || v.e AS candidate FROM ts_files a, (VALUES {_CANDIDATES}) v(i, e)) SELECT c.path, c.source, arg_min(f.path, c.i) AS resolved, 3 AS exports FROM c LEFT JOIN ts_files f ON f.path = c.candidate GROUP BY 1, 2 UNION ALL SELECT path, absolute, NULL, 3 FROM ts_files")
 def file_dependencies(spark, sf_dir):
     """Each file's imports, what they resolve to, and the number of its exports."""
     x = ts_files(spark, sf_dir)
@@ -160,80 +226,76 @@ def file_dependencies(spark, sf_dir):
     return resolved(imports, x.select("path")).join(exports, "path", "left")
 
 
-def skeleton(content: str) -> str:
-    """Signatures, imports, types and exports of a brace language; bodies of functions and classes become ``{ ... }``."""
-    import re
+def skeletons(df, key: str, content: str = "content"):
+    """(key, skeleton): imports, types, exports and signatures of a brace language; the body of a function or class is told by ``{ ... }``.
 
-    out: list[str] = []
-    depth, held = 0, None
-    opens = re.compile(r"^(export\s+)?((async\s+)?function\s+\w+|(abstract\s+)?class\s+\w+|const\s+\w+\s*=\s*(async\s+)?\([^)]*\)\s*(=>|:))")
-    kept = ("import ", "from ", "export type ", "export interface ", "type ", "interface ", "export ")
-    for line in content.split("\n"):
-        bare = line.strip()
-        if held is not None:
-            depth += line.count("{") - line.count("}")
-            if depth <= 0:
-                out.append(held + " { ... }")
-                held = None
-        elif (m := opens.match(bare)) and "{" in bare and (line.count("{") > line.count("}")):
-            held, depth = re.sub(r"\{[^}]*$", "", line).strip(), line.count("{") - line.count("}")
-        elif m and "=>" in bare and "{" not in bare:
-            out.append(line.split("=>")[0] + "=> ...")
-        elif m or bare.startswith(kept):
-            out.append(line)
-    if held is not None:
-        out.append(held + " { ... }")
-    return "\n".join(out)
+    Lines are judged apart from each other: the braces opened before a line say whether it stands in a body, which a running sum tells. A body that
+    never closes hides the rest of the file. Null content has the empty skeleton.
+    """
+    lines = df.select(key, F.posexplode(F.split(F.coalesce(content, F.lit("")), "\n")).alias("pos", "line"))
+    line, bare = F.col("line"), F.trim("line")
+    opened = F.length(F.regexp_replace(line, r"[^{]", "")) - F.length(F.regexp_replace(line, r"[^}]", ""))
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("opened", opened).withColumn("inside", F.coalesce(F.sum("opened").over(before), F.lit(0)) > 0)
+    arrow = T.any_of(bare, R.SKELETON_FUNCTION) & line.contains("=>") & ~line.contains("{")
+    signature = T.any_of(bare, R.SKELETON_FUNCTION + R.SKELETON_CLASS)
+    told = (
+        F.when(signature & (F.col("opened") > 0), F.concat(F.trim(F.regexp_replace(line, r"\{[^}]*\z", "")), F.lit(R.SKELETON_BODY)))
+        .when(arrow, F.concat(F.substring_index(line, "=>", 1), F.lit(R.SKELETON_ARROW)))
+        .when(signature | bare.rlike(R.SKELETON_KEPT), line)
+    )
+    told = F.when(~F.col("inside") & told.isNotNull(), F.struct("pos", told.alias("t")))
+    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda x: x["t"]), "\n").alias("skeleton"))
+
+
+_SKELETON = "'import { a } from ''' || absolute || '''' || chr(10) || 'import { b } from ''' || relative || '''' || chr(10) || 'export type T = string' || chr(10) || 'export function f_' || k || '(x: number) { ... }' || chr(10) || 'function g_' || (k % 13) || '(x) { ... }' || chr(10) || 'export class C_' || p_size || ' { ... }'"
+
+
+@query("skeleton_brace", f"WITH {_TS} SELECT path, {_SKELETON} AS skeleton FROM ts_files")
+def skeleton_brace(spark, sf_dir):
+    return skeletons(ts_files(spark, sf_dir), "path")
 
 
-def skeletons(df, content: str = "content"):
-    """``df`` with ``skeleton``; null where the content is."""
+_MULTIFILE = f"""{_TS}, j AS (SELECT *, k % 40 AS project, count(*) OVER (PARTITION BY k % 40, absolute) >= 2 AS shared_import,
+  'import {{ a }} from ''' || absolute || '''' || chr(10) AS head, {_CONTENT} AS content, {_SKELETON} AS skeleton FROM ts_files),
+  l AS (SELECT *, CASE WHEN shared_import THEN substring(content, length(head) + 1) ELSE content END AS lean, CASE WHEN shared_import THEN substring(skeleton, length(head) + 1) ELSE skeleton END AS thin FROM j)"""
 
-    @F.pandas_udf("string")
-    def made(s: pd.Series) -> pd.Series:
-        return s.map(lambda c: None if c is None else skeleton(c))
 
-    return df.withColumn("skeleton", made(content))
+@query("compress_multifile", f"WITH {_MULTIFILE} SELECT path, shared_import, {_tokens('content')} AS tokens, {_tokens('lean')} AS lean_tokens, {_tokens('thin')} AS skeleton_tokens FROM l")
+def compress_multifile(spark, sf_dir):
+    """Files without the imports that two or more of a project's files share, and as skeletons; with their tokens before and after."""
+    y = lean_files(spark, sf_dir)
+    y = y.join(skeletons(y, "path", "lean"), "path")
+    return y.select("path", "shared_import", T.token_count(F.col("content")).alias("tokens"), T.token_count(F.col("lean")).alias("lean_tokens"), T.token_count(F.col("skeleton")).alias("skeleton_tokens"))
 
 
-@query("skeleton_brace")
-def skeleton_brace(spark, sf_dir):
-    ship(spark)
-    return skeletons(ts_files(spark, sf_dir).select("path", "content")).select("path", "skeleton")
+def lean_files(spark, sf_dir):
+    """(project, path, content, shared_import, lean): ``lean`` lacks the import line that other files of the project have too."""
+    x = ts_files(spark, sf_dir).select((F.col("k") % 40).alias("project"), "path", "absolute", "content")
+    y = x.withColumn("shared_import", F.count("*").over(Window.partitionBy("project", "absolute")) >= 2)
+    gone = F.replace("content", F.concat(F.lit("import { a } from '"), "absolute", F.lit("'\n")), F.lit(""))
+    return y.withColumn("lean", F.when(F.col("shared_import"), gone).otherwise(F.col("content")))
 
 
-@query("compress_multifile")
-def compress_multifile(spark, sf_dir):
-    """Files without the imports that two or more of a folder's files share, and as skeletons; with their tokens before and after."""
-    ship(spark)
-    x = ts_files(spark, sf_dir).select((F.col("k") % 40).alias("project"), "path", "absolute", "content")
-    shared = x.groupBy("project", "absolute").agg(F.count_distinct("path").alias("n")).where("n >= 2").select("project", "absolute", F.lit(True).alias("shared"))
-    y = x.join(shared, ["project", "absolute"], "left")
-    gone = F.when(F.col("shared"), F.replace("content", F.concat(F.lit("import { a } from '"), "absolute", F.lit("'\n")), F.lit(""))).otherwise(F.col("content"))
-    y = skeletons(y.withColumn("lean", gone), "lean")
-    return y.select("path", F.coalesce("shared", F.lit(False)).alias("shared_import"), T.token_count(F.col("content")).alias("tokens"), T.token_count(F.col("lean")).alias("lean_tokens"), T.token_count(F.col("skeleton")).alias("skeleton_tokens"))
-
-
-def pack(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Chunks of a project's files: each begins with the first file left and takes in what it depends on, breadth first, while tokens last."""
-    tokens = dict(zip(pdf["path"], pdf["tokens"], strict=True))
-    deps = dict(zip(pdf["path"], pdf["deps"], strict=True))
-    done: dict[str, int] = {}
-    chunk = 0
-    for first in sorted(tokens):
-        if first in done:
-            continue
-        queue, used, at = [first], 0, 0
-        while at < len(queue) and used < most:
-            path = queue[at]
-            at += 1
-            if path in done or (used and used + tokens[path] > most):
-                continue
-            done[path] = chunk
-            used += tokens[path]
-            queue += [d for d in deps[path] if d in tokens and d not in done]
-        chunk += 1
-    return pd.DataFrame({"project": pdf["project"].iloc[0], "path": list(done), "chunk": list(done.values())})
+def chunked(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+    """(project, path, chunk): the files of a project dealt into chunks of at most ``most`` tokens, related files together.
+
+    A chunk is seeded by the smallest path without a chunk and spreads along dependencies, all files at one distance before those at the next.
+    A file joins if it has no chunk yet and its tokens still fit; one that doesn't fit brings none of its dependencies. A seed always joins.
+    """
+    cost = pdf.set_index("path")["tokens"].to_dict()
+    needs = pdf.set_index("path")["deps"].to_dict()
+    home: dict[str, int] = {}
+    for chunk, seed in enumerate(p for p in sorted(cost) if p not in home):
+        home[seed], room, ring = chunk, most - cost[seed], [seed]
+        while ring and room > 0:
+            ahead = dict.fromkeys(d for path in ring for d in needs[path] if d in cost)
+            ring = []
+            for path in ahead:
+                if path not in home and 0 < room >= cost[path]:
+                    home[path], room = chunk, room - cost[path]
+                    ring.append(path)
+    return pd.DataFrame({"project": pdf["project"].iloc[0], "path": list(home), "chunk": list(home.values())})
 
 
 @query("chunk_files")
@@ -243,4 +305,4 @@ def chunk_files(spark, sf_dir):
     x = ts_files(spark, sf_dir).select(F.floor(F.col("k") / 40).alias("project"), "path", "absolute", T.token_count(F.col("content")).alias("tokens"))
     deps = contained(x.select("path", F.col("absolute").alias("source"))).groupBy("path").agg(F.array_sort(F.collect_set("dep")).alias("deps"))
     y = x.join(deps, "path", "left").select("project", "path", "tokens", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
-    return y.groupBy("project").applyInPandas(lambda pdf: pack(pdf, 200), "project long, path string, chunk long")
+    return y.groupBy("project").applyInPandas(lambda pdf: chunked(pdf, 200), "project long, path string, chunk long")

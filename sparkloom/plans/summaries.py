@@ -8,72 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import clustering, config, ordered, retrieval
+from ..operators import config, ordered, retrieval
 from ..ship import ship
 from . import detect
 from . import duck as D
 from . import inputs as I
 from .logs import _SCORES, joined, scored
-from .more import _leaders, _parsed_tests
+from .more import _parsed_tests
 from .registry import query
 
-_NORM = f"trim({D.rewrite('lower(message)', R.LOG_CLUSTER)})"
 _LEVELS = ["error", "warning", "info", "debug"]
-_DOMINANT_SQL = "CASE greatest(error, warning, info, debug) " + " ".join(f"WHEN {x} THEN '{x}'" for x in _LEVELS) + " END"
-
-
-@query("cluster_profiles", f"""WITH {_SCORES}, c AS (SELECT l.doc_id, {_NORM} AS cluster, l.pos, l.message, l.ts_text, l.lvl, s.score FROM log_lines l JOIN log_scores s USING (doc_id, pos)),
-  g AS (SELECT doc_id, cluster, count(*) AS n, avg(score) AS mean, arg_min(message, (-score, pos)) AS representative, min(ts_text) AS first_seen, max(ts_text) AS last_seen, round(avg(length(message)), 6) AS mean_length, {", ".join(f"count(*) FILTER (lvl = '{x}') AS {x}" for x in _LEVELS)} FROM c GROUP BY 1, 2),
-  d AS (SELECT *, {_DOMINANT_SQL} AS dominant FROM g)
-  SELECT doc_id, cluster, n, representative, first_seen, last_seen, mean_length, dominant, round(least(1, mean + least(n / 10.0, 0.3) + CASE dominant WHEN 'error' THEN 0.2 WHEN 'warning' THEN 0.1 ELSE 0 END)::DOUBLE, 5) AS importance FROM d""")
-def cluster_profiles(spark, sf_dir):
-    """Clusters named by their normalised message: size, levels, best entry and importance, by the scores in their document."""
-    lines = I.log_lines(spark, sf_dir).select("doc_id", "pos", "message", "ts_text", T.normalize_log_cluster(F.col("message")).alias("cluster"))
-    g = lines.join(scored(spark, sf_dir), ["doc_id", "pos"]).groupBy("doc_id", "cluster")
-    g = g.agg(
-        F.count("*").alias("n"),
-        F.avg("score").alias("mean"),
-        F.min_by("message", F.struct(-F.col("score"), "pos")).alias("representative"),
-        F.min("ts_text").alias("first_seen"),
-        F.max("ts_text").alias("last_seen"),
-        F.round(F.avg(F.length("message")), 6).alias("mean_length"),
-        *[F.count_if(F.col("lvl") == x).alias(x) for x in _LEVELS],
-    )
-    most, dominant = F.greatest(*_LEVELS), F.lit(None).cast("string")
-    for x in reversed(_LEVELS):
-        dominant = F.when(F.col(x) == most, x).otherwise(dominant)
-    bonus = F.when(F.col("dominant") == "error", 0.2).when(F.col("dominant") == "warning", 0.1).otherwise(0.0)
-    g = g.withColumn("dominant", dominant)
-    return g.select("doc_id", "cluster", "n", "representative", "first_seen", "last_seen", "mean_length", "dominant", F.round(F.least(F.lit(1.0), F.col("mean") + F.least(F.col("n") / 10, F.lit(0.3)) + bonus), 5).alias("importance"))
-
-
-@query("merge_clusters")
-def merge_clusters(spark, sf_dir):
-    """Clusters whose leaders are alike at 0.8 merged, in order of their size."""
-    return merged(_leaders(spark, sf_dir), 0.8)
-
-
-def merged(x, threshold: float):
-    """(doc_id, leader, merged): the leader that each cluster goes to; larger clusters lead."""
-    sizes = x.groupBy("doc_id", "leader").agg(F.sum("n").alias("size"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), "leader")).cast("long")
-    heads = clustering.leaders(sizes.select("doc_id", F.col("leader").alias("norm"), rank.alias("pos")), "doc_id", "pos", "norm", threshold)
-    return heads.select("doc_id", F.col("norm").alias("leader"), F.col("leader").alias("merged"))
-
-
-@query("hierarchical_clusters")
-def hierarchical_clusters(spark, sf_dir):
-    """Clusters at 0.9, merged at 0.75 and again at 0.6: (doc_id, level, clusters, largest)."""
-    ship(spark)
-    lines = I.log_lines(spark, sf_dir).withColumn("norm", T.normalize_log_cluster(F.col("message")))
-    now = clustering.leaders(lines, "doc_id", "pos", "norm", 0.9).select("doc_id", "leader", "n")
-    out = None
-    for level, threshold in enumerate((0.9, 0.75, 0.6)):
-        if level:
-            now = now.join(merged(now, threshold), ["doc_id", "leader"]).select("doc_id", F.col("merged").alias("leader"), "n")
-        told = now.groupBy("doc_id", "leader").agg(F.sum("n").alias("size")).groupBy("doc_id").agg(F.count("*").alias("clusters"), F.max("size").alias("largest")).withColumn("level", F.lit(level))
-        out = told if out is None else out.unionByName(told)
-    return out
 
 
 @query("hier_critical", f"WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lvl ORDER BY score DESC, pos) AS r FROM log_scores WHERE lvl IN ('error', 'warning')) SELECT doc_id, pos, lvl, score FROM r WHERE r <= CASE lvl WHEN 'error' THEN 20 ELSE 10 END QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lvl, pos) <= 20")
@@ -84,7 +28,10 @@ def hier_critical(spark, sf_dir):
     return x.where("r <= 20").select("doc_id", "pos", "lvl", "score")
 
 
-@query("section_findings")
+@query("section_findings", f"""WITH {D.LOG_LINES}, x AS (SELECT *, (pos - 1) // 20 AS section FROM log_lines), c AS (SELECT doc_id, section, count(*) FILTER (lvl = 'error') AS e, count(*) FILTER (lvl = 'warning') AS w FROM x GROUP BY 1, 2),
+  p AS (SELECT doc_id, section, trim({D.rewrite('lower(message)', R.LOG_PATTERN)}) AS p, count(*) AS n FROM x WHERE lvl = 'error' GROUP BY 1, 2, 3 HAVING count(*) > 1), o AS (SELECT doc_id, section, arg_max(p, (n, p)) AS common FROM p GROUP BY 1, 2),
+  m AS (SELECT doc_id, section, max(n) AS most, avg(n) AS mean FROM (SELECT doc_id, section, substring(ts_text, 1, 16) AS minute, count(*) AS n FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2)
+  SELECT doc_id, section, concat_ws('; ', CASE WHEN e > 0 THEN e || ' error' || CASE WHEN e > 1 THEN 's' ELSE '' END || ' detected' END, CASE WHEN w > 0 THEN w || ' warning' || CASE WHEN w > 1 THEN 's' ELSE '' END END, 'Common error: ' || substring(common, 1, 50), CASE WHEN most > 3 * mean THEN 'Activity spike detected (' || most || 'x normal)' END) AS findings FROM c LEFT JOIN o USING (doc_id, section) LEFT JOIN m USING (doc_id, section)""")
 def section_findings(spark, sf_dir):
     """Up to four findings for each section of 20 lines: errors, warnings, the commonest error, spikes."""
     keys = ["doc_id", "section"]
@@ -130,7 +77,7 @@ def hunks_scored(spark, sf_dir):
     return h.join(terms, ["diff", "hunk"], "left").select("diff", "hunk", "content", "changes", score.alias("score"))
 
 
-@query("diff_semantic")
+@query("diff_semantic", f"WITH {_HUNKS}, hs AS (SELECT h.diff, h.hunk, content, {D.tokens('content')} AS tokens, round(greatest(0, least(1, coalesce(s, 0) + CASE WHEN {D.any_of('content', [_FAILS])} THEN 0.3 ELSE 0 END + CASE WHEN {D.any_of('content', [_DEFINITION])} THEN 0.2 ELSE 0 END + least(changes / 50.0, 0.2)))::DOUBLE, 6) AS score FROM hunks h LEFT JOIN sc USING (diff, hunk)), g AS (SELECT diff, list({{'p': hunk, 'c': tokens}} ORDER BY score DESC, hunk) AS xs, CAST(floor(sum(tokens) / 2) AS BIGINT) AS budget FROM hs GROUP BY 1), k AS (SELECT diff, unnest({D.greedy('xs', 'budget')}) AS hunk FROM g) SELECT diff, string_agg(content, chr(10) ORDER BY hunk) AS compressed FROM hs JOIN k USING (diff, hunk) GROUP BY 1")
 def diff_semantic(spark, sf_dir):
     """The best hunks of each diff within half its tokens, greedily; one that doesn't fit is skipped."""
     x = hunks_scored(spark, sf_dir).withColumn("tokens", T.token_count(F.col("content")))
@@ -139,34 +86,26 @@ def diff_semantic(spark, sf_dir):
     return joined(x.join(kept, ["diff", "hunk"]), "diff", "hunk", "content", "compressed")
 
 
-_VARIABLES = r"<([A-Z]+)>"
-
+def _names(to: str) -> str:
+    return to.strip("<>'\"")
 
-@query("log_template_vars")
-def log_template_vars(spark, sf_dir):
-    """(event_id, template, name, value): what stands in a line for each variable of its template."""
-    ship(spark)
 
-    @F.pandas_udf("array<struct<name: string, value: string>>")
-    def values(raw: pd.Series) -> pd.Series:
-        import re
+_VARS_SQL = "list_concat(" * (len(R.TEMPLATE) - 1) + ", ".join("list_transform(regexp_extract_all(" + D.rewrite("raw", R.TEMPLATE[:i]) + f", {D.q(p)}), lambda v, j: {{'name': '{_names(to)}_' || j, 'value': v}})" + (")" if i else "") for i, (p, to) in enumerate(R.TEMPLATE))
 
-        rules = [(re.compile(p, re.A), to) for p, to in R.TEMPLATE]
 
-        def one(line: str | None) -> list[dict]:
-            out, counts = [], {}
-            for rx, to in rules:
-                for m in rx.finditer(line or ""):
-                    name = to.strip("<>'\"")
-                    counts[name] = counts.get(name, 0) + 1
-                    out.append({"name": f"{name}_{counts[name]}", "value": m[0]})
-                line = rx.sub(to, line or "")
-            return out
+@query("log_template_vars", f"WITH {D.RICH}, v AS (SELECT event_id, {D.rewrite('raw', R.TEMPLATE)} AS template, unnest({_VARS_SQL}) AS v FROM rich) SELECT event_id, template, v.name AS name, v.value AS value FROM v")
+def log_template_vars(spark, sf_dir):
+    """(event_id, template, name, value): what stands in a line for each variable of its template, numbered within its class."""
+    found = []
+    for i, (pattern, to) in enumerate(R.TEMPLATE):  # each class is looked for in what the classes before it left
+        values = F.regexp_extract_all(T.rewrite(F.col("raw"), R.TEMPLATE[:i]), F.lit(T.java(pattern)), F.lit(0))
+        found.append(_numbered(values, _names(to)))
+    x = I.rich_lines(spark, sf_dir).select("event_id", T.log_template(F.col("raw")).alias("template"), F.explode(F.concat(*found)).alias("v"))
+    return x.select("event_id", "template", "v.name", "v.value")
 
-        return raw.map(one)
 
-    x = I.rich_lines(spark, sf_dir).select("event_id", T.log_template(F.col("raw")).alias("template"), F.explode(values("raw")).alias("v"))
-    return x.select("event_id", "template", "v.name", "v.value")
+def _numbered(values, name: str):
+    return F.transform(values, lambda v, j: F.struct(F.concat(F.lit(name + "_"), j + 1).alias("name"), v.alias("value")))
 
 
 # Summaries by log type.
@@ -199,7 +138,10 @@ def summarize_build(spark, sf_dir):
     return g.select("doc_id", F.concat("total", F.lit(" errors: "), F.array_join(F.transform("x", lambda v: v["s"]), ", ")).alias("overview"))
 
 
-@query("summarize_generic")
+_COUNTS_SQL = ", ".join(f"count(*) FILTER (lvl = '{v}') AS {v}" for v in _LEVELS)
+
+
+@query("summarize_generic", f"WITH {_SCORES}, c AS (SELECT doc_id, count(*) AS lines, {_COUNTS_SQL} FROM log_lines GROUP BY 1), r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS r FROM log_scores), b AS (SELECT doc_id, string_agg(message, chr(10) ORDER BY r) AS entries FROM r JOIN log_lines USING (doc_id, pos) WHERE r <= 5 GROUP BY 1), t AS (SELECT doc_id, {D.rewrite('message', R.TEMPLATE)} AS t, count(*) AS n FROM log_lines GROUP BY 1, 2), m AS (SELECT doc_id, arg_max(t, (n, t)) AS template FROM t GROUP BY 1) SELECT * FROM c JOIN b USING (doc_id) JOIN m USING (doc_id)")
 def summarize_generic(spark, sf_dir):
     """Each document's level counts, its five best entries and its commonest template."""
     x = I.log_lines(spark, sf_dir)
@@ -207,102 +149,3 @@ def summarize_generic(spark, sf_dir):
     best = scored(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))).where("r <= 5").join(x.select("doc_id", "pos", "message"), ["doc_id", "pos"])
     common = x.groupBy("doc_id", T.log_template(F.col("message")).alias("t")).agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("t", F.struct("n", "t")).alias("template"))
     return counts.join(joined(best, "doc_id", "r", "message", "entries"), "doc_id").join(common, "doc_id")
-
-
-# Stack traces.
-
-
-def trace_lines(spark, sf_dir):
-    """(doc_id, pos, raw): a trace for each user, a frame for each event."""
-    x = I.log_lines(spark, sf_dir)
-    where = F.when(F.col("event_type").isin("click", "view"), F.lit("node_modules/lib/index.js:1:2")).otherwise(F.concat(F.lit("/src/a"), F.col("event_id") % 7, F.lit(".ts:3:4")))
-    frame = F.concat(F.lit("    at f"), "event_id", F.lit(" ("), where, F.lit(")"))
-    return x.select("doc_id", "pos", F.when(F.col("pos") == 1, F.concat(F.lit("TypeError: bad value "), "doc_id")).otherwise(frame).alias("raw"))
-
-
-def collapsed(lines):
-    """Lines with each run of internal frames told by one line with their number."""
-    internal = F.col("raw").rlike(r"^\s+at\s") & T.any_of(F.col("raw"), R.INTERNAL_FRAME)
-    marked = lines.withColumn("inside", F.coalesce(internal, F.lit(False)))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    marked = marked.withColumn("fresh", (~(F.col("inside") & F.coalesce(F.lag("inside").over(w), F.lit(False)))).cast("int")).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = marked.groupBy("doc_id", "run").agg(F.min("pos").alias("pos"), F.count("*").alias("n"), F.min_by("raw", "pos").alias("raw"), F.bool_and("inside").alias("inside"))
-    return g.select("doc_id", "pos", F.when(F.col("inside"), F.concat(F.lit("    ... ("), "n", F.lit(" internal frames omitted)"))).otherwise(F.col("raw")).alias("raw"))
-
-
-@query("compress_stacktrace")
-def compress_stacktrace(spark, sf_dir):
-    return joined(collapsed(trace_lines(spark, sf_dir)), "doc_id", "pos", "raw", "compressed")
-
-
-# Dispatch.
-
-
-def unique_lines(c):
-    """Distinct lines in order, each with its number if there are several."""
-    lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    return F.array_join(F.array_distinct(lines), "\n")
-
-
-def grouped_errors(c):
-    """The first line of each shape, with the number of lines of that shape if there are several; shapes have positions, quoted parts and numbers made alike."""
-    lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    both = F.array(F.struct(lines.alias("lines"), F.transform(lines, T.normalize_error).alias("shapes")))  # one element, so that it is made once
-
-    def line(s, shape):
-        n = F.size(F.filter(s["shapes"], lambda x: x == shape))
-        return F.concat(F.element_at(s["lines"], F.array_position(s["shapes"], shape).cast("int")), F.when(n > 1, F.concat(F.lit(" (x"), n, F.lit(")"))).otherwise(""))
-
-    return F.transform(both, lambda s: F.array_join(F.transform(F.array_distinct(s["shapes"]), lambda shape: line(s, shape)), "\n"))[0]
-
-
-def important(c):
-    """The half of the lines, at least one, with the most distinct words, in their order; ties to earlier lines."""
-    lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    ranked = F.array_sort(F.transform(lines, lambda x, i: F.struct((-F.size(F.array_distinct(T.bm25_tokens(x)))).alias("w"), i.alias("i"), x.alias("x"))))
-    half = F.slice(ranked, F.lit(1), F.greatest(F.ceil(F.size(lines) / 2).cast("int"), F.lit(1)))
-    return F.array_join(F.transform(F.array_sort(F.transform(half, lambda v: F.struct(v["i"].alias("i"), v["x"].alias("x")))), lambda v: v["x"]), "\n")
-
-
-@query("compress_auto")
-def compress_auto(spark, sf_dir):
-    """Each text by the compressor of its type; types branch by filters, and each branch runs its own plan."""
-    from .more import content_type
-
-    ship(spark)
-    x = detect.texts(spark, sf_dir).withColumn("content_type", content_type(F.col("c")))
-    ways = {"logs": grouped_errors, "stacktrace": unique_lines, "code": unique_lines, "generic": important}
-    out = x.where("content_type = 'config'").select("id", "content_type", T.token_count(F.col("c")).alias("tokens"), config.column(config.brief_config, F.col("c")).alias("compressed"))
-    for kind, way in ways.items():
-        out = out.unionByName(x.where(F.col("content_type") == kind).select("id", "content_type", T.token_count(F.col("c")).alias("tokens"), way(F.col("c")).alias("compressed")))
-    return out.withColumn("compressed_tokens", T.token_count(F.col("compressed")))
-
-
-@query("auto_optimize")
-def auto_optimize(spark, sf_dir):
-    """Texts under 500 characters stay; others by the first of build output, logs, errors, or any."""
-    x = detect.texts(spark, sf_dir)
-    c = F.col("c")
-    build = T.any_of(c, [r"error TS|warning TS|error\[E|error:|npm ERR|ERROR in", r"(?i)\d+:\d+.*error"])
-    logs = T.any_of(c, [r"(?i)\[\s*(INFO|DEBUG|WARN|ERROR|TRACE|FATAL)\s*\]", *R.SERVER_LINE])
-    kind = F.when(F.length(c) < 500, "short").when(build, "build").when(logs, "logs").when(T.any_of(c, R.CONTENT_FLAGS["has_errors"]), "errors").otherwise("generic")
-    x = x.withColumn("detected", kind)
-    made = F.when(kind == "short", c).when(kind.isin("build", "logs", "errors"), grouped_errors(c)).otherwise(important(c))
-    x = x.withColumn("optimized", made)
-    return x.select("id", "detected", T.token_count(c).alias("tokens"), T.token_count(F.col("optimized")).alias("optimized_tokens"), F.md5("optimized").alias("hash"))
-
-
-@query("smart_pipeline")
-def smart_pipeline(spark, sf_dir):
-    """The steps of each text's type in turn, ended by the first that saves nothing."""
-    steps = {"build": [grouped_errors, unique_lines], "logs": [grouped_errors], "diff": [important], "generic": [important]}
-    x = detect.pipeline_type(detect.texts(spark, sf_dir)).withColumn("going", F.lit(True)).withColumn("tokens", T.token_count(F.col("c"))).withColumn("steps", F.lit(0))
-    for k in range(max(map(len, steps.values()))):
-        made = F.col("c")
-        for kind, chain in steps.items():
-            if k < len(chain):
-                made = F.when(F.col("pipeline_type") == kind, chain[k](F.col("c"))).otherwise(made)
-        has = F.col("pipeline_type").isin([t for t, chain in steps.items() if k < len(chain)]) & F.col("going")
-        x = x.withColumn("next", F.when(has, made).otherwise(F.col("c")))
-        x = x.withColumn("steps", F.col("steps") + has.cast("int")).withColumn("going", has & (T.token_count(F.col("next")) < T.token_count(F.col("c")))).drop("c").withColumnRenamed("next", "c")
-    return x.select("id", "pipeline_type", "steps", "tokens", T.token_count(F.col("c")).alias("final_tokens"), F.md5("c").alias("hash"))

@@ -1,12 +1,7 @@
-"""Conversations: rolling summaries, code references and memories; reports and serialised results."""
+"""Reports, serialised results and configuration texts."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -16,80 +11,7 @@ from ..ship import ship
 from . import duck as D
 from . import inputs as I
 from .registry import query
-
-_ROLL = f"""{D.CONVO}, h AS (SELECT conv_id, turn, role, text, substring(coalesce(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)[1], ''), 1, 150) AS head FROM convo),
-  topics AS (SELECT conv_id, string_agg(head, '; ' ORDER BY turn) AS s FROM (SELECT * FROM h WHERE role = 'user' AND length(head) > 10 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3) GROUP BY 1),
-  actions AS (SELECT conv_id, string_agg(head, '; ' ORDER BY turn) AS s FROM (SELECT * FROM h WHERE role = 'assistant' AND {D.any_of('head', R.ACTION_START)} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3) GROUP BY 1),
-  named AS (SELECT conv_id, turn, unnest(fs) AS f, generate_subscripts(fs, 1) AS k FROM (SELECT conv_id, turn, regexp_extract_all(text, {D.q(R.FILE_NAME)})[:5] AS fs FROM convo)),
-  files AS (SELECT conv_id, string_agg(f, ', ' ORDER BY place) AS s FROM (SELECT conv_id, f, min((turn, k)) AS place FROM named GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY min((turn, k))) <= 5) GROUP BY 1)"""
-
-
-@query("rolling_summary", f"""WITH {_ROLL}, p AS (SELECT c.conv_id, concat_ws('. ', 'User discussed: ' || t.s, 'Assistant: ' || a.s, 'Files mentioned: ' || f.s) AS s FROM (SELECT DISTINCT conv_id FROM convo) c LEFT JOIN topics t USING (conv_id) LEFT JOIN actions a USING (conv_id) LEFT JOIN files f USING (conv_id))
-  SELECT conv_id, CASE WHEN s = '' THEN 'Previous conversation context.' ELSE s END AS summary FROM p""")
-def rolling_summary(spark, sf_dir):
-    return summaries(I.convo(spark, sf_dir))
-
-
-def _first(df, most: int, sep: str, name: str):
-    """The first ``most`` texts of each conversation, joined."""
-    r = F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))
-    few = df.withColumn("r", r).where(F.col("r") <= most).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("r", "s"))).alias("x"))
-    return few.select("conv_id", F.array_join(F.transform("x", lambda v: v["s"]), sep).alias(name))
-
-
-def summaries(convo):
-    """(conv_id, summary): first topics of the user, first actions of the assistant, first files named."""
-    head = F.substring(F.coalesce(F.try_element_at(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), F.lit(1)), F.lit("")), 1, 150)
-    h = convo.select("conv_id", F.struct(F.col("turn"), F.lit(0).alias("k")).alias("at"), "role", head.alias("s"))
-    topics = _first(h.where((F.col("role") == "user") & (F.length("s") > 10)), 3, "; ", "topics")
-    actions = _first(h.where((F.col("role") == "assistant") & T.any_of(F.col("s"), R.ACTION_START)), 3, "; ", "actions")
-    named = convo.select("conv_id", "turn", F.posexplode(F.slice(F.regexp_extract_all("text", F.lit(T.java(R.FILE_NAME)), F.lit(0)), 1, 5)).alias("k", "s"))
-    files = _first(named.groupBy("conv_id", "s").agg(F.min(F.struct("turn", "k")).alias("at")), 5, ", ", "files")
-    x = convo.select("conv_id").distinct().join(topics, "conv_id", "left").join(actions, "conv_id", "left").join(files, "conv_id", "left")
-    s = F.concat_ws(". ", F.concat(F.lit("User discussed: "), "topics"), F.concat(F.lit("Assistant: "), "actions"), F.concat(F.lit("Files mentioned: "), "files"))
-    return x.select("conv_id", F.when(s == "", "Previous conversation context.").otherwise(s).alias("summary"))
-
-
-def references(convo):
-    """(conv_id, file, action, turn): each file where it is first named, and what the 50 characters around say is done to it; 30 a conversation."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, acts = re.compile(R.FILE_REFERENCE, re.A), [(a, re.compile(p, re.A | re.I)) for a, p in R.FILE_ACTIONS]
-        for pdf in batches:
-            rows = []
-            for conv, turn, text in zip(pdf["conv_id"], pdf["turn"], pdf["text"], strict=True):
-                seen = set()
-                for m in names.finditer(text or ""):
-                    if m[0] not in seen:
-                        seen.add(m[0])
-                        around = text[max(0, m.start() - 50) : m.end() + 50].lower()
-                        rows.append((conv, turn, m.start(), m[0], next((a for a, rx in acts if rx.search(around)), "discussed")))
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "place", "file", "action"])
-
-    found = convo.select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, place long, file string, action string")
-    first = found.groupBy("conv_id", "file").agg(F.min(F.struct("turn", "place", "action")).alias("at"))
-    r = F.row_number().over(Window.partitionBy("conv_id").orderBy("at.turn", "at.place"))
-    return first.withColumn("r", r).where("r <= 30").select("conv_id", "file", "at.action", "at.turn")
-
-
-@query("code_refs")
-def code_refs(spark, sf_dir):
-    ship(spark)
-    return references(I.convo(spark, sf_dir))
-
-
-@query("conversation_memory")
-def conversation_memory(spark, sf_dir):
-    """One row for each conversation: summary, decisions, files and the context restored from them."""
-    from .documents import decisions
-
-    made = decisions(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list("decision")).alias("decisions"))
-    files = code_refs(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.concat("file", F.lit(" ("), "action", F.lit(")")))).alias("files"))
-    x = rolling_summary(spark, sf_dir).join(made, "conv_id", "left").join(files, "conv_id", "left")
-    bullets = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda d: F.concat(F.lit("- "), d)), "\n"))
-    restored = F.concat_ws("\n", F.lit("[Previous Context]"), "summary", F.concat(F.lit("[Key Decisions]\n"), bullets(F.slice("decisions", 1, 10))), F.concat(F.lit("[Files]\n"), bullets(F.slice("files", 1, 10))))
-    return x.select("conv_id", "summary", F.coalesce(F.size("decisions"), F.lit(0)).alias("n_decisions"), F.coalesce(F.size("files"), F.lit(0)).alias("n_files"), restored.alias("context"))
-
+from .search import bm25_sql
 
 # Reports.
 
@@ -114,7 +36,10 @@ def toon_result(spark, sf_dir):
     return I.table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("\n", *fields).alias("toon"))
 
 
-@query("toon_savings")
+_JSON_ROW = """'{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}'"""
+
+
+@query("toon_savings", f"""WITH g AS (SELECT o_custkey, '[' || string_agg({_JSON_ROW}, ',') || ']' AS json, 'rows[' || count(*) || ']{{o_orderkey,o_orderstatus,o_orderpriority}}:' || string_agg(chr(10) || '  ' || o_orderkey || ',' || o_orderstatus || ',' || o_orderpriority, '') AS toon FROM orders GROUP BY 1) SELECT o_custkey, CAST(ceil(length(json) / 4.0) AS BIGINT) AS json_tokens, CAST(ceil(length(toon) / 4.0) AS BIGINT) AS toon_tokens, round(1 - length(toon) / CAST(length(json) AS DOUBLE), 6) AS saved FROM g""")
 def toon_savings(spark, sf_dir):
     """Tokens of the orders of each customer as JSON and as a table with one header."""
     x = I.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -137,26 +62,32 @@ def config_texts(spark, sf_dir):
     return g.select("o_custkey", F.to_json(F.transform("x", lambda v: v["r"])).alias("json"), F.array_join(F.transform("x", lambda v: v["y"]), "\n").alias("yaml"))
 
 
-@query("compress_json")
+_ORDERS = "o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"
+_BRIEF_ROW = """'  {' || chr(10) || '    "o_orderkey": ' || o_orderkey || ',' || chr(10) || '    "o_orderstatus": "' || o_orderstatus || '",' || chr(10) || '    "more": "{2 keys}"' || chr(10) || '  }'"""
+_BRIEF_JSON = f"""SELECT o_custkey, '[' || chr(10) || string_agg({_BRIEF_ROW}, ',' || chr(10) ORDER BY r) FILTER (n <= 5 OR r <= 2) || CASE WHEN any_value(n) > 5 THEN ',' || chr(10) || '  "... (' || (any_value(n) - 2) || ' more items)"' ELSE '' END || chr(10) || ']' AS compressed FROM o GROUP BY 1"""
+_BRIEF_YAML = "SELECT o_custkey, string_agg('order' || o_orderkey || ':' || chr(10) || '  status: ' || o_orderstatus || chr(10) || '  more:' || chr(10) || '    ... (2 nested items)', chr(10) ORDER BY r) AS compressed FROM o GROUP BY 1"
+
+
+@query("compress_json", f"WITH {_ORDERS} {_BRIEF_JSON}")
 def compress_json(spark, sf_dir):
     ship(spark)
     return config_texts(spark, sf_dir).select("o_custkey", config.column(config.brief_json, F.col("json")).alias("compressed"))
 
 
-@query("compress_yaml")
+@query("compress_yaml", f"WITH {_ORDERS} {_BRIEF_YAML}")
 def compress_yaml(spark, sf_dir):
     ship(spark)
     return config_texts(spark, sf_dir).select("o_custkey", config.column(config.brief_yaml, F.col("yaml"), "minimal").alias("compressed"))
 
 
-@query("compress_config")
+@query("compress_config", f"WITH {_ORDERS}, j AS ({_BRIEF_JSON}), y AS ({_BRIEF_YAML}) SELECT * FROM j WHERE o_custkey % 2 = 0 UNION ALL SELECT * FROM y WHERE o_custkey % 2 <> 0")
 def compress_config(spark, sf_dir):
     ship(spark)
     text = F.when(F.col("o_custkey") % 2 == 0, F.col("json")).otherwise(F.col("yaml"))
     return config_texts(spark, sf_dir).select("o_custkey", config.column(config.brief_config, text).alias("compressed"))
 
 
-@query("pipe_compress")
+@query("pipe_compress", """WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, '[' || chr(10) || array_to_string(list_transform(range(0, CASE WHEN n > 5 THEN 2 ELSE n END), lambda i: '  "{3 keys}"'), ',' || chr(10)) || CASE WHEN n > 5 THEN ',' || chr(10) || '  "... (' || (n - 2) || ' more items)"' ELSE '' END || chr(10) || ']' AS compressed FROM c""")
 def pipe_compress(spark, sf_dir):
     """A pipeline's end: each group's rows as indented JSON, shortened."""
     ship(spark)
@@ -164,7 +95,7 @@ def pipe_compress(spark, sf_dir):
     return x.select("l_orderkey", config.column(config.brief_json, F.to_json("x"), "minimal").alias("compressed"))
 
 
-@query("catalog_search")
+@query("catalog_search", "WITH entries AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part), " + bm25_sql("entries", "p_partkey", "small polished part") + " SELECT p_partkey, score, matched_terms FROM bm WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 20")
 def catalog_search(spark, sf_dir):
     """The 20 parts whose names fit a query best: lexical search over short entries."""
     entries = I.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))

@@ -1,26 +1,54 @@
 """Hand-computed values of skeletons, chunks, configuration summaries, substrings, git output and code references."""
 
+import random
 import subprocess
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkloom.operators import config
-from sparkloom.plans import detect, structure, talk
+from sparkloom.plans import conversations, detect, structure
 from sparkloom.sources import files
 
 
-def test_skeleton():
-    text = "import a from 'a'\nexport function f(x) {\n  if (x) {\n    y()\n  }\n}\nconst g = (x) => x\ntype T = 1\nlet z = 2\nclass C {\n"
-    assert structure.skeleton(text).split("\n") == ["import a from 'a'", "export function f(x) { ... }", "const g = (x) => ...", "type T = 1", "class C { ... }"]
+def test_skeletons(spark):
+    text = "import a from 'a'\nexport function f(x) {\n  if (x) {\n    y()\n  }\n}\nconst g = (x) => x\ntype T = 1\nlet z = 2\nfunction h({a, b}) {\n  type x\n}\nclass C {\n  run() {}\n"
+    rows = [("a", text), ("b", ""), ("c", None), ("d", "  x\n}\nexport const v = 1")]
+    got = {r.k: r.skeleton for r in structure.skeletons(spark.createDataFrame(rows, "k string, content string"), "k").collect()}
+    assert got["a"].split("\n") == ["import a from 'a'", "export function f(x) { ... }", "const g = (x) => ...", "type T = 1", "function h({a, b}) { ... }", "class C { ... }"]
+    assert got["b"] == got["c"] == "" and got["d"] == "export const v = 1"
 
 
 def test_chunks_take_in_dependencies_while_tokens_last():
     pdf = pd.DataFrame({"project": [1] * 4, "path": list("abcd"), "tokens": [6, 6, 3, 99], "deps": [["b", "c"], [], [], []]})
-    out = dict(zip(*structure.pack(pdf, 10)[["path", "chunk"]].to_numpy().T, strict=True))
+    out = dict(zip(*structure.chunked(pdf, 10)[["path", "chunk"]].to_numpy().T, strict=True))
     assert out == {"a": 0, "c": 0, "b": 1, "d": 2}
 
 
+def test_chunks_are_the_queue():
+    """Against a plain queue, on random projects."""
+    rng = random.Random(4)
+    for _ in range(200):
+        paths = [f"f{k}" for k in range(rng.randint(1, 12))]
+        cost = {p: rng.randint(1, 9) for p in paths}
+        needs = {p: sorted(rng.sample(paths, rng.randint(0, min(4, len(paths))))) for p in paths}
+        pdf = pd.DataFrame({"project": [0] * len(paths), "path": paths, "tokens": cost.values(), "deps": needs.values()})
+        got = dict(zip(*structure.chunked(pdf, 12)[["path", "chunk"]].to_numpy().T, strict=True))
+        home, n = {}, 0
+        for p in sorted(paths):
+            if p in home:
+                continue
+            waiting, used = deque([p]), 0
+            while waiting and used < 12:
+                q = waiting.popleft()
+                if q not in home and (q == p or used + cost[q] <= 12):
+                    home[q], used = n, used + cost[q]
+                    waiting.extend(needs[q])
+            n += 1
+        assert got == home
+
+
 def test_brief_json_and_yaml():
     assert config.brief([1, 2, 3, 4, 5, 6], 0, 2) == [1, 2, "... (4 more items)"]
     assert config.brief({"a": {"b": {"c": 1}}, "s": "x" * 101}, 0, 1) == {"a": "{1 keys}", "s": "x" * 97 + "..."}
@@ -43,7 +71,9 @@ def test_resolved(spark):
 
 def test_code_references(spark):
     convo = spark.createDataFrame([(1, 0, "I created src/a.py today"), (1, 1, "src/a.py again, and b.md"), (2, 0, None)], "conv_id long, turn long, text string")
-    assert {tuple(r) for r in talk.references(convo).collect()} == {(1, "src/a.py", "created", 0), (1, "b.md", "discussed", 1)}
+    assert {tuple(r) for r in conversations.references(convo).drop("at").collect()} == {(1, "src/a.py", "created", 0), (1, "b.md", "discussed", 1)}
+    odd = spark.createDataFrame([(3, 0, "see lib/x.py.bak and x.py; removed x.py")], "conv_id long, turn long, text string")
+    assert {tuple(r)[:3] for r in conversations.references(odd).collect()} == {(3, "lib/x.py", "deleted"), (3, "x.py", "deleted")}
 
 
 def test_compiler_output(spark):

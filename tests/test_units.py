@@ -58,12 +58,12 @@ def test_pipeline_is_immutable_and_recovers(spark):
         Pipeline().build()
 
 
-def test_edit_similarity():
-    from sparkloom.operators.clustering import edit_similarity
+def test_alike(spark):
+    from sparkloom.operators.clustering import alike, similarity
 
-    assert edit_similarity("", "", 0.7) == 1.0
-    assert edit_similarity("kitten", "sitting", 0.5) == pytest.approx(1 - 3 / 7)
-    assert edit_similarity("abc", "xyz", 0.7) == 0.0
+    df = spark.createDataFrame([("", "", 0.7), ("kitten", "sitting", 0.5), ("abc", "xyz", 0.7), ("0123456789", "012345678x", 0.9), ("0123456789", "01234567xx", 0.9)], "a string, b string, t double")
+    got = df.select(*[alike(F.col("a"), F.col("b"), t).alias(f"t{k}") for k, t in enumerate((0.5, 0.7, 0.9))], F.round(similarity(F.col("a"), F.col("b")), 6).alias("s")).collect()
+    assert [tuple(r) for r in got] == [(True, True, True, 1.0), (True, False, False, 0.571429), (False, False, False, 0.0), (True, True, True, 0.9), (True, True, False, 0.8)]
 
 
 def test_leaders_follow_input_order(spark):
@@ -80,14 +80,17 @@ def test_code_elements():
     from sparkloom.operators.code import elements
 
     py = "import os\nfrom a.b import c\nX = 1\nclass A:\n    def f(self):\n        def g(): pass\ndef _h(): pass\n"
-    assert [(e[0], e[1], e[2]) for e in elements(py, "python")] == [("imports", "os", None), ("imports", "a.b", None), ("variables", "X", None), ("classes", "A", None), ("functions", "f", "A"), ("functions", "g", "A"), ("functions", "_h", None)]
+    assert [(e.bucket, e.name, e.parent, e.exported) for e in elements(py, "python")] == [
+        ("imports", "os", None, False), ("imports", "c", None, False), ("variables", "X", None, True), ("classes", "A", None, True), ("functions", "f", "A", True), ("functions", "g", "A", True), ("functions", "_h", None, False)
+    ]
     assert elements("def broken(", "python") == [] and elements("x", "cobol") == []
-    ts = "import {a} from './a';\nexport class B {\n}\nexport const f = (x) => x;\nfunction g() {\n  return 1;\n}\n"
-    assert [(e[0], e[1], e[5]) for e in elements(ts, "typescript")] == [("imports", "./a", False), ("classes", "B", True), ("functions", "f", True), ("functions", "g", False)]
-    go = 'import "fmt"\ntype T struct {\n}\nfunc (t *T) Run() {\n}\nfunc help() {\n}\n'
-    assert [(e[0], e[1], e[5]) for e in elements(go, "go")] == [("imports", "fmt", False), ("classes", "T", True), ("functions", "Run", True), ("functions", "help", False)]
-    rust = "use std::io;\npub fn f() {\n}\nstruct S {\n}\npub trait Q {\n}\n"
-    assert [(e[0], e[1], e[5]) for e in elements(rust, "rust")] == [("imports", "std::io", False), ("functions", "f", True), ("classes", "S", False), ("interfaces", "Q", True)]
+    ts = "import {a} from './a';\nexport class B {\n  go(x: number) {\n    if (x) { }\n  }\n}\nexport const f = (x) => x;\nfunction g() {\n  const s = '}'; // }\n  return 1;\n}\nlet u = `{`\n"
+    assert [(e.bucket, e.name, e.parent, e.start, e.end, e.exported) for e in elements(ts, "typescript")] == [
+        ("imports", "a", None, 1, 1, False), ("classes", "B", None, 2, 6, True), ("functions", "go", "B", 3, 5, False), ("functions", "f", None, 7, 7, True), ("functions", "g", None, 8, 11, False), ("variables", "u", None, 12, 12, False)
+    ]
+    for language in ("typescript", "go", "rust", "php", "swift"):  # odd texts don't fail
+        for odd in ("", "\n", "}}}", "{{{", "'", '"', "/*", "import", "func (", "class"):
+            assert isinstance(elements(odd, language), list)
 
 
 def test_cache_replay(spark):
@@ -97,7 +100,10 @@ def test_cache_replay(spark):
     ship(spark)
     ops = [(1, 0, 0.0, "set", "a"), (1, 1, 1.0, "get", "a"), (1, 2, 2.0, "set", "b"), (1, 3, 3.0, "set", "c"), (1, 4, 4.0, "get", "a"), (1, 5, 99.0, "get", "c")]
     r = replay(spark.createDataFrame(ops, "cache long, seq long, at double, op string, key string"), capacity=2, ttl=10).first()
-    assert (r.hits, r.misses, r.expired, r.evicted, r.entries) == (1, 2, 1, 1, 1)
+    assert (r.hits, r.not_found, r.expired, r.evicted, r.entries) == (1, 1, 1, 1, 1)
+    more = [("set", "a", "/x", "h1", 60), ("get", "a", "/x", "h2", 0), ("set", "a", "/x", "h1", 60), ("set", "b", "/y", "h1", 60), ("get", "a", "/x", "h1", 0), ("invalidate_path", "", "/y", None, 0), ("get", "b", "/y", "h1", 0), ("clear", "", None, None, 0), ("get", "b", None, None, 0)]
+    r = replay(spark.createDataFrame([(1, k, float(k), *m, 7) for k, m in enumerate(more)], "cache long, seq long, at double, op string, key string, path string, hash string, size long, tokens long"), most_bytes=100).first()
+    assert (r.hits, r.file_changed, r.not_found, r.evicted, r.invalidated, r.tokens_saved, r.entries, r.bytes) == (0, 1, 3, 1, 1, 0, 0, 0)
 
 
 def test_files(spark, tmp_path):
