@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: materialised intermediate tables and row keys."""
+"""Helpers shared by the operators: materialised intermediate tables, row keys, and joins that a frequent key doesn't slow down."""
 
 from __future__ import annotations
 
@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Up to this many ids a semi join may be broadcast: 16 MB of longs. Beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: A table of longs may be broadcast up to this size in memory, where a row takes about ROW_BYTES and 16 bytes a column. Beyond it joins shuffle.
+BROADCAST_BYTES, ROW_BYTES = 64_000_000, 32
+#: Of the keys of a join, those with more than 1 / HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are joined by broadcast.
+HOT_KEYS, HOT_LEAST = 20_000, 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the setting is missing, as in tests."""
+    """The folder in spark.checkpoint.dir; one of our own only where the setting is missing, as in tests on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -34,9 +38,12 @@ def materialize(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._table)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._table)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def record_id(doc_id: str, text: str) -> Column:
@@ -44,11 +51,29 @@ def record_id(doc_id: str, text: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), -F.abs(F.shiftrightunsigned(F.xxhash64(F.col(text), F.lit("null id")), 1)) - 1)
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """``ids``, a few columns of longs, marked for broadcast if a count shows that it has at most BROADCAST_IDS rows; else as it is, to be shuffled."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+def small(table: DataFrame) -> DataFrame:
+    """``table``, a few columns of longs, marked for broadcast if a count shows that it has at most BROADCAST_BYTES; else as it is, to be shuffled."""
+    most = BROADCAST_BYTES // (ROW_BYTES + 16 * len(table.columns))
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is in ``ids``, which has one column of the same name."""
     return df.join(small(ids), key, "left_semi")
+
+
+def by_key(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``table`` (keys, count, ...), materialised, which has a row for each key and counts the rows of each.
+
+    A small table is broadcast whole. Of a larger one, keys that hold a large share of the rows are joined by broadcast: there are fewer than HOT_KEYS of them, whatever the size of the
+    tables. For the others no task holds much more than an even share.
+    """
+    if (lean := small(table)) is not table:
+        return rows.join(lean, keys)
+    total = table.agg(F.sum(count)).first()[0] or 0
+    least = max(HOT_LEAST, total // HOT_KEYS)
+    hot = F.broadcast(table.where(F.col(count) > least))
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    cold = rows.join(hot, keys, "left_anti").join(table.where(F.col(count) <= least), keys)
+    return cold.unionByName(rows.join(hot, keys))

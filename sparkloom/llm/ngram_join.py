@@ -10,90 +10,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import discard, materialize, record_id, semi_by_id, small
+from .common import by_key, discard, materialize, semi_by_id, small
 from .graph import components
+from .rarity import Rarity, frequent, prefixes
 from .similarity import cluster, links
 
-#: One document in SAMPLE_ONE_IN, up to about SAMPLE_ROWS documents, is counted to learn which shingles are frequent; HOT_KEYS of them
-#: are kept. They only order the prefixes: any order gives the same links, a good one fewer candidates.
-SAMPLE_ONE_IN, SAMPLE_ROWS, HOT_KEYS = 16, 1_000_000, 200_000
-#: Expected candidates from a prefix above which a link must share 2, and 3, prefix tokens.
-COSTS = (64, 1024)
-
-
-def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent shingles and their estimated document counts; at most HOT_KEYS."""
-    rows = docs.count()
-    one_in = max(SAMPLE_ONE_IN, -(-rows // SAMPLE_ROWS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = vec.buffers(b.column("text"))
-            for lo, hi in vec.slices(offsets):
-                parts = list(vec.sets(vec.Words(data, offsets[lo : hi + 1], vec.NOT_SPACE), width))
-                yield pa.RecordBatch.from_arrays([pa.array(vec.signed(np.concatenate(parts)))], ["h"])
-
-    few = docs.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(one_in)) == 0).select("text")
-    top = few.mapInArrow(run, "h long").groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(HOT_KEYS).toPandas()
-    top = top.sort_values("h")
-    return top["h"].to_numpy(np.int64), top["count"].to_numpy(np.int64) * one_in
-
-
-def rare_first(s: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The set's hashes as longs, by estimated count and then value, and the counts in that order."""
-    h = vec.signed(s)
-    df = np.zeros(len(h), np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-        is_hot = hot[at] == h
-        df[is_hot] = counts[at[is_hot]]
-    order = np.lexsort((h, df)) if df.any() else np.argsort(h, kind="stable")
-    return h[order], df[order]
-
-
 def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n, k1, k2, ell, tokens): set size, 128-bit key of the set, matches asked for, and the prefix tokens, rarest first."""
-    hot, counts = frequent(docs, width)
-    shared = docs.sparkSession.sparkContext.broadcast((hot, counts))
+    """(id, own, th, n, k1, k2, ell, tokens): set size, 128-bit key of the set, matches asked for, and the prefix tokens, rarest first."""
+    shared = docs.sparkSession.sparkContext.broadcast(Rarity(*frequent(docs, width)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, counts = shared.value
         for b in batches:
             data, offsets = vec.buffers(b.column("text"))
             for lo, hi in vec.slices(offsets):
-                n, k1, k2, ell, tokens = [], [], [], [], []
-                for s in vec.sets(vec.Words(data, offsets[lo : hi + 1], vec.NOT_SPACE), width):
-                    key = vec.set_key(s)
-                    h, df = rare_first(s, hot, counts)
-                    need = -(-percent * len(h) // 100)  # any partner shares so many
-                    cost = np.cumsum(df)
-                    want = 1
-                    while want <= len(COSTS) and len(h) - need + want < len(h) and want < need and cost[len(h) - need + want - 1] > COSTS[want - 1]:
-                        want += 1
-                    n.append(len(h))
-                    k1.append(key[0])
-                    k2.append(key[1])
-                    ell.append(want)
-                    tokens.append(h[: len(h) - need + want])
+                flat, rows = vec.distinct(vec.Words(data, offsets[lo : hi + 1], vec.NOT_SPACE), width)
+                k1, k2 = vec.set_keys(flat, rows)
+                ell, tokens, ends = prefixes(flat, rows, shared.value, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(lo, hi - lo), b.column("own").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ell, pa.int32()), vec.long_lists(tokens)],
-                    ["id", "own", "n", "k1", "k2", "ell", "tokens"],
+                    [*[b.column(c).slice(lo, hi - lo) for c in ("id", "own", "th")], pa.array(np.diff(rows)), pa.array(k1), pa.array(k2), pa.array(ell.astype(np.int32)), vec.lists(tokens, ends)],
+                    ["id", "own", "th", "n", "k1", "k2", "ell", "tokens"],
                 )
 
-    return docs.mapInArrow(run, "id long, own long, n long, k1 long, k2 long, ell int, tokens array<long>")
+    return docs.mapInArrow(run, "id long, own long, th long, n long, k1 long, k2 long, ell int, tokens array<long>")
+
 
+def _sets_of(docs: DataFrame, homes: DataFrame, width: int):
+    """Shingle sets of classes: ``homes`` (node, id, th) says in which row a copy of each stands, which is read again. Repeated rows give repeated sets."""
 
-def _sets_of(docs: DataFrame, width: int):
     def sets_of(nodes: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 data, offsets = vec.buffers(b.column("text"))
                 for lo, hi in vec.slices(offsets):
-                    parts = list(vec.sets(vec.Words(data, offsets[lo : hi + 1], vec.NOT_SPACE), width))
-                    yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), vec.long_lists(parts)], ["node", "items"])
+                    yield pa.RecordBatch.from_arrays([b.column("node").slice(lo, hi - lo), vec.lists(*vec.distinct(vec.Words(data, offsets[lo : hi + 1], vec.NOT_SPACE), width))], ["node", "items"])
 
-        wanted = semi_by_id(docs, nodes.withColumnRenamed("node", "id"), "id")
-        return wanted.mapInArrow(run, "node long, items array<long>").groupBy("node").agg(F.min("items").alias("items"))
+        wanted = small(semi_by_id(homes, nodes, "node").select("node", "id", "th"))
+        return docs.select("id", "th", "text").join(wanted, ["id", "th"]).select("node", "text").mapInArrow(run, "node long, items array<long>")
 
     return sets_of
 
@@ -123,35 +75,38 @@ def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: st
     """(doc_id, n_shingles, component_id) for each row of ``docs``, and n_links if ``count_links``.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of ``width`` words, the whole
-    sequence if there are fewer. Two documents link when 100 * intersection >= percent * union; component_id is the smallest id
-    reachable by links. Null or wordless texts have the empty set and link with nothing. A null doc_id stays null in the result; for linking
-    it stands for a negative number made from the text, which component_id then shows. Rows with one doc_id are one node,
-    compared by the smallest of their sets.
+    sequence if there are fewer. Two rows link when 100 * intersection >= percent * union; component_id is the smallest doc_id
+    reachable by links, null where all of them are null. Null or wordless texts have the empty set and link with nothing. Each row is a document of its own,
+    whatever its doc_id: rows that share one, or have none, link by their own texts. Columns of other names are not read.
 
-    Equal sets are one class from the start, so copies cost one row each. A class posts its prefix: the n - ceil(percent n / 100) + ell
+    Equal sets are one class from the start, known by 128 bits, so copies cost one row each. A class posts its prefix: the n - ceil(percent n / 100) + ell
     rarest shingles; two linked sets share at least the smaller ell of them, ell rising with the candidates that the prefix would bring.
 
     n_links is the number of classes, that is of different sets, that the document's own links with; for it all candidate pairs are compared,
     while component_id alone leaves out those inside a component already known.
     """
-    rows = docs.select(record_id(doc_id, text).alias("id"), F.col(doc_id).cast("long").alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = rows.select("id", "text")
-    base = materialize(_prefixes(rows, width, percent))
-    slim = materialize(base.select("id", "own", "n", "k1", "k2"))
-    classes = slim.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    named = slim.where("n > 0").join(classes, ["k1", "k2"])
-    copies = materialize(named.where("id <> node").select("id", "k1", "k2").distinct())
-    prefixes = base.where("n > 0").join(small(copies), ["id", "k1", "k2"], "left_anti").select(F.col("id").alias("node"), "n", "ell", "tokens")
-    posts = prefixes.select(F.posexplode("tokens").alias("pos", "key"), "node", "n", "ell")
-    sets_of, sieve = _sets_of(texts, width), _sieve(prefixes.select("node", "n", "tokens"), percent)
+    texts = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("own"), texts.alias("text")).withColumn("th", F.xxhash64("text")).withColumn("id", F.coalesce("own", F.col("th")))
+    base = materialize(_prefixes(rows.select("id", "own", "th", "text"), width, percent).withColumn("row", F.monotonically_increasing_id()))
+    full = base.where("n > 0")
+    classes = materialize(full.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("own").alias("least"), F.count("*").alias("copies")))
+    several = classes.where("copies > 1")
+    copies = materialize(by_key(full.select("row", "k1", "k2"), several, ["k1", "k2"], "copies").where("row <> node").select("row"))
+    firsts = full.join(small(copies), "row", "left_anti").withColumnRenamed("row", "node")
+    posts = firsts.select(F.posexplode("tokens").alias("pos", "key"), "node", "n", "ell")
+    sets_of, sieve = _sets_of(rows, firsts.select("node", "id", "th"), width), _sieve(firsts.select("node", "n", "tokens"), percent)
     if count_links:
         pairs = links(posts, sets_of, percent, sieve)
         degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
         found = components(pairs).join(degree, "node")
     else:
         found = cluster(posts, sets_of, percent, sieve).withColumn("n_links", F.lit(0).cast("long"))
-    discard(base)
-    ids = named.select("own", "n", "node").join(found, "node", "left").select("own", "n", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    empty = slim.where("n = 0").select("own", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    out = ids.unionByName(empty).select(F.col("own").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    found = materialize(found)
+    linked = found.join(classes.select("node", "least"), "node")
+    lowest = materialize(linked.groupBy("component").agg(F.min("least").alias("lowest"), F.count("*").alias("size")))
+    named = by_key(linked, lowest, ["component"], "size").select("node", "lowest", "n_links")
+    told = materialize(classes.join(small(named), "node", "left").select("k1", "k2", "copies", F.when(F.col("n_links").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    ids = by_key(full.select("own", "n", "k1", "k2"), told, ["k1", "k2"], "copies")
+    empty = base.where("n = 0").select("own", "n", F.col("own").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    out = ids.select("own", "n", "component_id", "n_links").unionByName(empty).select(F.col("own").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "n_links")
     return out if count_links else out.drop("n_links")

@@ -21,7 +21,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without its repeated paragraphs: what was removed, and the text that stays."""
     out = paragraphs.substring_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_paragraphs").alias("n_paragraphs"), F.size("_removed").cast("long").alias("n_removed"), F.array_join(F.col("_removed").cast("array<string>"), ",").alias("removed"), F.col("text").alias("kept_text"))
+    return out.select("doc_id", F.col("_n_paragraphs").alias("n_paragraphs"), F.size("_removed").cast("long").alias("n_removed"), F.array_join(F.col("_removed").cast("array<string>"), ",").alias("removed"), "text")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, semi_by_id, small
 from .graph import components
+from .rarity import Rarity, with_prefixes
 
 #: Star rounds at most; they end before when the pairs left are at most PAIRS_PER_POSTING times the postings, or fell by less than a fifth.
 ROUNDS, PAIRS_PER_POSTING = 12, 0.25
@@ -52,10 +53,8 @@ def placed(x: str, y: str, percent: int) -> str:
     return " AND ".join(f"{s}.pos < {s}.n - {need(f'{x}.n', f'{y}.n', percent)} + {ell}" for s in (x, y))
 
 
-def _refined(listed: DataFrame, tokens: DataFrame | None) -> DataFrame:
+def _refined(listed: DataFrame, tokens: DataFrame) -> DataFrame:
     """``listed`` with lists longer than LONG split by the nodes' prefix tokens, of which a link shares one; both materialised."""
-    if tokens is None:
-        return listed
     long = listed.where(F.col("df") > LONG)
     split = materialize(long.join(tokens, "node").select("key", "node", "n", "ell", F.posexplode("tokens").alias("pos", "token")).select(F.xxhash64("key", "token").alias("key"), "node", "n", "ell", "pos"))
     often = split.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
@@ -76,15 +75,23 @@ def links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     return verified(sieve(pairs), sets_of, percent)
 
 
-def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, tokens: DataFrame | None = None) -> DataFrame:
+def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, rarity: Rarity | None = None) -> DataFrame:
     """``postings``: (key, node, n, ell, pos), one row for each key of a node; n is the set's size, ell how many keys a link must share.
 
     Where the keys are the items in one common order, ``pos`` is the key's place; else it is 0. ``sieve`` takes materialised pairs (a, b) and may drop
-    those that can't link, at less cost than comparing them. ``tokens`` (node, tokens) has prefixes in a common order, to split long lists by
-    where the keys aren't items. Returns (node, component) for the nodes that have a link.
+    those that can't link, at less cost than comparing them. ``rarity`` is for keys that aren't items: the sets of the nodes that share a key
+    are made once and kept as a table, and long lists are split by their prefixes, rarest items first. Returns (node, component) for the nodes that have a link.
     """
-    often = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    listed = _refined(materialize(postings.join(often, "key").select("key", "node", "n", "ell", "pos", "df")), tokens)
+    often = materialize(postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    listed = materialize(postings.join(small(often), "key").select("key", "node", "n", "ell", "pos", "df"))
+    items = None
+    if rarity is not None:
+        items = materialize(sets_of(listed.select("node").distinct()))
+        listed = _refined(listed, with_prefixes(items, rarity, percent))
+
+        def sets_of(nodes: DataFrame) -> DataFrame:
+            return semi_by_id(items, nodes, "node")
+
     fame = listed.groupBy("node").agg(F.sum("df").alias("fame"))
     shared = materialize(listed.join(fame, "node").select("key", "node", "n", "ell", "pos", "fame"))
     discard(listed)

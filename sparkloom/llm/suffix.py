@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import BROADCAST_IDS, materialize, record_id, small
+from .common import by_key, materialize, record_id, small
 
 GRAM = 64
 #: Larger buckets are not built: their suffixes are counted by partial aggregates over their identities instead, which any size allows.
@@ -187,15 +187,15 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(vec.signed(identity)), pa.array(ids[row]), pa.array(hashes[row]), pa.array(start)], ["suffix", "id", "th", "lo"])
 
     suffixes = rows.mapInArrow(run, "suffix long, id long, th long, lo long")
-    twice = suffixes.groupBy("suffix").count().where("count > 1").select("suffix")
-    return suffixes.join(twice, "suffix", "left_semi").select("id", "th", "lo", (F.col("lo") + length).alias("hi"))
+    twice = materialize(suffixes.groupBy("suffix").count().where("count > 1"))
+    return by_key(suffixes, twice, ["suffix"], "count").select("id", "th", "lo", (F.col("lo") + length).alias("hi"))
 
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(id, th, spans) for ``rows`` (id, th, text): byte ranges covered by strings of ``length`` bytes that start elsewhere too."""
     anchors = _anchors(rows, length)
-    often = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > BUCKET_ROWS).alias("hot"))
-    wanted = materialize(anchors.join(often, "gram").groupBy("id", "th").agg(F.collect_set(F.struct("gram", "place", "hot")).alias("wanted")))
+    often = materialize(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", "n", (F.col("n") > BUCKET_ROWS).alias("hot")))
+    wanted = materialize(by_key(anchors, often, ["gram"], "n").groupBy("id", "th").agg(F.collect_set(F.struct("gram", "place", "hot")).alias("wanted")))
     around = _contexts(rows.join(wanted, ["id", "th"]), length)
     hot = often.where("hot")
     if hot.isEmpty():
@@ -257,9 +257,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", tex
     out = "doc_id long, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept_sha256 string, kept binary"
     no_spans = F.lit(None).cast("array<struct<lo: long, hi: long>>").alias("spans")
     keys = spans.select("id", "th")
-    if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # rows without spans need no shuffle then
-        keys = small(keys)
-        without = rows.join(keys, ["id", "th"], "left_anti").select("own", "text", no_spans).mapInArrow(run, out)
-        having = rows.join(keys, ["id", "th"], "left_semi").join(spans, ["id", "th"]).select("own", "text", "spans").mapInArrow(run, out)
+    if (lean := small(keys)) is not keys:  # rows without spans need no shuffle then
+        without = rows.join(lean, ["id", "th"], "left_anti").select("own", "text", no_spans).mapInArrow(run, out)
+        having = rows.join(lean, ["id", "th"], "left_semi").join(spans, ["id", "th"]).select("own", "text", "spans").mapInArrow(run, out)
         return having.unionByName(without)
     return rows.join(spans, ["id", "th"], "left").select("own", "text", "spans").mapInArrow(run, out)

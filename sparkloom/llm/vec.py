@@ -140,6 +140,40 @@ class Words:
         return shingles(self.hash, self.first, width)
 
 
+    def rows_of(self, keep: np.ndarray) -> Words:
+        """The words of the rows numbered ``keep`` alone: hashes and first words."""
+        sizes = np.diff(self.first)[keep]
+        out = Words.__new__(Words)
+        out.hash = self.hash[spread(self.first[:-1][keep], sizes)]
+        out.first = np.concatenate([[0], np.cumsum(sizes)])
+        return out
+
+    def without(self, gone: np.ndarray) -> Words:
+        """The words that a mask leaves, row by row."""
+        out = Words.__new__(Words)
+        out.hash = self.hash[~gone]
+        out.first = np.concatenate([[0], np.cumsum(~gone)])[self.first]
+        return out
+
+
+def spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each run of ``sizes`` places, one run after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(start - (ends - sizes), sizes) + np.arange(total)
+
+
+def passages(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, valid) of the ``width`` words from each word on, at a cost that doesn't grow with ``width``: differences of a running sum."""
+    n = len(h)
+    up, down = powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * up[:n], out=total[1:])
+    stop = np.minimum(np.arange(n) + width, n)
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
+    return mix((total[stop] - total[:-1]) * down[:n]), left >= width
+
+
 def shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(h)
     out = np.zeros(n, np.uint64)
@@ -158,33 +192,49 @@ def whole(h: np.ndarray) -> np.uint64:
     return out
 
 
-def sets(words: Words, width: int) -> Iterator[np.ndarray]:
-    """For each row the sorted distinct shingle hashes; fewer words than ``width`` make one shingle, none an empty set."""
+def distinct(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): for each row the sorted distinct shingle hashes; fewer words than ``width`` make one shingle, none an empty set."""
     h, _ = words.shingles(width)
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        if b - a >= width:
-            yield np.unique(h[a : b - width + 1])
-        elif b > a:
-            yield np.array([whole(words.hash[a:b])], np.uint64)
-        else:
-            yield np.zeros(0, np.uint64)
+    first, sizes = words.first, np.diff(words.first)
+    for r in np.flatnonzero((sizes > 0) & (sizes < width)):
+        h[first[r]] = whole(words.hash[first[r] : first[r + 1]])
+    count = np.where(sizes >= width, sizes - width + 1, np.minimum(sizes, 1))
+    row, x = np.repeat(np.arange(len(sizes)), count), h[spread(first[:-1], count)]
+    bits = _U(len(sizes).bit_length())
+    packed = (row.astype(np.uint64) << (_U(64) - bits)) | (x >> bits)  # sorts by row and the hash's first bits
+    order = np.argsort(packed)
+    packed, y = packed[order], x[order]
+    equal = y[1:] == y[:-1]
+    close = packed[1:] == packed[:-1]
+    if (close & ~equal).any():  # hashes that differ in their last bits only
+        order = np.lexsort((x, row))
+        y = x[order]
+        equal, close = y[1:] == y[:-1], row[order][1:] == row[order][:-1]
+    keep = np.concatenate([[True], ~(equal & close)])[: len(y)]
+    return y[keep], np.concatenate([[0], np.cumsum(np.bincount(row[order][keep], minlength=len(sizes)))])
 
 
-def set_key(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, whatever its order, as two signed longs."""
-    with np.errstate(over="ignore"):
-        a = mix(s + _U(0x1234567)).sum(dtype=np.uint64)
-        b = mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + _U(len(s))
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+def sets(words: Words, width: int) -> Iterator[np.ndarray]:
+    """The rows of ``distinct``."""
+    flat, offsets = distinct(words, width)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield flat[a:b]
+
+
+def set_keys(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each row's set, whatever its order, as two columns of longs."""
+    keys = []
+    for x in (mix(flat + _U(0x1234567)), mix(flat ^ _U(0xA5A5A5A5A5A5A5A5))):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+        keys.append(total[offsets[1:]] - total[offsets[:-1]])
+    keys[1] += np.diff(offsets).astype(np.uint64)
+    return signed(keys[0]), signed(keys[1])
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def long_lists(parts: list[np.ndarray]) -> pa.Array:
-    """list<int64> of uint64 or int64 arrays."""
-    sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
+def lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """list<int64> of the rows of a flat array of 64 bits."""
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
