@@ -147,7 +147,7 @@ def _kept_words(data: np.ndarray, offsets: np.ndarray, removed: pa.Array) -> vec
 
 
 def _passages(lined: DataFrame, length: int) -> DataFrame:
-    """(key, check, id, th, pos, again) for each anchor of ``lined`` (id, th, text, removed); ``again``: the same passage stands before it in the row."""
+    """(key, check, id, th, pos) for each anchor of ``lined`` (id, th, text, removed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,25 +159,22 @@ def _passages(lined: DataFrame, length: int) -> DataFrame:
                 key = vec.passages(words.hash, words.first, length)[0][at]
                 check = vec.passages(vec.mix(words.hash ^ _LINE), words.first, length)[0][at]
                 row = np.searchsorted(words.first, at, "right") - 1
-                order = np.lexsort((at, key, row))
-                again = np.zeros(len(at), bool)
-                again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(vec.signed(key)), pa.array(vec.signed(check)), pa.array(ids[lo + row]), pa.array(hashes[lo + row]), pa.array((at - words.first[row]).astype(np.int32)), pa.array(again)],
-                    ["key", "check", "id", "th", "pos", "again"],
+                    [pa.array(vec.signed(key)), pa.array(vec.signed(check)), pa.array(ids[lo + row]), pa.array(hashes[lo + row]), pa.array((at - words.first[row]).astype(np.int32))],
+                    ["key", "check", "id", "th", "pos"],
                 )
 
-    return lined.select("id", "th", "text", "removed").mapInArrow(run, "key long, check long, id long, th long, pos int, again boolean")
+    return lined.select("id", "th", "text", "removed").mapInArrow(run, "key long, check long, id long, th long, pos int")
 
 
 def repeated_passages(lined: DataFrame, length: int) -> DataFrame:
-    """(id, th, spans) of ``lined`` (id, th, text, removed): runs of words, array<struct<first, last>>, whose passages stand in a row of a smaller id or before in their own.
+    """(id, th, spans) of ``lined`` (id, th, text, removed): runs of words, array<struct<first, last>>, whose passages stand in a row of a smaller id too.
 
     Words are counted without those of the removed paragraphs. Passages are known by 128 bits.
     """
     found = _passages(lined, length)
-    shared = materialize(found.where("not again").groupBy("key", "check").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("copies")).where("least < most").select("key", "check", "least", "copies"))
-    later = by_key(found.where("not again"), shared, ["key", "check"], "copies").where("id <> least").select("id", "th", "pos").unionByName(found.where("again").select("id", "th", "pos"))
+    shared = materialize(found.groupBy("key", "check").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("copies")).where("least < most").select("key", "check", "least", "copies"))
+    later = by_key(found, shared, ["key", "check"], "copies").where("id <> least").select("id", "th", "pos")
     # passages that touch or overlap make one run
     row = Window.partitionBy("id", "th").orderBy("pos")
     fresh = F.coalesce(F.col("pos") > F.lag("pos").over(row) + length, F.lit(True)).cast("int")
@@ -234,9 +231,9 @@ def substring_dedup(docs: DataFrame, min_words: int = 25, shingle: int = 5, perc
     paragraph by (id, place) stays. The line feed that ended a removed paragraph goes with it. Null text stays null with 0 paragraphs, empty
     text has one empty paragraph. A null doc_id counts as a negative number made from the text. Repeated rows are one record and get one result.
 
-    In what is left, a passage is ``length`` words in a row, wherever lines end. Of the passages at anchors (see WINDOW) the first by (id, place)
-    stays and the others are cut out where they cover LEAST_CUT words or more. This finds every run of 50 words that stands twice, but for up to
-    WINDOW - 1 words at either end of it; shorter repeated runs stay. Passages are equal word for word: of a similar one, its equal runs go. Rows that
+    In what is left, a passage is ``length`` words in a row, wherever lines end. Passages at anchors (see WINDOW) stay in the row of the smallest id that
+    has them and are cut out of others where they cover LEAST_CUT words or more. This finds every run of 50 words that stands in rows of two ids, but for up
+    to WINDOW - 1 words at either end of it; shorter runs, and those that only repeat within one row, stay. Passages are equal word for word: of a similar one, its equal runs go. Rows that
     share a doc_id take none from each other.
     ``_removed`` has the paragraphs that are removed or lose words. Columns of other names pass unread, whatever their names; input columns
     named _n_paragraphs or _removed are replaced.
