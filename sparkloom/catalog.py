@@ -6,7 +6,7 @@ import importlib
 
 from .plans.registry import ORACLES, QUERIES
 
-MODULES = ("scalars", "logs", "clusters", "search", "documents", "pipes", "structure", "more", "detect", "compressors", "captured", "conversations", "talk", "summaries")
+MODULES = ("scalars", "logs", "clusters", "search", "documents", "pipes", "structure", "more", "detect", "compressors", "captured", "conversations", "tools", "talk", "summaries")
 for _name in MODULES:
     importlib.import_module(f".plans.{_name}", __package__)
 

@@ -282,3 +282,12 @@ LOG_MARK = [r"(?i)\[\s*(INFO|DEBUG|WARN|WARNING|ERROR|TRACE|FATAL)\s*\]", r"\d{4
 YAML_LINE = r"^\s*[\w-]+:\s*.+$|^\s*-\s+"
 # What is shown of a build's output, logs and errors.
 BUILD_HINT = [r"error TS|warning TS|error\[E|error:|npm ERR|ERROR in", r"(?i)\d+:\d+.*error"]
+
+# What a content type is called, its compressor, and the reduction to expect.
+CONTENT_TYPES = {
+    "logs": ("Application logs", "logs", "70-90%"),
+    "stacktrace": ("Stack trace / Error dump", "stacktrace", "50-80%"),
+    "config": ("Configuration file (JSON/YAML)", "config", "30-60%"),
+    "code": ("Source code", "generic", "20-50%"),
+    "generic": ("Generic text content", "generic", "20-50%"),
+}

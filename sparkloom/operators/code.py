@@ -223,10 +223,10 @@ def scanned_elements(content: str, language: str) -> Iterator[Element]:
                 pairs = _imported(language, name, source) if bucket == "imports" else [(n, n) for n in re.sub(r"[{}]", " ", name).replace(",", " ").split()]
                 yield from (Element(bucket, n, None, k + 1, last, bucket == "exports", s) for n, s in pairs)
                 break
-            brace = re.compile(r"[{;]" if language != "swift" and language != "go" else r"[{\n]").search(text, head_end)
+            script = language in ("typescript", "javascript") and (bucket == "types" or "=>" in m[0])  # their values begin on the same line
+            stops = r"[{;\n]" if script else r"[{\n]" if language in ("swift", "go") else r"[{;]"
+            brace = re.compile(stops).search(text, head_end)
             bodied = bucket in BODIED and brace is not None and brace[0] == "{"
-            if language in ("typescript", "javascript") and bucket in ("functions", "types") and not bodied:
-                brace = re.compile(r";|\n").search(text, head_end)
             end = close[brace.start()] if bodied else (brace.start() if brace and bucket != "variables" else feeds[k] if k < len(feeds) else len(text))
             last = bisect_right(feeds, max(here, end) - 1) + 1
             parent = (m.groupdict().get("parent") if language == "go" else None) or (around[-1][1] if around else None)

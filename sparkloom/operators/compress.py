@@ -27,8 +27,8 @@ def joined(df: DataFrame, key: str, order: list[str | Column], text: str, name:
     return df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["_t"]), "\n").alias(name))
 
 
-def note(n: Column, what: Column | str) -> Column:
-    return F.concat(F.lit("\n  ... ("), n, F.lit(" ") if isinstance(what, str) else F.lit(" "), F.lit(what) if isinstance(what, str) else what, F.lit(")"))
+def note(n: Column, what: Column) -> Column:
+    return F.concat(F.lit("\n  ... ("), n, F.lit(" "), what, F.lit(")"))
 
 
 def log_level(raw: Column) -> Column:

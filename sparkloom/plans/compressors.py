@@ -143,17 +143,20 @@ def auto(texts):
     return by_type(texts.withColumn("content_type", content_type(F.col("c"))), "content_type", WAYS)
 
 
-_TYPED = f"{detect.TEXTS_SQL}, typed AS (SELECT id, c, {_TYPE} AS kind FROM texts)"
+TYPED_SQL = f"{detect.TEXTS_SQL}, typed AS (SELECT id, c, {_TYPE} AS kind FROM texts)"
 
 
 def _lines_sql(name: str, where: str) -> str:
     return f"{name} AS (SELECT id, generate_subscripts(string_split(c, chr(10)), 1) - 1 AS pos, unnest(string_split(c, chr(10))) AS raw FROM typed WHERE {where})"
 
 
-_AUTO = f"""{_TYPED}, {_lines_sql('l1', "kind = 'logs'")}, {_logs_sql('l1', 'm1')}, {_lines_sql('l2', "kind = 'stacktrace'")}, {_trace_sql('l2', 'm2')}, {_lines_sql('l3', "kind IN ('code', 'generic')")}, {_generic_sql('l3', 'm3')},
+_AUTO = f"""{TYPED_SQL}, {_lines_sql('l1', "kind = 'logs'")}, {_logs_sql('l1', 'm1')}, {_lines_sql('l2', "kind = 'stacktrace'")}, {_trace_sql('l2', 'm2')}, {_lines_sql('l3', "kind IN ('code', 'generic')")}, {_generic_sql('l3', 'm3')},
   made AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)"""
 
 
+AUTO_HASH_SQL = f"WITH {_AUTO} SELECT id, kind AS content_type, md5(compressed) AS hash FROM made JOIN typed USING (id) WHERE kind <> 'config'"
+
+
 @query("compress_auto", f"WITH {_AUTO} SELECT id, kind AS content_type, {D.tokens('c')} AS tokens, {D.tokens('compressed')} AS compressed_tokens, md5(compressed) AS hash FROM made JOIN typed USING (id) WHERE kind <> 'config'")
 def compress_auto(spark, sf_dir):
     """Texts of all types but configuration, whose compressors have queries of their own, each by the compressor of its type."""

@@ -99,7 +99,10 @@ def content_flags(spark, sf_dir):
     return x.select("id", *flags, repeated.alias("has_duplicates"), ((T.token_count(F.col("c")) > 2000) & ~F.contains("c", F.lit("```"))).alias("is_long_prose"))
 
 
-@query("choose_summarizer", f"WITH {TEXTS_SQL}, l AS (SELECT id, c, string_split(c, chr(10))[:100] AS ls FROM texts) SELECT id, CASE WHEN len(list_filter(ls, lambda x: {D.any_of('x', R.SERVER_LINE)})) / CAST(len(ls) AS DOUBLE) >= 0.1 THEN 'server' WHEN {D.any_of('c', R.TEST_TEXT)} THEN 'test' WHEN {D.any_of('c', R.BUILD_TEXT)} THEN 'build' ELSE 'generic' END AS summarizer FROM l")
+SUMMARIZER_SQL = f"CASE WHEN len(list_filter(ls, lambda x: {D.any_of('x', R.SERVER_LINE)})) / CAST(len(ls) AS DOUBLE) >= 0.1 THEN 'server' WHEN {D.any_of('c', R.TEST_TEXT)} THEN 'test' WHEN {D.any_of('c', R.BUILD_TEXT)} THEN 'build' ELSE 'generic' END"
+
+
+@query("choose_summarizer", f"WITH {TEXTS_SQL}, l AS (SELECT id, c, string_split(c, chr(10))[:100] AS ls FROM texts) SELECT id, {SUMMARIZER_SQL} AS summarizer FROM l")
 def choose_summarizer(spark, sf_dir):
     """The kind is told by the first 100 lines for servers, as that test is defined, and by the whole text for others."""
     return texts(spark, sf_dir).select("id", summarizer_of("c").alias("summarizer"))

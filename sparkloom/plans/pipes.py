@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ..operators.fluent import Pipeline
+from ..operators.fluent import PRESETS, Pipeline
+from . import captured
+from . import duck as D
 from . import inputs as I
 from .registry import query
 
@@ -95,3 +97,67 @@ def pipe_recover(spark, sf_dir):
 def split_ok_err(spark, sf_dir):
     bad = F.col("event_type") == "error"
     return I.table(spark, sf_dir, "events").select("event_id", F.when(~bad, F.col("value")).alias("value"), F.when(bad, "failed").alias("error"))
+
+
+# Pipelines over files: the code files written as one file for each folder, as in the queries of file scans.
+
+_FILES = f"{D.CODE_FILES}, files AS (SELECT CAST(p_partkey % 16 AS VARCHAR) AS part, string_agg(content || chr(10), '' ORDER BY p_partkey) AS content, count(*) AS n FROM code_files GROUP BY 1)"
+
+
+def _globbed(spark, sf_dir) -> Pipeline:
+    return Pipeline.glob(spark, captured.written(spark, sf_dir), "**/*.txt")
+
+
+def _part(df, *columns):
+    return df.select(F.regexp_extract("path", r"part=(\d+)", 1).alias("part"), *columns)
+
+
+@query("pipe_glob", f"WITH {_FILES} SELECT part, strlen(content) AS length FROM files WHERE part <> '3'")
+def pipe_glob(spark, sf_dir):
+    return _part(_globbed(spark, sf_dir).exclude("path", "part=3/").build(), "length")
+
+
+@query("pipe_read_all", f"WITH {_FILES} SELECT part, md5(content) AS hash FROM files")
+def pipe_read_all(spark, sf_dir):
+    return _part(_globbed(spark, sf_dir).read().build(), F.md5("content").alias("hash"))
+
+
+@query("pipe_steps", f"WITH {_FILES} SELECT part, 'os' AS name, sum(n) AS n FROM files GROUP BY 1")
+def pipe_steps(spark, sf_dir):
+    """A pipeline from a list of steps: files read and parsed, their imports of one module counted."""
+    steps = [{"read": True}, {"parse": "python"}, {"filter": F.col("name") == "os"}]
+    return _globbed(spark, sf_dir).steps_of(steps).build().groupBy(F.regexp_extract("path", r"part=(\d+)", 1).alias("part"), "name").agg(F.count("*").alias("n"))
+
+
+@query("pipe_stats", "SELECT 2 AS steps, count(*) AS items FROM part WHERE p_size > 25")
+def pipe_stats(spark, sf_dir):
+    """What a pipeline tells of its run: its steps and the rows of its result."""
+    df, stats = parts(spark, sf_dir).filter(F.col("p_size") > 25).map(shout=F.upper("p_name")).run()
+    df.write.format("noop").mode("overwrite").save()
+    told = stats()
+    return spark.createDataFrame([(told["steps"], told["items"])], "steps int, items long")
+
+
+@query("preset_overview", f"WITH {_FILES} SELECT 'unknown' AS language, count(*) AS files, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS lines FROM files")
+def preset_overview(spark, sf_dir):
+    return PRESETS["overview"](_globbed(spark, sf_dir).read())
+
+
+def _sources(spark, sf_dir) -> Pipeline:
+    return Pipeline.of(I.code_files(spark, sf_dir).select(F.col("path").alias("pos"), "path", "content"))
+
+
+@query("preset_usages", f"WITH {D.CODE_FILES}, l AS (SELECT path, generate_subscripts(string_split(content, chr(10)), 1) AS line, unnest(string_split(content, chr(10))) AS t FROM code_files) SELECT path, line, CASE WHEN regexp_matches(t, '\\b(class)\\s+C_7\\b') THEN 'definition' ELSE 'usage' END AS kind, substring(trim(t), 1, 100) AS context FROM l WHERE regexp_matches(t, '\\bC_7\\b')")
+def preset_usages(spark, sf_dir):
+    return PRESETS["usages"](_sources(spark, sf_dir), "C_7")
+
+
+@query("preset_signatures", f"WITH {D.CODE_FILES} SELECT path, 'f_' || p_partkey AS name, 'def f_' || p_partkey || '(x)' AS signature FROM code_files")
+def preset_signatures(spark, sf_dir):
+    return PRESETS["signatures"](_sources(spark, sf_dir))
+
+
+@query("preset_dead_code", f"WITH {D.CODE_FILES}, c AS (SELECT path, p_size, count(*) OVER (PARTITION BY p_size) AS n FROM code_files JOIN part USING (p_partkey)) SELECT path, 'f_' || p_partkey AS name FROM code_files UNION ALL SELECT path, 'C_' || p_size FROM c WHERE n = 1")
+def preset_dead_code(spark, sf_dir):
+    """Functions that nothing calls, and classes whose name stands in one file only."""
+    return PRESETS["dead_code"](_sources(spark, sf_dir))

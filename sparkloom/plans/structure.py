@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import code
+from ..operators import code, multifile
 from ..ship import ship
 from . import duck as D
 from . import inputs as I
 from .registry import query
 
-_TS = """ts_files AS (SELECT p_partkey AS k, 'src/m' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.js' END AS path, 'src/m' || (p_partkey * 7 % 101) AS absolute, './m' || (p_partkey * 5 % 211) AS relative, p_size FROM part)"""
+TS_SQL = """ts_files AS (SELECT p_partkey AS k, 'src/m' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.js' END AS path, 'src/m' || (p_partkey * 7 % 101) AS absolute, './m' || (p_partkey * 5 % 211) AS relative, p_size FROM part)"""
 
 
-_CONTENT = "'import { a } from ''' || absolute || '''' || chr(10) || 'import { b } from ''' || relative || '''' || chr(10) || 'export type T = string' || chr(10) || 'export function f_' || k || '(x: number) {' || chr(10) || '  if (x) { return g_' || (k % 13) || '(x); }' || chr(10) || '  return h(b)' || chr(10) || '}' || chr(10) || 'function g_' || (k % 13) || '(x) {' || chr(10) || '  return h(x)' || chr(10) || '}' || chr(10) || 'export class C_' || p_size || ' {' || chr(10) || '  run() {}' || chr(10) || '}' || chr(10)"
+CONTENT_SQL = "'import { a } from ''' || absolute || '''' || chr(10) || 'import { b } from ''' || relative || '''' || chr(10) || 'export type T = string' || chr(10) || 'export function f_' || k || '(x: number) {' || chr(10) || '  if (x) { return g_' || (k % 13) || '(x); }' || chr(10) || '  return h(b)' || chr(10) || '}' || chr(10) || 'function g_' || (k % 13) || '(x) {' || chr(10) || '  return h(x)' || chr(10) || '}' || chr(10) || 'export class C_' || p_size || ' {' || chr(10) || '  run() {}' || chr(10) || '}' || chr(10)"
 
 
 def _tokens(c: str) -> str:
@@ -33,51 +32,18 @@ def ts_files(spark, sf_dir):
     return I.table(spark, sf_dir, "part").select(k.alias("k"), path.alias("path"), absolute.alias("absolute"), relative.alias("relative"), content.alias("content"))
 
 
-@query("import_graph", f"WITH {_TS} SELECT DISTINCT a.path AS path, b.path AS dep FROM ts_files a JOIN ts_files b ON a.path <> b.path AND (contains(b.path, a.absolute) OR contains(a.absolute, regexp_replace(b.path, '\\.(ts|js|tsx|jsx)$', '')))")
+@query("import_graph", f"WITH {TS_SQL} SELECT DISTINCT a.path AS path, b.path AS dep FROM ts_files a JOIN ts_files b ON a.path <> b.path AND (contains(b.path, a.absolute) OR contains(a.absolute, regexp_replace(b.path, '\\.(ts|js|tsx|jsx)$', '')))")
 def import_graph(spark, sf_dir):
-    return contained(ts_files(spark, sf_dir).select("path", F.col("absolute").alias("source")))
+    return multifile.contained(ts_files(spark, sf_dir).select("path", F.col("absolute").alias("source")))
 
 
-def contained(imports):
-    """(path, dep): files of which one's path contains the other's import, or whose path without extension the import contains.
+_CANDIDATES = ", ".join(f"({i}, '{e}')" for i, e in enumerate(multifile.EXTENSIONS + ["/index" + e for e in multifile.EXTENSIONS]))
 
-    Containing is an equality with one of all substrings, so the join hashes instead of comparing each import with each path.
-    """
-    paths = imports.select(F.col("path").alias("dep")).distinct()
-    stem = F.regexp_replace("dep", r"\.(ts|js|tsx|jsx)\z", "")
-    by_path = paths.select("dep", F.explode(substrings(F.col("dep"))).alias("source"))
-    in_path = imports.join(by_path, "source").select("path", "dep")
-    sources = imports.select("source").distinct()
-    by_source = sources.select("source", F.explode(substrings(F.col("source"))).alias("stem")).join(paths.select("dep", stem.alias("stem")), "stem").select("source", "dep")
-    in_source = imports.join(by_source, "source").select("path", "dep")
-    return in_path.unionByName(in_source).where("path <> dep").distinct()
 
-
-def substrings(c):
-    """The distinct substrings of a short text."""
-    n = F.length(c)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.substring(c, i, m)))))
-
-
-_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs"]
-_CANDIDATES = ", ".join(f"({i}, '{e}')" for i, e in enumerate(_EXTENSIONS + ["/index" + e for e in _EXTENSIONS]))
-
-
-@query("resolve_imports", f"WITH {_TS}, c AS (SELECT a.path, a.relative AS source, v.i, regexp_replace(a.path, '/[^/]*$', '') || substring(a.relative, 2) || v.e AS candidate FROM ts_files a, (VALUES {_CANDIDATES}) v(i, e)) SELECT c.path, c.source, arg_min(f.path, c.i) AS resolved FROM c LEFT JOIN ts_files f ON f.path = c.candidate GROUP BY 1, 2")
+@query("resolve_imports", f"WITH {TS_SQL}, c AS (SELECT a.path, a.relative AS source, v.i, regexp_replace(a.path, '/[^/]*$', '') || substring(a.relative, 2) || v.e AS candidate FROM ts_files a, (VALUES {_CANDIDATES}) v(i, e)) SELECT c.path, c.source, arg_min(f.path, c.i) AS resolved FROM c LEFT JOIN ts_files f ON f.path = c.candidate GROUP BY 1, 2")
 def resolve_imports(spark, sf_dir):
     x = ts_files(spark, sf_dir)
-    return resolved(x.select("path", F.col("relative").alias("source")), x.select("path"))
-
-
-def resolved(imports, listing):
-    """(path, source, resolved): the first listed file that a relative import can mean; null for packages and missing files."""
-    folder = F.split(F.regexp_replace("path", r"/?[^/]*\z", ""), "/")
-    ups = F.length(F.regexp_extract("source", r"^((?:\.\./)*)", 1)) / 3
-    base = F.concat_ws("/", F.filter(F.slice(folder, F.lit(1), F.greatest(F.size(folder) - ups.cast("int"), F.lit(0))), lambda p: p != ""), F.regexp_replace("source", r"^(\./|(\.\./)+)", ""))
-    tails = F.array(*[F.lit(t) for t in _EXTENSIONS + ["/index" + e for e in _EXTENSIONS]])
-    tried = imports.where("source like '.%'").select("path", "source", base.alias("base"), F.posexplode(tails).alias("i", "tail")).withColumn("candidate", F.concat("base", "tail"))
-    found = tried.join(listing.select(F.col("path").alias("candidate")).distinct(), "candidate").groupBy("path", "source").agg(F.min_by("candidate", "i").alias("resolved"))
-    return imports.join(found, ["path", "source"], "left").select("path", "source", "resolved")
+    return multifile.resolved(x.select("path", F.col("relative").alias("source")), x.select("path"))
 
 
 @query("related_imports", f"WITH {D.CODE_FILES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS t FROM code_files), i AS (SELECT path, t AS line, regexp_extract(t, 'import\\s+(\\w+)$', 1) AS name FROM l WHERE regexp_matches(t, '^(import|from)\\s')), u AS (SELECT DISTINCT path, unnest(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM l WHERE NOT regexp_matches(t, '^(import|from)\\s')) SELECT DISTINCT path, name, line FROM i SEMI JOIN u USING (path, name)")
@@ -178,19 +144,19 @@ def parsed_ts(spark, sf_dir):
     return code.parse_code(ts_files(spark, sf_dir), "typescript")
 
 
-@query("pipe_parse", f"WITH {_TS} SELECT path, 2 AS imports, 3 AS functions, 1 AS classes, 1 AS types, 3 AS exports FROM ts_files")
+@query("pipe_parse", f"WITH {TS_SQL} SELECT path, 2 AS imports, 3 AS functions, 1 AS classes, 1 AS types, 3 AS exports FROM ts_files")
 def pipe_parse(spark, sf_dir):
     """The structure of each file as one row of counts."""
     g = parsed_ts(spark, sf_dir).groupBy("path")
     return g.agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in ("imports", "functions", "classes", "types")], F.count_if("exported").alias("exports"))
 
 
-@query("search_elements", f"WITH {_TS} SELECT path, 'functions' AS bucket, 'f_' || k AS name, 4 AS start_line, 7 AS end_line FROM ts_files WHERE contains('f_' || k, 'f_1')")
+@query("search_elements", f"WITH {TS_SQL} SELECT path, 'functions' AS bucket, 'f_' || k AS name, 4 AS start_line, 7 AS end_line FROM ts_files WHERE contains('f_' || k, 'f_1')")
 def search_elements(spark, sf_dir):
     return parsed_ts(spark, sf_dir).where(F.lower("name").contains("f_1")).select("path", "bucket", "name", "start_line", "end_line")
 
 
-@query("extract_element", f"WITH {_TS} SELECT path, 'f_' || k AS name, 4 AS start_line, 7 AS end_line, array_to_string(string_split({_CONTENT}, chr(10))[4:7], chr(10)) AS body FROM ts_files")
+@query("extract_element", f"WITH {TS_SQL} SELECT path, 'f_' || k AS name, 4 AS start_line, 7 AS end_line, array_to_string(string_split({CONTENT_SQL}, chr(10))[4:7], chr(10)) AS body FROM ts_files")
 def extract_element(spark, sf_dir):
     """The lines of each file's exported functions."""
     x = parsed_ts(spark, sf_dir).where("bucket = 'functions' and exported").join(ts_files(spark, sf_dir).select("path", "content"), "path")
@@ -204,7 +170,7 @@ def calls(bodies):
     return bodies.select("path", "name", found.alias("called")).where(~F.col("called").isin(R.NOT_CALLS) & (F.col("called") != F.col("name")))
 
 
-@query("call_graph", f"WITH {_TS} SELECT path, 'f_' || k AS root, 'f_' || k AS name, 0 AS depth FROM ts_files UNION ALL SELECT path, 'f_' || k, 'g_' || (k % 13), 1 FROM ts_files UNION ALL SELECT path, 'f_' || k, 'h', 1 FROM ts_files")
+@query("call_graph", f"WITH {TS_SQL} SELECT path, 'f_' || k AS root, 'f_' || k AS name, 0 AS depth FROM ts_files UNION ALL SELECT path, 'f_' || k, 'g_' || (k % 13), 1 FROM ts_files UNION ALL SELECT path, 'f_' || k, 'h', 1 FROM ts_files")
 def call_graph(spark, sf_dir):
     """(path, root, name, depth): functions of the same file reached by calls from each exported function, to a depth of 3."""
     x = parsed_ts(spark, sf_dir).where("bucket = 'functions'").join(ts_files(spark, sf_dir).select("path", "content"), "path")
@@ -217,47 +183,25 @@ def call_graph(spark, sf_dir):
     return reached.groupBy("path", "root", "name").agg(F.min("depth").alias("depth"))
 
 
-@query("file_dependencies", f"WITH {_TS}, c AS (SELECT a.path, a.relative AS source, v.i, regexp_replace(a.path, '/[^/]*$', '') || substring(a.relative, 2) || v.e AS candidate FROM ts_files a, (VALUES {_CANDIDATES}) v(i, e)) SELECT c.path, c.source, arg_min(f.path, c.i) AS resolved, 3 AS exports FROM c LEFT JOIN ts_files f ON f.path = c.candidate GROUP BY 1, 2 UNION ALL SELECT path, absolute, NULL, 3 FROM ts_files")
+@query("file_dependencies", f"WITH {TS_SQL}, c AS (SELECT a.path, a.relative AS source, v.i, regexp_replace(a.path, '/[^/]*$', '') || substring(a.relative, 2) || v.e AS candidate FROM ts_files a, (VALUES {_CANDIDATES}) v(i, e)) SELECT c.path, c.source, arg_min(f.path, c.i) AS resolved, 3 AS exports FROM c LEFT JOIN ts_files f ON f.path = c.candidate GROUP BY 1, 2 UNION ALL SELECT path, absolute, NULL, 3 FROM ts_files")
 def file_dependencies(spark, sf_dir):
     """Each file's imports, what they resolve to, and the number of its exports."""
     x = ts_files(spark, sf_dir)
     imports = x.select("path", F.explode(F.array("absolute", "relative")).alias("source"))
     exports = parsed_ts(spark, sf_dir).groupBy("path").agg(F.count_if("exported").alias("exports"))
-    return resolved(imports, x.select("path")).join(exports, "path", "left")
-
-
-def skeletons(df, key: str, content: str = "content"):
-    """(key, skeleton): imports, types, exports and signatures of a brace language; the body of a function or class is told by ``{ ... }``.
-
-    Lines are judged apart from each other: the braces opened before a line say whether it stands in a body, which a running sum tells. A body that
-    never closes hides the rest of the file. Null content has the empty skeleton.
-    """
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(content, F.lit("")), "\n")).alias("pos", "line"))
-    line, bare = F.col("line"), F.trim("line")
-    opened = F.length(F.regexp_replace(line, r"[^{]", "")) - F.length(F.regexp_replace(line, r"[^}]", ""))
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("opened", opened).withColumn("inside", F.coalesce(F.sum("opened").over(before), F.lit(0)) > 0)
-    arrow = T.any_of(bare, R.SKELETON_FUNCTION) & line.contains("=>") & ~line.contains("{")
-    signature = T.any_of(bare, R.SKELETON_FUNCTION + R.SKELETON_CLASS)
-    told = (
-        F.when(signature & (F.col("opened") > 0), F.concat(F.trim(F.regexp_replace(line, r"\{[^}]*\z", "")), F.lit(R.SKELETON_BODY)))
-        .when(arrow, F.concat(F.substring_index(line, "=>", 1), F.lit(R.SKELETON_ARROW)))
-        .when(signature | bare.rlike(R.SKELETON_KEPT), line)
-    )
-    told = F.when(~F.col("inside") & told.isNotNull(), F.struct("pos", told.alias("t")))
-    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda x: x["t"]), "\n").alias("skeleton"))
+    return multifile.resolved(imports, x.select("path")).join(exports, "path", "left")
 
 
 _SKELETON = "'import { a } from ''' || absolute || '''' || chr(10) || 'import { b } from ''' || relative || '''' || chr(10) || 'export type T = string' || chr(10) || 'export function f_' || k || '(x: number) { ... }' || chr(10) || 'function g_' || (k % 13) || '(x) { ... }' || chr(10) || 'export class C_' || p_size || ' { ... }'"
 
 
-@query("skeleton_brace", f"WITH {_TS} SELECT path, {_SKELETON} AS skeleton FROM ts_files")
+@query("skeleton_brace", f"WITH {TS_SQL} SELECT path, {_SKELETON} AS skeleton FROM ts_files")
 def skeleton_brace(spark, sf_dir):
-    return skeletons(ts_files(spark, sf_dir), "path")
+    return multifile.skeletons(ts_files(spark, sf_dir), "path")
 
 
-_MULTIFILE = f"""{_TS}, j AS (SELECT *, k % 40 AS project, count(*) OVER (PARTITION BY k % 40, absolute) >= 2 AS shared_import,
-  'import {{ a }} from ''' || absolute || '''' || chr(10) AS head, {_CONTENT} AS content, {_SKELETON} AS skeleton FROM ts_files),
+_MULTIFILE = f"""{TS_SQL}, j AS (SELECT *, k % 40 AS project, count(*) OVER (PARTITION BY k % 40, absolute) >= 2 AS shared_import,
+  'import {{ a }} from ''' || absolute || '''' || chr(10) AS head, {CONTENT_SQL} AS content, {_SKELETON} AS skeleton FROM ts_files),
   l AS (SELECT *, CASE WHEN shared_import THEN substring(content, length(head) + 1) ELSE content END AS lean, CASE WHEN shared_import THEN substring(skeleton, length(head) + 1) ELSE skeleton END AS thin FROM j)"""
 
 
@@ -265,7 +209,7 @@ _MULTIFILE = f"""{_TS}, j AS (SELECT *, k % 40 AS project, count(*) OVER (PARTIT
 def compress_multifile(spark, sf_dir):
     """Files without the imports that two or more of a project's files share, and as skeletons; with their tokens before and after."""
     y = lean_files(spark, sf_dir)
-    y = y.join(skeletons(y, "path", "lean"), "path")
+    y = y.join(multifile.skeletons(y, "path", "lean"), "path")
     return y.select("path", "shared_import", T.token_count(F.col("content")).alias("tokens"), T.token_count(F.col("lean")).alias("lean_tokens"), T.token_count(F.col("skeleton")).alias("skeleton_tokens"))
 
 
@@ -277,32 +221,11 @@ def lean_files(spark, sf_dir):
     return y.withColumn("lean", F.when(F.col("shared_import"), gone).otherwise(F.col("content")))
 
 
-def chunked(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """(project, path, chunk): the files of a project dealt into chunks of at most ``most`` tokens, related files together.
-
-    A chunk is seeded by the smallest path without a chunk and spreads along dependencies, all files at one distance before those at the next.
-    A file joins if it has no chunk yet and its tokens still fit; one that doesn't fit brings none of its dependencies. A seed always joins.
-    """
-    cost = pdf.set_index("path")["tokens"].to_dict()
-    needs = pdf.set_index("path")["deps"].to_dict()
-    home: dict[str, int] = {}
-    for chunk, seed in enumerate(p for p in sorted(cost) if p not in home):
-        home[seed], room, ring = chunk, most - cost[seed], [seed]
-        while ring and room > 0:
-            ahead = dict.fromkeys(d for path in ring for d in needs[path] if d in cost)
-            ring = []
-            for path in ahead:
-                if path not in home and 0 < room >= cost[path]:
-                    home[path], room = chunk, room - cost[path]
-                    ring.append(path)
-    return pd.DataFrame({"project": pdf["project"].iloc[0], "path": list(home), "chunk": list(home.values())})
-
-
 @query("chunk_files")
 def chunk_files(spark, sf_dir):
     """Projects of 40 files; packing is sequential, so a project is one task's work."""
     ship(spark)
     x = ts_files(spark, sf_dir).select(F.floor(F.col("k") / 40).alias("project"), "path", "absolute", T.token_count(F.col("content")).alias("tokens"))
-    deps = contained(x.select("path", F.col("absolute").alias("source"))).groupBy("path").agg(F.array_sort(F.collect_set("dep")).alias("deps"))
+    deps = multifile.contained(x.select("path", F.col("absolute").alias("source"))).groupBy("path").agg(F.array_sort(F.collect_set("dep")).alias("deps"))
     y = x.join(deps, "path", "left").select("project", "path", "tokens", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
-    return y.groupBy("project").applyInPandas(lambda pdf: chunked(pdf, 200), "project long, path string, chunk long")
+    return y.groupBy("project").applyInPandas(lambda pdf: multifile.chunked(pdf, 200), "project long, path string, chunk long")

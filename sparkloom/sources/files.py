@@ -30,6 +30,22 @@ def read_files(spark: SparkSession, root: str, globs: list[str]) -> DataFrame:
     return files.select(relative.alias("path"), "length", "content").where(fits).select("path", F.when(~large, F.decode("content", "UTF-8")).alias("content"), F.when(large, F.concat(F.lit("too large: "), "length")).alias("error"))
 
 
+def listed(listing: DataFrame, glob: str, most: int | None = None, path: str = "path") -> DataFrame:
+    """The rows of ``listing`` whose path fits, without parts that begin with a dot and node_modules; the first ``most`` by path, where the caller has such a limit."""
+    out = listing.where(F.col(path).rlike(glob_regex(glob)) & ~F.col(path).rlike(r"(^|/)(\.|node_modules/)"))
+    return out.orderBy(path).limit(most) if most else out
+
+
+def find(listing: DataFrame, patterns: list[str], most: int = 100, path: str = "path") -> DataFrame:
+    """The first ``most`` files by (first pattern that fits, path). A pattern with ``**`` or that begins with ``*.`` tells an ending, any other a part of the path."""
+    which = F.lit(None).cast("int")
+    for k, p in reversed(list(enumerate(patterns))):
+        c = F.col(path)
+        fits = c.endswith("." + p.rsplit(".", 1)[-1]) if "**" in p else c.endswith(p[1:]) if p.startswith("*.") else c.contains(p.replace("*", ""))
+        which = F.when(fits, k).otherwise(which)
+    return listing.withColumn("_which", which).where("_which is not null").orderBy("_which", path).limit(most).drop("_which")
+
+
 def parse_numstat(lines: DataFrame, text: str = "line") -> DataFrame:
     """(additions, deletions, file) of ``git diff --numstat``; a dash counts 0."""
     parts = F.split(text, "\t")

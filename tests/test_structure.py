@@ -7,22 +7,22 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sparkloom.operators import config
-from sparkloom.plans import conversations, detect, structure
+from sparkloom.operators import config, multifile
+from sparkloom.plans import conversations, detect
 from sparkloom.sources import files
 
 
 def test_skeletons(spark):
     text = "import a from 'a'\nexport function f(x) {\n  if (x) {\n    y()\n  }\n}\nconst g = (x) => x\ntype T = 1\nlet z = 2\nfunction h({a, b}) {\n  type x\n}\nclass C {\n  run() {}\n"
     rows = [("a", text), ("b", ""), ("c", None), ("d", "  x\n}\nexport const v = 1")]
-    got = {r.k: r.skeleton for r in structure.skeletons(spark.createDataFrame(rows, "k string, content string"), "k").collect()}
+    got = {r.k: r.skeleton for r in multifile.skeletons(spark.createDataFrame(rows, "k string, content string"), "k").collect()}
     assert got["a"].split("\n") == ["import a from 'a'", "export function f(x) { ... }", "const g = (x) => ...", "type T = 1", "function h({a, b}) { ... }", "class C { ... }"]
     assert got["b"] == got["c"] == "" and got["d"] == "export const v = 1"
 
 
 def test_chunks_take_in_dependencies_while_tokens_last():
     pdf = pd.DataFrame({"project": [1] * 4, "path": list("abcd"), "tokens": [6, 6, 3, 99], "deps": [["b", "c"], [], [], []]})
-    out = dict(zip(*structure.chunked(pdf, 10)[["path", "chunk"]].to_numpy().T, strict=True))
+    out = dict(zip(*multifile.chunked(pdf, 10)[["path", "chunk"]].to_numpy().T, strict=True))
     assert out == {"a": 0, "c": 0, "b": 1, "d": 2}
 
 
@@ -34,7 +34,7 @@ def test_chunks_are_the_queue():
         cost = {p: rng.randint(1, 9) for p in paths}
         needs = {p: sorted(rng.sample(paths, rng.randint(0, min(4, len(paths))))) for p in paths}
         pdf = pd.DataFrame({"project": [0] * len(paths), "path": paths, "tokens": cost.values(), "deps": needs.values()})
-        got = dict(zip(*structure.chunked(pdf, 12)[["path", "chunk"]].to_numpy().T, strict=True))
+        got = dict(zip(*multifile.chunked(pdf, 12)[["path", "chunk"]].to_numpy().T, strict=True))
         home, n = {}, 0
         for p in sorted(paths):
             if p in home:
@@ -58,7 +58,7 @@ def test_brief_json_and_yaml():
 
 def test_contained_is_the_nested_loop(spark):
     rows = [("src/a.ts", "src/b"), ("src/b.ts", "zod"), ("src/bc.ts", "x/src/a/y")]
-    got = {tuple(r) for r in structure.contained(spark.createDataFrame(rows, "path string, source string")).collect()}
+    got = {tuple(r) for r in multifile.contained(spark.createDataFrame(rows, "path string, source string")).collect()}
     stem = lambda p: p.removesuffix(".ts")
     assert got == {(p, q) for p, s in rows for q, _ in rows if p != q and (s in q or stem(q) in s)}
 
@@ -66,7 +66,7 @@ def test_contained_is_the_nested_loop(spark):
 def test_resolved(spark):
     imports = spark.createDataFrame([("src/x/a.ts", "./b"), ("src/x/a.ts", "../c"), ("src/x/a.ts", "zod"), ("a.ts", "./c")], "path string, source string")
     listing = spark.createDataFrame([("src/x/b.tsx",), ("src/x/b.js",), ("src/c/index.ts",), ("c.py",)], "path string")
-    assert {tuple(r) for r in structure.resolved(imports, listing).collect()} == {("src/x/a.ts", "./b", "src/x/b.tsx"), ("src/x/a.ts", "../c", "src/c/index.ts"), ("src/x/a.ts", "zod", None), ("a.ts", "./c", "c.py")}
+    assert {tuple(r) for r in multifile.resolved(imports, listing).collect()} == {("src/x/a.ts", "./b", "src/x/b.tsx"), ("src/x/a.ts", "../c", "src/c/index.ts"), ("src/x/a.ts", "zod", None), ("a.ts", "./c", "c.py")}
 
 
 def test_code_references(spark):
@@ -101,4 +101,4 @@ def test_nulls_and_empty_tables(spark):
         assert parse(none).count() == 0
     texts = spark.createDataFrame([("a", ""), ("b", None)], "id string, c string")
     assert {r.pipeline_type for r in detect.pipeline_type(texts).collect()} == {"generic"}
-    assert texts.select(F.size(structure.substrings(F.lit("aba"))).alias("n")).first().n == 5
+    assert texts.select(F.size(multifile.substrings(F.lit("abab"), F.lit(2))).alias("n")).first().n == 2
