@@ -1,29 +1,31 @@
-"""An FM-index over integer symbols: suffix array by prefix doubling, wavelet matrix with rank tables, backward search, sampled positions."""
+"""An FM-index over integer symbols: suffix array by doubling, wavelet matrix with rank tables, backward search, sampled positions."""
 
 from __future__ import annotations
 
 import numpy as np
 
+_U = np.uint64
+
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``symbols``; a zero is a separator, and an earlier separator is smaller than a later one."""
+    """Order of the suffixes of ``symbols``; a zero is a separator, and an earlier separator is smaller than a later one.
+
+    Ranks by 1, 2, 4, ... symbols: each round sorts one number for each suffix, its rank and that of the suffix so many symbols further on.
+    """
     n = len(symbols)
     zero = symbols == 0
-    rank = np.where(zero, np.cumsum(zero) - 1, symbols.astype(np.int64) + int(zero.sum()))
+    rank = np.where(zero, np.cumsum(zero), symbols.astype(np.int64) + int(zero.sum()))  # from 1; 0 is the end
     step = 1
-    order = np.argsort(rank, kind="stable")
     while True:
-        first = rank[order]
-        second = np.full(n, -1, np.int64)
-        second[: n - step] = rank[step:] if step < n else second[:0]
-        key2 = second[order]
-        order = order[np.lexsort((key2, first))]
-        a, b = rank[order], second[order]
+        key = rank.astype(np.uint64) << _U(32)
+        if step < n:
+            key[:-step] |= rank[step:].astype(np.uint64)
+        order = np.argsort(key)
+        sorted_key = key[order]
         fresh = np.empty(n, np.int64)
-        fresh[order] = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-        rank = fresh
-        step *= 2
-        if rank[order[-1]] == n - 1 or step >= n:
+        fresh[order] = np.concatenate([[1], 1 + np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        rank, step = fresh, step * 2
+        if step >= 2 * n or int(rank[order[-1]]) == n:
             return order
 
 
@@ -33,26 +35,25 @@ class FMIndex:
     def __init__(self, symbols: np.ndarray, sample: int = 16):
         n = len(symbols)
         sa = suffix_array(symbols)
-        bwt = symbols[sa - 1]
+        now = symbols[sa - 1].astype(np.uint32)
         self.n, self.size = n, int(symbols.max()) + 1
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=self.size))])
         self.levels, self.zeros = [], []
         bits = max(1, (self.size - 1).bit_length())
-        now = bwt.copy()
         self.shifts = list(range(bits - 1, -1, -1))
         for shift in self.shifts:
-            bit = (now >> shift) & 1
-            ones = np.concatenate([[0], np.cumsum(bit)]).astype(np.int32)
+            bit = ((now >> np.uint32(shift)) & np.uint32(1)).astype(bool)
+            ones = np.zeros(n + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
             self.levels.append(ones)
             self.zeros.append(n - int(ones[-1]))
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
+            now = np.concatenate([now[~bit], now[bit]])
         starts = np.ones(n, bool)
         starts[1:] = symbols[:-1] == 0
         keep = starts | (np.arange(n) % sample == 0)
         self.kept = keep[sa]
         self.kept_rank = np.concatenate([[0], np.cumsum(self.kept)])
         self.places = sa[self.kept]
-        self.bwt_symbol = None
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before place ``at`` of the transformed text."""
@@ -72,7 +73,7 @@ class FMIndex:
         return out
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of suffixes that begin with each row of ``patterns``, a matrix whose rows are aligned to the right."""
+        """Ranges of suffixes that begin with each row of ``patterns``, a matrix whose rows are aligned to the right; empty where a symbol isn't in the text."""
         width = patterns.shape[1]
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         for k in range(width - 1, -1, -1):
