@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a range holds on average, and the most ranges there are.
-RANGE_ROWS, MOST_RANGES = 1_000, 4_096
-_GROUP = 64
+#: Rows that a range holds on average, and the most ranges of that size; beyond so many rows ranges grow with the square root of the table,
+#: so that neither the list of bounds nor a task's share grows as fast as the table.
+RANGE_ROWS, MANY_RANGES = 1_000, 4_096
+_GROUP = 128
+
+
+def n_ranges(rows: int) -> int:
+    """Ranges for so many rows: of RANGE_ROWS each, up to MANY_RANGES of them; beyond that they grow in number and in size alike."""
+    most = MANY_RANGES * RANGE_ROWS
+    return max(1, rows // RANGE_ROWS) if rows <= most else int(MANY_RANGES * (rows / most) ** 0.5)
 
 
 def range_bounds(df: DataFrame, key: str) -> list[int]:
-    """Ascending values of ``key`` that occur in ``df``, the smallest first: ranges of about equal rows begin at them. At most MOST_RANGES."""
+    """Ascending values of ``key`` that occur in ``df``, the smallest first: ranges of about equal rows begin at them."""
     rows, least = df.agg(F.count("*"), F.min(key)).first()
     if not rows:
         return []
-    parts = max(1, min(MOST_RANGES, rows // RANGE_ROWS))
+    parts = n_ranges(rows)
     cuts = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
     return sorted({least, *(int(x) for x in cuts)})
 

@@ -18,14 +18,21 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Words up to so many characters are symbols; a longer one counts by its single characters, as in scripts without blanks.
+LONG_WORD = 24
+_WORD = f"[^{_SPACE}]"
+_PIECES = f"(?<!{_WORD}){_WORD}{{1,{LONG_WORD}}}+(?!{_WORD})|{_WORD}"
+
+
 def word_hashes(text: Column) -> Column:
-    """Hashes of the words, runs of anything but ASCII white space, in order."""
+    """Hashes of the symbols in order: words, runs of anything but ASCII white space, or the characters of words longer than LONG_WORD."""
     trimmed = F.btrim(text, F.lit(_SPACE))
-    return F.when(F.length(trimmed) > 0, F.transform(F.split(trimmed, f"[{_SPACE}]+"), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    words = F.when(text.rlike(f"{_WORD}{{{LONG_WORD + 1}}}"), F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))).otherwise(F.split(trimmed, f"[{_SPACE}]+"))
+    return F.when(F.length(trimmed) > 0, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
 def anchors(text: Column) -> Column:
-    """array<struct<pos, hash>> in order: the k-mers of words whose smallest inner s-mer is their first or last.
+    """array<struct<pos, hash>> in order: the k-mers of symbols (see word_hashes) whose smallest inner s-mer is their first or last.
 
     Whether a k-mer is chosen depends on its own words only, so an edit disturbs no anchor but those whose words it touches. A text with words
     of which no k-mer is chosen, as any of fewer words than K, has one anchor, its whole sequence; without words it has none.
