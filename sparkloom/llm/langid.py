@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import vec
 
-#: Documents of each language that the filters are learned from, about; whole texts. The only bound on what is learned.
-SAMPLE_PER_LANGUAGE = 800
+#: Documents of each language that the filters are learned from, about, and bytes of text of all languages together; whole texts. The only bounds on what is learned.
+SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 800, 64_000_000
 #: Bytes of an n-gram, slots of a filter, and how often an n-gram must occur in a language's sample.
 NGRAM, SLOTS, LEAST = 5, 1 << 20, 3
 #: Languages in a filter: the bits of a mask.
@@ -97,11 +97,14 @@ class Filters:
 
 
 def learn(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Filters:
-    """Filters from rows of ``train`` with text and language: of each language about ``per_language``, chosen by a hash of id and text."""
+    """Filters from rows of ``train`` with text and language: of each language about ``per_language``, fewer if their texts are long (SAMPLE_BYTES), chosen by a hash of id and text."""
     known = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("h"))
-    counts = known.groupBy("lang").count()
-    share = F.lit(float(per_language)) / F.col("count")
-    few = known.join(F.broadcast(counts), "lang").where((F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)) < share)
+    counts = known.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row for each language
+    if not counts:
+        return Filters([], [])
+    shares = [(r.lang, min(per_language / r["count"], SAMPLE_BYTES / len(counts) / max(r.bytes, 1))) for r in counts]
+    share = F.col("share")
+    few = known.join(F.broadcast(train.sparkSession.createDataFrame(shares, "lang string, share double")), "lang").where((F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)) < share)
     sample = few.select("lang", "text").toArrow()
     languages = sorted(set(sample.column("lang").to_pylist()))
     grams = []
@@ -120,8 +123,9 @@ def learn(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
 def predict(docs: DataFrame, filters: Filters, text: str = "text", pred: str = "_lang", score: str = "_score") -> DataFrame:
     """``docs`` with the predicted language and its score from 0 to 1. ``und`` and 0 if the text is null or has no letter, or nothing was learned.
 
-    Equal scores go to the language first in the alphabet. Other columns pass unread.
+    Equal scores go to the language first in the alphabet. Other columns pass unread; those named ``pred`` or ``score`` are replaced.
     """
+    docs = docs.drop(pred, score)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
