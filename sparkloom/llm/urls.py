@@ -184,15 +184,18 @@ def train(labelled: DataFrame, url: str = "url", label: str = "blocked", rows: i
 def judge(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
     """``pages`` with _host, _path, _rule, _verdict and _score. The longest fitting rule decides; where none fits, the trees: block at 0.5 or more.
 
-    Null URLs and those without ``://`` have empty host and path, fit no rule, and are judged by the trees as the empty URL.
+    Null URLs and those without ``://`` have empty host and path, fit no rule, and are judged by the trees as the empty URL. Rows are judged by
+    themselves, repeated ones alike. Columns of other names pass unread; input columns of the five names are replaced.
     """
-    out = pages.withColumn("_host", host(F.col(url))).withColumn("_path", path(F.col(url)))
-    out = with_rates(out, "_host", "_path", model.rates, model.prior)
-    x = features(F.col(url), F.col("_host"), F.col("_path")) | rate_features()
-    out = out.withColumn("_x", F.explode(F.array(F.struct(*[c.alias(k) for k, c in x.items()]))))  # the features are computed once
-    out = out.withColumn("_score", model.score({k: F.col(f"_x.{k}") for k in x})).withColumn("_hit", matching_rule(F.col("_host"), F.col("_path"), rules))
-    out = out.withColumn("_rule", F.col("_hit.rule")).withColumn("_verdict", F.coalesce("_hit.verdict", F.when(F.col("_score") >= 0.5, "block").otherwise("allow")))
-    return out.drop("_x", "_hit", "_suffix_rate", "_part_rate")
+    made = ["_host", "_path", "_rule", "_verdict", "_score"]
+    out = pages.select(F.struct(*pages.columns).alias("page"), F.col(url).alias("url")).withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
+    out = with_rates(out, "host", "path", model.rates, model.prior)
+    x = features(F.col("url"), F.col("host"), F.col("path")) | rate_features()
+    out = out.withColumn("x", F.explode(F.array(F.struct(*[c.alias(k) for k, c in x.items()]))))  # the features are computed once
+    out = out.withColumn("score", model.score({k: F.col(f"x.{k}") for k in x})).withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce("hit.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    kept = [F.col(f"page.`{c}`").alias(c) for c in pages.columns if c not in made]
+    return out.select(*kept, F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("hit.rule").alias("_rule"), verdict.alias("_verdict"), F.col("score").alias("_score"))
 
 
 def labelled_by_rules(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
