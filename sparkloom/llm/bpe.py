@@ -101,7 +101,8 @@ def _chunks(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, list[str]]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``_ids`` array<int>: the token ids of the whole text; null and empty texts have none. Other columns pass unread."""
+    """``docs`` with ``_ids`` array<int>: the token ids of the whole text; null and empty texts have none. Other columns pass unread; one named _ids is replaced."""
+    docs = docs.drop("_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
