@@ -58,4 +58,19 @@ counted AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM spans
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
 FROM sized LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": NGRAM_JACCARD, "op4_ngram_jaccard_links": NGRAM_JACCARD_LINKS, "op6_fm_decontamination": DECONTAMINATION, "op7_suffix_dedup": SUFFIX_DEDUP}
+#: The next document is that of the next id, after the last the first.
+EDITED_TEXTS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id, t), first_value(t) OVER (ORDER BY doc_id, t)) AS u FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substring(t, 1, n - n // 4) || substring(u, 1, n // 4)) AS edited_sha256 FROM n"""
+
+#: Of the rules that fit, the longest.
+URL_RULES = r"""
+WITH rules AS (SELECT * FROM (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')) t(verdict, rule)),
+parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+fits AS (SELECT p.page_id, r.rule, r.verdict FROM parts p JOIN rules r ON (p.host = split_part(r.rule, '/', 1) OR ends_with(p.host, '.' || split_part(r.rule, '/', 1))) AND starts_with(p.path, substring(r.rule, strpos(r.rule, '/')))
+    QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC) = 1)
+SELECT p.page_id, p.host, p.path, f.rule, f.verdict FROM parts p LEFT JOIN fits f USING (page_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_edited_texts": EDITED_TEXTS, "op9_url_rules": URL_RULES, "op4_ngram_jaccard_join": NGRAM_JACCARD, "op4_ngram_jaccard_links": NGRAM_JACCARD_LINKS, "op6_fm_decontamination": DECONTAMINATION, "op7_suffix_dedup": SUFFIX_DEDUP}

@@ -25,14 +25,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes of every text. Null and empty texts have no tokens; each row gives a row, repeated ones and null ids too."""
     return bpe.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text. Null texts count as empty; null ids come first, ties of an id by text; an empty table gives no rows."""
     return syncmers.edited(load(spark, sf_dir, "documents"))
 
 
+def op3_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_syncmer_fingerprints that SQL can express: lengths and digests of the edited texts. Null texts count as empty; rows are as in it."""
+    return op3_syncmer_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document. Null and wordless texts are alone; repeated rows share a component."""
     return ngram_join.ngram_jaccard(load(spark, sf_dir, "documents"), width=4, percent=85)
 
 
@@ -42,11 +50,13 @@ def op4_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard and a place in it for every document, by the law of near equal bytes. Null texts have size 1; null ids hash by their text; ties by size and checksum."""
     out = shards.shard(load(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
 def op6_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside benchmark windows and the items they come from, a row for each document. Null texts have no words."""
     found = decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["last"] - s["first"] + 1))
     return found.select(
@@ -60,11 +70,13 @@ def op6_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated strings of 200 bytes, removed from every text. Null texts count as empty; repeated rows repeat each other."""
     found = suffix.suffix_dedup(load(spark, sf_dir, "documents"), length=200)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from documents that aren't held out. Null texts and those without a letter are und; equal scores go to the first language."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id"))
     filters = langid.learn(docs.where("not held_out"))
     return langid.predict(docs.select("doc_id", "held_out", "text"), filters).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
@@ -76,12 +88,20 @@ def held_out(doc_id: str):
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every URL. Null URLs have empty host and path; repeated rows are judged alike."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     model = urls.train(urls.labelled_by_rules(pages, urls.RULES))
     return urls.judge(pages, model, urls.RULES).select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"), F.col("_score").alias("score"))
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9_url_filter that SQL can express: host, path and rule of each URL, and the verdict where a rule speaks, else null."""
+    out = op9_url_filter(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of every text; a token over a boundary counts to the line of its first byte. Null and empty texts have one empty line."""
     return token_counts.section_token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
@@ -91,4 +111,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_syncmer_fingerprints, op4_ngram_jaccard_join, op4_ngram_jaccard_links, op5_virtual_slot_shards, op6_fm_decontamination, op7_suffix_dedup, op8_language_id, op9_url_filter, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_syncmer_fingerprints, op3_edited_texts, op4_ngram_jaccard_join, op4_ngram_jaccard_links, op5_virtual_slot_shards, op6_fm_decontamination, op7_suffix_dedup, op8_language_id, op9_url_filter, op9_url_rules, op10_token_counts, pipeline)}

@@ -5,12 +5,14 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontam, langid, ngram_join, order, paragraphs, shards, suffix, syncmers, token_counts, urls
@@ -99,6 +101,13 @@ def test_paragraphs(docs, empty, rows):
         x, y = shingles(a, 5), shingles(b, 5)
         if 100 * len(x & y) >= 80 * len(x | y):
             assert m in by_id[j][0], (i, k, j, m)
+    runs = lambda t: {tuple(w[k : k + 25]) for w in [words_of(t)] for k in range(len(w) - 24)}
+    for j, gone in ((i, g) for i, each in by_id.items() if i is not None for g in each):
+        text = next(t for i, t in rows if i == j and t is not None) if gone else ""
+        for m in gone:  # and no other: what goes is like a paragraph before it, or shares a passage with a row of a smaller id
+            b = text.split("\n")[m]
+            like = any((i, k) < (j, m) and 100 * len(shingles(a, 5) & shingles(b, 5)) >= 80 * len(shingles(a, 5) | shingles(b, 5)) for i, k, a in lines)
+            assert like or any(i is not None and i < j and runs(t) & runs(text) for i, t in rows), (j, m)
     assert paragraphs.substring_dedup(empty).count() == 0
 
 
@@ -163,6 +172,50 @@ def test_syncmers(docs, empty, rows, monkeypatch):
     assert syncmers.edited(empty).count() == 0
 
 
+def plain_anchors(text):
+    """Closed syncmers by their definition: (place, hash) of the symbols' 5-mers whose least inner 2-mer is the first or the last."""
+    long = lambda x: (x + 2**63) % 2**64 - 2**63
+    of_text = lambda t: long(xxhash.xxh64(t.encode(), seed=42).intdigest())
+
+    def of_longs(*xs):
+        seed = 42
+        for x in xs:
+            seed = xxhash.xxh64(struct.pack("<q", x), seed=seed % 2**64).intdigest()
+        return long(seed)
+
+    words = [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", text) if w]
+    h = [of_text(s) for w in words for s in ([w] if len(w) <= 24 else list(w))]
+    out = []
+    for k in range(len(h) - 4):
+        inner = [of_longs(h[j], h[j + 1]) for j in range(k, k + 4)]
+        if min(inner[0], inner[3]) <= min(inner[1:3]):
+            out.append((k, of_longs(*h[k : k + 5]) >> 32))
+    return out or ([(0, of_longs(*h) >> 32)] if h else [])
+
+
+def test_fingerprints_by_their_definition(docs, rows):
+    hanzi = "".join(chr(0x4E00 + (k * 7919) % 5000) for k in range(400))
+    spark = docs.sparkSession
+    odd = [(200, hanzi), (201, hanzi[:300] + " end"), (202, "x" * 24 + " " + "y" * 25 + " z"), (203, "")]
+    table = {i: t or "" for i, t in [*rows, *odd] if i is not None}
+    got = {r.doc_id: r for r in syncmers.edited(spark.createDataFrame(list(table.items()), "doc_id long, text string")).collect()}
+    ids = sorted(table)
+    for i, j in zip(ids, [*ids[1:], ids[0]], strict=True):
+        q = len(table[i]) // 4
+        new = table[i][: len(table[i]) - q] + table[j][:q]
+        a, b, c = ([x & 0xFFFFFFFF for _, x in plain_anchors(t)] for t in (table[i], new, table[j]))
+        like = lambda x, y: len({*x} & {*y}) / len({*x} | {*y}) if {*x} | {*y} else 1.0
+        r = got[i]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(table[i]), "".join(f"{x:08X}" for x in a), "".join(f"{x:08X}" for x in b)), i
+        assert r.near_edited == pytest.approx(like(a, b)) and r.near_next == pytest.approx(like(a, c))
+    assert got[200].near_edited > 0.5 and len(got[200].fingerprint) > 400
+
+
+def test_ranges_grow_slower_than_the_table():
+    n = [order.n_ranges(r) for r in (0, 999, 10_000, 4_096_000, 16_384_000, 30_000_000_000)]
+    assert n[:4] == [1, 1, 10, 4096] and n[4] == 8192 and n[5] < 400_000
+
+
 def test_syncmers_are_context_free(spark):
     rng = random.Random(3)
     inner = " ".join(f"w{rng.randrange(99)}" for _ in range(50))
@@ -196,6 +249,14 @@ def test_ngram_jaccard(docs, empty, rows, width, percent):
     assert ngram_join.ngram_jaccard(empty).count() == 0
 
 
+def test_rows_of_one_id_link_by_their_own_texts(spark):
+    ship(spark)
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(5, a), (5, b), (7, a + " x"), (9, b + " y"), (None, a), (None, "only here and nowhere else"), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.component_id is not None)
+    assert got == [(0, 27, 5), (5, 27, 5), (5, 27, 5), (7, 28, 5), (9, 28, 5)]
+
+
 def test_ngram_links(docs, rows):
     got = ngram_join.ngram_jaccard(docs.where("doc_id is not null"), 2, 50, count_links=True).collect()
     sets = {i: frozenset(shingles(t, 2)) for i, t in rows if i is not None}
@@ -213,6 +274,12 @@ def test_shards(docs, empty, rows):
         places = sorted(r.slot for r in got if r.shard == s)
         assert places == list(range(len(places)))
     assert sorted((r["size"], r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows)
+    load, slots = collections.Counter(), collections.Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+        slots[r.vslot] += r["size"]
+    # near equal bytes: no more apart than the largest slot, and no shard holds more than its share and that
+    assert max(load[s] for s in range(4)) - min(load[s] for s in range(4)) <= max(slots.values())
     assert shards.shard(empty).count() == 0
 
 
@@ -251,9 +318,10 @@ def test_fm_index():
         assert places == [k for k in range(len(text) - 2) if (text[k : k + 3] == p).all()]
 
 
-@pytest.mark.parametrize("block", [200_000, 60])
-def test_contamination(spark, docs, empty, rows, block, monkeypatch):
+@pytest.mark.parametrize("block,most", [(200_000, 16), (60, 16), (60, 1)])
+def test_contamination(spark, docs, empty, rows, block, most, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(decontam, "PASS_BLOCKS", most)
     rng = random.Random(8)
     items = []
     for k in range(8):
@@ -277,18 +345,21 @@ def test_contamination(spark, docs, empty, rows, block, monkeypatch):
                     hit |= set(range(k, k + n))
                     found |= windows[tuple(w[k : k + n])]
         expected[i].append((len(w), len(hit), sorted(found)))
-    for r in decontam.contamination(docs, bench).collect():
-        assert (r.n_words, sum(s["last"] - s["first"] + 1 for s in r.spans), r["items"]) in expected[r.id], r.id
+    got = [(str(r.id), r.n_words, sum(s["last"] - s["first"] + 1 for s in r.spans), r["items"]) for r in decontam.contamination(docs, bench).collect()]
+    assert sorted(got) == sorted((str(i), *e) for i, each in expected.items() for e in each)
     clean = decontam.decontaminate(docs, bench)
+    left = [(str(r.doc_id), len(split(r.text))) for r in clean.collect()]
+    assert sorted(left) == sorted((str(i), n - hit) for i, each in expected.items() for n, hit, _ in each)
     assert clean.columns == docs.columns and clean.where("doc_id = 72").first().text is None
     assert clean.where("doc_id = 79").first().text == dict(rows)[79]
     assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
-def test_contamination_has_a_row_for_each_row(spark, block, monkeypatch):
+@pytest.mark.parametrize("block,most", [(200_000, 16), (3, 16), (3, 2)])
+def test_contamination_has_a_row_for_each_row(spark, block, most, monkeypatch):
     ship(spark)
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(decontam, "PASS_BLOCKS", most)
     bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta"), (3, "gamma delta")], "item_id long, text string")
     rows = [(None, "x alpha beta gamma y"), (None, "x delta epsilon zeta y"), (None, "one two three four five"), (7, "alpha beta gamma delta"), (7, "one two three four"), (8, "gamma delta"), (8, "gamma delta")]
     got = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
@@ -331,6 +402,62 @@ def test_language_id(spark, empty):
     assert langid.predict(empty, filters).count() == 0
 
 
+def test_language_scores_are_shares_of_ngrams(spark):
+    """Against plain sets of n-grams: the filters' false positives are taken off."""
+    ship(spark)
+    rng = random.Random(9)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(80))
+    train = [(n, make(k), k) for n, k in enumerate(["abcdefgh", "efghijkl", "qrstuvwx"] * 30)]
+    table = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    filters = langid.learn(table)
+    grams = lambda t: [w[k : k + 5] for w in [" " + t + " "] for k in range(len(w) - 4)]
+    count = {k: collections.Counter(g for _, t, lang in train if lang == k for g in grams(t)) for k in filters.languages}
+    held = {k: {g for g, n in c.items() if n >= langid.LEAST} for k, c in count.items()}
+    test = [(n, make(k)) for n, k in enumerate(["abcdefgh", "efghijkl", "qrstuvwx", "abcdefghijkl"] * 10)]
+    for r in langid.predict(spark.createDataFrame(test, "doc_id long, text string").withColumn("_lang", F.lit(1)), filters).collect():
+        share = {k: sum(g in s for g in grams(r.text)) / len(grams(r.text)) for k, s in held.items()}
+        assert r._score == pytest.approx(max(share.values()), abs=0.03) and share[r._lang] >= max(share.values()) - 0.03
+
+
+def test_held_out_accuracy(spark):
+    from pathlib import Path
+
+    from sparkloom.llm import queries
+
+    sf = Path("/root/testdata/sf0.01")
+    if not sf.exists():
+        pytest.skip("no test tables")
+    told = queries.op8_language_id(spark, str(sf)).join(spark.read.parquet(str(sf / "documents.parquet")).select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
+    right, n = told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert n > 100 and right > 0.97
+
+
+def test_sample_of_long_texts_is_bounded(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 40_000)
+    train = spark.createDataFrame([(n, f"{'ab cd ef ' if n % 2 else 'xy zw uv '}" * 400, "a" if n % 2 else "b") for n in range(60)], "doc_id long, text string, lang string")
+    assert langid.learn(train).languages == ["a", "b"]
+
+
+def test_trees_as_columns_are_the_trees(spark):
+    rng = random.Random(3)
+    made = [(f"http{'s' * rng.randint(0, 1)}://h{rng.randrange(9)}.{rng.choice(['com', 'net', 'org'])}/{'a/' * rng.randint(0, 4)}{rng.randrange(10**rng.randint(1, 6))}", 0) for _ in range(600)]
+    rows = [(u, int(u.count("/") > 4 or u.startswith("https"))) for u, _ in made]
+    model = urls.train(spark.createDataFrame(rows[:400], "url string, blocked int"))
+    tested = spark.createDataFrame(rows[400:], "url string, blocked int").withColumn("_host", F.lit("mine")).withColumn("x", F.lit(1))
+    out = urls.judge(tested, model, []).collect()
+    assert set(out[0].asDict()) == {"url", "blocked", "x", "_host", "_path", "_rule", "_verdict", "_score"} and all(r._host.startswith("h") for r in out)
+    right = sum((r._verdict == "block") == bool(r.blocked) for r in out) / len(out)
+    assert right > 0.95
+    hosted = tested.select("url", urls.host(F.col("url")).alias("h"), urls.path(F.col("url")).alias("p"))
+    rated = urls.with_rates(hosted, "h", "p", model.rates, model.prior)
+    x = urls.features(F.col("url"), F.col("h"), F.col("p")) | urls.rate_features()
+    data = rated.select("url", *[c.alias(k) for k, c in x.items()]).toPandas().drop_duplicates("url").set_index("url")
+    total = model.base + sum(t.predict(data.to_numpy(float)) for t in model.trees)
+    plain = dict(zip(data.index, 1 / (1 + np.exp(-total)), strict=True))
+    assert all(r._score == pytest.approx(plain[r.url]) for r in out)
+
+
 def test_url_rules(spark):
     urls_ = ["http://A.Example.com/en/7?x", "https://net/de/", "http://xnet/de/", "ftp://b.example.net/de/81#k", "http://example.org/es", "nothing", None, "x://h://com/en/1", "http://com/en/", "http://q.com?/en/"]
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls_)], "page_id long, url string")
@@ -377,6 +504,22 @@ def test_token_counts(docs, empty, rows):
     assert token_counts.section_token_counts(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_token_counts_of_spans_and_fields(spark):
+    ship(spark)
+    rows = [(1, "one two three", [0, 4, 4, 13], "title", "body text é"), (2, None, None, None, "x"), (3, "a\nb", None, "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edges array<long>, title string, body string")
+    got = collections.defaultdict(list)
+    for r in token_counts.section_token_counts(df, RANKS, public_tokenizers.PATTERN, bounds="edges").orderBy("doc_id", "section").collect():
+        got[r.doc_id].append((r.n_bytes, r.n_tokens))
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    assert [b for b, _ in got[1]] == [4, 0, 9] and sum(n for _, n in got[1]) == len(enc.encode_ordinary("one two three")) and got[1][1] == (0, 0)
+    assert got[2] == [(0, 0)] and [b for b, _ in got[3]] == [2, 1]
+    told = {(r.doc_id, r.field): r for r in token_counts.field_token_counts(df, RANKS, public_tokenizers.PATTERN, ["title", "body"]).collect()}
+    assert told[1, "title"].n_bytes == 6 and told[1, "body"].n_bytes == len("body text é".encode())
+    for i, whole in ((1, "title\nbody text é"), (2, "\nx"), (3, "\n")):
+        assert told[i, "title"].n_tokens + told[i, "body"].n_tokens == told[i, "body"].doc_tokens == len(enc.encode_ordinary(whole))
+
+
 def test_boundary_rules():
     sizes, bounds = np.array([2, 4, 1]), np.array([0, 3, 7])
     assert token_counts.attribute(sizes, bounds, "first").tolist() == [2, 1]
