@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of longs may be broadcast up to this size in memory, where a row takes about ROW_BYTES and 16 bytes a column. Beyond it joins shuffle.
 BROADCAST_BYTES, ROW_BYTES = 64_000_000, 32
+#: Shuffle partitions of intermediate tables are put together up to this size.
+SMALL_PARTITION = 4 * 1024 * 1024
 #: Of the keys of a join, those with more than 1 / HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are joined by broadcast.
 HOT_KEYS, HOT_LEAST = 20_000, 1_000
 
@@ -25,13 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_scopes = threading.local()
+
+
+def _scope() -> list[list[DataFrame]]:
+    if not hasattr(_scopes, "held"):
+        _scopes.held = []
+    return _scopes.held
+
+
+@contextmanager
+def _few_files(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, shuffle partitions under SMALL_PARTITION are put together, also where that leaves cores idle: most tables of a round are tiny."""
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    number = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size))
+    kept = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(min(number, SMALL_PARTITION))}
+    before = {k: spark.conf.get(k) for k in kept}
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _few_files(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
+    for scope in _scope()[-1:]:
+        scope.append(out)
     return out
 
 
@@ -41,6 +76,25 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._table)
 
 
+def owned(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``make`` with its result materialised, after which all tables that it materialised on the way are deleted."""
+
+    @wraps(make)
+    def run(*args: Any, **options: Any) -> DataFrame:
+        _scope().append([])
+        try:
+            out = make(*args, **options)
+            out = out if hasattr(out, "_table") else materialize(out)
+        finally:
+            made = _scope().pop()
+        discard(*[t for t in made if t._table != out._table])
+        for scope in _scope()[-1:]:
+            scope.append(out)
+        return out
+
+    return run
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -77,3 +131,9 @@ def by_key(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> Da
         return rows.join(table, keys)
     cold = rows.join(hot, keys, "left_anti").join(table.where(F.col(count) <= least), keys)
     return cold.unionByName(rows.join(hot, keys))
+
+
+def lean(table: DataFrame, size: str, width: int) -> DataFrame:
+    """``table``, with an array of ``size`` elements of ``width`` bytes in each row, marked for broadcast if sums show that it has at most BROADCAST_BYTES; else as it is."""
+    n, total = table.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(table) if n * (ROW_BYTES + 64) + (total or 0) * width <= BROADCAST_BYTES else table

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, owned
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -21,6 +21,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return down.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+@owned
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: (a, b) of longs. Returns (node, component): the smallest node reachable, for each node of an edge.
 

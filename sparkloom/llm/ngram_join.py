@@ -98,14 +98,16 @@ def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: st
     if count_links:
         pairs = links(posts, sets_of, percent, sieve)
         degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        found = components(pairs).join(degree, "node")
+        clusters = components(pairs)
+        found = clusters.join(degree, "node")
     else:
-        found = cluster(posts, sets_of, percent, sieve).withColumn("n_links", F.lit(0).cast("long"))
-    found = materialize(found)
+        clusters = cluster(posts, sets_of, percent, sieve)
+        found = clusters.withColumn("n_links", F.lit(0).cast("long"))
     linked = found.join(classes.select("node", "least"), "node")
     lowest = materialize(linked.groupBy("component").agg(F.min("least").alias("lowest"), F.count("*").alias("size")))
     named = by_key(linked, lowest, ["component"], "size").select("node", "lowest", "n_links")
     told = materialize(classes.join(small(named), "node", "left").select("k1", "k2", "copies", F.when(F.col("n_links").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    discard(classes, copies, lowest, clusters)
     ids = by_key(full.select("own", "n", "k1", "k2"), told, ["k1", "k2"], "copies")
     empty = base.where("n = 0").select("own", "n", F.col("own").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     out = ids.select("own", "n", "component_id", "n_links").unionByName(empty).select(F.col("own").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "n_links")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import BROADCAST_BYTES, ROW_BYTES, by_key, discard, materialize, record_id, semi_by_id, small
+from .common import by_key, lean, materialize, owned, record_id, semi_by_id, small
 from .rarity import Rarity, frequent
 from .similarity import cluster
 
@@ -92,6 +92,7 @@ def _sets_of(rows: DataFrame, homes: DataFrame, shingle: int):
     return sets_of
 
 
+@owned
 def repeated_paragraphs(rows: DataFrame, min_words: int = 25, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, th, para, component, first_id, first_para) for every paragraph of ``rows`` (id, th, text) to remove: all of a component but its first, by id and place.
 
@@ -104,13 +105,12 @@ def repeated_paragraphs(rows: DataFrame, min_words: int = 25, shingle: int = 5,
     copies = materialize(by_key(found.select("place", "k1", "k2"), several, ["k1", "k2"], "copies").select("place", "node"))
     firsts = found.join(small(copies.where("place <> node").select("place")), "place", "left_anti").withColumnRenamed("place", "node")
     posts = firsts.select(F.explode("bands").alias("key"), "node", "n", F.lit(1).alias("ell"), F.lit(0).alias("pos"))
-    linked = materialize(cluster(posts, _sets_of(rows, firsts.select("node", "id", "th", "para"), shingle), percent, rarity=Rarity(*frequent(rows, shingle))))
+    linked = cluster(posts, _sets_of(rows, firsts.select("node", "id", "th", "para"), shingle), percent, rarity=Rarity(*frequent(rows, shingle)))
     # the paragraphs that are not alone: those of classes of several and of classes with links
     single = linked.join(small(copies.select(F.col("place").alias("node"))), "node", "left_anti")
     nodes = copies.unionByName(single.select(F.col("node").alias("place"), "node"))
     nodes = nodes.join(small(linked), "node", "left").select("place", F.coalesce("component", "node").alias("component"))
     members = materialize(found.select("place", "id", "th", "para").join(small(nodes), "place").drop("place"))
-    discard(found)
     stay = materialize(members.groupBy("component").agg(F.min(F.struct("id", "para")).alias("first"), F.count("*").alias("copies")))
     gone = by_key(members, stay, ["component"], "copies").where((F.col("id") != F.col("first.id")) | (F.col("para") != F.col("first.para")))
     return gone.select("id", "th", "para", "component", F.col("first.id").alias("first_id"), F.col("first.para").alias("first_para"))
@@ -167,6 +167,7 @@ def _passages(lined: DataFrame, length: int) -> DataFrame:
     return lined.select("id", "th", "text", "removed").mapInArrow(run, "key long, check long, id long, th long, pos int")
 
 
+@owned
 def repeated_passages(lined: DataFrame, length: int) -> DataFrame:
     """(id, th, spans) of ``lined`` (id, th, text, removed): runs of words, array<struct<first, last>>, whose passages stand in a row of a smaller id too.
 
@@ -242,10 +243,10 @@ def substring_dedup(docs: DataFrame, min_words: int = 25, shingle: int = 5, perc
     told = docs.select(F.struct(*others).alias("row"), F.col(text).alias("text"), record_id(doc_id, text).alias("id")).withColumn("th", F.xxhash64("text"))
     rows = told.select("id", "th", F.coalesce("text", F.lit("")).alias("text"))
     gone = materialize(repeated_paragraphs(rows, min_words, shingle, percent).groupBy("id", "th").agg(F.sort_array(F.collect_set("para")).alias("removed"), F.count("*").alias("n")))
-    lined = rows.join(_lean(gone, "n").drop("n"), ["id", "th"], "left")
-    cuts = materialize(repeated_passages(lined, max(1, length)).withColumn("m", F.size("spans")))
+    lined = rows.join(lean(gone, "n", 8).drop("n"), ["id", "th"], "left")
+    cuts = repeated_passages(lined, max(1, length)).withColumn("m", F.size("spans"))
     changed = materialize(gone.join(cuts, ["id", "th"], "full_outer").select("id", "th", "removed", "spans", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("size")))
-    lean = _lean(changed, "size")
+    told_lean = lean(changed, "size", 16)
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("_n_paragraphs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,17 +257,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 25, shingle: int = 5, perc
     def shaped(df: DataFrame) -> DataFrame:
         return df.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c in (*others, text)], "_n_paragraphs", "_removed")
 
-    if lean is changed:  # too many changed rows to broadcast
+    if told_lean is changed:  # too many changed rows to broadcast
         both = told.join(changed, ["id", "th"], "left")
         touched, same = both.where("size is not null"), both.where("size is null")
     else:
-        touched, same = told.join(lean, ["id", "th"]), told.join(F.broadcast(changed.select("id", "th")), ["id", "th"], "left_anti")
+        touched, same = told.join(told_lean, ["id", "th"]), told.join(F.broadcast(changed.select("id", "th")), ["id", "th"], "left_anti")
     kind = touched.select("row", "text", n_lines, F.col("removed").alias("_removed")).schema
     cut = touched.select("row", "text", "removed", "spans", n_lines).mapInArrow(run, kind)
     return shaped(cut).unionByName(shaped(same.select("row", "text", n_lines, F.array().cast("array<int>").alias("_removed"))))
-
-
-def _lean(table: DataFrame, size: str) -> DataFrame:
-    """``table``, with arrays of ``size`` elements in all, marked for broadcast if sums show that it is small."""
-    n, total = table.agg(F.count("*"), F.sum(size)).first()
-    return F.broadcast(table) if n * (ROW_BYTES + 64) + (total or 0) * 16 <= BROADCAST_BYTES else table

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, semi_by_id, small
+from .common import discard, materialize, owned, semi_by_id, small
 from .graph import components
 from .rarity import Rarity, with_prefixes
 
@@ -63,6 +63,7 @@ def _refined(listed: DataFrame, tokens: DataFrame) -> DataFrame:
     return out
 
 
+@owned
 def links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """(a, b), a < b: every link, from postings as ``cluster`` takes them; materialised. Work grows with the pairs that share keys, links or not."""
     often = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
@@ -75,6 +76,7 @@ def links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     return verified(sieve(pairs), sets_of, percent)
 
 
+@owned
 def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, rarity: Rarity | None = None) -> DataFrame:
     """``postings``: (key, node, n, ell, pos), one row for each key of a node; n is the set's size, ell how many keys a link must share.
 
@@ -119,7 +121,7 @@ def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
         new = verified(sieve(stars), sets_of, percent)
         links = new if links is None else links.unionByName(new)
         tested = stars if tested is None else tested.unionByName(stars)
-        found = materialize(components(links))
+        found = components(links)
     x, y = named.alias("x"), named.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & F.expr(near("x.n", "y.n", percent)) & F.expr(placed("x", "y", percent)))
     cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.ell", "y.ell")).alias("ell")).where("k >= ell")

@@ -11,14 +11,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 #: Bytes of text handled at a time, so that the arrays stay near the caches; a longer document is taken alone.
 SLICE_BYTES = 1_000_000
 _U = np.uint64
 
 
+@lru_cache(maxsize=1)
 def _own_memory() -> None:
-    """Workers live on from stage to stage, so let arrays beyond 4 MB be mapped, and thus go back to the system when they are freed.
+    """Once in a Python worker: it lives on from stage to stage, so let arrays beyond 4 MB be mapped, and thus go back to the system when they are freed.
 
     Smaller ones are made and freed over and over; mapping each would cost more than the work on it.
     """
@@ -32,11 +34,11 @@ def _own_memory() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-_own_memory()
-
-
 def trim() -> None:
-    """Give freed memory back to the system."""
+    """Give freed memory back to the system; in workers only, the driver's memory is its own."""
+    if TaskContext.get() is None:
+        return
+    _own_memory()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # not glibc

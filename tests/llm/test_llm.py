@@ -367,6 +367,25 @@ def test_contamination_has_a_row_for_each_row(spark, block, most, monkeypatch):
     assert found == sorted([(0, 5, [(1, 3)], ["1"]), (0, 5, [(1, 3)], ["2"]), (0, 5, [], []), (7, 4, [(0, 3)], ["1", "3"]), (7, 4, [], []), (8, 2, [(0, 1)], ["3"]), (8, 2, [(0, 1)], ["3"])])
 
 
+@pytest.mark.parametrize("length", [65, 70, 200, 331])
+def test_suffixes_of_a_block_are_sorted(length):
+    """Against plain comparison, on bytes that repeat at any distance: ties reach beyond the first bytes, the cover's ranks and the words after them."""
+    assert {(a - b) % 31 for a in suffix.COVER for b in suffix.COVER} == set(range(31))
+    rng = np.random.default_rng(length)
+    pieces = [rng.integers(97, 99, 400, dtype=np.uint8) for _ in range(3)]
+    for k in range(12):
+        more = np.concatenate([pieces[k % 3][rng.integers(0, 50) :], rng.integers(97, 99, rng.integers(1, 60), dtype=np.uint8), pieces[k % 2]])
+        more[rng.integers(0, len(more))] = 120
+        pieces.append(more)
+    pieces.append(np.full(500, 97, np.uint8))
+    raw, ends = np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
+    start = np.concatenate([np.arange(e - len(p), e - length + 1) for p, e in zip(pieces, ends, strict=True)])
+    bucket = start % 2
+    count = collections.Counter((b, raw[s : s + length].tobytes()) for s, b in zip(start, bucket, strict=True))
+    expected = [count[b, raw[s : s + length].tobytes()] > 1 for s, b in zip(start, bucket, strict=True)]
+    assert suffix.repeated(raw, bucket, start, length).tolist() == expected and 0 < sum(expected) < len(expected)
+
+
 @pytest.mark.parametrize("big", [20_000, 2])
 @pytest.mark.parametrize("length", [200, 70])
 def test_suffix_dedup(docs, empty, rows, big, length, monkeypatch):
