@@ -17,12 +17,12 @@ from .registry import query
 _LEVEL = "CASE " + " ".join(f"WHEN contains(upper(raw), '[{v}]') OR contains(upper(raw), ' {v} ') THEN '{v}'" for v in R.LINE_LEVELS) + " END"
 
 
-def _logs_sql(lines: str, out: str) -> str:
+def logs_sql(lines: str, out: str) -> str:
     return f"""{out}_g AS (SELECT id, trim({D.rewrite('raw', R.LOG_LINE)}) AS norm, min(pos) AS p, arg_min(raw, pos) AS sample, count(*) AS n, arg_min(coalesce({_LEVEL} IN ('ERROR', 'FATAL'), false), pos) AS e, arg_min(coalesce({_LEVEL} IN ('WARN', 'WARNING'), false), pos) AS w FROM {lines} WHERE trim(raw) <> '' GROUP BY 1, 2),
   {out} AS (SELECT id, string_agg(sample || CASE WHEN n > 1 THEN chr(10) || '  ... (' || (n - 1) || ' similar entries' || CASE WHEN NOT e AND NOT w AND n > 3 THEN ' omitted' ELSE '' END || ')' ELSE '' END, chr(10) ORDER BY e DESC, w DESC, n DESC, p) AS compressed FROM {out}_g GROUP BY 1)"""
 
 
-def _generic_sql(lines: str, out: str) -> str:
+def generic_sql(lines: str, out: str) -> str:
     norm = f"trim({D.rewrite('raw', R.GENERIC_LINE)})"
     return f"""{out}_a AS (SELECT id, pos, raw, CASE WHEN {norm} = lag({norm}) OVER (PARTITION BY id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM {lines}),
   {out}_b AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY pos) AS run FROM {out}_a), {out}_c AS (SELECT *, count(*) OVER (PARTITION BY id, run) AS m FROM {out}_b),
@@ -31,19 +31,19 @@ def _generic_sql(lines: str, out: str) -> str:
   {out} AS (SELECT id, string_agg(CASE WHEN n <= 3 THEN everything ELSE sample || chr(10) || '  ... (' || (n - 1) || CASE WHEN e THEN ' similar errors)' WHEN w THEN ' similar warnings)' ELSE ' similar lines omitted)' END END, chr(10) ORDER BY p) AS compressed FROM {out}_g GROUP BY 1)"""
 
 
-def _trace_sql(lines: str, out: str) -> str:
+def trace_sql(lines: str, out: str) -> str:
     return f"""{out}_a AS (SELECT *, regexp_matches(raw, '^\\s+at\\s') AND {D.any_of('raw', R.INTERNAL_FRAME)} AS inside FROM {lines}),
   {out}_b AS (SELECT *, CASE WHEN inside AND lag(inside) OVER (PARTITION BY id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM {out}_a), {out}_c AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY pos) AS run FROM {out}_b),
   {out}_g AS (SELECT id, run, min(pos) AS p, count(*) AS n, arg_min(raw, pos) AS raw, bool_and(inside) AS inside FROM {out}_c GROUP BY 1, 2),
   {out} AS (SELECT id, string_agg(CASE WHEN inside THEN '    ... (' || n || ' internal frames omitted)' ELSE raw END, chr(10) ORDER BY p) AS compressed FROM {out}_g GROUP BY 1)"""
 
 
-def _errors_sql(lines: str, out: str) -> str:
+def errors_sql(lines: str, out: str) -> str:
     return f"""{out}_g AS (SELECT id, trim({D.rewrite('raw', R.NORMALIZE_ERROR)}) AS norm, min(pos) AS p, arg_min(raw, pos) AS sample, count(*) AS n FROM {lines} WHERE trim(raw) <> '' GROUP BY 1, 2),
   {out} AS (SELECT id, CAST(sum(n) AS BIGINT) || ' lines -> ' || count(*) || ' unique patterns (' || CAST(sum(n) - count(*) AS BIGINT) || ' duplicates removed)' || chr(10) || chr(10) || string_agg(sample || CASE WHEN n > 1 THEN ' (x' || n || ')' ELSE '' END, chr(10) ORDER BY n DESC, p) AS compressed FROM {out}_g GROUP BY 1)"""
 
 
-def _hunks_sql(lines: str, out: str) -> str:
+def hunks_sql(lines: str, out: str) -> str:
     return f"""{out}_a AS (SELECT *, max(CASE WHEN regexp_matches(raw, '^[+-]') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 OR regexp_matches(raw, '^(diff|@@)') AS near FROM {lines}),
   {out} AS (SELECT id, string_agg(raw, chr(10) ORDER BY pos) AS compressed FROM {out}_a WHERE near GROUP BY 1)"""
 
@@ -55,12 +55,12 @@ def _lines(spark, sf_dir):
     return I.log_lines(spark, sf_dir).select("doc_id", "pos", "raw")
 
 
-@query("compress_logs", f"WITH {_LOGS}, {_logs_sql('lines', 'made')} SELECT id AS doc_id, compressed FROM made")
+@query("compress_logs", f"WITH {_LOGS}, {logs_sql('lines', 'made')} SELECT id AS doc_id, compressed FROM made")
 def compress_logs(spark, sf_dir):
     return compress.logs(_lines(spark, sf_dir), "doc_id")
 
 
-@query("compress_generic", f"WITH {_LOGS}, {_generic_sql('lines', 'made')} SELECT id AS doc_id, compressed FROM made")
+@query("compress_generic", f"WITH {_LOGS}, {generic_sql('lines', 'made')} SELECT id AS doc_id, compressed FROM made")
 def compress_generic(spark, sf_dir):
     return compress.generic(_lines(spark, sf_dir), "doc_id")
 
@@ -76,12 +76,12 @@ def trace_lines(spark, sf_dir):
     return x.select("doc_id", "pos", F.when(F.col("pos") == 1, F.concat(F.lit("TypeError: bad value "), "doc_id")).otherwise(frame).alias("raw"))
 
 
-@query("compress_stacktrace", f"WITH {_TRACES}, {_trace_sql('traces', 'made')} SELECT id AS doc_id, compressed FROM made")
+@query("compress_stacktrace", f"WITH {_TRACES}, {trace_sql('traces', 'made')} SELECT id AS doc_id, compressed FROM made")
 def compress_stacktrace(spark, sf_dir):
     return compress.stacktrace(trace_lines(spark, sf_dir), "doc_id")
 
 
-@query("collapse_frames", f"WITH {_TRACES}, {_trace_sql('traces', 'made')} SELECT id AS doc_id, p AS start, n AS length FROM made_g WHERE inside")
+@query("collapse_frames", f"WITH {_TRACES}, {trace_sql('traces', 'made')} SELECT id AS doc_id, p AS start, n AS length FROM made_g WHERE inside")
 def collapse_frames(spark, sf_dir):
     """Runs of internal frames."""
     x = compress.internal_runs(trace_lines(spark, sf_dir), "doc_id").where("inside")
@@ -139,7 +139,7 @@ WAYS = {"logs": _by_lines(compress.logs), "stacktrace": _by_lines(compress.stack
 
 
 def auto(texts):
-    """(id, content_type, compressed) of ``texts`` (id, c), each by the compressor of its type. Texts of blank lines only have no row."""
+    """(id, content_type, compressed) of ``texts`` (id, c), each by the compressor of its type. A text that leaves no line to show, as the empty one, has no row."""
     return by_type(texts.withColumn("content_type", content_type(F.col("c"))), "content_type", WAYS)
 
 
@@ -150,7 +150,7 @@ def _lines_sql(name: str, where: str) -> str:
     return f"{name} AS (SELECT id, generate_subscripts(string_split(c, chr(10)), 1) - 1 AS pos, unnest(string_split(c, chr(10))) AS raw FROM typed WHERE {where})"
 
 
-_AUTO = f"""{TYPED_SQL}, {_lines_sql('l1', "kind = 'logs'")}, {_logs_sql('l1', 'm1')}, {_lines_sql('l2', "kind = 'stacktrace'")}, {_trace_sql('l2', 'm2')}, {_lines_sql('l3', "kind IN ('code', 'generic')")}, {_generic_sql('l3', 'm3')},
+_AUTO = f"""{TYPED_SQL}, {_lines_sql('l1', "kind = 'logs'")}, {logs_sql('l1', 'm1')}, {_lines_sql('l2', "kind = 'stacktrace'")}, {trace_sql('l2', 'm2')}, {_lines_sql('l3', "kind IN ('code', 'generic')")}, {generic_sql('l3', 'm3')},
   made AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)"""
 
 
@@ -173,7 +173,7 @@ def optimized_kind(c):
 
 
 _KIND = f"CASE WHEN length(c) < 500 THEN 'short' WHEN {D.any_of('c', R.BUILD_HINT)} THEN 'build' WHEN {D.any_of('c', [R.LOG_MARK[0], *R.SERVER_LINE])} THEN 'logs' WHEN {D.any_of('c', R.CONTENT_FLAGS['has_errors'])} THEN 'errors' ELSE 'generic' END"
-_OPTIMIZED = f"""{detect.TEXTS_SQL}, typed AS (SELECT id, c, {_KIND} AS kind FROM texts), {_lines_sql('l1', "kind IN ('build', 'errors')")}, {_errors_sql('l1', 'm1')}, {_lines_sql('l2', "kind = 'logs'")}, {_logs_sql('l2', 'm2')}, {_lines_sql('l3', "kind = 'generic'")}, {_generic_sql('l3', 'm3')},
+_OPTIMIZED = f"""{detect.TEXTS_SQL}, typed AS (SELECT id, c, {_KIND} AS kind FROM texts), {_lines_sql('l1', "kind IN ('build', 'errors')")}, {errors_sql('l1', 'm1')}, {_lines_sql('l2', "kind = 'logs'")}, {logs_sql('l2', 'm2')}, {_lines_sql('l3', "kind = 'generic'")}, {generic_sql('l3', 'm3')},
   made AS (SELECT id, c AS compressed FROM typed WHERE kind = 'short' UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)"""
 
 
@@ -207,9 +207,9 @@ def piped(texts, steps: dict = STEPS, most: int = 5):
     return x
 
 
-_PIPED = f"""{detect.COUNTED_SQL}, typed AS (SELECT id, c, {detect.PIPELINE_TYPE_SQL} AS kind FROM counted), {_lines_sql('l1', "kind = 'build'")}, {_errors_sql('l1', 'm1')}, {_lines_sql('l2', "kind = 'logs'")}, {_logs_sql('l2', 'm2')}, {_lines_sql('l3', "kind = 'diff'")}, {_hunks_sql('l3', 'm3')}, {_lines_sql('l4', "kind = 'generic'")}, {_generic_sql('l4', 'm4')},
+_PIPED = f"""{detect.COUNTED_SQL}, typed AS (SELECT id, c, {detect.PIPELINE_TYPE_SQL} AS kind FROM counted), {_lines_sql('l1', "kind = 'build'")}, {errors_sql('l1', 'm1')}, {_lines_sql('l2', "kind = 'logs'")}, {logs_sql('l2', 'm2')}, {_lines_sql('l3', "kind = 'diff'")}, {hunks_sql('l3', 'm3')}, {_lines_sql('l4', "kind = 'generic'")}, {generic_sql('l4', 'm4')},
   one AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3 UNION ALL SELECT * FROM m4), again AS (SELECT id, compressed AS c FROM one JOIN typed USING (id) WHERE kind = 'build' AND {D.tokens('compressed')} < {D.tokens('c')}),
-  l5 AS (SELECT id, generate_subscripts(string_split(c, chr(10)), 1) - 1 AS pos, unnest(string_split(c, chr(10))) AS raw FROM again), {_generic_sql('l5', 'm5')}"""
+  l5 AS (SELECT id, generate_subscripts(string_split(c, chr(10)), 1) - 1 AS pos, unnest(string_split(c, chr(10))) AS raw FROM again), {generic_sql('l5', 'm5')}"""
 
 
 @query("smart_pipeline", f"WITH {_PIPED} SELECT t.id, kind AS pipeline_type, CASE WHEN one.id IS NULL THEN 0 WHEN m5.id IS NULL THEN 1 ELSE 2 END AS steps, {D.tokens('t.c')} AS tokens, {D.tokens('coalesce(m5.compressed, one.compressed, t.c)')} AS final_tokens, md5(coalesce(m5.compressed, one.compressed, t.c)) AS hash FROM typed t LEFT JOIN one ON one.id = t.id LEFT JOIN m5 ON m5.id = t.id")

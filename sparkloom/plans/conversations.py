@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..operators.memory import MemoryTable
 from . import duck as D
 from . import inputs as I
 from .registry import query
@@ -229,3 +230,13 @@ def conversation_memory(spark, sf_dir):
 def memory_recent(spark, sf_dir):
     """The last three messages of each conversation's compressed history."""
     return restored(memories(I.convo(spark, sf_dir)), 3, False, False, False)
+
+
+@query("memory_actions", f"WITH {D.CONVO}, {_ROLL}, a AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'replaced' ELSE summary END AS summary FROM summary WHERE conv_id % 4 <> 0) SELECT c.conv_id, a.conv_id IS NOT NULL AS known, a.summary FROM (SELECT DISTINCT conv_id FROM convo) c LEFT JOIN a USING (conv_id)")
+def memory_actions(spark, sf_dir):
+    """Memories set, some set again, some cleared; then which conversations are known, and their summaries."""
+    table, convo = MemoryTable(spark, "conv_id"), I.convo(spark, sf_dir)
+    held = table.set(summaries(convo))
+    table.set(held.where("conv_id % 3 = 0").select("conv_id", F.lit("replaced").alias("summary")))
+    left = table.clear(held.where("conv_id % 4 = 0").select("conv_id"))
+    return table.has(convo.select("conv_id").distinct()).join(left, "conv_id", "left")

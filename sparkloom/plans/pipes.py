@@ -161,3 +161,16 @@ def preset_signatures(spark, sf_dir):
 def preset_dead_code(spark, sf_dir):
     """Functions that nothing calls, and classes whose name stands in one file only."""
     return PRESETS["dead_code"](_sources(spark, sf_dir))
+
+
+@query("pipe_compress_all", """SELECT '[' || chr(10) || string_agg('  {' || chr(10) || '    "r_regionkey": ' || r_regionkey || ',' || chr(10) || '    "r_name": "' || r_name || '"' || chr(10) || '  }', ',' || chr(10) ORDER BY r_regionkey) || chr(10) || ']' AS compressed FROM region""")
+def pipe_compress_all(spark, sf_dir):
+    """A pipeline's end: all of its rows as one short text."""
+    return Pipeline.of(I.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pos"), "r_regionkey", "r_name")).compress().build()
+
+
+@query("equi_join", "SELECT c_custkey, n_name, count(o_orderkey) AS orders FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+def equi_join(spark, sf_dir):
+    """Rows of several tables that share their keys; Spark chooses between broadcast and sorted joins by their sizes."""
+    c, n, o = (I.table(spark, sf_dir, t) for t in ("customer", "nation", "orders"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(o, o.o_custkey == c.c_custkey).groupBy("c_custkey", "n_name").agg(F.count("o_orderkey").alias("orders"))

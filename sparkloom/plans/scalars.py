@@ -136,11 +136,14 @@ def lev_similarity(spark, sf_dir):
 _TOK = "list_distinct(list_filter(string_split(raw, ' '), lambda x: length(x) > 1))"
 
 
-@query("jaccard_pairs", f"WITH {D.COMMANDS}, c AS (SELECT DISTINCT cmd FROM commands), t AS (SELECT cmd, list_distinct(list_filter(string_split(cmd, ' '), lambda x: length(x) > 1)) AS w FROM c) SELECT a.cmd AS a, b.cmd AS b, round(len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE), 6) AS similarity FROM t a JOIN t b ON a.cmd < b.cmd")
+@query("jaccard_pairs", f"WITH {D.COMMANDS}, c AS (SELECT DISTINCT cmd, list_distinct(list_filter(regexp_split_to_array(cmd, '\\s+'), lambda x: length(x) > 1)) AS w FROM commands) SELECT a.cmd AS a, b.cmd AS b, round(len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE), 6) AS similarity FROM c a JOIN c b ON a.cmd < b.cmd WHERE len(list_intersect(a.w, b.w)) > 0")
 def jaccard_pairs(spark, sf_dir):
-    t = I.commands(spark, sf_dir).select("cmd").distinct().withColumn("w", F.filter(F.split("cmd", r"\s+"), lambda x: F.length(x) > 1))
-    a, b = t.select(F.col("cmd").alias("a"), F.col("w").alias("x")), t.select(F.col("cmd").alias("b"), F.col("w").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("similarity"))
+    """Distinct commands that share a word, and the share of their words that they share. Pairs meet at their common words, so those without any are never made."""
+    t = I.commands(spark, sf_dir).select("cmd").distinct().select("cmd", F.array_distinct(F.filter(F.split("cmd", r"\s+"), lambda x: F.length(x) > 1)).alias("w"))
+    words = t.select("cmd", F.size("w").alias("n"), F.explode("w").alias("word"))
+    x, y = words.alias("x"), words.alias("y")
+    both = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.cmd") < F.col("y.cmd"))).groupBy(F.col("x.cmd").alias("a"), F.col("y.cmd").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n")).agg(F.count("*").alias("k"))
+    return both.select("a", "b", F.round(F.col("k") / (F.col("m") + F.col("n") - F.col("k")), 6).alias("similarity"))
 
 
 def _parts_sql() -> str:

@@ -448,3 +448,20 @@ def budget_by_score(spark, sf_dir):
     """The lines of a document that fit 200 tokens, by level."""
     x = I.log_lines(spark, sf_dir).withColumn("c", T.token_count(F.col("raw")))
     return ordered.greedy_budget(x, "doc_id", "pos", T.level_score(F.col("lvl")), F.col("c"), F.lit(200))
+
+
+# Reductions: tokens before and after, by kind of text.
+
+_BEFORE_AFTER = f"""{detect.TEXTS_SQL}, typed AS (SELECT id, c, regexp_extract(id, '^[a-z]+') AS kind FROM texts WHERE NOT id LIKE 'doc%'), l1 AS (SELECT id, generate_subscripts(string_split(c, chr(10)), 1) - 1 AS pos, unnest(string_split(c, chr(10))) AS raw FROM typed WHERE kind IN ('log', 'http')), {compressors.logs_sql('l1', 'm1')},
+  l2 AS (SELECT id, generate_subscripts(string_split(c, chr(10)), 1) - 1 AS pos, unnest(string_split(c, chr(10))) AS raw FROM typed WHERE kind = 'build'), {compressors.errors_sql('l2', 'm2')}, l3 AS (SELECT id, generate_subscripts(string_split(c, chr(10)), 1) - 1 AS pos, unnest(string_split(c, chr(10))) AS raw FROM typed WHERE kind = 'diff'), {compressors.hunks_sql('l3', 'm3')},
+  made AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)"""
+
+
+@query("reduction_report", f"WITH {_BEFORE_AFTER}, t AS (SELECT kind, {D.tokens('c')} AS a, {D.tokens('compressed')} AS b FROM made JOIN typed USING (id)) SELECT kind, CAST(sum(a) AS BIGINT) AS tokens, CAST(sum(b) AS BIGINT) AS compressed_tokens, CAST(floor((1 - sum(b) / CAST(sum(a) AS DOUBLE)) * 100 + 0.5) AS BIGINT) AS percent FROM t GROUP BY 1")
+def reduction_report(spark, sf_dir):
+    """Tokens of logs, requests, build output and diffs before and after compression."""
+    x = detect.texts(spark, sf_dir).where("id not like 'doc%'").withColumn("kind", F.regexp_extract("id", "^[a-z]+", 0))
+    logs = _by_lines(compress.logs)
+    made = compressors.by_type(x, "kind", {"log": logs, "http": logs, "build": _by_lines(compress.error_groups), "diff": _by_lines(compress.hunks)}).join(x.select("id", "c"), "id")
+    g = made.groupBy("kind").agg(F.sum(T.token_count(F.col("c"))).alias("tokens"), F.sum(T.token_count(F.col("compressed"))).alias("compressed_tokens"))
+    return g.withColumn("percent", T.js_round((1 - F.col("compressed_tokens") / F.col("tokens")) * 100))
