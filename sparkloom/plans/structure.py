@@ -221,7 +221,19 @@ def lean_files(spark, sf_dir):
     return y.withColumn("lean", F.when(F.col("shared_import"), gone).otherwise(F.col("content")))
 
 
-@query("chunk_files")
+# A fold over steps: each takes the next file of the queue, or, once that is empty or the chunk full, the first file without a chunk.
+_ONE = "list_filter(fs, lambda f: f.p = a.q[1])[1]"
+_SEED = "list_filter(fs, lambda f: NOT list_contains(a.hp, f.p))[1]"
+_CHUNKS = f"""{TS_SQL}, x AS (SELECT k // 40 AS project, path, absolute, {_tokens(CONTENT_SQL)} AS t FROM ts_files),
+  e AS (SELECT DISTINCT a.project, a.path, b.path AS dep FROM x a JOIN x b ON a.project = b.project AND a.path <> b.path AND (contains(b.path, a.absolute) OR contains(a.absolute, regexp_replace(b.path, '\\.(ts|js|tsx|jsx)$', '')))),
+  d AS (SELECT path, list(dep ORDER BY dep) AS ds FROM e GROUP BY 1), g AS (SELECT project, list({{'p': path, 't': t, 'd': coalesce(ds, []::VARCHAR[])}} ORDER BY path) AS fs, count(*) * 2 + sum(coalesce(len(ds), 0)) + 2 AS steps FROM x LEFT JOIN d USING (path) GROUP BY 1),
+  s AS (SELECT project, list_reduce(list_transform(range(0, CAST(steps AS BIGINT)), lambda i: {{'q': []::VARCHAR[], 'u': CAST(0 AS BIGINT), 'c': CAST(-1 AS BIGINT), 'hp': []::VARCHAR[], 'hc': []::BIGINT[]}}), lambda a, i:
+    CASE WHEN len(a.q) = 0 OR a.u >= 200 THEN CASE WHEN {_SEED} IS NULL THEN a ELSE {{'q': {_SEED}.d, 'u': {_SEED}.t, 'c': a.c + 1, 'hp': list_append(a.hp, {_SEED}.p), 'hc': list_append(a.hc, a.c + 1)}} END
+      WHEN {_ONE} IS NULL OR list_contains(a.hp, a.q[1]) OR a.u + {_ONE}.t > 200 THEN {{'q': a.q[2:], 'u': a.u, 'c': a.c, 'hp': a.hp, 'hc': a.hc}}
+      ELSE {{'q': list_concat(a.q[2:], {_ONE}.d), 'u': a.u + {_ONE}.t, 'c': a.c, 'hp': list_append(a.hp, a.q[1]), 'hc': list_append(a.hc, a.c)}} END) AS s FROM g)"""
+
+
+@query("chunk_files", f"WITH {_CHUNKS} SELECT project, unnest(s.hp) AS path, unnest(s.hc) AS chunk FROM s")
 def chunk_files(spark, sf_dir):
     """Projects of 40 files; packing is sequential, so a project is one task's work."""
     ship(spark)
