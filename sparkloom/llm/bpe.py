@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
 An element is a span of text with its token ids. A leaf is encoded outright; two neighbours are joined by encoding a window around their
-boundary afresh, widened until it begins and ends at places where no match of the pattern can cross. A white space after an ASCII letter or
-digit is such a place whatever surrounds it: no alternative of the pattern has white space after another character, so a match ends before
-it and the next one starts at it, and each match is merged by itself. Tokens outside the window are therefore those of the whole text.
+boundary afresh, widened until it begins and ends at places where no match of the pattern can cross. A place after a letter or digit and before white
+space or punctuation is such a place whatever surrounds it, and so is one between an ASCII letter and a digit: no alternative of the pattern has a character of
+another kind after a letter or digit, so a match ends there and the next one starts, and each match is merged by itself. Tokens outside the window are
+therefore those of the whole text. Only letters and marks whose kinds no version of Unicode has changed count, so that all sides agree on them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 #: Characters that a leaf holds at most, and tokens that a leaf of the decoding tree holds at most.
 LEAF_CHARS, LEAF_TOKENS = 4096, 8192
-_CUT = re.compile(r"(?<=[0-9A-Za-z])(?=[ \n])")
+_ALNUM = "0-9A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-яぁ-ゖァ-ヺ一-龥가-힣"
+_MARK = r" \t\n\r!-/:-@\[-`{-~。、，！？；：「」（）《》【】…“”‘’—·"
+_CUT = re.compile(f"(?<=[{_ALNUM}])(?=[{_MARK}])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
 @lru_cache(maxsize=4)
