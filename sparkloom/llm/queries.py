@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from ..sources.tables import spread
 from . import bpe, decontam, langid, ngram_join, paragraphs, shards, suffix, syncmers, token_counts, urls
 from .oracles import ORACLE_SQL as ORACLE_SQL  # the others are tested against brute force
 
@@ -14,8 +15,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, its rows dealt out to all cores where it comes as fewer pieces."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
