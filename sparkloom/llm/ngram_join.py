@@ -71,8 +71,8 @@ def _sieve(prefixes: DataFrame, percent: int):
     return sieve
 
 
-def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``, and n_links if ``count_links``.
+def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", count_links: bool = False, with_hash: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``, n_links if ``count_links``, and _th, the xxhash64 of its text (null: empty), if ``with_hash``.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of ``width`` words, the whole
     sequence if there are fewer. Two rows link when 100 * intersection >= percent * union; component_id is the smallest doc_id
@@ -108,7 +108,8 @@ def ngram_jaccard(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: st
     named = by_key(linked, lowest, ["component"], "size").select("node", "lowest", "n_links")
     told = materialize(classes.join(small(named), "node", "left").select("k1", "k2", "copies", F.when(F.col("n_links").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
     discard(classes, copies, lowest, clusters)
-    ids = by_key(full.select("own", "n", "k1", "k2"), told, ["k1", "k2"], "copies")
-    empty = base.where("n = 0").select("own", "n", F.col("own").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    out = ids.select("own", "n", "component_id", "n_links").unionByName(empty).select(F.col("own").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "n_links")
-    return out if count_links else out.drop("n_links")
+    ids = by_key(full.select("own", "th", "n", "k1", "k2"), told, ["k1", "k2"], "copies")
+    empty = base.where("n = 0").select("own", "th", "n", F.col("own").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    out = ids.select("own", "th", "n", "component_id", "n_links").unionByName(empty)
+    more = [F.col("n_links")] * count_links + [F.col("th").alias("_th")] * with_hash
+    return out.select(F.col("own").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", *more)

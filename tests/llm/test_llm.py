@@ -147,6 +147,29 @@ def test_bpe_tree(rows, leaf):
         assert bpe.decode_tree(ids, enc.decode_bytes, 7) == t.encode()
 
 
+def test_places_that_no_match_crosses():
+    """Random texts of every kind of character, cut into small leaves, and long texts without blanks, whose joins stay short."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sizes = bpe._sizes(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(17)
+    kinds = ["ab's", "'tll've", "059", "²½Ⅷ٣", " \t\n\u00a0\u3000", "。，！「」", ".,!_-$", "漢字かなカナ", "éÜßøΩя", "한국어", "\u0301\u200d", "😀🏽"]
+    for _ in range(400):
+        t = "".join("".join(rng.choices(rng.choice(kinds), k=rng.randint(1, 4))) for _ in range(rng.randint(1, 40)))
+        assert bpe.encode_tree(t, enc.encode_ordinary, sizes.__getitem__, 3) == enc.encode_ordinary(t), repr(t)
+    longest = []
+    def encode(x):
+        longest.append(len(x))
+        return enc.encode_ordinary(x)
+    han = "".join(chr(0x4E00 + rng.randrange(5000)) + "，" * (rng.random() < 0.1) for _ in range(60_000))
+    base = base64.b64encode(rng.randbytes(60_000)).decode()
+    for t in (han, base):
+        assert bpe.encode_tree(t, encode, sizes.__getitem__) == enc.encode_ordinary(t)
+    assert max(longest) <= bpe.LEAF_CHARS
+
+
 def test_round_trip(docs, empty, rows):
     got = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()
     assert sorted((str(r.doc_id), r.decoded_sha256) for r in got) == sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
@@ -546,6 +569,15 @@ def test_boundary_rules():
     assert token_counts.attribute(sizes, bounds, "most").tolist() == [1, 2]
 
 
+def test_near_duplicates_judge_rows(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a, 1), (9, a + " x", 2), (9, c, 3), (None, a, 4), (None, b, 5), (None, None, 6), (7, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert sorted(r.n for r in kept.collect()) == [1, 3, 5, 6, 7]
+
+
 def test_pipeline(spark, tmp_path, rows):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.createDataFrame([(i, t, "aa" if t else None, "s", len(t or "")) for i, t in rows if i is not None], "doc_id long, text string, lang string, source string, n_chars long")
