@@ -9,12 +9,14 @@ SPREAD_BYTES = 1_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, its rows dealt out to as many partitions as there are cores if a scan of it makes fewer: a file of one row group is one task's work.
+    """``df``, its rows dealt out to as many partitions as there are cores if it comes from fewer files: a file of one row group is one task's work.
 
-    Tables with more files or row groups than cores, as all large ones, are returned as they are, without a shuffle.
+    Tables that make a full partition for each core, as all large ones, are returned as they are, without a shuffle.
     """
-    plan = df._jdf.queryExecution()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if int(plan.optimizedPlan().stats().sizeInBytes()) < SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    full = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")))
+    if size < SPREAD_BYTES or size >= cores * full or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
