@@ -55,8 +55,21 @@ FIRST_TOKEN = [(r"^\[.*?\]\s*", ""), (r"^[\d\-:T.Z]+\s*", ""), (r"(?i)^(ERROR|WA
 
 # Tests: a text matches if any pattern does.
 LIKELY_ERROR = [
-    r"(?i)\b(error|failed|failure|exception|cannot|unable|invalid|unexpected|missing|undefined)\b",
-    r"(?i)\b(not found|does not exist|not defined|type mismatch|syntax error)\b",
+    r"(?i)\berror\b",
+    r"(?i)\bfailed\b",
+    r"(?i)\bfailure\b",
+    r"(?i)\bexception\b",
+    r"(?i)\bcannot\b",
+    r"(?i)\bunable\b",
+    r"(?i)\binvalid\b",
+    r"(?i)\bunexpected\b",
+    r"(?i)\bmissing\b",
+    r"(?i)\bundefined\b",
+    r"(?i)\bnot found\b",
+    r"(?i)\bdoes not exist\b",
+    r"(?i)\bnot defined\b",
+    r"(?i)\btype mismatch\b",
+    r"(?i)\bsyntax error\b",
     r"^\s*\^+\s*$",
 ]
 LOG_LEVELS = [("error", r"(?i)\b(ERROR|ERR|FATAL|CRITICAL)\b"), ("warning", r"(?i)\b(WARN(?:ING)?)\b"), ("info", r"(?i)\b(INFO)\b"), ("debug", r"(?i)\b(DEBUG|TRACE|VERBOSE)\b")]
@@ -105,8 +118,22 @@ CODE = [
     r"(?m)^(func|package|import|type|struct|interface)\s+",
 ]
 COMMAND_TYPES = [("test", r"\btest\b|vitest|jest|mocha|ava"), ("build", r"\bbuild\b|compile|tsc\b"), ("lint", r"\blint\b|eslint|prettier"), ("typecheck", r"\bcheck\b|type-check"), ("format", r"\bformat\b")]
-INTERNAL_FRAME = [r"node_modules|internal/|<anonymous>|native code|webpack:|turbopack:|at Module\.|at require \(|at processTicksAndRejections|at async |__webpack_require__"]
-PROJECT_FRAME = [r"/(src|app|lib|pages|components|utils|services|hooks|store)/|\.(ts|tsx|js|jsx):\d+"]
+INTERNAL_FRAME = [
+    r"node_modules",
+    r"internal/",
+    r"<anonymous>",
+    r"native code",
+    r"\[native code\]",
+    r"webpack:",
+    r"turbopack:",
+    r"at Module\.",
+    r"at require \(",
+    r"at Object\.<anonymous>",
+    r"at processTicksAndRejections",
+    r"at async ",
+    r"__webpack_require__",
+]
+PROJECT_FRAME = [r"/(src|app|lib|pages|components|utils|services|hooks|store)/", r"\.(ts|tsx|js|jsx):\d+"]
 KEY_POINT = [r"(?i)\b(decided|will use|should|must|important|critical|required|implemented|created|fixed|updated)\b", r"`[^`]+`", r"^\d+\.", r"^[-*]\s", r"\.(ts|js|py|go|rs|tsx|jsx)\b", r"https?://"]
 DECISION = [
     r"(?i)(?:decided|will|going to|let's|I'll|we'll|we should)\s+(.{10,150})",
@@ -134,10 +161,13 @@ ERROR_PARTS = [
 ]
 
 # Word lists and tables.
-STOPWORDS = (
-    "a an the and or but in on at to for of with by from as is was are were been be have has had do does did will would could should may might must shall can need dare ought used "
-    "it its this that these those i you he she we they what which who whom when where why how all each every both few more most other some such no nor not only own same so than too very just also"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "been", "be",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need", "dare", "ought",
+    "used", "it", "its", "this", "that", "these", "those", "i", "you", "he", "she", "we", "they", "what", "which", "who", "whom", "when", "where",
+    "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "just", "also",
+]
 HIGH_WORDS = ["error", "exception", "failed", "failure", "crash", "fatal", "critical", "panic", "abort"]
 MEDIUM_WORDS = ["warning", "timeout", "retry", "deprecated", "slow", "memory", "leak"]
 LEVEL_SCORES = {"error": 1.0, "warning": 0.7, "info": 0.3, "debug": 0.1}
@@ -291,3 +321,12 @@ CONTENT_TYPES = {
     "code": ("Source code", "generic", "20-50%"),
     "generic": ("Generic text content", "generic", "20-50%"),
 }
+
+# Lines of test and build output, headers of diffs' definitions, words of failure, and hints by compiler code.
+PYTEST_RESULT = r"^\s*(PASSED|FAILED|SKIPPED|ERROR)\s+(.+?::.+?)(?:\s+\[(\d+)%\])?$"
+TEST_TOTALS = r"(?i)(\d+)\s*passed?,?\s*(\d+)\s*failed?(?:,?\s*(\d+)\s*skipped?)?.*?in\s*([\d.]+)s"
+BUNDLE_SIZE = r"(?i)(\S+\.(?:js|css|mjs))\s+(\d+(?:\.\d+)?)\s*(B|KB|MB|kB)"
+BUILD_TOOK = r"(?i)(?:Built?|Done|Compiled?)\s+in\s+(\d+(?:\.\d+)?)\s*(s|ms)"
+HUNK_DEFINITION = r"(?m)^[+-]\s*(export\s+)?(function|class|interface|type|const|let|var|def |fn |pub fn|func )"
+HUNK_FAILURE = r"(?i)error|exception|fail|throw|panic"
+COMPILER_HINTS = {"TS2304": "Check imports and declarations", "TS2305": "Check the module's exports", "TS2307": "Install the module"}

@@ -270,12 +270,9 @@ def build_stats(spark, sf_dir):
     return c.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "code"))).where("r <= 3").drop("r")
 
 
-_HINTS = {"TS2304": "Check imports and declarations", "TS2305": "Check the module's exports", "TS2307": "Install the module"}
-
-
-@query("suggestions", f"WITH {D.BUILD_LINES} SELECT doc_id, pos, h.hint FROM build_lines JOIN (VALUES " + ", ".join(f"({D.q(k)}, {D.q(v)})" for k, v in _HINTS.items()) + ") h(code, hint) ON regexp_extract(raw, 'TS\\d+') = h.code")
+@query("suggestions", f"WITH {D.BUILD_LINES} SELECT doc_id, pos, h.hint FROM build_lines JOIN (VALUES " + ", ".join(f"({D.q(k)}, {D.q(v)})" for k, v in R.COMPILER_HINTS.items()) + ") h(code, hint) ON regexp_extract(raw, 'TS\\d+') = h.code")
 def suggestions(spark, sf_dir):
-    hints = spark.createDataFrame(list(_HINTS.items()), "code string, hint string")
+    hints = spark.createDataFrame(list(R.COMPILER_HINTS.items()), "code string, hint string")
     return tsc(I.build_lines(spark, sf_dir)).join(F.broadcast(hints), "code").select("doc_id", "pos", "hint")
 
 

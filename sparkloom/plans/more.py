@@ -17,24 +17,21 @@ from .structure import elements_sql
 
 
 _TESTS = """tests AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'SKIPPED' ELSE 'PASSED' END || ' test_' || (event_id % 30) || '.py::case_' || event_id AS raw FROM events)"""
-_PYTEST = r"^\s*(PASSED|FAILED|SKIPPED|ERROR)\s+(.+?::.+?)(?:\s+\[(\d+)%\])?$"
-
-
 def tests(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "signup", "SKIPPED").otherwise("PASSED")
     return I.table(spark, sf_dir, "events").select("event_id", "user_id", F.concat(kind, F.lit(" test_"), F.col("event_id") % 30, F.lit(".py::case_"), "event_id").alias("raw"))
 
 
-_STATUS = f"CASE regexp_extract(raw, {D.q(_PYTEST)}, 1) WHEN 'FAILED' THEN 'fail' WHEN 'ERROR' THEN 'fail' WHEN 'SKIPPED' THEN 'skip' ELSE 'pass' END"
+_STATUS = f"CASE regexp_extract(raw, {D.q(R.PYTEST_RESULT)}, 1) WHEN 'FAILED' THEN 'fail' WHEN 'ERROR' THEN 'fail' WHEN 'SKIPPED' THEN 'skip' ELSE 'pass' END"
 
 
-@query("parse_tests", f"WITH {_TESTS} SELECT event_id, {_STATUS} AS status, regexp_extract(raw, {D.q(_PYTEST)}, 2) AS name FROM tests")
+@query("parse_tests", f"WITH {_TESTS} SELECT event_id, {_STATUS} AS status, regexp_extract(raw, {D.q(R.PYTEST_RESULT)}, 2) AS name FROM tests")
 def parse_tests(spark, sf_dir):
     return _parsed_tests(spark, sf_dir).select("event_id", "status", "name")
 
 
 def _parsed_tests(spark, sf_dir):
-    p = T.java(_PYTEST)
+    p = T.java(R.PYTEST_RESULT)
     word = F.regexp_extract("raw", p, 1)
     status = F.when(word.isin("FAILED", "ERROR"), "fail").when(word == "SKIPPED", "skip").otherwise("pass")
     return tests(spark, sf_dir).where(F.col("raw").rlike(p)).select("event_id", "user_id", status.alias("status"), F.regexp_extract("raw", p, 2).alias("name"))
@@ -45,38 +42,31 @@ def test_counts(spark, sf_dir):
     return _parsed_tests(spark, sf_dir).groupBy("user_id").agg(*[F.count_if(F.col("status") == s).alias(n) for s, n in (("pass", "passed"), ("fail", "failed"), ("skip", "skipped"))])
 
 
-_SUMMARY = r"(?i)(\d+)\s*passed?,?\s*(\d+)\s*failed?(?:,?\s*(\d+)\s*skipped?)?.*?in\s*([\d.]+)s"
-
-
-@query("test_summary_line", f"SELECT event_id, CAST(regexp_extract(s, {D.q(_SUMMARY)}, 1) AS INTEGER) AS passed, CAST(regexp_extract(s, {D.q(_SUMMARY)}, 2) AS INTEGER) AS failed, CAST(regexp_extract(s, {D.q(_SUMMARY)}, 4) AS DOUBLE) * 1000 AS duration_ms FROM (SELECT event_id, event_id || ' passed, ' || user_id || ' failed in ' || (event_id % 9) || '.5s' AS s FROM events)")
+@query("test_summary_line", f"SELECT event_id, CAST(regexp_extract(s, {D.q(R.TEST_TOTALS)}, 1) AS INTEGER) AS passed, CAST(regexp_extract(s, {D.q(R.TEST_TOTALS)}, 2) AS INTEGER) AS failed, CAST(regexp_extract(s, {D.q(R.TEST_TOTALS)}, 4) AS DOUBLE) * 1000 AS duration_ms FROM (SELECT event_id, event_id || ' passed, ' || user_id || ' failed in ' || (event_id % 9) || '.5s' AS s FROM events)")
 def test_summary_line(spark, sf_dir):
     s = F.concat("event_id", F.lit(" passed, "), "user_id", F.lit(" failed in "), F.col("event_id") % 9, F.lit(".5s"))
     x = I.table(spark, sf_dir, "events").select("event_id", s.alias("s"))
-    g = lambda k: F.regexp_extract("s", _SUMMARY, k)
+    g = lambda k: F.regexp_extract("s", R.TEST_TOTALS, k)
     return x.select("event_id", g(1).cast("int").alias("passed"), g(2).cast("int").alias("failed"), (g(4).cast("double") * 1000).alias("duration_ms"))
 
 
-_SIZE = r"(?i)(\S+\.(?:js|css|mjs))\s+(\d+(?:\.\d+)?)\s*(B|KB|MB|kB)"
 _BUNDLE = "bundles AS (SELECT p_partkey, 'dist/p' || p_partkey || '.js  ' || p_size || '.5 ' || CASE p_size % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'kB' ELSE 'MB' END AS raw FROM part)"
 
 
-@query("bundle_sizes", f"WITH {_BUNDLE} SELECT p_partkey, regexp_extract(raw, {D.q(_SIZE)}, 1) AS file, CAST(regexp_extract(raw, {D.q(_SIZE)}, 2) AS DOUBLE) * CASE upper(regexp_extract(raw, {D.q(_SIZE)}, 3)) WHEN 'KB' THEN 1024 WHEN 'MB' THEN 1048576 ELSE 1 END AS bytes FROM bundles")
+@query("bundle_sizes", f"WITH {_BUNDLE} SELECT p_partkey, regexp_extract(raw, {D.q(R.BUNDLE_SIZE)}, 1) AS file, CAST(regexp_extract(raw, {D.q(R.BUNDLE_SIZE)}, 2) AS DOUBLE) * CASE upper(regexp_extract(raw, {D.q(R.BUNDLE_SIZE)}, 3)) WHEN 'KB' THEN 1024 WHEN 'MB' THEN 1048576 ELSE 1 END AS bytes FROM bundles")
 def bundle_sizes(spark, sf_dir):
     unit = F.when(F.col("p_size") % 3 == 0, "B").when(F.col("p_size") % 3 == 1, "kB").otherwise("MB")
     x = I.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("dist/p"), "p_partkey", F.lit(".js  "), "p_size", F.lit(".5 "), unit).alias("raw"))
-    times = F.upper(F.regexp_extract("raw", _SIZE, 3))
+    times = F.upper(F.regexp_extract("raw", R.BUNDLE_SIZE, 3))
     scale = F.when(times == "KB", 1024).when(times == "MB", 1_048_576).otherwise(1)
-    return x.select("p_partkey", F.regexp_extract("raw", _SIZE, 1).alias("file"), (F.regexp_extract("raw", _SIZE, 2).cast("double") * scale).alias("bytes"))
-
-
-_TOOK = r"(?i)(?:Built?|Done|Compiled?)\s+in\s+(\d+(?:\.\d+)?)\s*(s|ms)"
+    return x.select("p_partkey", F.regexp_extract("raw", R.BUNDLE_SIZE, 1).alias("file"), (F.regexp_extract("raw", R.BUNDLE_SIZE, 2).cast("double") * scale).alias("bytes"))
 
 
-@query("build_duration", f"SELECT event_id, CAST(regexp_extract(raw, {D.q(_TOOK)}, 1) AS DOUBLE) * CASE regexp_extract(raw, {D.q(_TOOK)}, 2) WHEN 's' THEN 1000 ELSE 1 END AS ms FROM (SELECT event_id, 'Built in ' || event_id || CASE event_id % 2 WHEN 0 THEN 's' ELSE 'ms' END AS raw FROM events)")
+@query("build_duration", f"SELECT event_id, CAST(regexp_extract(raw, {D.q(R.BUILD_TOOK)}, 1) AS DOUBLE) * CASE regexp_extract(raw, {D.q(R.BUILD_TOOK)}, 2) WHEN 's' THEN 1000 ELSE 1 END AS ms FROM (SELECT event_id, 'Built in ' || event_id || CASE event_id % 2 WHEN 0 THEN 's' ELSE 'ms' END AS raw FROM events)")
 def build_duration(spark, sf_dir):
     raw = F.concat(F.lit("Built in "), "event_id", F.when(F.col("event_id") % 2 == 0, "s").otherwise("ms"))
     x = I.table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
-    return x.select("event_id", (F.regexp_extract("raw", _TOOK, 1).cast("double") * F.when(F.lower(F.regexp_extract("raw", _TOOK, 2)) == "s", 1000).otherwise(1)).alias("ms"))
+    return x.select("event_id", (F.regexp_extract("raw", R.BUILD_TOOK, 1).cast("double") * F.when(F.lower(F.regexp_extract("raw", R.BUILD_TOOK, 2)) == "s", 1000).otherwise(1)).alias("ms"))
 
 
 _NUMSTAT = "numstat AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN '-' ELSE CAST(l_suppkey AS VARCHAR) END AS a, l_linenumber AS d, 'src/f' || l_partkey || '.ts' AS f FROM lineitem)"

@@ -52,15 +52,13 @@ def section_findings(spark, sf_dir):
 
 
 _HUNK_CHANGE = "regexp_matches(raw, '^[+-]')"
-_DEFINITION = r"(?m)^[+-]\s*(export\s+)?(function|class|interface|type|const|let|var|def |fn |pub fn|func )"
-_FAILS = r"(?i)error|exception|fail|throw|panic"
 _HUNKS = f"""{D.DIFF_LINES}, hunks AS (SELECT doc_id % 200 AS diff, doc_id AS hunk, string_agg(raw, chr(10) ORDER BY pos) FILTER (pos > 0) AS content, count(*) FILTER ({_HUNK_CHANGE}) AS changes FROM diff_lines GROUP BY 1, 2),
   t AS (SELECT diff, hunk, len({D.TF_TOKENS.format(c='content')}) AS l, unnest({D.TF_TOKENS.format(c='content')}) AS term FROM hunks), tf AS (SELECT diff, hunk, term, count(*) / CAST(any_value(l) AS DOUBLE) AS tf FROM t GROUP BY 1, 2, 3),
   df AS (SELECT diff, term, count(*) AS df FROM tf GROUP BY 1, 2), nn AS (SELECT diff, count(*) AS n FROM hunks GROUP BY 1),
   sc AS (SELECT tf.diff, tf.hunk, least(avg(tf * ln(n / CAST(df AS DOUBLE))) / 2, 1) AS s FROM tf JOIN df USING (diff, term) JOIN nn USING (diff) GROUP BY 1, 2)"""
 
 
-@query("hunk_scores", f"WITH {_HUNKS} SELECT h.diff, h.hunk, round(greatest(0, least(1, coalesce(s, 0) + CASE WHEN {D.any_of('content', [_FAILS])} THEN 0.3 ELSE 0 END + CASE WHEN {D.any_of('content', [_DEFINITION])} THEN 0.2 ELSE 0 END + least(changes / 50.0, 0.2)))::DOUBLE, 6) AS score FROM hunks h LEFT JOIN sc USING (diff, hunk)")
+@query("hunk_scores", f"WITH {_HUNKS} SELECT h.diff, h.hunk, round(greatest(0, least(1, coalesce(s, 0) + CASE WHEN {D.any_of('content', [R.HUNK_FAILURE])} THEN 0.3 ELSE 0 END + CASE WHEN {D.any_of('content', [R.HUNK_DEFINITION])} THEN 0.2 ELSE 0 END + least(changes / 50.0, 0.2)))::DOUBLE, 6) AS score FROM hunks h LEFT JOIN sc USING (diff, hunk)")
 def hunk_scores(spark, sf_dir):
     return hunks_scored(spark, sf_dir).select("diff", "hunk", "score")
 
@@ -72,12 +70,12 @@ def hunks_scored(spark, sf_dir):
     changes = x.groupBy("doc_id").agg(F.count_if(F.col("raw").rlike(r"^[+-]")).alias("changes"))
     h = content.join(changes, "doc_id").select((F.col("doc_id") % 200).alias("diff"), F.col("doc_id").alias("hunk"), "content", "changes")
     terms = retrieval.tfidf(h, "diff", "hunk", T.tfidf_tokens(F.col("content"))).groupBy("diff", "hunk").agg(F.least(F.avg("tfidf") / 2, F.lit(1.0)).alias("s"))
-    plus = F.when(F.col("content").rlike(_FAILS), 0.3).otherwise(0.0) + F.when(F.col("content").rlike(_DEFINITION), 0.2).otherwise(0.0) + F.least(F.col("changes") / 50, F.lit(0.2))
+    plus = F.when(F.col("content").rlike(R.HUNK_FAILURE), 0.3).otherwise(0.0) + F.when(F.col("content").rlike(R.HUNK_DEFINITION), 0.2).otherwise(0.0) + F.least(F.col("changes") / 50, F.lit(0.2))
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0)) + plus)), 6)
     return h.join(terms, ["diff", "hunk"], "left").select("diff", "hunk", "content", "changes", score.alias("score"))
 
 
-@query("diff_semantic", f"WITH {_HUNKS}, hs AS (SELECT h.diff, h.hunk, content, {D.tokens('content')} AS tokens, round(greatest(0, least(1, coalesce(s, 0) + CASE WHEN {D.any_of('content', [_FAILS])} THEN 0.3 ELSE 0 END + CASE WHEN {D.any_of('content', [_DEFINITION])} THEN 0.2 ELSE 0 END + least(changes / 50.0, 0.2)))::DOUBLE, 6) AS score FROM hunks h LEFT JOIN sc USING (diff, hunk)), g AS (SELECT diff, list({{'p': hunk, 'c': tokens}} ORDER BY score DESC, hunk) AS xs, CAST(floor(sum(tokens) / 2) AS BIGINT) AS budget FROM hs GROUP BY 1), k AS (SELECT diff, unnest({D.greedy('xs', 'budget')}) AS hunk FROM g) SELECT diff, string_agg(content, chr(10) ORDER BY hunk) AS compressed FROM hs JOIN k USING (diff, hunk) GROUP BY 1")
+@query("diff_semantic", f"WITH {_HUNKS}, hs AS (SELECT h.diff, h.hunk, content, {D.tokens('content')} AS tokens, round(greatest(0, least(1, coalesce(s, 0) + CASE WHEN {D.any_of('content', [R.HUNK_FAILURE])} THEN 0.3 ELSE 0 END + CASE WHEN {D.any_of('content', [R.HUNK_DEFINITION])} THEN 0.2 ELSE 0 END + least(changes / 50.0, 0.2)))::DOUBLE, 6) AS score FROM hunks h LEFT JOIN sc USING (diff, hunk)), g AS (SELECT diff, list({{'p': hunk, 'c': tokens}} ORDER BY score DESC, hunk) AS xs, CAST(floor(sum(tokens) / 2) AS BIGINT) AS budget FROM hs GROUP BY 1), k AS (SELECT diff, unnest({D.greedy('xs', 'budget')}) AS hunk FROM g) SELECT diff, string_agg(content, chr(10) ORDER BY hunk) AS compressed FROM hs JOIN k USING (diff, hunk) GROUP BY 1")
 def diff_semantic(spark, sf_dir):
     """The best hunks of each diff within half its tokens, greedily; one that doesn't fit is skipped."""
     x = hunks_scored(spark, sf_dir).withColumn("tokens", T.token_count(F.col("content")))
