@@ -189,6 +189,8 @@ _RUST = _output_sql(_HEAD_RUST, "CASE WHEN l_returnflag = 'N' THEN '  = note: tr
 @query("parse_rust", f"""WITH {_RUST}, i AS (SELECT *, sum(CASE WHEN regexp_matches(raw, {D.q(R.RUST_HEAD)}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM output),
   g AS (SELECT doc_id, min(pos) AS pos, 'E' || regexp_extract(arg_min(raw, pos), {D.q(R.RUST_HEAD)}, 1) AS code, regexp_extract(arg_min(raw, pos), {D.q(R.RUST_HEAD)}, 2) AS message, arg_max(raw, pos) FILTER (regexp_matches(raw, {D.q(R.RUST_PLACE)})) AS place FROM i WHERE island > 0 GROUP BY doc_id, island)
   SELECT doc_id, pos, code, message, coalesce(regexp_extract(place, {D.q(R.RUST_PLACE)}, 1), 'unknown') AS file, coalesce(CAST(regexp_extract(place, {D.q(R.RUST_PLACE)}, 2) AS INTEGER), 0) AS line FROM g""")
+
+
 def parse_rust(spark, sf_dir):
     head = F.concat(F.lit("error[E"), 300 + F.col("l_linenumber"), F.lit("]: cannot find value `v` for 'x"), F.col("l_partkey") % 9, F.lit("'"))
     place = F.when(F.col("l_returnflag") == "N", "  = note: try again").otherwise(F.concat(F.lit("  --> src/m"), F.col("l_suppkey") % 10, F.lit(".rs:"), "l_linenumber", F.lit(":"), "l_suppkey"))
@@ -208,6 +210,8 @@ _WEBPACK = _output_sql("'ERROR in ./src/w' || (l_partkey % 20) || '.js:' || l_li
 @query("parse_webpack", f"""WITH {_WEBPACK}, i AS (SELECT *, sum(CASE WHEN regexp_matches(raw, {D.q(R.WEBPACK_HEAD)}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM output),
   g AS (SELECT doc_id, min(pos) AS pos, arg_min(raw, pos) AS head, arg_max(raw, pos) FILTER (regexp_matches(raw, {D.q(R.WEBPACK_DETAIL)})) AS detail FROM i WHERE island > 0 GROUP BY doc_id, island)
   SELECT doc_id, pos, regexp_extract(head, {D.q(R.WEBPACK_HEAD)}, 1) AS file, CAST(regexp_extract(head, {D.q(R.WEBPACK_HEAD)}, 2) AS INTEGER) AS line, regexp_extract(detail, {D.q(R.WEBPACK_DETAIL)}, 1) AS message FROM g WHERE detail IS NOT NULL""")
+
+
 def parse_webpack(spark, sf_dir):
     head = F.concat(F.lit("ERROR in ./src/w"), F.col("l_partkey") % 20, F.lit(".js:"), "l_linenumber", F.lit(":"), "l_suppkey")
     detail = F.when(F.col("l_returnflag") == "N", "note").otherwise(F.concat(F.lit("Module build failed (from loader): Error "), "l_linenumber"))
@@ -247,6 +251,8 @@ _ANY = _output_sql("'  at src/a' || (l_partkey % 20) || '.c:' || l_linenumber ||
   SELECT doc_id, pos, severity, coalesce(nullif(CASE severity WHEN 'error' THEN regexp_extract(raw, {D.q(R.ANY_ERROR)}, 1) ELSE regexp_extract(raw, {D.q(R.ANY_WARNING)}, 1) END, ''), upper(severity)) AS code,
     CASE severity WHEN 'error' THEN regexp_extract(raw, {D.q(R.ANY_ERROR)}, 2) ELSE regexp_extract(raw, {D.q(R.ANY_WARNING)}, 2) END AS message,
     coalesce(regexp_extract(seen, {D.q(R.ANY_PLACE)}, 1), 'unknown') AS file, coalesce(CAST(regexp_extract(seen, {D.q(R.ANY_PLACE)}, 2) AS INTEGER), 0) AS line FROM f WHERE severity IS NOT NULL""")
+
+
 def parse_generic(spark, sf_dir):
     place = F.concat(F.lit("  at src/a"), F.col("l_partkey") % 20, F.lit(".c:"), "l_linenumber", F.lit(":"), "l_suppkey")
     told = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("warning: unused 'v"), "l_suppkey", F.lit("'"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("error[X"), "l_linenumber", F.lit("]: bad value "), "l_suppkey")).otherwise("note")

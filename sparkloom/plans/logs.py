@@ -14,7 +14,6 @@ from .registry import query
 from .scalars import error_parts, http_requests
 
 
-
 def first_by(c: str, pos: str):
     return F.min_by(c, pos)
 
@@ -91,6 +90,8 @@ def chunk_by_size(spark, sf_dir):
   r AS (SELECT doc_id, pos, s, s AS anchor, CAST(0 AS BIGINT) AS chunk FROM x WHERE pos = 1
     UNION ALL SELECT x.doc_id, x.pos, x.s, CASE WHEN x.s - r.anchor >= 259200 THEN x.s ELSE r.anchor END, CASE WHEN x.s - r.anchor >= 259200 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN x ON x.doc_id = r.doc_id AND x.pos = r.pos + 1)
   SELECT doc_id, chunk, min(s) AS start, count(*) AS n FROM r GROUP BY 1, 2""")
+
+
 def chunk_by_time(spark, sf_dir):
     return ordered.anchored_chunks(I.log_lines(spark, sf_dir), "doc_id", "pos", F.unix_timestamp("ts_text"), 3 * 24 * 3600)
 

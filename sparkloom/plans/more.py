@@ -1,13 +1,12 @@
-"""Queries of test and build output, content types, captured git output, code structure, caches and streams."""
+"""Queries of test and build output, captured git output, code structure, caches and streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import cache, code, ordered
+from ..operators import cache, code
 from ..ship import ship
 from ..sources import files
 from . import duck as D
@@ -17,6 +16,8 @@ from .structure import elements_sql
 
 
 _TESTS = """tests AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'SKIPPED' ELSE 'PASSED' END || ' test_' || (event_id % 30) || '.py::case_' || event_id AS raw FROM events)"""
+
+
 def tests(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "signup", "SKIPPED").otherwise("PASSED")
     return I.table(spark, sf_dir, "events").select("event_id", "user_id", F.concat(kind, F.lit(" test_"), F.col("event_id") % 30, F.lit(".py::case_"), "event_id").alias("raw"))
@@ -188,6 +189,8 @@ def smart_cache(spark, sf_dir):
   r AS (SELECT doc_id, pos, s, s AS anchor, CAST(0 AS BIGINT) AS chunk FROM x WHERE pos = 1
     UNION ALL SELECT x.doc_id, x.pos, x.s, CASE WHEN x.s - r.anchor >= 259200000000 THEN x.s ELSE r.anchor END, CASE WHEN x.s - r.anchor >= 259200000000 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN x ON x.doc_id = r.doc_id AND x.pos = r.pos + 1),
   c AS (SELECT doc_id, chunk, min(s) AS start_us, count(*) AS n FROM r GROUP BY 1, 2) SELECT * FROM c QUALIFY chunk < max(chunk) OVER (PARTITION BY doc_id)""")
+
+
 def stream_chunk_by_time(spark, sf_dir):
     """The event table read as a stream, with an empty starting state: the chunks that later events have closed, written by the stream to a table."""
     from ..streaming.chunks import chunk_stream

@@ -181,6 +181,8 @@ def _ratio(kind: str, k: int) -> str:
     "estimate_output",
     "WITH x AS (SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM documents) SELECT doc_id, t AS input_tokens, CAST(least(16000, greatest(50, CASE WHEN t < 100 THEN greatest(floor(t * 0.5 + 0.5), floor(t * 1.0 + 0.5)) WHEN t > 10000 THEN floor(t * 0.3 + 0.5) ELSE floor(t * 0.5 + 0.5) END)) AS BIGINT) AS estimated FROM x",
 )
+
+
 def estimate_output(spark, sf_dir):
     low, high, usual = R.OUTPUT_RATIOS["generic"]
     t = T.token_count(F.col("text"))

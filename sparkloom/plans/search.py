@@ -149,6 +149,8 @@ def cosine_topk(spark, sf_dir):
     "hybrid_search",
     f"WITH {_BM25}, top AS (SELECT greatest(max(score), 0.001) AS top FROM bm), c AS (SELECT vec_id AS doc_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST({_Q0} AS DOUBLE[])), 6) AS cos FROM embeddings), h AS (SELECT coalesce(bm.doc_id, c.doc_id) AS doc_id, bm.score AS b, cos FROM bm FULL JOIN c ON bm.doc_id = c.doc_id) SELECT doc_id, round(CASE WHEN b IS NOT NULL THEN 0.4 * b / top + 0.6 * coalesce(cos, 0) ELSE 0.6 * cos END, 6) AS score, coalesce(b, 0) AS bm25_score, coalesce(cos, 0) AS semantic_score FROM h, top WHERE b IS NOT NULL OR cos >= 0.5",
 )
+
+
 def hybrid_search(spark, sf_dir):
     lexical = retrieval.bm25(I.table(spark, sf_dir, "documents"), "doc_id", "text", QUERY).select("doc_id", "score")
     return retrieval.hybrid(lexical, cosines(spark, sf_dir).withColumnRenamed("vec_id", "doc_id"), "doc_id")

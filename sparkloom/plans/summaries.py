@@ -1,16 +1,13 @@
-"""Clusters of log lines, critical entries, section findings, summaries by log type, stack traces, and dispatch by content type."""
+"""Critical entries, section findings, hunks of diffs, template variables, and summaries by log type."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import config, ordered, retrieval
-from ..ship import ship
-from . import detect
+from ..operators import ordered, retrieval
 from . import duck as D
 from . import inputs as I
 from .logs import _SCORES, joined, scored
@@ -32,6 +29,8 @@ def hier_critical(spark, sf_dir):
   p AS (SELECT doc_id, section, trim({D.rewrite('lower(message)', R.LOG_PATTERN)}) AS p, count(*) AS n FROM x WHERE lvl = 'error' GROUP BY 1, 2, 3 HAVING count(*) > 1), o AS (SELECT doc_id, section, arg_max(p, (n, p)) AS common FROM p GROUP BY 1, 2),
   m AS (SELECT doc_id, section, max(n) AS most, avg(n) AS mean FROM (SELECT doc_id, section, substring(ts_text, 1, 16) AS minute, count(*) AS n FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2)
   SELECT doc_id, section, concat_ws('; ', CASE WHEN e > 0 THEN e || ' error' || CASE WHEN e > 1 THEN 's' ELSE '' END || ' detected' END, CASE WHEN w > 0 THEN w || ' warning' || CASE WHEN w > 1 THEN 's' ELSE '' END END, 'Common error: ' || substring(common, 1, 50), CASE WHEN most > 3 * mean THEN 'Activity spike detected (' || most || 'x normal)' END) AS findings FROM c LEFT JOIN o USING (doc_id, section) LEFT JOIN m USING (doc_id, section)""")
+
+
 def section_findings(spark, sf_dir):
     """Up to four findings for each section of 20 lines: errors, warnings, the commonest error, spikes."""
     keys = ["doc_id", "section"]
@@ -111,6 +110,8 @@ def _numbered(values, name: str):
 
 @query("summarize_server", f"""WITH {D.HTTP_LINES}, p AS (SELECT user_id % 100 AS server, CAST(regexp_extract(raw, ' (\\d{{3}}) ', 1) AS INTEGER) AS status, CAST(regexp_extract(raw, '(\\d+)ms$', 1) AS BIGINT) AS ms FROM http_lines)
   SELECT server, count(*) || ' requests, ' || count(*) FILTER (status >= 400) || ' errors, avg ' || CAST(floor(avg(ms) + 0.5) AS BIGINT) || 'ms' AS overview FROM p GROUP BY 1""")
+
+
 def summarize_server(spark, sf_dir):
     from .scalars import http_requests
 
@@ -128,6 +129,8 @@ def summarize_tests(spark, sf_dir):
 @query("summarize_build", f"""WITH {D.BUILD_LINES}, p AS (SELECT doc_id, regexp_extract(raw, '(TS\\d+)', 1) AS code FROM build_lines), c AS (SELECT doc_id, code, count(*) AS n FROM p GROUP BY 1, 2),
   t AS (SELECT doc_id, string_agg(code || ' x' || n, ', ' ORDER BY n DESC, code) AS top FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) <= 3) GROUP BY 1)
   SELECT doc_id, CAST(sum(n) AS BIGINT) || ' errors: ' || any_value(top) AS overview FROM c JOIN t USING (doc_id) GROUP BY 1""")
+
+
 def summarize_build(spark, sf_dir):
     """The number of errors and the three commonest codes."""
     c = I.build_lines(spark, sf_dir).groupBy("doc_id", F.regexp_extract("raw", r"(TS\d+)", 1).alias("code")).agg(F.count("*").alias("n"))

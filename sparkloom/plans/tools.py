@@ -156,6 +156,8 @@ def toon_fields(spark, sf_dir):
 
 @query("toon_result_tabular", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
   SELECT o_custkey, 'orders[' || any_value(n) || ']{o_orderkey,o_orderstatus,o_orderpriority,even}:' || chr(10) || string_agg('  ' || o_orderkey || ',' || o_orderstatus || ',' || o_orderpriority || ',' || CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'F' END, chr(10) ORDER BY r) || CASE WHEN any_value(n) > 20 THEN chr(10) || '  ... +' || (any_value(n) - 20) || ' more' ELSE '' END AS toon FROM o WHERE r <= 20 GROUP BY 1""")
+
+
 def toon_result_tabular(spark, sf_dir):
     """Each customer's orders as a table of four columns and at most 20 rows, as the operator's limits say."""
     x = I.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_orderkey") % 2 == 0).alias("even"))
