@@ -116,14 +116,14 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(small(ids), key, "left_semi")
 
 
-def by_key(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+def by_key(rows: DataFrame, table: DataFrame, keys: list[str], count: str, whole: bool = True) -> DataFrame:
     """``rows`` joined with ``table`` (keys, count, ...), materialised, which has a row for each key and counts the rows of each.
 
-    A small table is broadcast whole. Of a larger one, keys that hold a large share of the rows are joined by broadcast: there are fewer than HOT_KEYS of them, whatever the size of the
+    A small table is broadcast whole, unless ``whole`` is false. Of a larger one, keys that hold a large share of the rows are joined by broadcast: there are fewer than HOT_KEYS of them, whatever the size of the
     tables. For the others no task holds much more than an even share.
     """
-    if (lean := small(table)) is not table:
-        return rows.join(lean, keys)
+    if whole and (few := small(table)) is not table:
+        return rows.join(few, keys)
     total = table.agg(F.sum(count)).first()[0] or 0
     least = max(HOT_LEAST, total // HOT_KEYS)
     hot = F.broadcast(table.where(F.col(count) > least))

@@ -15,6 +15,7 @@ from .graph import components
 from .rarity import Rarity, frequent, prefixes
 from .similarity import cluster, links
 
+
 def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, own, th, n, k1, k2, ell, tokens): set size, 128-bit key of the set, matches asked for, and the prefix tokens, rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(Rarity(*frequent(docs, width)))

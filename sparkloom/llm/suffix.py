@@ -296,7 +296,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(id, th, spans, n) for ``rows`` (id, th, text), materialised: maximal byte ranges covered by strings of ``length`` bytes that start elsewhere too, and their number."""
     anchors = _anchors(rows, length)
     often = materialize(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
-    mine = materialize(by_key(anchors, often, ["gram"], "n").drop("n"))
+    mine = materialize(by_key(anchors, often, ["gram"], "n", whole=False).drop("n"))  # as many grams as texts repeat: shuffled at every size
     context = ["gram", "c1", "c2"]
     classes = materialize(mine.groupBy(*context).agg(F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("id", "th", "place")]))
     # equal contexts: all of their strings repeat
