@@ -254,14 +254,19 @@ _ESIG = f"regexp_extract(raw, {D.q(R.TSC)}, 5) || ': ' || trim({D.rewrite(f'rege
 
 @query("dedup_errors", f"WITH {D.BUILD_LINES} SELECT doc_id, {_ESIG} AS signature, count(*) AS n, arg_min(raw, pos) AS sample FROM build_lines GROUP BY 1, 2 HAVING count(*) >= 2")
 def dedup_errors(spark, sf_dir):
-    x = error_parts(I.build_lines(spark, sf_dir)).withColumn("signature", F.concat_ws(": ", F.nullif("code", F.lit("")), T.normalize_error(F.col("message"))))
-    return x.groupBy("doc_id", "signature").agg(F.count("*").alias("n"), first_by("raw", "pos").alias("sample")).where("n >= 2")
+    return signatures(I.build_lines(spark, sf_dir)).where("n >= 2").drop("first")
+
+
+def signatures(lines):
+    """(doc_id, signature, n, sample, first): errors of one shape. Equal messages are put together before they are normalised, which costs far more than counting."""
+    x = error_parts(lines).groupBy("doc_id", "code", "message").agg(F.count("*").alias("n"), F.min(F.struct("pos", "raw")).alias("at"))
+    x = x.withColumn("signature", F.concat_ws(": ", F.nullif("code", F.lit("")), T.normalize_error(F.col("message"))))
+    return x.groupBy("doc_id", "signature").agg(F.sum("n").alias("n"), F.min("at").alias("at")).select("doc_id", "signature", "n", F.col("at.raw").alias("sample"), F.col("at.pos").alias("first"))
 
 
 @query("dedup_stats", f"WITH {D.BUILD_LINES}, g AS (SELECT doc_id, {_ESIG} AS s, count(*) AS n FROM build_lines GROUP BY 1, 2) SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS unique_errors, CAST(floor((1 - count(*) / CAST(sum(n) AS DOUBLE)) * 100 + 0.5) AS BIGINT) AS reduction FROM g GROUP BY 1")
 def dedup_stats(spark, sf_dir):
-    x = error_parts(I.build_lines(spark, sf_dir)).withColumn("signature", F.concat_ws(": ", F.nullif("code", F.lit("")), T.normalize_error(F.col("message"))))
-    g = x.groupBy("doc_id", "signature").agg(F.count("*").alias("n"))
+    g = signatures(I.build_lines(spark, sf_dir))
     return g.groupBy("doc_id").agg(F.sum("n").alias("total"), F.count("*").alias("unique_errors"), T.js_round((1 - F.count("*") / F.sum("n")) * 100).alias("reduction"))
 
 
