@@ -85,7 +85,8 @@ def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     are made once and kept as a table, and long lists are split by their prefixes, rarest items first. Returns (node, component) for the nodes that have a link.
     """
     often = materialize(postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
-    listed = materialize(postings.join(small(often), "key").select("key", "node", "n", "ell", "pos", "df"))
+    # bands shared by different sets are few; items are as many as texts have in common, and are shuffled at every size
+    listed = materialize(postings.join(often if rarity is None else small(often), "key").select("key", "node", "n", "ell", "pos", "df"))
     items = None
     if rarity is not None:
         items = materialize(sets_of(listed.select("node").distinct()))
