@@ -20,8 +20,8 @@ def test_limits_stop_a_block_and_are_taken_back():
 
 
 def test_bounded_functions(spark):
-    run = tools.bounded(spark, lambda x: {"a": [x, None]}, most_tokens=2)
-    assert [tuple(r.r) for r in spark.createDataFrame([("é",), (None,)], "t string").select(run("t").alias("r")).collect()] == [('{"a": ["', None, 5), ('{"a": [n', None, 5)]
+    run = tools.bounded(spark, lambda x: {"a": [x, None]}, most_tokens=4)
+    assert [tuple(r.r) for r in spark.createDataFrame([("é",), (None,)], "t string").select(run("t").alias("r")).collect()] == [('{\n  "a": "[2 ite', None, 5), ('{\n  "a": "[2 ite', None, 5)]
 
 
 def test_lazily_makes_once():
