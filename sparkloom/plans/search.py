@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import ordered, retrieval
+from ..operators import compress, ordered, retrieval
+from ..operators.segments import segment_content as segments_of
 from ..sources.tables import spread
 from . import duck as D
 from . import inputs as I
@@ -154,3 +155,27 @@ def cosine_topk(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     lexical = retrieval.bm25(I.table(spark, sf_dir, "documents"), "doc_id", "text", QUERY).select("doc_id", "score")
     return retrieval.hybrid(lexical, cosines(spark, sf_dir).withColumnRenamed("vec_id", "doc_id"), "doc_id")
+
+
+# Real segments, of texts with fences, blank lines and errors: a line for each event of a user.
+
+_MIXED = f"""{D.LOG_LINES}, mixed AS (SELECT doc_id, string_agg(CASE event_type WHEN 'purchase' THEN '' WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN '~~~' ELSE '```' END WHEN 'error' THEN '  failed request ' || event_id ELSE event_type || ' ' || event_id END, chr(10) ORDER BY pos) AS text FROM log_lines GROUP BY 1)"""
+_BLOCKS = """b AS (SELECT doc_id, text, list_reduce(list_concat([{'start': CAST(NULL AS BIGINT), 'mark': '', 'done': []::STRUCT(s BIGINT, e BIGINT)[]}],
+    list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i - 1, 'm': substring(trim(x), 1, 3)}), lambda v: v.m IN ('```', '~~~')), lambda v: {'start': v.i, 'mark': v.m, 'done': []::STRUCT(s BIGINT, e BIGINT)[]})),
+    lambda a, m: CASE WHEN a.start IS NULL THEN {'start': m.start, 'mark': m.mark, 'done': a.done} WHEN a.mark = m.mark THEN {'start': CAST(NULL AS BIGINT), 'mark': a.mark, 'done': list_append(a.done, {'s': a.start, 'e': m.start})} ELSE a END) AS s FROM mixed),
+  k AS (SELECT doc_id, text, CASE WHEN s.start IS NULL THEN s.done ELSE list_append(s.done, {'s': s.start, 'e': CAST(9007199254740992 AS BIGINT)}) END AS blocks FROM b),
+  l AS (SELECT doc_id, blocks, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM k),
+  m AS (SELECT doc_id, i, line, list_filter(blocks, lambda v: v.s <= i AND i <= v.e)[1].s AS block FROM l), n AS (SELECT *, block IS NULL AND trim(line) = '' AS blank FROM m),
+  o AS (SELECT *, coalesce(lead(blank) OVER w, false) AS ended, CASE WHEN block IS DISTINCT FROM lag(block) OVER w OR coalesce(lag(blank) OVER w, true) THEN 1 ELSE 0 END AS fresh FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  p AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM o), q AS (SELECT doc_id, g, min(i) AS start, max(i) AS stop, max(block) AS block, arg_max(ended, i) AS ended, count(*) AS c, string_agg(line, chr(10) ORDER BY i) AS whole, arg_max(line, i) AS last FROM p WHERE NOT blank GROUP BY 1, 2)"""
+_SPLIT = f"q.block IS NULL AND q.ended AND q.c > 1 AND regexp_matches(q.whole, {D.q(R.KEYWORD_BOOST[0][1])})"
+_TRIMMED = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("segment_content", f"WITH {_MIXED}, {_BLOCKS}, r AS (SELECT doc_id, start, stop, CASE WHEN block IS NULL THEN 'paragraph' ELSE 'code-block' END AS kind, CASE WHEN block IS NOT NULL AND regexp_matches(last, '^\\s*(```|~~~)') THEN whole ELSE {_TRIMMED.format(c='whole')} END AS segment FROM q WHERE NOT ({_SPLIT}) UNION ALL SELECT q.doc_id, p.i, p.i, 'line', {_TRIMMED.format(c='p.line')} FROM q JOIN p ON p.doc_id = q.doc_id AND p.g = q.g AND NOT p.blank WHERE {_SPLIT}) SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, kind, segment FROM r WHERE segment <> ''")
+def segment_content(spark, sf_dir):
+    """Fenced code, paragraphs, and the lines of paragraphs that tell errors."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    line = F.when(kind == "purchase", "").when(kind == "signup", F.when(n % 3 == 0, "~~~").otherwise("```")).when(kind == "error", F.concat(F.lit("  failed request "), n)).otherwise(F.concat(kind, F.lit(" "), n))
+    texts = compress.joined(I.log_lines(spark, sf_dir).withColumn("line", line), "doc_id", ["pos"], "line", "text")
+    return segments_of(texts, "doc_id", "text")

@@ -123,3 +123,15 @@ def test_generic_tells_repeats(spark):
 def test_schema_signature(spark):
     df = spark.createDataFrame([], "a string, b int, c array<int>, d boolean")
     assert render.schema_signature(df.schema) == "a? b?:num c?:arr d?:bool"
+
+
+def test_segments(spark):
+    from sparkloom.operators.segments import segment_content
+
+    text = "one\ntwo\n\nall failed here\nsecond\n\n```py\nx\n\n~~~\n```\nafter\n~~~\nopen"
+    rows = [(1, text), (2, ""), (3, None), (4, "an error\nat the end"), (5, "\n\n  lone  \n")]
+    got = sorted(map(tuple, segment_content(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()))
+    assert got == [
+        (1, 0, 1, "paragraph", "one\ntwo"), (1, 3, 3, "line", "all failed here"), (1, 4, 4, "line", "second"), (1, 6, 10, "code-block", "```py\nx\n\n~~~\n```"),
+        (1, 11, 11, "paragraph", "after"), (1, 12, 13, "code-block", "~~~\nopen"), (4, 0, 1, "paragraph", "an error\nat the end"), (5, 2, 2, "paragraph", "lone"),
+    ]
