@@ -88,6 +88,7 @@ def owned(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         finally:
             made = _scope().pop()
         discard(*[t for t in made if t._table != out._table])
+        out.sparkSession._jvm.java.lang.System.gc()  # broadcasts of finished steps go, on the driver and the executors, once the driver's references are collected
         for scope in _scope()[-1:]:
             scope.append(out)
         return out
