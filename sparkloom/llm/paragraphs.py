@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import by_key, lean, materialize, owned, record_id, semi_by_id, small
+from .common import by_key, discard, lean, materialize, owned, record_id, semi_by_id, small
 from .rarity import Rarity, frequent
 from .similarity import cluster
 
@@ -242,10 +242,13 @@ def substring_dedup(docs: DataFrame, min_words: int = 25, shingle: int = 5, perc
     others = [c for c in docs.columns if c not in (text, "_n_paragraphs", "_removed")]
     told = docs.select(F.struct(*others).alias("row"), F.col(text).alias("text"), record_id(doc_id, text).alias("id")).withColumn("th", F.xxhash64("text"))
     rows = told.select("id", "th", F.coalesce("text", F.lit("")).alias("text"))
-    gone = materialize(repeated_paragraphs(rows, min_words, shingle, percent).groupBy("id", "th").agg(F.sort_array(F.collect_set("para")).alias("removed"), F.count("*").alias("n")))
+    paragraphs = repeated_paragraphs(rows, min_words, shingle, percent)
+    gone = materialize(paragraphs.groupBy("id", "th").agg(F.sort_array(F.collect_set("para")).alias("removed"), F.count("*").alias("n")))
     lined = rows.join(lean(gone, "n", 8).drop("n"), ["id", "th"], "left")
-    cuts = repeated_passages(lined, max(1, length)).withColumn("m", F.size("spans"))
+    passages = repeated_passages(lined, max(1, length))
+    cuts = passages.withColumn("m", F.size("spans"))
     changed = materialize(gone.join(cuts, ["id", "th"], "full_outer").select("id", "th", "removed", "spans", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("size")))
+    discard(paragraphs, gone, passages)
     told_lean = lean(changed, "size", 16)
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("_n_paragraphs")
 

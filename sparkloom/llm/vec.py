@@ -18,9 +18,8 @@ SLICE_BYTES = 1_000_000
 _U = np.uint64
 
 
-@lru_cache(maxsize=1)
 def _own_memory() -> None:
-    """Once in a Python worker: it lives on from stage to stage, so let arrays beyond 4 MB be mapped, and thus go back to the system when they are freed.
+    """For a Python worker, before it reads its first batch: it lives on from stage to stage, so let arrays beyond 4 MB be mapped, and thus go back to the system when they are freed.
 
     Smaller ones are made and freed over and over; mapping each would cost more than the work on it.
     """
@@ -34,11 +33,14 @@ def _own_memory() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
+if TaskContext.get() is not None:
+    _own_memory()
+
+
 def trim() -> None:
     """Give freed memory back to the system; in workers only, the driver's memory is its own."""
     if TaskContext.get() is None:
         return
-    _own_memory()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # not glibc
