@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..operators import multifile
 from . import duck as D
 from . import inputs as I
 from .logs import joined
@@ -153,8 +154,7 @@ def find_usages(spark, sf_dir):
 @query("dead_code", f"WITH {_LINES}, d AS (SELECT path, regexp_extract(t, '^def\\s+(\\w+)', 1) AS name FROM ln WHERE regexp_matches(t, '^def\\s+\\w+')), u AS (SELECT DISTINCT path AS upath, unnest(regexp_extract_all(t, '\\w+')) AS word FROM ln) SELECT path, name FROM d WHERE NOT EXISTS (SELECT 1 FROM u WHERE word = name AND upath <> path)")
 def dead_code(spark, sf_dir):
     defs = quick_scan(spark, sf_dir).where("kind = 'function'").select("path", "name")
-    used = code_lines(spark, sf_dir).select(F.col("path").alias("upath"), F.explode(F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0))).alias("word")).distinct()
-    return defs.join(used, (F.col("word") == F.col("name")) & (F.col("upath") != F.col("path")), "left_anti")
+    return multifile.unnamed_elsewhere(defs, code_lines(spark, sf_dir).select("path", F.explode(F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0))).alias("name")))
 
 
 @query("search_files", f"WITH {D.CODE_FILES} SELECT path, regexp_extract(path, '([^/]+)$', 1) AS name FROM code_files WHERE regexp_matches(path, '^(.*/)?p2[^/]*\\.py$')")
