@@ -229,10 +229,11 @@ def signatures(files: Pipeline) -> DataFrame:
 
 def dead_code(files: Pipeline) -> DataFrame:
     """Preset: (path, name) of exported elements that no other file names."""
+    from .multifile import unnamed_elsewhere
+
     names = files.parse().build().where("exported and bucket <> 'imports'").select("path", "name").distinct()
-    words = files.build().select(F.col("path").alias("other"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\w+"), F.lit(0)))).alias("name"))
-    used = words.join(names, "name").where("path <> other").select("path", "name").distinct()
-    return names.join(used, ["path", "name"], "left_anti")
+    words = files.build().select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\w+"), F.lit(0)))).alias("name"))
+    return unnamed_elsewhere(names, words)
 
 
 PRESETS = {"overview": overview, "usages": usages, "signatures": signatures, "dead_code": dead_code}

@@ -1,7 +1,11 @@
 """Plans and results that only larger tables would tell apart."""
 
+from pyspark.sql import functions as F
+
 from sparkloom import catalog
-from sparkloom.operators import multifile
+from sparkloom.operators import fluent, multifile
+from sparkloom.operators.fluent import Pipeline
+from sparkloom.ship import ship
 
 DATA = "/root/testdata/sf0.001"
 
@@ -15,3 +19,11 @@ def test_dead_code_never_broadcasts_words(spark):
     rows = [("a", "f"), ("a", "g"), ("b", "g"), ("c", "h"), (None, "k")]
     names, words = spark.createDataFrame(rows, "path string, name string"), spark.createDataFrame([("a", "f"), ("b", "h"), ("b", "g"), ("a", "g"), (None, "f")], "path string, name string")
     assert sorted(map(str, (r.name for r in multifile.unnamed_elsewhere(names, words).collect()))) == ["f", "k"]
+
+
+def test_preset_dead_code_makes_no_pairs_of_files(spark):
+    ship(spark)
+    files = spark.range(60).select(F.col("id").alias("pos"), F.concat(F.lit("p"), "id", F.lit(".py")).alias("path"), F.concat(F.lit("class C:\n    pass\ndef f_"), "id", F.lit("():\n    pass\n")).alias("content"))
+    got = fluent.PRESETS["dead_code"](Pipeline.of(files))
+    assert "Broadcast" not in plan(got) and "Inner" not in plan(got)  # files that share a word are not joined with each other
+    assert sorted(r.name for r in got.collect()) == sorted(f"f_{k}" for k in range(60))
