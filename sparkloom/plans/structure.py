@@ -54,7 +54,7 @@ def related_imports(spark, sf_dir):
     lines, brings = code_lines(spark, sf_dir).select("path", "t"), F.col("t").rlike(r"^(import|from)\s")
     named = lines.where(brings).select("path", F.regexp_extract("t", r"import\s+(\w+)\z", 1).alias("name"), F.col("t").alias("line"))
     used = lines.where(~brings).select("path", F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
-    return named.join(used, ["path", "name"], "left_semi").distinct()
+    return named.join(used.hint("merge"), ["path", "name"], "left_semi").distinct()  # exploded words are taken for few, and must not be broadcast
 
 
 # Sources of each language and their elements, read off the source by hand: bucket, name, parent, first and last line, exported, detail, doc.

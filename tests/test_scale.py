@@ -27,3 +27,7 @@ def test_preset_dead_code_makes_no_pairs_of_files(spark):
     got = fluent.PRESETS["dead_code"](Pipeline.of(files))
     assert "Broadcast" not in plan(got) and "Inner" not in plan(got)  # files that share a word are not joined with each other
     assert sorted(r.name for r in got.collect()) == sorted(f"f_{k}" for k in range(60))
+
+
+def test_related_imports_never_broadcast_words(spark):
+    assert "Broadcast" not in plan(catalog.queries()["related_imports"](spark, DATA))
