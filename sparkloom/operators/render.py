@@ -64,16 +64,17 @@ def found(elements: DataFrame, query: str) -> DataFrame:
 
 
 def compact(c: Column, kind: S.DataType, most: int) -> Column:
-    """A value in few characters: null as -, booleans as T and F, long texts cut, arrays as [n], structs and maps as {...}."""
+    """A value in few characters: null as -, booleans as T and F, long texts cut, numbers and dates whole, arrays as [n], structs and maps as {...}."""
     if isinstance(kind, S.BooleanType):
         out = F.when(c, "T").otherwise("F")
     elif isinstance(kind, S.ArrayType):
         out = F.concat(F.lit("["), F.size(c), F.lit("]"))
     elif isinstance(kind, S.StructType | S.MapType):
         out = F.lit("{...}")
+    elif isinstance(kind, S.StringType):
+        out = F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
     else:
-        text = c.cast("string")
-        out = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+        out = c.cast("string")
     return F.when(c.isNull(), "-").otherwise(out)
 
 

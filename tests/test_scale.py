@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom import catalog
-from sparkloom.operators import fluent, multifile
+from sparkloom.operators import fluent, multifile, render
 from sparkloom.operators.fluent import Pipeline
 from sparkloom.ship import ship
 
@@ -31,3 +31,8 @@ def test_preset_dead_code_makes_no_pairs_of_files(spark):
 
 def test_related_imports_never_broadcast_words(spark):
     assert "Broadcast" not in plan(catalog.queries()["related_imports"](spark, DATA))
+
+
+def test_compact_numbers_are_whole(spark):
+    x = spark.sql("select 123456789L as n, 'abcdefghi' as t, date'2020-01-02' as d, 1234567.5D as f")
+    assert [x.select(render.compact(F.col(c), x.schema[c].dataType, 6).alias("v")).first().v for c in x.columns] == ["123456789", "abc...", "2020-01-02", "1234567.5"]
