@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom import catalog
-from sparkloom.operators import fluent, multifile, render
+from sparkloom.operators import code, fluent, multifile, render
 from sparkloom.operators.fluent import Pipeline
 from sparkloom.ship import ship
 from sparkloom.sources import files
@@ -46,3 +46,13 @@ def test_files_beyond_a_megabyte_are_read_whole(spark, tmp_path):
     assert read == {"a.txt": (1_500_000, None), "b.txt": (1, None)}
     read = {r.path: (r.content, r.error) for r in files.read_files(spark, str(tmp_path), ["*.txt"], most=10).collect()}
     assert read == {"a.txt": (None, "too large: 1500000"), "b.txt": ("y", None)}
+
+
+def test_long_python_files_in_pieces_have_the_elements_of_the_whole(monkeypatch):
+    one = '@wrap\ndef f(x):\n    """Doc.\n\nclass no:\n"""\n    return x\n\n\nclass C(B):\n    def run(self): pass\n\n\nimport os\nLIMIT = (\nimported\n)\r\nfrom a import b as c\n'
+    for text in (one * 40, one * 40 + "def broken(:\n", one * 20 + "x = '''\ndef no(): pass\nimport no\n'''\n" + one * 20):
+        whole = code.elements(text, "python")
+        monkeypatch.setattr(code, "PIECE_CHARS", 100)
+        assert len(code._pieces(text)) > 30 and "".join(p for _, p in code._pieces(text)) == text
+        assert code.elements(text, "python") == whole and bool(whole) == ("broken" not in text)
+        monkeypatch.undo()
