@@ -56,3 +56,12 @@ def test_long_python_files_in_pieces_have_the_elements_of_the_whole(monkeypatch)
         assert len(code._pieces(text)) > 30 and "".join(p for _, p in code._pieces(text)) == text
         assert code.elements(text, "python") == whole and bool(whole) == ("broken" not in text)
         monkeypatch.undo()
+
+
+def test_pairs_of_imports_are_not_compared_again(spark, monkeypatch):
+    monkeypatch.setattr(multifile, "PART_FILES", 3)
+    rows = [(f"src/m{k}.ts", s) for k in range(30) for s in (f"src/m{k % 2}", f"m{k % 3}.")] + [("src/m1.ts", None)]
+    df = multifile.contained(spark.createDataFrame(rows, "path string, source string"))
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got) == sorted({(p, q) for p, s in rows if s for q, _ in rows if p != q and (s in q or q.removesuffix(".ts") in s)})
+    assert plan(df).index("Join") < plan(df).index("Aggregate")  # no distinct over the pairs
