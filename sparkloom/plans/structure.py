@@ -238,6 +238,6 @@ def chunk_files(spark, sf_dir):
     """Projects of 40 files; packing is sequential, so a project is one task's work."""
     ship(spark)
     x = ts_files(spark, sf_dir).select(F.floor(F.col("k") / 40).alias("project"), "path", "absolute", T.token_count(F.col("content")).alias("tokens"))
-    deps = multifile.contained(x.select("path", F.col("absolute").alias("source"))).groupBy("path").agg(F.array_sort(F.collect_set("dep")).alias("deps"))
-    y = x.join(deps, "path", "left").select("project", "path", "tokens", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
+    deps = multifile.contained(x.select("project", "path", F.col("absolute").alias("source")), ("project",)).groupBy("project", "path").agg(F.array_sort(F.collect_list("dep")).alias("deps"))
+    y = x.join(deps, ["project", "path"], "left").select("project", "path", "tokens", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
     return y.groupBy("project").applyInPandas(lambda pdf: multifile.chunked(pdf, 200), "project long, path string, chunk long")

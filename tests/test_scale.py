@@ -65,3 +65,9 @@ def test_pairs_of_imports_are_not_compared_again(spark, monkeypatch):
     got = [tuple(r) for r in df.collect()]
     assert sorted(got) == sorted({(p, q) for p, s in rows if s for q, _ in rows if p != q and (s in q or q.removesuffix(".ts") in s)})
     assert plan(df).index("Join") < plan(df).index("Aggregate")  # no distinct over the pairs
+
+
+def test_containment_within_projects(spark):
+    rows = [(k % 3, f"src/m{k}.ts", f"src/m{k % 4}") for k in range(40)]
+    got = sorted(tuple(r) for r in multifile.contained(spark.createDataFrame(rows, "project long, path string, source string"), ("project",)).collect())
+    assert got == sorted((a, p, q) for a, p, s in rows for b, q, _ in rows if a == b and p != q and s in q)
