@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import ordered, retrieval
+from ..sources.tables import spread
 from . import duck as D
 from . import inputs as I
 from .logs import _SCORES, joined, scored
@@ -93,11 +94,11 @@ _VARS_SQL = "list_concat(" * (len(R.TEMPLATE) - 1) + ", ".join("list_transform(r
 @query("log_template_vars", f"WITH {D.RICH}, v AS (SELECT event_id, {D.rewrite('raw', R.TEMPLATE)} AS template, unnest({_VARS_SQL}) AS v FROM rich) SELECT event_id, template, v.name AS name, v.value AS value FROM v")
 def log_template_vars(spark, sf_dir):
     """(event_id, template, name, value): what stands in a line for each variable of its template, numbered within its class."""
-    found = []
-    for i, (pattern, to) in enumerate(R.TEMPLATE):  # each class is looked for in what the classes before it left
-        values = F.regexp_extract_all(T.rewrite(F.col("raw"), R.TEMPLATE[:i]), F.lit(T.java(pattern)), F.lit(0))
-        found.append(_numbered(values, _names(to)))
-    x = I.rich_lines(spark, sf_dir).select("event_id", T.log_template(F.col("raw")).alias("template"), F.explode(F.concat(*found)).alias("v"))
+    x = spread(I.rich_lines(spark, sf_dir).select("event_id", F.col("raw").alias("template")))
+    for i, (pattern, to) in enumerate(R.TEMPLATE):  # each class is looked for in what the classes before it left, which is a column: every rewriting is done once
+        values = F.regexp_extract_all("template", F.lit(T.java(pattern)), F.lit(0))
+        x = x.withColumns({f"_{i}": _numbered(values, _names(to)), "template": T.rewrite(F.col("template"), [(pattern, to)])})
+    x = x.select("event_id", "template", F.explode(F.concat(*[f"_{i}" for i in range(len(R.TEMPLATE))])).alias("v"))
     return x.select("event_id", "template", "v.name", "v.value")
 
 

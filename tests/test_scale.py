@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom import catalog
+from sparkloom.functions import rules
 from sparkloom.operators import code, fluent, multifile, render
 from sparkloom.operators.fluent import Pipeline
 from sparkloom.ship import ship
@@ -71,3 +72,8 @@ def test_containment_within_projects(spark):
     rows = [(k % 3, f"src/m{k}.ts", f"src/m{k % 4}") for k in range(40)]
     got = sorted(tuple(r) for r in multifile.contained(spark.createDataFrame(rows, "project long, path string, source string"), ("project",)).collect())
     assert got == sorted((a, p, q) for a, p, s in rows for b, q, _ in rows if a == b and p != q and s in q)
+
+
+def test_template_variables_rewrite_once(spark):
+    df = catalog.queries()["log_template_vars"](spark, DATA)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == len(rules.TEMPLATE)
