@@ -77,3 +77,7 @@ def test_containment_within_projects(spark):
 def test_template_variables_rewrite_once(spark):
     df = catalog.queries()["log_template_vars"](spark, DATA)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == len(rules.TEMPLATE)
+
+
+def test_summaries_read_the_texts_once(spark):
+    assert "Join" not in plan(catalog.queries()["summarize_logs"](spark, DATA))
