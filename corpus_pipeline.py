@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontam, langid, ngram_join, paragraphs
-from sparkloom.llm.common import delete, shared_dir
+from sparkloom.llm.common import collect_garbage, delete, shared_dir
 from sparkloom.llm.queries import RANKS
 from sparkloom.ship import ship
 
@@ -63,6 +63,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _shipped(stage: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        collect_garbage(spark)  # the stage before may have filled the executors' heaps
         return stage(spark, docs, sf_dir)
 
     return run

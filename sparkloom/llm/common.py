@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -56,6 +57,14 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._table)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collect the driver's garbage, with which broadcasts of finished steps go everywhere, then each executor's: a heap that a finished step has filled goes back to the system."""
+    spark._jvm.java.lang.System.gc()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        n = spark.sparkContext.defaultParallelism  # a task for each core
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def owned(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """``make`` with its result materialised, after which all tables that it materialised on the way are deleted."""
 
@@ -68,7 +77,7 @@ def owned(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         finally:
             made = _scope().pop()
         discard(*[t for t in made if t._table != out._table])
-        out.sparkSession._jvm.java.lang.System.gc()  # broadcasts of finished steps go, on the driver and the executors, once the driver's references are collected
+        collect_garbage(out.sparkSession)
         for scope in _scope()[-1:]:
             scope.append(out)
         return out

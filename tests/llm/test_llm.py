@@ -598,3 +598,12 @@ def test_pipeline(spark, tmp_path, rows):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
     assert {r.doc_id: enc.decode(r.token_ids) for r in out} == {i: r.text for i, r in bench.items()}
+
+
+def test_stages_begin_with_collected_heaps(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "a b c", "en", "web", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    full = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    dict(corpus_pipeline.STAGES)["token_ids"](spark, docs, "")
+    assert full() > before
