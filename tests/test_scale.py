@@ -81,3 +81,7 @@ def test_template_variables_rewrite_once(spark):
 
 def test_summaries_read_the_texts_once(spark):
     assert "Join" not in plan(catalog.queries()["summarize_logs"](spark, DATA))
+
+
+def test_auto_optimize_makes_texts_once(spark):
+    assert "Join" not in plan(catalog.queries()["auto_optimize"](spark, DATA))
