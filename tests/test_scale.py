@@ -85,3 +85,7 @@ def test_summaries_read_the_texts_once(spark):
 
 def test_auto_optimize_makes_texts_once(spark):
     assert "Join" not in plan(catalog.queries()["auto_optimize"](spark, DATA))
+
+
+def test_smart_pipeline_makes_texts_once(spark):
+    assert "Join" not in plan(catalog.queries()["smart_pipeline"](spark, DATA))
