@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from sparkloom import catalog
 from sparkloom.functions import rules
-from sparkloom.operators import code, fluent, multifile, render
+from sparkloom.functions import text as T
+from sparkloom.operators import code, compress, fluent, multifile, render
 from sparkloom.operators.fluent import Pipeline
 from sparkloom.ship import ship
 from sparkloom.sources import files
@@ -89,3 +90,17 @@ def test_auto_optimize_makes_texts_once(spark):
 
 def test_smart_pipeline_makes_texts_once(spark):
     assert "Join" not in plan(catalog.queries()["smart_pipeline"](spark, DATA))
+
+
+def test_rules_of_errors_tried_where_needed_give_what_all_give(spark):
+    odd = ["a:\\x\\y.ts 1", "./a/b.js LINE 12 Col 3 cOLumn 4", "x  y\tz\x0b\f\r", "'q' \"r\" `s`", "2020-01-02T03:04:05.1Z 01/02/2003 04:05:06", "deadbeef" * 4 + " 123456", "(1, 2) [3,4] :5:6", "\u212a \u0130 line 3", "", "   ", "x\u00a0 12345\u2003y"]
+    x = spark.createDataFrame([(v,) for v in odd], "x string").select("x", T.normalize_error(F.col("x")).alias("a"), compress._normalized_errors(F.array("x"))[0].alias("b"))
+    assert x.where("not (a <=> b)").collect() == []
+
+
+def test_texts_as_rows_are_told_as_lines_are(spark):
+    texts = spark.createDataFrame([(0, ""), (1, "a 1\na 2\na 3\n\nb"), (2, "\n \n"), (3, "x ERROR y\nx 1\nx 2\nerror a\nx 3\nx 4\n+p\nq"), (4, None), (5, "z\n-a\nb\nc\nd")], "id int, c string")
+    for name in ("error_groups", "logs", "generic", "hunks"):
+        want = {r.id: r.compressed for r in getattr(compress, name)(compress.lines_of(texts, "id", "c"), "id").collect()}
+        got = {r.id: r.t for r in texts.select("id", getattr(compress, f"{name}_text")(F.col("c")).alias("t")).collect() if r.t is not None}
+        assert got == want, name
