@@ -69,6 +69,15 @@ def test_pairs_of_imports_are_not_compared_again(spark, monkeypatch):
     assert plan(df).index("Join") < plan(df).index("Aggregate")  # no distinct over the pairs
 
 
+def test_what_imports_mean_is_joined_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(multifile, "PART_FILES", 4)
+    monkeypatch.setattr(multifile, "PART_DEPS", 3)
+    rows = [(f"src/m{k}.ts", f"src/m{k % 3}") for k in range(60)]
+    df = multifile.contained(spark.createDataFrame(rows, "path string, source string"))
+    assert sorted(tuple(r) for r in df.collect()) == sorted((p, q) for p, s in rows for q, _ in rows if p != q and s in q)
+    assert plan(df).index("explode(deps") < plan(df).index("Join")  # single files are neither sent nor sorted
+
+
 def test_containment_within_projects(spark):
     rows = [(k % 3, f"src/m{k}.ts", f"src/m{k % 4}") for k in range(40)]
     got = sorted(tuple(r) for r in multifile.contained(spark.createDataFrame(rows, "project long, path string, source string"), ("project",)).collect())
