@@ -1,5 +1,6 @@
 """Plans and results that only larger tables would tell apart."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from sparkloom import catalog
@@ -7,6 +8,7 @@ from sparkloom.functions import rules
 from sparkloom.functions import text as T
 from sparkloom.operators import code, compress, fluent, multifile, render
 from sparkloom.operators.fluent import Pipeline
+from sparkloom.plans import compressors, detect
 from sparkloom.ship import ship
 from sparkloom.sources import files
 
@@ -113,3 +115,42 @@ def test_texts_as_rows_are_told_as_lines_are(spark):
         want = {r.id: r.compressed for r in getattr(compress, name)(compress.lines_of(texts, "id", "c"), "id").collect()}
         got = {r.id: r.t for r in texts.select("id", getattr(compress, f"{name}_text")(F.col("c")).alias("t")).collect() if r.t is not None}
         assert got == want, name
+
+
+_PROSE = "\n".join(f"the {w} note {w} must fail on port {k}" if k % 4 == 0 else f"plain {w} line of {w * (k % 5)}" for k, w in enumerate(["alpha", "beta", "gamma", "delta"] * 8))
+_ODD = {
+    "prose": ("generic", 1, _PROSE),
+    "words": ("generic", 1, "Ärger İs Über\tnaïve\n\n" + "x_1 y2 `z` ünï é\r\n" * 30),
+    "one line": ("generic", 1, "word " * 100),
+    "empty": ("generic", 1, ""),
+    "code": ("code", 1, "import { a } from './m'\n" + "\n".join(f"export function f{k}(x) {{\n  return x + {k}\n}}" for k in range(20))),
+    "trace": ("stacktrace", 2, "TypeError: bad value\n" + "    at f (/src/a.ts:3:4)\n" * 40 + "\n".join(f"    at {w}{w} (/src/{w}.ts:1:2)" for w in ("ab", "cd", "ef", "gh")) + "\nplain end"),
+    "tsc": ("build", 2, "\n".join(f"src/a{k}.ts({k},2): error TS230{k % 2}: Cannot find name 'v{k}'." for k in range(9))),
+    "rust": ("build", 2, "error[E0425]: cannot find `x` in 3\n --> a.rs:1:2\nerror[E0425]: cannot find `y` in 4\n --> a.rs:3:2\n" + "npm ERR! code 1\n" * 20),
+    "webpack": ("build", 2, "ERROR in ./a.js:1:2\nModule not found: Error: Can't resolve 'x'\nERROR in ./b.js\nModule build failed (from l): bad 1\nModule build failed (from l): bad 2\n" + "npm ERR! code 1\n" * 20),
+    "npm": ("build", 1, "npm ERR! code 1\n" * 10),
+    "generic build": ("build", 2, "error: aborting due to 2 things\nwarning[W1]: unused\n" + "BUILD FAILED\n" * 20),
+    "server": ("logs", 1, "\n".join(f"2024-01-02 03:04:05 GET /a/{k} {200 + 100 * (k % 4)} 5ms" for k in range(9))),
+    "log": ("logs", 1, "\n".join(f"2024-01-02 03:04:05 [{v}] did {v}" for v in ("ERROR", "WARN", "INFO"))),
+}
+
+
+def test_smart_pipeline_does_the_steps_that_it_names(spark):
+    texts = spark.createDataFrame([(k, v[2]) for k, v in _ODD.items()], "id string, c string")
+    got = {r.id: r for r in compressors.piped(compressors.chain_type(texts)).collect()}
+    assert {k: (r.pipeline_type, r.steps) for k, r in got.items()} == {k: v[:2] for k, v in _ODD.items()}
+    con = duckdb.connect()
+    con.sql("create table odd (id varchar, c varchar)")
+    con.executemany("insert into odd values (?, ?)", [(k, v[2]) for k, v in _ODD.items()])
+    sql = f"WITH {compressors._PIPED} SELECT t.id, coalesce(two.compressed, one.compressed, t.c) FROM typed t LEFT JOIN one ON one.id = t.id LEFT JOIN two ON two.id = t.id".replace(detect.TEXTS_SQL, "texts AS (SELECT * FROM odd)")
+    assert {k: r.c for k, r in got.items()} == dict(con.sql(sql).fetchall())
+    assert got["server"].c == "9 requests, 4 errors" and "cannot find `X` in N x2" in got["rust"].c and 0 < len(got["prose"].c) <= len(_PROSE) / 2
+    whole = spark.createDataFrame([("k", '{"a": {"b": {"c": 1, "d": 2}}, "e": ' + str(list(range(30))) + "}")], "id string, c string")
+    made = compressors.piped(compressors.chain_type(whole)).first()
+    assert (made.pipeline_type, made.steps) == ("config", 1) and "more items" in made.c
+
+
+def test_smart_pipeline_compresses_as_semantic_compress(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("c"))
+    got = {r.id: r.c for r in compressors.piped(docs.withColumn("pipeline_type", F.lit("generic"))).collect()}
+    assert got == {r.doc_id: r.compressed or "" for r in catalog.queries()["compress_semantic"](spark, DATA).collect()}
